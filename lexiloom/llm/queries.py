@@ -6,6 +6,8 @@ from importlib import import_module
 
 _MODULES = {
     "op1_simhash": "simhash",
+    "op3_secrets": "secrets",
+    "op9_decontaminate": "decontaminate",
 }
 
 
