@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op1_simhash": "simhash",
+    "op2_chat_tree": "chat",
     "op3_secrets": "secrets",
     "op9_decontaminate": "decontaminate",
 }
