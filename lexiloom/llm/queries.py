@@ -8,6 +8,7 @@ _MODULES = {
     "op1_simhash": "simhash",
     "op2_chat_tree": "chat",
     "op3_secrets": "secrets",
+    "op5_bpe": "bpe",
     "op6_line_windows": "lines",
     "op9_decontaminate": "decontaminate",
 }
