@@ -21,13 +21,21 @@ SHINGLE = 3
 BROADCAST_ROWS = 200_000
 #: Characters between words, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words_of(text) -> F.Column:
     """The words of a text; null and empty texts have none."""
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER)
-    return F.filter(F.split(lowered, SEPARATORS), lambda w: w != "")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # lower() also changes letters beyond A-Z, so it serves ASCII texts only; translate() is right for all, but slow.
+    lowered = F.when(F.length(whole) == F.octet_length(whole), F.lower(whole)).otherwise(F.translate(whole, _UPPER, _LOWER))
+    return F.array_remove(F.split(lowered, SEPARATORS), "")
+
+
+def word_count(text) -> F.Column:
+    """The number of words, for which no letter has to be lower-cased."""
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SEPARATORS_ANY_CASE), "")).cast("long")
 
 
 def _shingle(words: str, at: str, n: int) -> str:
@@ -47,13 +55,19 @@ def _window_shingles(items: DataFrame, width: int) -> DataFrame:
 
 
 def _document_shingles(docs: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
-    """Each shingle of each document, for every shingle length that the items have."""
-    arrays = []
-    for n in lengths:
-        own = f"transform(sequence(0, size(ws) - {n}), p -> struct(p AS pos, {_shingle('ws', 'p', n)} AS shingle))"
-        arrays.append(f"CASE WHEN size(ws) >= {n} THEN {own} ELSE array() END" if n > 1 or len(lengths) > 1 else own)
-    every = arrays[0] if len(arrays) == 1 else f"concat({', '.join(arrays)})"
-    return docs.where(f"size(ws) >= {min(lengths)}").select(*keep, F.inline(F.expr(every)))
+    """Each shingle of each document, as ``pos`` and ``shingle``, for every shingle length that the items have.
+
+    The words are zipped with themselves shifted, so that all of it is generated code.
+    """
+    longest = max(lengths)
+    shifted = ", ".join(["ws", *(f"slice(ws, {k + 1}, size(ws))" for k in range(1, longest))])
+    names = [f"w{k}" for k in range(longest)]
+    zipped = docs.where(f"size(ws) >= {min(lengths)}").select(*keep, F.posexplode(F.expr(f"arrays_zip({shifted})")).alias("pos", "z"))
+    each = zipped.select(*keep, "pos", *[F.col("z").getField(str(k) if k else "ws").alias(n) for k, n in enumerate(names)])
+    if len(lengths) == 1:
+        return each.where(f"{names[-1]} IS NOT NULL").select(*keep, "pos", F.xxhash64(*names).alias("shingle"))
+    hashes = F.array(*[F.when(F.col(names[n - 1]).isNotNull(), F.xxhash64(*names[:n])) for n in lengths])
+    return each.select(*keep, "pos", F.explode(hashes).alias("shingle")).where("shingle IS NOT NULL")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -110,7 +124,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
         " (a, x) -> struct(a.hit + greatest(x.stop - greatest(x.start, a.upto), 0) AS hit, greatest(a.upto, x.stop) AS upto), a -> a.hit)"
     )
     hits = hits.select("key", covered.cast("long").alias("n_hit"), "item_ids")
-    sized = docs.select("doc_id", key, F.size(words_of("text")).cast("long").alias("n_words"))
+    sized = docs.select("doc_id", key, word_count("text").alias("n_words"))
     joined = sized.join(hits, "key", "left")
     none = F.array().cast("array<string>")
     return joined.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"))
