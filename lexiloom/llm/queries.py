@@ -10,7 +10,9 @@ _MODULES = {
     "op3_secrets": "secrets",
     "op5_bpe": "bpe",
     "op6_line_windows": "lines",
+    "op8_repair_ids": "repair",
     "op9_decontaminate": "decontaminate",
+    "op10_quality": "quality",
 }
 
 
