@@ -8,6 +8,7 @@ _MODULES = {
     "op1_simhash": "simhash",
     "op2_chat_tree": "chat",
     "op3_secrets": "secrets",
+    "op4_html_template": "html_template",
     "op5_bpe": "bpe",
     "op6_line_windows": "lines",
     "op8_repair_ids": "repair",
