@@ -19,7 +19,7 @@ _KEY = "xxhash64(doc_id, text)"
 _WORDED = "l rlike '[^ \\\\t-\\\\r]'"
 #: The lines with a word, and the hashes of all windows over them: 128 bits each.
 _LINES = f"filter(split(text, '\\n'), l -> {_WORDED})"
-_HASHED = "transform(ls, l -> struct(xxhash64(l) AS a, xxhash64(l, 1) AS b))"
+_HASHED = "transform(ls, l -> struct(xxhash64(l) AS a, xxhash64(1, l) AS b))"
 _SPOTS = (
     f"transform(sequence(0, size(hs) - {WIDTH}), i -> struct("
     "xxhash64(hs[i].a, hs[i + 1].a, hs[i + 2].a) AS h, xxhash64(hs[i].b, hs[i + 1].b, hs[i + 2].b) AS g, i AS spot))"

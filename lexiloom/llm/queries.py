@@ -11,6 +11,7 @@ _MODULES = {
     "op4_html_template": "html_template",
     "op5_bpe": "bpe",
     "op6_line_windows": "lines",
+    "op7_suffix_repeats": "suffix",
     "op8_repair_ids": "repair",
     "op9_decontaminate": "decontaminate",
     "op10_quality": "quality",
