@@ -24,6 +24,8 @@ START, SEP, END = "<|start|>", "<|sep|>", "<|end|>"
 #: Control strings that a text may not hold as they are: our marks, and those of widespread chat templates.
 CONTROL = r"(<|\[)(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)"
 LOSS_ROLE = "assistant"
+#: A node in more conversations than this is dealt out in so many copies where it is joined to them.
+HOT, SALTS = 64, 16
 #: The template marks stand for themselves; all else is encoded byte by byte by the rank file.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -56,22 +58,20 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def turn_nodes(turns: DataFrame) -> DataFrame:
-    """(conv_id, depth, n_turns, role, text, path): each turn with the hashes of all turns up to it.
+def conversations(turns: DataFrame) -> DataFrame:
+    """(conv_id, ts, chain): the turns of each conversation in order, and a hash of all turns up to each.
 
     Null roles and texts count as empty. Turns of a conversation are ordered by
-    ``turn``, nulls first; equal turn numbers by role and text, so that the order does not
-    depend on the partitions.
+    ``turn``, nulls first; equal turn numbers by role and text, so that the
+    order does not depend on the partitions.
     """
     clean = plain_columns(turns, "conv_id", "turn", "role", "text").select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    digest = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
-    listed = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", digest.alias("digest")))).alias("ts"))
-    chain = F.expr("aggregate(ts, array(''), (a, t) -> array_append(a, sha2(concat(element_at(a, -1), t.digest), 256)), a -> slice(a, 2, size(a)))")
-    chained = listed.select("conv_id", "ts", chain.alias("chain"))
-    each = chained.select("conv_id", F.size("ts").alias("n_turns"), "chain", F.posexplode("ts").alias("depth", "t"))
-    return each.select("conv_id", "depth", "n_turns", "t.role", "t.text", F.expr("slice(chain, 1, depth + 1)").alias("path"))
+    listed = clean.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    own = "md5(concat(length(t.role), ':', t.role, t.text))"
+    chain = F.expr(f"aggregate(ts, array(X''), (a, t) -> array_append(a, unhex(md5(concat(element_at(a, -1), unhex({own}))))), a -> slice(a, 2, size(a)))")
+    return listed.select("conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("ts"), chain.alias("chain"))
 
 
 def _tokens(nodes: DataFrame, vocabulary: str) -> DataFrame:
@@ -93,79 +93,119 @@ def _tokens(nodes: DataFrame, vocabulary: str) -> DataFrame:
     return nodes.withColumn("e", encode(escape(F.col("role")), escape(F.col("text")))).select("*", "e.*").drop("e")
 
 
+def _spread(users: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Salts for a join by ``key`` on which some keys have many users: (key, salt) for each user's side and the other's.
+
+    Only keys of more than ``HOT`` users get more than one salt.
+    """
+    counted = users.groupBy(key).agg(F.count("*").alias("users"))
+    salts = F.explode(F.when(F.col("users") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    return counted.select(key, salts.alias("salt")), counted.where(F.col("users") > HOT).select(key)
+
+
+def _salted_join(users: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """``users`` joined to ``table``, a row for each ``key``; a key that a third of all users have is dealt to many tasks."""
+    spread, hot = _spread(users, key)
+    drawn = users.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("hot", F.lit(True))
+    drawn = drawn.join(hot, [key, "salt"], "left").withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(F.lit(0))).drop("hot")
+    return drawn.join(table.join(spread, key), [key, "salt"]).drop("salt")
+
+
 def prefix_tree(turns: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The tree's nodes and the conversations' last nodes.
-
-    Nodes: node (hash of all turns up to it), path (hashes of its ancestors
-    and itself), role, text, tokens, loss_from and loss_to (tokens of this
-    node under the loss mask), offset (of its first token in the depth-first
-    layout of all trees), position_ids, ancestors (array of (start, stop)
-    intervals of the layout, nearest last). Leaves: conv_id, node, n_turns.
-    No turn, no row.
+    """The tree's nodes and the conversations.
+
+    Nodes: node (hash of all turns up to it), depth, tokens, loss_from and
+    loss_to (tokens of this node under the loss mask), offset (of its first
+    token in the depth-first layout of all trees), position_ids, ancestors
+    (array of (start, stop) intervals of the layout, adjoining ones made one).
+    Conversations: conv_id, spots (the offset of each of its turns' nodes). No
+    turn, no row.
+
+    Sorted by their hash chains, conversations are in depth-first order; each
+    brings the nodes that none before it has, as one run of the layout. All
+    work is in proportion to the number of turns.
     """
-    each = stage(turn_nodes(turns))
-    leaves = each.where("depth = n_turns - 1").select("conv_id", F.element_at("path", -1).alias("node"), "n_turns")
-    # A node is the same in all conversations that reach it, so one of each is enough; this combines before the shuffle.
-    distinct = each.withColumn("node", F.element_at("path", -1)).groupBy("node").agg(F.first("path").alias("path"), F.first("role").alias("role"), F.first("text").alias("text"))
-    nodes = stage(_tokens(distinct, vocabulary or vocabulary_path()))
-
-    # Depth first is the order of the paths. Range partitions are summed up alone, then shifted by those before them.
-    ordered = nodes.select("node", "path", F.size("tokens").cast("long").alias("n")).repartitionByRange("path").withColumn("part", F.spark_partition_id())
-    ordered = stage(ordered)
-    sums = ordered.groupBy("part").agg(F.sum("n").alias("total"))  # a row for each partition
-    before = sums.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    placed = ordered.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "part")
-    placed = stage(placed.select("node", "path", "n", (F.col("before") + F.col("inside")).alias("offset")))
-
-    # A node's ancestors: one row for each of its path's nodes. The hot first turns are joined as a salted side.
-    up = placed.select(F.col("node").alias("of"), F.posexplode("path").alias("level", "node")).withColumn("salt", F.pmod(F.xxhash64("of"), F.lit(16)).cast("int"))
-    spots = placed.select("node", F.struct("offset", (F.col("offset") + F.col("n")).alias("stop")).alias("span"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    spans = up.join(spots, ["node", "salt"]).groupBy("of").agg(F.array_sort(F.collect_list(F.struct("level", F.col("span.offset").alias("start"), F.col("span.stop").alias("stop")))).alias("all"))
-    above = F.expr("transform(slice(all, 1, size(all) - 1), x -> struct(x.start, x.stop))").alias("ancestors")
-    first = F.expr("aggregate(slice(all, 1, size(all) - 1), 0L, (a, x) -> a + x.stop - x.start)").alias("first")
-    laid = spans.select(F.col("of").alias("node"), above, first, F.element_at("all", -1)["start"].alias("offset"))
-    out = nodes.join(laid, "node").withColumn("position_ids", F.expr("sequence(first, first + size(tokens) - 1)")).drop("first")
-    return out, leaves
-
-
-def read_back(nodes: DataFrame, leaves: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    listed = conversations(turns).repartitionByRange("chain").withColumn("part", F.spark_partition_id())
+    row = F.row_number().over(Window.partitionBy("part").orderBy("chain", "conv_id"))
+    ranked = stage(listed.withColumn("rank", F.shiftleft(F.col("part").cast("long"), 40) + row).drop("part"))
+    paths = ranked.select("conv_id", "rank", F.posexplode("chain").alias("depth", "node"))
+
+    said = ranked.select("rank", F.posexplode(F.arrays_zip("chain", "ts")).alias("depth", "z")).select(F.col("z.chain").alias("node"), "rank", "depth", "z.ts.role", "z.ts.text")
+    # A node's turns are the same in all conversations that reach it: this combines before the shuffle.
+    distinct = said.groupBy("node").agg(F.min("rank").alias("owner"), F.min("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
+    nodes = stage(_tokens(distinct, vocabulary or vocabulary_path()).drop("role", "text"))
+
+    sized = nodes.select("node", "owner", "depth", F.size("tokens").cast("long").alias("n"))
+    runs = sized.groupBy("owner").agg(F.sum("n").alias("n"), F.min("depth").alias("shared")).withColumn("part", F.shiftright("owner", 40))
+    totals = runs.groupBy("part").agg(F.sum("n").alias("total"))  # a row for each range partition
+    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("owner").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "part")
+    runs = stage(runs.select("owner", "shared", (F.col("before") + F.col("inside")).alias("run")))
+    own = F.sum("n").over(Window.partitionBy("owner").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sized.withColumn("own", F.coalesce(own, F.lit(0))).join(runs, "owner")
+    placed = stage(placed.select("node", "owner", "depth", "n", "run", "shared", (F.col("run") + F.col("own")).alias("offset")))
+
+    walked = _salted_join(paths, placed.select("node", "offset", "n"), "node", "conv_id")
+    walked = walked.groupBy("conv_id", "rank").agg(F.array_sort(F.collect_list(F.struct("depth", "offset", "n"))).alias("way"))
+    walked = stage(walked)
+    merge = (
+        "aggregate(slice(way, 1, shared), CAST(array() AS array<struct<start: bigint, stop: bigint>>), (a, x) -> CASE"
+        " WHEN size(a) > 0 AND a[size(a) - 1].stop = x.offset THEN concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].start AS start, x.offset + x.n AS stop)))"
+        " ELSE concat(a, array(struct(x.offset AS start, x.offset + x.n AS stop))) END)"
+    )
+    above = runs.join(walked, runs.owner == walked.rank).select("owner", F.expr(merge).alias("above"))
+    above = above.withColumn("tokens_above", F.expr("aggregate(above, 0L, (a, x) -> a + x.stop - x.start)"))
+    spots = placed.join(above, "owner").select(
+        "node",
+        "offset",
+        F.expr("CASE WHEN offset > run THEN concat(above, array(struct(run AS start, offset AS stop))) ELSE above END").alias("ancestors"),
+        (F.col("tokens_above") + F.col("offset") - F.col("run")).alias("first"),
+    )
+    out = nodes.drop("owner").join(spots, "node").withColumn("position_ids", F.expr("sequence(first, first + size(tokens) - 1)")).drop("first")
+    return out, walked.select("conv_id", F.expr("transform(way, x -> x.offset)").alias("spots"))
+
+
+def read_back(nodes: DataFrame, told: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(conv_id, turns): each conversation's turns from the tree's tokens alone, in order.
 
-    A turn is (role, text, formatted, loss): decoded from the tokens of the
-    nodes whose intervals the last node attends to.
+    A turn is (at, role, text, formatted, loss), decoded from its node's tokens and loss mask.
     """
     vocabulary = vocabulary or vocabulary_path()
 
-    @F.pandas_udf("struct<formatted: string, loss: string>")
+    @F.pandas_udf("struct<formatted: string, loss_at: int, loss_chars: int>")
     def decode(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         enc = _encoding(vocabulary)
         for tokens, starts, stops in parts:
-            ids = [t.tolist() for t in tokens]
-            whole = [enc.decode(t) for t in ids]
-            loss = [enc.decode(t[a:b]) for t, a, b in zip(ids, starts, stops)]
-            yield pd.DataFrame({"formatted": whole, "loss": loss})
-
-    said = nodes.select("node", "offset", decode("tokens", "loss_from", "loss_to").alias("d")).select("node", "offset", "d.*")
+            rows = []
+            for t, a, b in zip(tokens, starts, stops):
+                head, body, tail = (enc.decode(part.tolist()) for part in (t[:a], t[a:b], t[b:]))
+                rows.append((head + body + tail, len(head), len(body)))
+            yield pd.DataFrame(rows, columns=["formatted", "loss_at", "loss_chars"])
+
+    said = nodes.select("offset", decode("tokens", "loss_from", "loss_to").alias("d")).select("offset", "d.*")
+    wanted = told.select("conv_id", F.posexplode("spots").alias("at", "offset"))
+    found = _salted_join(wanted, said, "offset", "conv_id")
     inner = f"^{re.escape(START)}(?s)(.*?){re.escape(SEP)}(.*){re.escape(END)}$"
-    said = said.select(
-        "offset", unescape(F.regexp_extract("formatted", inner, 1)).alias("role"), unescape(F.regexp_extract("formatted", inner, 2)).alias("text"), "formatted", unescape(F.col("loss")).alias("loss")
-    )
-    said = stage(said)
-    spots = nodes.select("node", F.concat(F.expr("transform(ancestors, x -> x.start)"), F.array("offset")).alias("spots"))
-    wanted = leaves.join(spots, "node").select("conv_id", F.posexplode("spots").alias("at", "offset"))
-    salted = wanted.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(16)).cast("int"))
-    spread = said.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    told = salted.join(spread, ["offset", "salt"])
-    return told.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text", "formatted", "loss"))).alias("turns"))
+    turn = lambda t: F.struct(
+        t["at"].alias("at"),
+        unescape(F.regexp_extract(t["formatted"], inner, 1)).alias("role"),
+        unescape(F.regexp_extract(t["formatted"], inner, 2)).alias("text"),
+        t["formatted"].alias("formatted"),
+        unescape(t["formatted"].substr(t["loss_at"] + 1, t["loss_chars"])).alias("loss"),
+    )
+    # One copy of each turn crosses the shuffle; it is taken apart afterwards.
+    listed = found.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "formatted", "loss_at", "loss_chars"))).alias("ts"))
+    return listed.select("conv_id", F.transform("ts", turn).alias("turns"))
 
 
 def op2_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = plain_columns(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    nodes, leaves = prefix_tree(turns.unionByName(extra))
-    told = read_back(stage(nodes), leaves)
+    nodes, index = prefix_tree(turns.unionByName(extra))
+    told = read_back(nodes, index)
     whole = lambda x: F.array_join(F.transform("turns", x), "")
     loss = whole(lambda t: t["loss"])
     return told.select(
