@@ -1,23 +1,63 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, encoding."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, encoding.
+
+Each stage takes the documents that the one before kept, as a table read
+back from Parquet. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexiloom.llm.bpe import token_digests
+from lexiloom.llm.common import stage
+from lexiloom.llm.decontaminate import drop_contaminated
+from lexiloom.llm.lines import dedup_lines
+from lexiloom.llm.quality import keep_good
 from lexiloom.llm.simhash import near_dedup
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or leave their language's perplexity band go."""
+    return keep_good(docs)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows are taken out of the texts; every document stays."""
+    cleaned = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*docs.columns)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return near_dedup(docs)
 
 
-STAGES = [("simhash_near_dedup", simhash_stage)]
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left, after a round trip through the ids."""
+    return token_digests(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", lines_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("decontamination", decontaminate_stage),
+    ("bpe", bpe_stage),
+]
+#: The model's bands, fingerprints and ids are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, function in STAGES:
-        docs = function(spark, docs, sf_dir)
-    return docs
+    for _, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
