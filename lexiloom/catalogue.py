@@ -1,11 +1,504 @@
-"""All registered queries of the library, without the corpus subpackage."""
+"""Registered queries over the driver's tables, each with its DuckDB form where SQL has one."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiloom.functions import hangul, text
+from lexiloom.operators import dictionaries as d
+from lexiloom.plans import queries as q
+from lexiloom.plans import search as s
+from lexiloom.sources import records as r
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(sql: str | None = None, lists: tuple[str, ...] = ()):
+    """Registers a query with its SQL. Columns named in ``lists`` are written as comma-joined strings by both."""
+
+    def add(function):
+        def flat(spark, sf_dir):
+            return function(spark, sf_dir).withColumns({c: F.array_join(c, ",") for c in lists})
+
+        _QUERIES[function.__name__] = flat if lists else function
+        if sql and lists:
+            _SQL[function.__name__] = f"SELECT * REPLACE ({', '.join(f"array_to_string({c}, ',') AS {c}" for c in lists)}) FROM ({sql})"
+        elif sql:
+            _SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from lexiloom import analysis_queries
+
+    return dict(_QUERIES) | analysis_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: RE2 form of the run pattern: its classes can't be intersected, so other letters come after the scripts' blocks.
+_RUNS = r"([가-힣]+|[ㄱ-ㆎ]+|[\x{3040}-\x{30ff}]+|[\x{4e00}-\x{9fff}]+|\p{Lo}+|[\p{Lu}\p{Ll}]+|\p{Nd}+|[\p{P}\p{S}]+|[\t-\r\x1c-\x20\x{2028}\x{2029}\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{205f}\x{3000}]+|[^\t-\r\x1c-\x20\p{Lo}\p{Lu}\p{Ll}\p{Nd}\p{P}\p{S}]+)"
+_TERM = r"[^\t-\r\x1c-\x20\p{P}\p{S}]"
+_FOLD = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+# -- characters and strings ---------------------------------------------------
+
+
+@_register(f"""
+    SELECT run, count(*) AS times FROM (SELECT unnest(regexp_extract_all(text, '{_RUNS}', 1)) AS run FROM documents) GROUP BY run
+""")
+def char_runs(spark, sf_dir):
+    """All class runs of all documents with their counts; counted in the tasks first."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.explode(text.runs(F.col("text"))).alias("run")).groupBy("run").agg(F.count("*").alias("times"))
+
+
+@_register(f"""
+    SELECT p_partkey, string_agg(term || ':' || spot || ':' || (spot + length(term)), ' ' ORDER BY spot) AS tokens FROM (
+        SELECT p_partkey, run AS term, coalesce(sum(length(run)) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM (
+            SELECT p_partkey, unnest(regexp_extract_all(p_brand || ' ' || p_name, '{_RUNS}', 1)) AS run, generate_subscripts(regexp_extract_all(p_brand || ' ' || p_name, '{_RUNS}', 1), 1) AS i FROM part))
+    WHERE NOT regexp_full_match(term, '\\s+') GROUP BY p_partkey
+""")
+def token_offsets(spark, sf_dir):
+    """Class runs with their offsets."""
+    part = _table(spark, sf_dir, "part").select("p_partkey", text.typed_runs(F.concat_ws(" ", "p_brand", "p_name")).alias("t"))
+    return part.select("p_partkey", F.array_join(F.transform("t", lambda t: F.concat_ws(":", t["term"], t["start"], t["stop"])), " ").alias("tokens"))
+
+
+@_register(f"""
+    SELECT CASE WHEN regexp_full_match(run, '[\\p{{Lu}}\\p{{Ll}}]+') THEN 'ALPHA' WHEN regexp_full_match(run, '\\p{{Nd}}+') THEN 'NUMBER' WHEN regexp_full_match(run, '[\\p{{P}}\\p{{S}}]+') THEN 'SYMBOL'
+        WHEN regexp_full_match(run, '[\\t-\\r\\x1c-\\x20]+') THEN 'WHITESPACE' ELSE 'OTHER' END AS class, count(*) AS times, CAST(sum(length(run)) AS BIGINT) AS chars
+    FROM (SELECT unnest(regexp_extract_all(text, '{_RUNS}', 1)) AS run FROM conversations) GROUP BY 1
+""")
+def class_of_run(spark, sf_dir):
+    """How many runs and characters of each class there are."""
+    rows = _table(spark, sf_dir, "conversations").select(F.explode(text.runs(F.col("text"))).alias("run"))
+    kind = text.char_class(F.col("run"))
+    named = F.when(kind.isin("ALPHA", "NUMBER", "SYMBOL", "WHITESPACE"), kind).otherwise("OTHER")
+    return rows.groupBy(named.alias("class")).agg(F.count("*").alias("times"), F.sum(F.length("run")).alias("chars"))
+
+
+@_register(r"""
+    SELECT word, CASE WHEN regexp_full_match(word, '[\p{Lu}\p{Ll}\p{Nd}]+') AND regexp_matches(word, '\p{Nd}') AND regexp_matches(word, '[\p{Lu}\p{Ll}]') THEN 'ALPHANUM'
+        WHEN regexp_full_match(word, '[\p{Lu}\p{Ll}\p{Nd}][\p{Lu}\p{Ll}\p{Nd}\p{P}\p{S}]*') AND regexp_matches(word, '[\p{P}\p{S}]') THEN 'ASCII'
+        WHEN regexp_full_match(word, '[\p{Lu}\p{Ll}]+') THEN 'ALPHA' WHEN regexp_full_match(word, '\p{Nd}+') THEN 'NUMBER' WHEN regexp_full_match(word, '[\p{P}\p{S}]+') THEN 'SYMBOL' ELSE 'UNCATEGORIZED' END AS type
+    FROM (SELECT DISTINCT unnest(list_concat(string_split(p_brand, ' '), string_split(p_name, ' '))) AS word FROM part UNION SELECT DISTINCT unnest(string_split(url, '/')) FROM pages) WHERE word <> ''
+""")
+def term_types(spark, sf_dir):
+    part, pages = _table(spark, sf_dir, "part"), _table(spark, sf_dir, "pages")
+    words = part.select(F.explode(F.concat(F.split("p_brand", " "), F.split("p_name", " "))).alias("word")).unionByName(pages.select(F.explode(F.split("url", "/")).alias("word")))
+    return words.where("word <> ''").distinct().select("word", text.term_type(F.col("word")).alias("type"))
+
+
+_CASES = "('1'), ('123'), ('1234'), ('12345'), ('1,234'), ('1,234,567'), ('12,345,678'), ('1.2'), ('1.234'), ('1.234.567'), ('100:100'), ('1,234:5,678'), ('1,2,3,4'), (''), (':'), ('a1'), ('1:2:3')"
+
+
+@_register(rf"""
+    SELECT word, regexp_matches(word, '{text.NUMBER_PATTERN}') AS is_number FROM (
+        SELECT * FROM (VALUES {_CASES}) AS v(word) UNION ALL SELECT DISTINCT printf('%.2f', l_extendedprice) FROM lineitem)
+""")
+def number_pattern(spark, sf_dir):
+    cases = spark.sql(f"SELECT * FROM VALUES {_CASES} AS v(word)")
+    prices = _table(spark, sf_dir, "lineitem").select(F.format_string("%.2f", "l_extendedprice").alias("word")).distinct()
+    return cases.unionByName(prices).select("word", text.is_number(F.col("word")).alias("is_number"))
+
+
+@_register("""
+    SELECT o_orderkey, replace(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), ',', '') AS plain, length(format('{:,}', CAST(floor(o_totalprice) AS BIGINT))) AS grouped FROM orders
+""")
+def comma_strip(spark, sf_dir):
+    grouped = F.format_number(F.floor("o_totalprice"), 0)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", text.strip_commas(grouped).alias("plain"), F.length(grouped).cast("long").alias("grouped"))
+
+
+@_register("""
+    SELECT doc_id, length(rtrim(text, ' ')) BETWEEN 1 AND 63 AS has_full, CASE WHEN length(rtrim(text, ' ')) BETWEEN 1 AND 63 THEN rtrim(text, ' ') END AS full_string FROM documents
+""")
+def full_string_gate(spark, sf_dir):
+    full = text.full_string(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", full.isNotNull().alias("has_full"), full.alias("full_string"))
+
+
+@_register(r"""
+    SELECT c_custkey, replace(trim(c_name), ' ', '') AS squeezed, contains(c_name, ' ') AS spaced, len(list_filter(string_split(c_name || ' x  y', ' '), lambda w: w <> '')) AS words,
+        substr(c_name, 3, 4) AS part, '<strong>' || c_mktsegment || '</strong>' AS strong, translate(c_name, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS folded,
+        regexp_matches(c_name, '[#+]') AS marked, regexp_full_match(c_mktsegment, '[\p{Lu}\p{Ll}\p{Nd}]+') AS alnum FROM customer
+""")
+def string_functions(spark, sf_dir):
+    name = F.col("c_name")
+    return _table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        text.remove_spaces(F.trim(name)).alias("squeezed"),
+        text.has_spaces(name).alias("spaced"),
+        F.size(text.split_spaces(F.concat(name, F.lit(" x  y")))).cast("long").alias("words"),
+        text.sub_sequence(name, 2, 5).alias("part"),
+        text.emphasis(F.col("c_mktsegment")).alias("strong"),
+        text.fold(name).alias("folded"),
+        text.contains_any(name, "#+").alias("marked"),
+        text.is_alnum(F.col("c_mktsegment")).alias("alnum"),
+    )
+
+
+@_register("""
+    SELECT n AS code, chr(CAST(n AS INTEGER)) AS syllable, (n - 44032) // 588 AS i, ((n - 44032) % 588) // 28 AS m, (n - 44032) % 28 AS f, chr(CAST(n AS INTEGER)) AS again FROM range(44032, 55204) t(n)
+""")
+def hangul_elements(spark, sf_dir):
+    """Every syllable taken apart and put together."""
+    made = spark.range(hangul.FIRST, hangul.LAST + 1).select(F.col("id").alias("code"))
+    syllable = hangul.compose(
+        F.substr(F.lit(hangul.INITIALS), (F.floor((F.col("code") - hangul.FIRST) / 588) + 1).cast("int"), F.lit(1)),
+        F.substr(F.lit(hangul.MEDIALS), (F.floor((F.col("code") - hangul.FIRST) % 588 / 28) + 1).cast("int"), F.lit(1)),
+        F.when((F.col("code") - hangul.FIRST) % 28 > 0, F.substr(F.lit(hangul.FINALS), ((F.col("code") - hangul.FIRST) % 28).cast("int"), F.lit(1))).otherwise(F.lit("")),
+    )
+    c = F.col("syllable")
+    split = made.withColumn("syllable", syllable)
+    return split.select(
+        "code",
+        "syllable",
+        (F.instr(F.lit(hangul.INITIALS), hangul.initial(c)) - 1).cast("long").alias("i"),
+        (F.instr(F.lit(hangul.MEDIALS), hangul.medial(c)) - 1).cast("long").alias("m"),
+        hangul.final_code(c).cast("long").alias("f"),
+        hangul.compose(hangul.initial(c), hangul.medial(c), F.coalesce(hangul.final(c), F.lit(""))).alias("again"),
+    )
+
+
+# -- records -------------------------------------------------------------------
+
+
+def _record_lines(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("PRODUCTCODE"), F.col("o_orderpriority").alias("PRODUCTNAME"), F.date_format("o_orderdate", "yyyyMMdd").alias("REGISTERDATE"), F.col("o_orderstatus").alias("STATUS")
+    )
+    return orders.select(r.write_record(orders.columns).alias("value"))
+
+
+@_register("""
+    SELECT o_orderkey AS PRODUCTCODE, o_orderpriority AS PRODUCTNAME, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS REGISTERDATE, o_orderstatus AS STATUS, 4 AS fields FROM orders
+""")
+def record_roundtrip(spark, sf_dir):
+    """Rows written as ``[%KEY%]value`` lines and parsed back with their types."""
+    parsed = r.parse_records(_record_lines(spark, sf_dir).unionByName(spark.sql("SELECT 'no key here' AS value")))
+    typed = r.typed_records(parsed, {"PRODUCTCODE": "bigint", "PRODUCTNAME": "string", "REGISTERDATE": "timestamp", "STATUS": "string"})
+    # The number of fields is the same for all lines that this query writes.
+    return typed.withColumn("fields", F.lit(4))
+
+
+@_register("""
+    SELECT o_orderkey, strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d') AS day, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS written FROM orders
+""")
+def date_field(spark, sf_dir):
+    day = F.date_format("o_orderdate", r.DATE_FORMAT)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.try_to_timestamp(day, F.lit(r.DATE_FORMAT)).alias("day"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("written"))
+
+
+# -- dictionaries --------------------------------------------------------------
+
+_SOURCE = """
+    ('1', NULL, 'red,crimson,scarlet', 'SYNONYM'), ('2', 'widget', 'gizmo,thing', 'SYNONYM'), ('3', 'gizmo', 'widget', 'SYNONYM'), ('4', 'hot', 'warm', 'SYNONYM'),
+    ('5', 'big ring', 'hoop', 'SYNONYM'), ('6', 'red', NULL, 'STOP'), ('7', 'old', NULL, 'STOP'), ('8', 'small ring', NULL, 'SPACE'), ('9', 'ringrod', 'ring,rod', 'COMPOUND'),
+    ('10', 'CM', NULL, 'UNIT'), ('11', ' K G ', NULL, 'UNIT'), ('12', NULL, 'TB,tera,terabyte', 'UNIT_SYNONYM'), ('13', 'widget', 'late', 'MAP'), ('14', 'widget', 'a,b', 'MAP')
+"""
+_SOURCE_SQL = f"src AS (SELECT * FROM (VALUES {_SOURCE}) AS v(id, keyword, value, type))"
+_PAIRS_SQL = f"""
+    {_SOURCE_SQL}, one AS (
+        SELECT unnest(list_distinct([trim(keyword), replace(trim(keyword), ' ', '')])) AS word, string_split(value, ',') AS vs FROM src WHERE type = 'SYNONYM' AND keyword IS NOT NULL
+    ), two AS (SELECT unnest(string_split(value, ',')) AS word, string_split(value, ',') AS vs FROM src WHERE type = 'SYNONYM' AND keyword IS NULL
+    ), pairs AS (SELECT DISTINCT word, synonym FROM (SELECT word, unnest(vs) AS synonym FROM one UNION ALL SELECT word, unnest(vs) FROM two) WHERE word <> synonym)
+"""
+
+
+def _source(spark):
+    return spark.sql(f"SELECT * FROM VALUES {_SOURCE} AS v(id, keyword, value, type)")
+
+
+def _synonyms(spark):
+    return d.of_type(_source(spark), "synonym")
+
+
+@_register("SELECT DISTINCT replace(trim(word), ' ', '') AS key FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word <> ''")
+def set_dict(spark, sf_dir):
+    words = _table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("keyword"))
+    return d.build_set(words)
+
+
+@_register(f"WITH {_SOURCE_SQL} SELECT keyword AS key, string_split(arg_max(value, id), ',') AS values FROM src WHERE type = 'MAP' GROUP BY keyword", lists=('values',))
+def map_dict(spark, sf_dir):
+    return d.build_map(d.of_type(_source(spark), "map"))
+
+
+@_register(f"WITH {_PAIRS_SQL} SELECT word AS key, list_sort(list(synonym)) AS values FROM pairs GROUP BY word", lists=('values',))
+def synonym_dict(spark, sf_dir):
+    return d.build_synonyms(_synonyms(spark))
+
+
+@_register(f"WITH {_PAIRS_SQL} SELECT p.word, p.synonym FROM pairs p JOIN pairs b ON p.word = b.synonym AND p.synonym = b.word")
+def synonym_mutual(spark, sf_dir):
+    return d.mutual_pairs(d.synonym_pairs(_synonyms(spark)))
+
+
+@_register(f"WITH {_PAIRS_SQL} SELECT DISTINCT word FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs b WHERE b.word = p.synonym AND b.synonym = p.word)")
+def synonym_one_way(spark, sf_dir):
+    return d.one_way_words(d.synonym_pairs(_synonyms(spark)))
+
+
+@_register("SELECT * FROM (VALUES ('crimson', ['crimson', 'red', 'scarlet']), ('gizmo', ['gizmo', 'widget']), ('red', ['crimson', 'red', 'scarlet']), ('scarlet', ['crimson', 'red', 'scarlet']), ('widget', ['gizmo', 'widget'])) AS v(word, words)", lists=('words',))
+def synonym_two_way_sets(spark, sf_dir):
+    return d.two_way_sets(d.synonym_pairs(_synonyms(spark)))
+
+
+@_register(f"""
+    WITH {_SOURCE_SQL}, w AS (SELECT unnest(list_concat([trim(coalesce(keyword, ''))], string_split(coalesce(value, ''), ','))) AS w FROM src WHERE type = 'SYNONYM')
+    SELECT DISTINCT word FROM (SELECT unnest(list_concat([w], string_split(w, ' '))) AS word FROM w) WHERE word <> ''
+""")
+def synonym_words(spark, sf_dir):
+    return d.word_set(_synonyms(spark))
+
+
+@_register("SELECT * FROM (VALUES ('red', ['blue', 'crimson']), ('blue', ['crimson', 'red']), ('crimson', ['blue', 'red'])) AS v(key, values)", lists=('values',))
+def synonym_cliques(spark, sf_dir):
+    built = spark.sql("SELECT * FROM VALUES ('red', array('blue', 'crimson', 'x')), ('blue', array('red', 'crimson')), ('crimson', array('red', 'blue')) AS v(key, values)")
+    return d.mutual_cliques(built)
+
+
+@_register(f"WITH {_SOURCE_SQL} SELECT regexp_replace(trim(keyword), '\\s', '', 'g') AS key, string_split(trim(keyword), ' ') AS values FROM src WHERE type = 'SPACE'", lists=('values',))
+def space_dict(spark, sf_dir):
+    return d.build_space(d.of_type(_source(spark), "space"))
+
+
+@_register(f"WITH {_SOURCE_SQL} SELECT keyword AS key, string_split(value, ',') AS values FROM src WHERE type = 'COMPOUND'", lists=('values',))
+def compound_dict(spark, sf_dir):
+    return d.build_compound(d.of_type(_source(spark), "compound"))
+
+
+@_register("SELECT p_name AS key, CAST(p_partkey AS VARCHAR) AS id, string_split(p_brand || ',' || p_type, ',') AS values FROM part", lists=('values',))
+def custom_dict(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    return d.build_custom(part.select(F.col("p_name").alias("keyword"), F.col("p_partkey").cast("string").alias("id"), F.concat_ws(",", "p_brand", "p_type").alias("value")))
+
+
+@_register("SELECT p_type AS key, list_sort(list(DISTINCT p_name)) AS values FROM part GROUP BY p_type", lists=('values',))
+def invert_dict(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("key")).agg(F.collect_set("p_type").alias("values"))
+    return d.invert(part)
+
+
+@_register("""
+    SELECT word, tag, CAST(max(prob) AS DOUBLE) AS prob FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word, 'N' AS tag, -13.0 AS prob FROM part
+        UNION ALL SELECT * FROM (VALUES ('ring', 'N', -8.0), ('ring', 'V', -16.0), ('rod', 'N', -16.0)) AS v(word, tag, prob)) GROUP BY word, tag
+""")
+def noun_injection(spark, sf_dir):
+    system = spark.sql("SELECT * FROM VALUES ('ring', 'N', -8.0D), ('ring', 'V', -16.0D), ('rod', 'N', -16.0D) AS v(word, tag, prob)")
+    return d.inject_nouns(system, set_dict(spark, sf_dir), "MID")
+
+
+@_register("""
+    SELECT word, tag, CAST(prob AS DOUBLE) AS prob FROM (VALUES ('ab', 'N', -5.0), ('ab', 'V', -13.0), ('x', 'N', -16.0), ('cd', 'J', -13.0)) AS v(word, tag, prob)
+""")
+def scored_words(spark, sf_dir):
+    lines = spark.createDataFrame([("# c",), ("",), ("ab\tNNG\t-9",), ("ab\tNNP\t-5",), ("ab\tVV\t-13",), ("x\tN\t-2",), ("y\tV\t-2",), ("cd\tJKS\t-13",), ("zz\tQ\t-1",), ("bad",)], "value string")
+    return d.scored_words(lines)
+
+
+@_register(f"""
+    WITH {_SOURCE_SQL}, c AS (SELECT type AS name, count(*) AS n FROM src GROUP BY type)
+    SELECT v.name, v.kind, coalesce(n, 0) AS count, CASE WHEN v.name = 'STOP' THEN '2020-01-02 00:00:00' END AS applied_time, CASE WHEN v.name = 'STOP' THEN 2 END AS applied_count
+    FROM (VALUES {', '.join(f"('{c.name.upper()}', '{c.kind}')" for c in d.CONFIGURED)}) AS v(name, kind) LEFT JOIN c ON c.name = v.name
+""")
+def dict_info(spark, sf_dir):
+    log = spark.sql("SELECT 'STOP' AS id, '2020-01-02 00:00:00' AS applied_time, 2 AS count")
+    return d.dictionary_info(_source(spark), log)
+
+
+@_register(f"WITH {_SOURCE_SQL} SELECT * FROM src WHERE keyword = 'widget' OR list_contains(string_split(coalesce(value, ''), ','), 'widget')")
+def dict_find(spark, sf_dir):
+    return d.find_word(_source(spark), "widget")
+
+
+@_register("SELECT DISTINCT word AS key FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE length(word) < 8 AND word NOT IN (SELECT DISTINCT lower(p_type) FROM part)")
+def dict_diff(spark, sf_dir):
+    return d.difference(set_dict(spark, sf_dir), _table(spark, sf_dir, "part").select(F.lower("p_type").alias("key")).distinct())
+
+
+@_register("""
+    SELECT CAST(user_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS applied_time, event_id AS count FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S') DESC, event_id DESC) = 1
+""")
+def apply_log_upsert(spark, sf_dir):
+    """The latest row of each id."""
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("applied_time"), F.col("event_id").alias("count"))
+    return d.upsert_log(events.where("count % 2 = 0"), events.where("count % 2 <> 0"))
+
+
+@_register(f"""
+    SELECT p_partkey, word, CASE WHEN {_FOLD.format('word')} IN ('RED', 'WIDGET') THEN 'x' END AS mark FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part)
+""")
+def folded_lookup(spark, sf_dir):
+    words = _table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    return d.lookup(words, spark.sql("SELECT * FROM VALUES ('Red', 'x'), ('wIdGet', 'x') AS v(key, mark)"))
+
+
+@_register(f"""
+    WITH {_SOURCE_SQL} SELECT p_partkey, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) WHERE {_FOLD.format('word')} NOT IN (SELECT {_FOLD.format('keyword')} FROM src WHERE type = 'STOP')
+""")
+def stop_filter(spark, sf_dir):
+    words = _table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    stops = d.compile_dictionary(_source(spark), d.DictionaryConfig("stop", "SET")).select(text.fold(F.col("key")).alias("stop"))
+    return words.join(stops, text.fold(F.col("word")) == F.col("stop"), "left_anti")
+
+
+@_register("SELECT * FROM (VALUES (NULL, 'crimson,red,scarlet'), (NULL, 'gizmo,widget'), ('widget', 'thing'), ('hot', 'warm'), ('big ring', 'hoop'), ('bigring', 'hoop')) AS v(keyword, value)")
+def dict_restore(spark, sf_dir):
+    config = d.DictionaryConfig("synonym", "SYNONYM")
+    return d.restore_rows(d.compile_dictionary(_source(spark), config), config).select("keyword", "value")
+
+
+# -- search --------------------------------------------------------------------
+
+_NAMES = "names AS (SELECT p_partkey AS doc, unnest(string_split(p_name, ' ')) AS term FROM part)"
+
+
+@_register(f"""
+    SELECT p_partkey AS doc, 'p_name' AS field, unnest(string_split(p_name, ' ')) AS term, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS pos FROM part
+    UNION ALL SELECT p_partkey, 'p_type', p_type, 0 FROM part
+""")
+def postings(spark, sf_dir):
+    return s.postings(_table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_type"]).withColumn("pos", F.col("pos").cast("long"))
+
+
+def _found(spark, sf_dir, asked, boosts=None):
+    part = _table(spark, sf_dir, "part")
+    return s.matches(s.postings(part, "p_partkey", list(boosts or {"p_name": 1.0})), asked, boosts)
+
+
+@_register(f"WITH {_NAMES} SELECT doc, CAST(2 AS DOUBLE) AS score FROM names WHERE term IN ('red', 'widget') GROUP BY doc HAVING count(DISTINCT term) = 2")
+def search_and(spark, sf_dir):
+    """Products with both words."""
+    return _found(spark, sf_dir, [q.clause("red"), q.clause("widget")])
+
+
+@_register(f"WITH {_NAMES} SELECT doc, CAST(2 AS DOUBLE) AS score FROM names GROUP BY doc HAVING bool_or(term = 'red') AND bool_or(term IN ('widget', 'gizmo'))")
+def search_synonyms(spark, sf_dir):
+    return _found(spark, sf_dir, [q.clause("red"), q.clause("widget", ("gizmo", "round thing"))])
+
+
+@_register(f"WITH {_NAMES} SELECT doc, CAST(2 AS DOUBLE) AS score FROM names GROUP BY doc HAVING bool_or(term = 'ringrod') OR (bool_or(term IN ('ring', 'bolt')) AND bool_or(term = 'hot'))")
+def search_extras(spark, sf_dir):
+    """A word or all of its parts, one of which has a synonym."""
+    return _found(spark, sf_dir, [q.clause("ringrod", (), (("ring", ("bolt",)), ("hot", ())))])
+
+
+@_register(f"WITH {_NAMES} SELECT doc, CAST(max(CASE WHEN term = 'PROMO' THEN 3 ELSE 1 END) AS DOUBLE) AS score FROM (SELECT * FROM names UNION ALL SELECT p_partkey, p_type FROM part) WHERE term IN ('PROMO', 'ring') GROUP BY doc")
+def search_boosts(spark, sf_dir):
+    return _found(spark, sf_dir, [q.clause("PROMO", ("ring",))], q.parse_fields("p_name,p_type^3"))
+
+
+@_register("""
+    SELECT p_partkey, p_name FROM part WHERE p_type = 'PROMO' AND p_size IN (1, 2, 3, 5, 8, 9, 11, 13, 16, 19, 21, 24, 25, 28) AND p_retailprice >= 900 AND p_retailprice < 1500 AND NOT list_contains(string_split(p_name, ' '), 'old')
+        AND (list_contains(string_split(p_name, ' '), 'ring') OR list_contains(string_split(p_name, ' '), 'rod') OR list_contains(string_split(p_name, ' '), 'widget'))
+""")
+def user_filters(spark, sf_dir):
+    """A JSON filter of term, terms, range, match and bool; the plain comparisons reach the Parquet scan."""
+    query = {"bool": {"must": [{"term": {"p_type": "PROMO"}}, {"match": {"p_name": "ring rod widget"}}], "filter": [{"terms": {"p_size": [1, 2, 3, 5, 8, 9, 11, 13, 16, 19, 21, 24, 25, 28]}}, {"range": {"p_retailprice": {"gte": 900, "lt": 1500}}}], "must_not": {"match": {"p_name": "old"}}}}
+    return _table(spark, sf_dir, "part").where(q.predicate(query)).select("p_partkey", "p_name")
+
+
+@_register("""
+    SELECT p_partkey, (list_contains(string_split(p_name, ' '), 'red') AND list_contains(string_split(p_name, ' '), 'ring')) AS phrase, len(list_intersect(string_split(p_name, ' '), ['red', 'ring', 'hot'])) >= 2 AS set_of, p_name = 'red ring' AS whole FROM part
+""")
+def user_text_queries(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    return part.select(
+        "p_partkey",
+        q.predicate({"query_string": {"query": "red ring", "fields": ["p_name"], "default_operator": "AND"}}).alias("phrase"),
+        q.predicate({"terms_set": {"p_name": {"terms": ["red", "ring", "hot"], "minimum_should_match": 2}}}).alias("set_of"),
+        q.predicate({"match_phrase": {"p_name": "red ring"}}).alias("whole"),
+    )
+
+
+@_register("""
+    SELECT p_partkey, CAST(1.0 + CASE WHEN p_size > 25 THEN 10 ELSE 0 END + CASE WHEN p_type = 'PROMO' THEN 5 ELSE 0 END + CASE WHEN NOT (p_size > 25) AND p_type <> 'PROMO' THEN 1 ELSE 0 END AS DOUBLE) AS score FROM part
+""")
+def function_score(spark, sf_dir):
+    query = {"functions": [{"filter": {"range": {"p_size": {"gt": 25}}}, "weight": 10}, {"filter": {"term": {"p_type": "PROMO"}}, "weight": 5}], "score_mode": "sum", "boost_mode": "sum"}
+    return _table(spark, sf_dir, "part").select("p_partkey", q.function_score(F.lit(1.0), query).alias("score"))
+
+
+@_register(f"""
+    WITH {_NAMES}, f AS (SELECT doc FROM names WHERE term IN ('red', 'widget') GROUP BY doc HAVING count(DISTINCT term) = 2)
+    SELECT p_partkey, p_name FROM part JOIN f ON doc = p_partkey WHERE p_type = 'PROMO'
+""")
+def user_query_merge(spark, sf_dir):
+    """A function_score's own filters with the analysed query in place of its ``must``."""
+    user = {"function_score": {"query": {"bool": {"must": {"match": {"p_name": "unused"}}, "filter": {"term": {"p_type": "PROMO"}}}}}}
+    part = _table(spark, sf_dir, "part").where(q.merge_user_query(F.lit(True), user))
+    return part.join(search_and(spark, sf_dir), F.col("p_partkey") == F.col("doc")).select("p_partkey", "p_name")
+
+
+@_register("""
+    SELECT p_partkey, p_retailprice, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS INTEGER) AS _rownum, [CAST(p_partkey AS VARCHAR)] AS _sort FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 15 OFFSET 10
+""", lists=('_sort',))
+def topk_paging(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    return s.page(part, [F.col("p_retailprice").desc(), F.col("p_partkey")], 10, 15, ["p_partkey"])
+
+
+@_register(f"WITH {_NAMES} SELECT count(DISTINCT doc) AS total FROM names WHERE term = 'red'")
+def total_hits(spark, sf_dir):
+    return s.total(_found(spark, sf_dir, [q.clause("red")]))
+
+
+@_register("SELECT p_partkey, regexp_replace(p_name, '\\b(red|widget)\\b', '<b>\\1</b>', 'g') AS marked FROM part")
+def highlight(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", s.highlight(F.col("p_name"), ["RED", "widget"]).alias("marked"))
+
+
+@_register("SELECT p_name AS name, p_brand AS brand FROM part UNION ALL SELECT s_name, NULL FROM supplier")
+def multi_index(spark, sf_dir):
+    part = _table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    return s.many([part, _table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))])
+
+
+@_register(f"""
+    WITH t AS (SELECT doc_id AS doc, unnest(list_filter(regexp_extract_all(text, '{_RUNS}', 1), lambda x: regexp_matches(x, '{_TERM}'))) AS term FROM documents),
+    dl AS (SELECT doc, count(*) AS dl FROM t GROUP BY doc), w AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+    tf AS (SELECT doc, term, count(*) AS tf FROM t WHERE term IN ('the', 'thing', 'oning') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+    SELECT doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN dl USING (doc), w GROUP BY doc
+""")
+def bm25(spark, sf_dir):
+    docs = s.postings(_table(spark, sf_dir, "documents"), "doc_id", ["text"])
+    return s.bm25(docs, ["the", "thing", "oning"]).withColumn("score", F.round("score", 6))
+
+
+@_register("""
+    SELECT '{"bool":{"must":[{"multi_match":{"query":"red","fields":["p_name"],"analyzer":"whitespace"}},{"bool":{"should":[{"multi_match":{"query":"widget","fields":["p_name"],"analyzer":"whitespace"}},{"bool":{"must":[{"multi_match":{"query":"round","fields":["p_name"],"analyzer":"whitespace"}},{"multi_match":{"query":"thing","fields":["p_name"],"analyzer":"whitespace"}}]}}]}}]}}' AS query,
+        '{"AND":["red",{"OR":["widget",{"AND":["round","thing"]}]}]}' AS tree
+""")
+def query_json(spark, sf_dir):
+    import json
+
+    asked = [q.clause("red"), q.clause("widget", ("round thing",))]
+    short = lambda x: json.dumps(x, separators=(",", ":"))
+    return spark.createDataFrame([(short(q.query_json(asked, ["p_name"])), short(q.explain(asked)))], "query string, tree string")
+
+
+@_register(r"""
+    SELECT page_id, regexp_extract_all(url, '[A-Za-z0-9]+(?:[-./&][A-Za-z0-9]+)*') AS chunks, len(list_filter(regexp_extract_all(url, '[A-Za-z0-9]+(?:[-./&][A-Za-z0-9]+)*'), lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]'))) AS models FROM pages
+""", lists=('chunks',))
+def model_name_candidates(spark, sf_dir):
+    """Chunks of letters and digits joined by single connectors; those with both are model names."""
+    chunks = F.regexp_extract_all("url", F.lit("([A-Za-z0-9]+(?:[-./&][A-Za-z0-9]+)*)"), F.lit(1))
+    both = F.filter(chunks, lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
+    return _table(spark, sf_dir, "pages").select("page_id", chunks.alias("chunks"), F.size(both).cast("long").alias("models"))
