@@ -1,2 +1,70 @@
+"""Queries of the analyser over the driver's tables; SQL can't express its rules, tests hold them to expected values."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexiloom import api
+from lexiloom.operators import analyze as a
+from lexiloom.operators.rules import SEARCH
+
+_SOURCE = """
+    ('1', NULL, 'red,crimson', 'SYNONYM'), ('2', 'widget', 'gizmo', 'SYNONYM'), ('3', 'CM', NULL, 'UNIT'), ('4', 'KG', NULL, 'UNIT'), ('5', 'old', NULL, 'STOP'),
+    ('6', 'ring', NULL, 'USER'), ('7', 'plate', 'disc,flat', 'COMPOUND')
+"""
+
+
+def _engine(spark) -> api.Engine:
+    return api.engine(spark.sql(f"SELECT * FROM VALUES {_SOURCE} AS v(id, keyword, value, type)"))
+
+
+def _part(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet")
+
+
+def _listed(df, *keys):
+    return df.select(*keys, F.explode("tokens").alias("t")).select(*keys, "t.term", "t.type", "t.start", "t.stop", "t.pos_inc")
+
+
+def analyze_index(spark, sf_dir):
+    """Index tokens of brands and names."""
+    part = _part(spark, sf_dir).withColumn("title", F.concat_ws(" ", "p_brand", "p_name", F.concat("p_size", F.lit("cm"))))
+    return _listed(a.with_tokens(part, "title", _engine(spark).dictionaries), "p_partkey")
+
+
+def analyze_query(spark, sf_dir):
+    """Query tokens with their synonyms and parts as JSON."""
+    part = a.with_tokens(_part(spark, sf_dir).select("p_partkey", "p_name"), "p_name", _engine(spark).dictionaries, SEARCH)
+    return part.select("p_partkey", F.to_json("tokens").alias("tokens"))
+
+
+def analyze_detail(spark, sf_dir):
+    """The named sets of each name's tokens."""
+    told = _engine(spark).analyze(_part(spark, sf_dir).select("p_partkey", "p_name"), "p_name")
+    return told.select("p_partkey", F.to_json("detail").alias("detail"))
+
+
+def analyze_documents(spark, sf_dir):
+    """How many tokens of each type all documents have."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
+    return a.with_tokens(docs, "text", _engine(spark).dictionaries).select(F.explode("tokens").alias("t")).groupBy("t.type").agg(F.count("*").alias("times"))
+
+
+def analyzed_search(spark, sf_dir):
+    """Analysed postings searched with synonyms, filters, weights, highlighting and paging."""
+    engine = _engine(spark)
+    part = _part(spark, sf_dir)
+    postings = engine.index(part, "p_partkey", ["p_name", "p_brand"])
+    query = {"function_score": {"query": {"bool": {"must": {"match": {"p_name": "x"}}, "filter": {"range": {"p_retailprice": {"gte": 900}}}}}, "functions": [{"filter": {"term": {"p_type": "PROMO"}}, "weight": 10}], "boost_mode": "sum"}}
+    return engine.search(part, postings, "p_partkey", "p_name^2,p_brand", "red widget", query, size=50, highlight={"fields": ["p_name"]})
+
+
+def segment_words(spark, sf_dir):
+    """Hangul compounds of product words, segmented."""
+    made = spark.createDataFrame([(k, w) for k, w in enumerate(["충전배터리", "침대매트리스는", "가족용텐트", "알수없는말"])], "id long, word string")
+    source = spark.sql("SELECT * FROM VALUES ('1', '충전', NULL, 'USER'), ('2', '배터리', NULL, 'USER'), ('3', '침대', NULL, 'USER'), ('4', '매트리스', NULL, 'USER'), ('5', '가족용', NULL, 'USER'), ('6', '텐트', NULL, 'USER') AS v(id, keyword, value, type)")
+    return _listed(a.with_tokens(made, "word", api.engine(source).dictionaries), "id")
+
+
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (analyze_index, analyze_query, analyze_detail, analyze_documents, analyzed_search, segment_words)}
