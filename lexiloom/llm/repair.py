@@ -41,10 +41,12 @@ from .packing import gather, pack_ints, unpack_ints
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 4_000_000
+#: Characters of text whose chunks are held at once.
+ENCODED_CHARS = 500_000
 ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 8, 2048, 16
 #: Chunks whose ids a worker remembers; it forgets them all when there are more.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 MAGIC = b"RPR1"
 
 #: Texts that can't be cut at every space: with a space at an end or next to white space, or with unusual white space.
@@ -79,7 +81,7 @@ class ChunkEncoder:
         self.values, self.ends, self.used, self.count = np.empty(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0, 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, keys: list[str]) -> None:
         for at in range(0, len(keys), 10_000):
@@ -96,6 +98,18 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has."""
+        values, counts, own, size = [], [], [], 0
+        for k, text in enumerate(texts):
+            own.append(text)
+            size += len(text)
+            if size >= ENCODED_CHARS or k == len(texts) - 1:
+                ids, lengths = self._encode_some(own)
+                values.append(ids)
+                counts.append(lengths)
+                own, size = [], 0
+        return (np.concatenate(values), np.concatenate(counts)) if values else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > REMEMBERED:
             self._forget()
         pieces: list[tuple[int, list[str]]] = []
