@@ -11,8 +11,8 @@ packed, one for each block and shard.
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import read_table
@@ -28,7 +27,7 @@ from .packing import gather, pack_ints, pack_strings, unpack_ints, unpack_string
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of text that make a block; a longer text is a block by itself.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 
 def vocabulary_path() -> str:
@@ -65,31 +64,31 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED_ARROW)], schema=_PACKED_ARROW)
 
 
-def _pack_block(name: str, ids: pa.Array, words: list[list[str]], shards: int) -> pa.RecordBatch:
-    """One block as packed rows.
+def _pack_block(name: str, ids: pa.Array, number: dict[str, int], docs: list[np.ndarray], shards: int) -> pa.RecordBatch:
+    """One block as packed rows. ``number`` has its distinct words by first appearance, ``docs`` the numbers of each text's words.
 
-    Its distinct words are numbered by falling count. Those that occur once
-    come last, in order of appearance, and stand as 0 in the sequence.
+    The words are numbered anew by falling count. Those that occur once come
+    last, in order of appearance, and stand as 0 in the sequence.
     """
-    counts = Counter()
-    for own in words:
-        counts.update(own)
-    often = [w for w, n in counts.most_common() if n > 1]
-    number = {w: k + 1 for k, w in enumerate(often)}
-    get = number.get
-    sequence = np.fromiter((get(w, 0) for own in words for w in own), np.uint32, sum(counts.values()))
-    once = [w for w, n in counts.items() if n == 1]
-    by_shard: dict[int, tuple[list, list]] = {}
-    for k, word in enumerate(raw for w in (*often, *once) if (raw := w.encode("utf-8", "replace")) is not None):
-        spots, own = by_shard.setdefault(zlib.crc32(word) % shards, ([], []))
-        spots.append(k)
-        own.append(word)
+    sequence = np.concatenate(docs)
+    counts = np.bincount(sequence, minlength=len(number))
+    order = np.argsort(-counts, kind="stable")
+    often = int((counts > 1).sum())
+    place = np.empty(len(number), np.uint32)
+    place[order] = np.concatenate((np.arange(1, often + 1), np.zeros(len(number) - often, np.int64)))
+    words = [w.encode("utf-8", "replace") for w in number]
+    words = [words[at] for at in order.tolist()]
+    shard_of = np.fromiter((zlib.crc32(w) % shards for w in words), np.uint32, len(words))
+    by_shard: dict[int, list[bytes]] = {}
+    for shard, word in zip(shard_of.tolist(), words):
+        by_shard.setdefault(shard, []).append(word)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
         out.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
-    body = len(often).to_bytes(8, "little") + len(once).to_bytes(8, "little") + pack_ints(sequence)
-    own_row = (zlib.crc32(name.encode()) % shards, _BLOCK, name, -1, sink.getvalue().to_pybytes(), pack_ints([len(w) for w in words]), body)
-    return _rows([own_row] + [(s, _WORDS, name, s, None, pack_ints(np.diff(spots, prepend=0)), pack_strings(own)) for s, (spots, own) in sorted(by_shard.items())])
+    where = pack_ints(shard_of)
+    body = often.to_bytes(8, "little") + len(where).to_bytes(8, "little") + where + pack_ints(place[sequence])
+    own_row = (zlib.crc32(name.encode()) % shards, _BLOCK, name, -1, sink.getvalue().to_pybytes(), pack_ints([len(d) for d in docs]), body)
+    return _rows([own_row] + [(s, _WORDS, name, s, None, None, pack_strings(own)) for s, own in sorted(by_shard.items())])
 
 
 def _explode(pattern: str, shards: int):
@@ -97,19 +96,20 @@ def _explode(pattern: str, shards: int):
         import regex
 
         find, part, nth = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
-        ids, words, size = [], [], 0
+        ids, docs, number, size = [], [], {}, 0
         for batch in batches:
             texts = batch.column(1)
             for k in range(len(batch)):
                 text = texts[k].as_py() or ""
+                words = find(text)
                 ids.append(batch.column(0).slice(k, 1))
-                words.append(find(text))
+                docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
                 size += len(text)
                 if size >= BLOCK_CHARS:
-                    yield _pack_block(f"{part}-{nth}", pa.concat_arrays(ids), words, shards)
-                    ids, words, size, nth = [], [], 0, nth + 1
+                    yield _pack_block(f"{part}-{nth}", pa.concat_arrays(ids), number, docs, shards)
+                    ids, docs, number, size, nth = [], [], {}, 0, nth + 1
         if ids:
-            yield _pack_block(f"{part}-{nth}", pa.concat_arrays(ids), words, shards)
+            yield _pack_block(f"{part}-{nth}", pa.concat_arrays(ids), number, docs, shards)
 
     return run
 
@@ -129,24 +129,27 @@ def _encode_words(path: str, pattern: str):
                 ids = [known[w] for w in words]
                 lengths = pack_ints([len(i) for i in ids])
                 body = len(lengths).to_bytes(8, "little") + lengths + pack_ints([x for i in ids for x in i])
-                yield _rows([(row["dest"], _ANSWER, row["block"], row["shard"], None, row["counts"], body)])
+                yield _rows([(row["dest"], _ANSWER, row["block"], row["shard"], None, None, body)])
 
     return run
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    answers, name = [], None
+    held, name = {}, None
     for batch in batches:
         for row in batch.to_pylist():
             if row["block"] != name:
-                answers, name = [], row["block"]
+                held, name = {}, row["block"]
             if row["kind"] == _ANSWER:
-                spots = np.cumsum(unpack_ints(row["counts"]), dtype=np.int64)
                 cut = 8 + int.from_bytes(row["body"][:8], "little")
-                answers.append((spots, unpack_ints(row["body"][8:cut]), unpack_ints(row["body"][cut:])))
+                held[row["shard"]] = (unpack_ints(row["body"][8:cut]), unpack_ints(row["body"][cut:]))
                 continue
-            often, once = int.from_bytes(row["body"][:8], "little"), int.from_bytes(row["body"][8:16], "little")
-            if sum(len(a[0]) for a in answers) != often + once:
+            often, cut = int.from_bytes(row["body"][:8], "little"), 16 + int.from_bytes(row["body"][8:16], "little")
+            # A shard's answers are in the order of its words in the block.
+            shard_of = unpack_ints(row["body"][16:cut])
+            once = len(shard_of) - often
+            answers = [(np.flatnonzero(shard_of == shard), *held[shard]) for shard in sorted(held)]
+            if any(len(spots) != len(own) for spots, own, _ in answers) or sum(len(spots) for spots, _, _ in answers) != len(shard_of):
                 raise RuntimeError(f"block {name} has not got all its words back")
             lengths = np.zeros(often + once, np.int64)
             for spots, own, _ in answers:
@@ -156,7 +159,7 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for spots, own, ids in answers:
                 ends = np.cumsum(own, dtype=np.int64)
                 values[np.arange(len(ids)) + np.repeat(offsets[spots] - (ends - own), own)] = ids
-            sequence = unpack_ints(row["body"][16:]).astype(np.int64) - 1
+            sequence = unpack_ints(row["body"][cut:]).astype(np.int64) - 1
             rare = sequence < 0
             sequence[rare] = often + np.arange(once)
             per_doc = unpack_ints(row["counts"]).astype(np.int64)
@@ -165,10 +168,18 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             all_ids = pa.array(gather(values, offsets, sequence), pa.int32())
             ids = pa.ipc.open_stream(row["docs"]).read_all().column(0).combine_chunks()
             lists = pa.ListArray.from_arrays(pa.array(token_ends, pa.int32()), all_ids)
-            step = 2000
+            step = 500
             for at in range(0, len(ids), step):
                 yield pa.RecordBatch.from_arrays([ids.slice(at, step), lists.slice(at, step)], ["doc_id", "ids"])
-            answers = []
+            held = {}
+
+
+def _gathered(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Packed blocks, each after the answers for all its words."""
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = docs.select("doc_id", "text").mapInArrow(_explode(pattern, shards), _PACKED)
+    answered = packed.repartition("dest").mapInArrow(_encode_words(path, pattern), _PACKED)
+    return answered.repartition("block").sortWithinPartitions("block", "kind", "shard")
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -178,24 +189,14 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
     added. Every row has its own, repeated ids included. ``vocabulary`` is a
     rank file; ``pattern`` cuts the pre-tokens.
     """
-    path, pattern = vocabulary or vocabulary_path(), pattern or default_pattern()
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select("doc_id", "text").mapInArrow(_explode(pattern, shards), _PACKED)
-    answered = packed.repartition("dest").mapInArrow(_encode_words(path, pattern), _PACKED)
-    gathered = answered.repartition("block").sortWithinPartitions("block", "kind", "shard")
+    gathered = _gathered(docs, vocabulary or vocabulary_path(), pattern or default_pattern())
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return gathered.mapInArrow(_reassemble, schema)
 
 
-def bpe_decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``encoded`` with a column ``decoded``: the bytes of the tokens in ``ids``, joined to the token-byte table.
-
-    That table has as many rows as the vocabulary, which the rank file fixes,
-    so each task holds it and looks the ids up. A null list gives null; an
-    unknown id fails the job.
-    """
-    path = vocabulary or vocabulary_path()
+def _decoder(path: str, columns: list[str]):
+    """Adds ``decoded`` to batches of ``columns``, among them ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
@@ -204,7 +205,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             by_id[rank] = token
         table = pa.array(by_id, pa.large_binary())
         for batch in batches:
-            lists = batch.column("ids")
+            lists = batch.column(columns.index("ids"))
             ids = lists.flatten()
             tokens = table.take(ids)
             if tokens.null_count > ids.null_count:
@@ -214,17 +215,54 @@ def bpe_decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             lengths = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
             cuts = ends[np.concatenate(([0], np.cumsum(lengths)))].tolist()
             out = [data[a:b] if ok else None for a, b, ok in zip(cuts, cuts[1:], lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*columns, "decoded"])
+
+    return run
 
-    schema = T.StructType([*[f for f in encoded.schema.fields if f.name != "decoded"], T.StructField("decoded", T.BinaryType())])
-    return encoded.select(*[f.name for f in schema.fields[:-1]]).mapInArrow(run, schema)
+
+def bpe_decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``encoded`` with a column ``decoded``: the bytes of the tokens in ``ids``, joined to the token-byte table.
+
+    That table has as many rows as the vocabulary, which the rank file fixes,
+    so each task holds it and looks the ids up. A null list gives null; an
+    unknown id fails the job.
+    """
+    fields = [f for f in encoded.schema.fields if f.name != "decoded"]
+    schema = T.StructType([*fields, T.StructField("decoded", T.BinaryType())])
+    columns = [f.name for f in fields]
+    return encoded.select(*columns).mapInArrow(_decoder(vocabulary or vocabulary_path(), columns), schema)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of batches (doc_id, ids, decoded), for which the ids are written as decimals."""
+    for batch in batches:
+        lists, decoded = batch.column(1), batch.column(2)
+        numbers = lists.flatten().cast(pa.string())
+        ends = np.frombuffer(numbers.buffers()[1], np.int32)[: len(numbers) + 1].astype(np.int64) if len(numbers) else np.zeros(1, np.int64)
+        cuts = np.concatenate(([0], np.cumsum(np.array(lists.value_lengths().to_pylist(), np.int64))))
+        # Each number and a space after it, of which the last one of a text goes.
+        spaced = np.full(int(ends[-1]) + len(numbers), 32, np.uint8)
+        if len(numbers):
+            keep = np.ones(len(spaced), bool)
+            keep[ends[1:] + np.arange(len(numbers))] = False
+            spaced[keep] = np.frombuffer(numbers.buffers()[2], np.uint8)[: int(ends[-1])]
+        text, starts = spaced.tobytes(), ends[cuts] + cuts
+        ids = [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(starts.tolist(), starts[1:].tolist())]
+        raw = [hashlib.sha256(x.as_py()).hexdigest() for x in decoded]
+        columns = [batch.column(0), pa.array(np.diff(cuts)), pa.array(ids, pa.string()), pa.array(raw, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) after a round trip through the ids."""
-    told = bpe_decode(bpe_encode(docs))
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) after a round trip through the ids.
+
+    The same steps as ``bpe_encode`` and ``bpe_decode``, the last of them in one worker.
+    """
+    path = vocabulary_path()
+    gathered = _gathered(docs, path, default_pattern())
+    decode = _decoder(path, ["doc_id", "ids"])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return gathered.mapInArrow(lambda batches: _digests(decode(_reassemble(batches))), schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
