@@ -314,7 +314,7 @@ def scored_words(spark, sf_dir):
 
 @_register(f"""
     WITH {_SOURCE_SQL}, c AS (SELECT type AS name, count(*) AS n FROM src GROUP BY type)
-    SELECT v.name, v.kind, coalesce(n, 0) AS count, CASE WHEN v.name = 'STOP' THEN '2020-01-02 00:00:00' END AS applied_time, CASE WHEN v.name = 'STOP' THEN 2 END AS applied_count
+    SELECT v.name, v.kind, coalesce(n, 0) AS count, CASE WHEN v.name = 'STOP' THEN '2020-01-02 00:00:00' END AS applied_time, CAST(CASE WHEN v.name = 'STOP' THEN 2 ELSE 0 END AS BIGINT) AS applied_count
     FROM (VALUES {', '.join(f"('{c.name.upper()}', '{c.kind}')" for c in d.CONFIGURED)}) AS v(name, kind) LEFT JOIN c ON c.name = v.name
 """)
 def dict_info(spark, sf_dir):

@@ -194,7 +194,7 @@ def dictionary_info(source: DataFrame, apply_log: DataFrame, config: tuple[Dicti
     counts = source.groupBy(F.col("type").alias("name")).agg(F.count("*").alias("count"))
     log = apply_log.select(F.col("id").alias("name"), F.col("applied_time"), F.col("count").alias("applied_count"))
     joined = named.join(counts, "name", "left").join(log, "name", "left")
-    return joined.select("name", "kind", F.coalesce("count", F.lit(0)).alias("count"), "applied_time", "applied_count")
+    return joined.select("name", "kind", F.coalesce("count", F.lit(0)).alias("count"), "applied_time", F.coalesce("applied_count", F.lit(0)).cast("long").alias("applied_count"))
 
 
 def find_word(source: DataFrame, word: str) -> DataFrame:
