@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import hangul, text
 from lexiloom.operators import dictionaries as d
+from lexiloom.plans import mapping
 from lexiloom.plans import queries as q
 from lexiloom.plans import search as s
 from lexiloom.sources import records as r
@@ -502,3 +503,18 @@ def model_name_candidates(spark, sf_dir):
     chunks = F.regexp_extract_all("url", F.lit("([A-Za-z0-9]+(?:[-./&][A-Za-z0-9]+)*)"), F.lit(1))
     both = F.filter(chunks, lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
     return _table(spark, sf_dir, "pages").select("page_id", chunks.alias("chunks"), F.size(both).cast("long").alias("models"))
+
+
+@_register("SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type) AS everything, concat_ws(' ', p_brand, p_type) AS maker, CASE WHEN length(p_name) <= 9 THEN p_name END AS exact_name FROM part")
+def copied_fields(spark, sf_dir):
+    """Fields gathered into searchable ones, and the variant for exact comparison."""
+    part = mapping.with_copies(_table(spark, sf_dir, "part"), {"everything": ("p_name", "p_brand", "p_type"), "maker": ("p_brand", "p_type", "not_there")})
+    return part.select("p_partkey", "everything", "maker", mapping.exact(F.col("p_name"), 9).alias("exact_name"))
+
+
+@_register("SELECT page_id, regexp_extract(url, '^[^?#]*') AS plain, regexp_replace(regexp_extract(url, '[?].*'), '%20', ' ', 'g') AS asked FROM pages")
+def url_parameters(spark, sf_dir):
+    """Addresses and their decoded parameters."""
+    url = F.col("url")
+    asked = F.url_decode(F.replace(F.regexp_extract(url, "[?].*", 0), F.lit("+"), F.lit("%2B")))
+    return _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, "^[^?#]*", 0).alias("plain"), asked.alias("asked"))

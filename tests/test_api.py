@@ -14,6 +14,7 @@ from lexiloom import analysis_queries, api
 from lexiloom.functions import text
 from lexiloom.operators import analyze as a
 from lexiloom.operators import dictionaries as d
+from lexiloom.plans import mapping
 from lexiloom.plans import queries as q
 from lexiloom.plans import search as s
 from lexiloom.sources import records
@@ -165,3 +166,10 @@ def test_ties_and_empty_search(spark):
     empty = spark.createDataFrame([], "id long, t string")
     assert s.matches(s.postings(empty, "id", ["t"]), [q.clause("a")]).count() == 0
     assert s.bm25(s.postings(empty, "id", ["t"]), ["a"]).count() == 0
+
+
+def test_mappings(spark):
+    assert len(mapping.PRODUCT_VM.types()) + len(mapping.PRODUCT_VM.copies) == 84 and len(mapping.PRODUCT.types()) + len(mapping.PRODUCT.copies) == 58
+    raw = spark.createDataFrame([({"PRODUCTCODE": "1", "PRODUCTNAME": "LG TV", "PRODUCTMAKER": "LG", "LOWESTPRICE": "99", "REGISTERDATE": "20200102", "TOTALCAPACITY": "x"},)], "fields map<string,string>")
+    row = mapping.with_copies(records.typed_records(raw, mapping.PRODUCT_VM.types()), mapping.PRODUCT_VM.copies).first()
+    assert row.TOTALINDEX == "LG TV LG" and row.LOWESTPRICE == 99 and row.REGISTERDATE.day == 2 and row.TOTALCAPACITY is None and row.MAKER_BRANDKEYWORD == ""
