@@ -32,8 +32,8 @@ PIECE = 1 << 20
 COMBINED = 100_000
 #: Beyond so many different contexts of one gram, windows are compared by hash over many tasks instead.
 LARGE_GROUP = 50_000
-#: Up to so many texts with a result, the results are broadcast to the texts; beyond, both are shuffled.
-BROADCAST_TEXTS = 2_000_000
+#: Up to so many results in all (about 25 bytes each), they are broadcast to the texts; beyond, both are shuffled.
+BROADCAST_RESULTS = 3_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK = 1 << 16
@@ -296,9 +296,10 @@ def _merge(spans: str) -> str:
     )
 
 
-def _with_texts(texts: DataFrame, results: DataFrame, how: str) -> DataFrame:
-    """``texts`` joined to one row of ``results`` each; texts are moved only if the results are too many to broadcast."""
-    small = results.count() <= BROADCAST_TEXTS
+def _with_texts(texts: DataFrame, results: DataFrame, how: str, listed: str) -> DataFrame:
+    """``texts`` joined to one row of ``results`` each; texts are moved only if there are too many results, in the arrays ``listed``, to broadcast."""
+    total = results.agg(F.sum(1 + F.greatest(F.size(listed), F.lit(0)))).first()[0] or 0
+    small = total <= BROADCAST_RESULTS
     return texts.join(F.broadcast(results) if small else results, ["k1", "k2"], how)
 
 
@@ -329,7 +330,7 @@ def repeated_spans(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame
     large = needed.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > large_group).select("g", F.lit(True).alias("large"))
     spots = needed.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "g", "cover")).alias("spots"))
     # Copies of a text have the same contexts; one row of each text will do.
-    once = _with_texts(long_enough.select("k1", "k2", "text"), spots, "inner").select("k1", "k2", "spots", "text")
+    once = _with_texts(long_enough.select("k1", "k2", "text"), spots, "inner", "spots").select("k1", "k2", "spots", "text")
     contexts = once.mapInArrow(_take_contexts_once, _CONTEXTS).repartition("g")
     sized = contexts.join(large, "g", "left")
     usual = sized.where("large IS NULL").drop("large").sortWithinPartitions("g").mapInArrow(_group_spans, _SPANS)
@@ -369,7 +370,7 @@ def remove_repeats(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("k2")
     )
     results = repeated_spans(keyed.select("k1", "k2", "text"), large_group)
-    joined = _with_texts(keyed, results, "left").select("doc_id", "text", "copies", "spans")
+    joined = _with_texts(keyed, results, "left", "spans").select("doc_id", "text", "copies", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
