@@ -49,8 +49,16 @@ ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 8, 2048, 16
 REMEMBERED = 500_000
 MAGIC = b"RPR1"
 
-#: Texts that can't be cut at every space: with a space at an end or next to white space, or with unusual white space.
-_UNEVEN = re.compile(r"[^\S \n]|\s |\A | \s| \Z")
+#: White space other than space and newline.
+_UNUSUAL = re.compile(r"[^\S \n]")
+_UNUSUAL_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def _even(text: str) -> bool:
+    """Whether each space of the text stands between two other characters than white space, and white space is else newlines only."""
+    if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
+        return False
+    return not (any(c in text for c in _UNUSUAL_ASCII) if text.isascii() else _UNUSUAL.search(text))
 
 
 def vocabulary_path() -> str:
@@ -74,27 +82,37 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # In the byte-level alphabet a token has a character for each of its bytes.
+        self.sizes = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.base)], np.int64)
         self._forget()
 
     def _forget(self) -> None:
+        #: Chunks after a space, without it, by their number. Piece k of ``values`` has the ids of number k.
         self.number: dict[str, int] = {}
         self.values, self.ends, self.used, self.count = np.empty(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0, 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[str]) -> None:
-        for at in range(0, len(keys), 10_000):
-            for key, ids in zip(keys[at : at + 10_000], self._encode(keys[at : at + 10_000])):
-                if self.used + len(ids) > len(self.values):
-                    self.values = np.concatenate([self.values, np.empty(max(len(self.values), len(ids)), np.uint32)])
-                if self.count + 2 > len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-                self.values[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.number[key] = self.count
-                self.count += 1
-                self.ends[self.count] = self.used
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks, many in one text with a space before each; the tokens' lengths in bytes tell them apart."""
+        for at in range(0, len(chunks), 5_000):
+            some = chunks[at : at + 5_000]
+            ids = np.array(self._encode([" " + " ".join(some)])[0], np.uint32)
+            reached = np.cumsum(self.sizes[ids])
+            ends = np.cumsum([len(c.encode()) + 1 for c in some])
+            cuts = np.searchsorted(reached, ends) + 1
+            if not (reached[cuts - 1] == ends).all():
+                raise RuntimeError("a token reaches over a space")
+            while self.used + len(ids) > len(self.values):
+                self.values = np.concatenate([self.values, np.empty_like(self.values)])
+            while self.count + len(some) + 1 > len(self.ends):
+                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.values[self.used : self.used + len(ids)] = ids
+            self.ends[self.count + 1 : self.count + 1 + len(some)] = self.used + cuts
+            self.number.update(zip(some, range(self.count, self.count + len(some))))
+            self.used += len(ids)
+            self.count += len(some)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has."""
@@ -112,30 +130,21 @@ class ChunkEncoder:
     def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > REMEMBERED:
             self._forget()
-        pieces: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
-        for k, text in enumerate(texts):
-            if not text or _UNEVEN.search(text):
-                whole.append(k)
-            else:
-                chunks = text.split(" ")
-                chunks[1:] = [" " + c for c in chunks[1:]]
-                pieces.append((k, chunks))
-        chunks = [c for _, own in pieces for c in own]
-        self._learn([c for c in set(chunks) if c not in self.number])
-        take = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
-        lengths = np.diff(self.ends[: self.count + 1])[take]
-        values = gather(self.values[: self.used], self.ends[: self.count + 1], take)
-        counts = np.zeros(len(texts), np.int64)
-        if not whole:
-            firsts = np.cumsum([0, *(len(own) for _, own in pieces)])
-            counts[:] = np.diff(np.concatenate(([0], np.cumsum(lengths)))[firsts])
-            return values, counts
-        cuts = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *(len(own) for _, own in pieces)])]
-        parts = {k: values[cuts[j] : cuts[j + 1]] for j, (k, _) in enumerate(pieces)}
-        parts |= {k: np.array(ids, np.uint32) for k, ids in zip(whole, self._encode([texts[k] or "" for k in whole]))}
-        ordered = [parts[k] for k in range(len(texts))]
-        return np.concatenate(ordered) if ordered else values, np.array([len(p) for p in ordered], np.int64)
+        even = [k for k, t in enumerate(texts) if _even(t)]
+        whole = sorted(set(range(len(texts))) - set(even))
+        cut = [texts[k].split(" ") for k in even]
+        rest = [c for chunks in cut for c in chunks[1:]]
+        self._learn([c for c in set(rest) if c not in self.number])
+        take = np.fromiter(map(self.number.__getitem__, rest), np.int64, len(rest))
+        ends = self.ends[: self.count + 1]
+        values = gather(self.values[: self.used], ends, take)
+        upto = np.concatenate(([0], np.cumsum(np.diff(ends)[take])))[np.cumsum([0, *(len(chunks) - 1 for chunks in cut)])]
+        # The first chunk of a text has no space before it, and so is encoded by itself.
+        firsts = self._encode([chunks[0] for chunks in cut])
+        parts = {k: (first, values[a:b]) for k, first, a, b in zip(even, firsts, upto.tolist(), upto[1:].tolist())}
+        parts |= {k: (ids, values[:0]) for k, ids in zip(whole, self._encode([texts[k] for k in whole]))}
+        ordered = [np.asarray(p, np.uint32) for k in range(len(texts)) for p in parts[k]]
+        return np.concatenate(ordered) if ordered else values, np.array([len(parts[k][0]) + len(parts[k][1]) for k in range(len(texts))], np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -143,23 +152,33 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent pairs as sorted codes, and the places at which one of them stands.
+def _bucket(code: np.ndarray) -> np.ndarray:
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+
+
+def _frequent(left: np.ndarray, right: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pairs as codes, the places at which one of them stands, and which one.
 
-    A first count in hash buckets leaves few places for the exact count.
+    A first count in hash buckets leaves few places for the exact count. Of
+    frequent pairs in one bucket, one is taken; the others' turn comes in a later round.
     """
     code = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-    bucket = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    bucket = _bucket(code)
     inside = (left != base) & (right != base)
     heavy = np.bincount(bucket[inside], minlength=1 << 20) >= LEAST_COUNT
     places = np.flatnonzero(heavy[bucket] & inside)
     pairs, counts = np.unique(code[places], return_counts=True)
     best = np.argsort(-counts, kind="stable")[:PAIRS_A_ROUND]
     chosen = np.sort(pairs[best[counts[best] >= LEAST_COUNT]])
-    if not len(chosen):
-        return chosen, places[:0]
-    at = np.minimum(np.searchsorted(chosen, code[places]), len(chosen) - 1)
-    return chosen, places[chosen[at] == code[places]]
+    _, first = np.unique(_bucket(chosen), return_index=True)
+    chosen = chosen[np.sort(first)]
+    which = np.full(1 << 20, -1, np.int32)
+    which[_bucket(chosen)] = np.arange(len(chosen))
+    which = which[bucket[places]]
+    hit = which >= 0
+    places, which = places[hit], which[hit]
+    same = chosen[which] == code[places]
+    return chosen, places[same], which[same]
 
 
 def compress(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,22 +186,23 @@ def compress(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 
     A round takes all frequent pairs together; where occurrences overlap, every other one from the left is replaced.
     """
-    seq, rules = symbols.astype(np.uint32), []
+    seq, rules, known = symbols.astype(np.uint32), [], 0
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        chosen, places = _frequent(seq[:-1], seq[1:], base)
+        chosen, places, which = _frequent(seq[:-1], seq[1:], base)
         if not len(places):
             break
         run_start = np.concatenate(([True], np.diff(places) > 1))
         first = places[np.flatnonzero(run_start)[np.cumsum(run_start) - 1]]
-        places = places[(places - first) % 2 == 0]
-        code = seq[places].astype(np.uint64) << np.uint64(32) | seq[places + 1].astype(np.uint64)
-        seq[places] = base + 1 + sum(len(r) for r in rules) + np.searchsorted(chosen, code)
+        taken = (places - first) % 2 == 0
+        places = places[taken]
+        seq[places] = base + 1 + known + which[taken]
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq = seq[keep]
         rules.append(np.column_stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
+        known += len(chosen)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
