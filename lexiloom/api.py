@@ -54,6 +54,14 @@ class Engine:
     def build_query(self, fields: str, text: str, analyzer: str = "whitespace") -> dict:
         return {"query": q.query_json(self.clauses(text), [f.strip() for f in fields.split(",")], analyzer)}
 
+    def explain(self, text: str) -> dict:
+        """The words that a search for ``text`` asks for, as a tree of AND and OR."""
+        return q.explain(self.clauses(text))
+
+    def total(self, postings: DataFrame, fields: str, text: str) -> int:
+        """How many rows hold all of ``text``'s terms."""
+        return s.total(s.matches(postings, self.clauses(text), q.parse_fields(fields))).first()["total"]
+
     def index(self, df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
         """Postings of the analysed fields, with parts at their term's position."""
         tokens = a.analyzer(self.spark, self.dictionaries, INDEX)
@@ -117,6 +125,20 @@ def compile_dictionaries(source: DataFrame, log: DataFrame, types: str | None, a
     return built, d.upsert_log(log, counts.withColumn("applied_time", F.lit(applied_time)))
 
 
+def dict_info(source: DataFrame, log: DataFrame) -> DataFrame:
+    """Each configured dictionary with its number of rows and when it was last applied."""
+    return d.dictionary_info(source, log)
+
+
+def dict_find(source: DataFrame, word: str, system: DataFrame | None = None) -> DataFrame:
+    """(type, keyword, value, tag, prob): the system words and the source rows that have ``word``."""
+    rows = d.find_word(source, word).select("type", "keyword", "value")
+    if system is None:
+        return rows.select("*", F.lit(None).cast("string").alias("tag"), F.lit(None).cast("double").alias("prob"))
+    words = system.where(F.col("word") == word).select(F.lit("SYSTEM").alias("type"), F.col("word").alias("keyword"), "tag", "prob")
+    return words.unionByName(rows, allowMissingColumns=True).select("type", "keyword", "value", "tag", "prob")
+
+
 def save_dictionaries(built: dict[str, DataFrame], path: str) -> None:
     for name, table in built.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -63,6 +63,7 @@ def test_search_page(engine, spark):
     assert engine.search(table, postings, "id", "name", "LG 노트북", start=1, size=1).first()._rownum == 1
     built = engine.build_query("name", "LG")["query"]
     assert built["bool"]["must"][0]["bool"]["should"][1]["multi_match"]["query"] == "엘지"
+    assert engine.explain("LG 노트북") == {"AND": [{"OR": ["LG", "엘지"]}, "노트북"]} and engine.total(postings, "name", "LG 노트북") == 3
 
 
 def test_user_queries(spark):
@@ -88,6 +89,11 @@ def test_dictionaries(source, spark, tmp_path):
     again = {name: api.read_dictionary(spark, str(tmp_path / "d"), name) for name in built}
     rows = {(r.type, r.keyword, r.value) for r in api.restore_dictionaries(again).collect()}
     assert ("SYNONYM", None, "LG,엘지") in rows and ("SPACE", "립 스테이크", None) in rows and ("COMPOUND", "테니스화", "테니스,신발") in rows
+    info = {r.name: r for r in api.dict_info(source, log).collect()}
+    assert len(info) == 12 and info["STOP"]["count"] == 1 and info["STOP"].applied_time == "2024-05-06 07:08:09" and info["USER"].kind == "SET"
+    system = spark.createDataFrame([("LG", "N", -5.0)], "word string, tag string, prob double")
+    assert {(r.type, r.prob) for r in api.dict_find(source, "LG", system).collect()} == {("SYSTEM", -5.0), ("SYNONYM", None), ("MAKER", None)}
+    assert api.dict_find(source, "판매").first().type == "STOP"
     some, _ = api.compile_dictionaries(source, log, "stop, unit", "2024-05-06 07:08:09")
     assert set(some) == {"stop", "unit"}
     lines = spark.createDataFrame([("가", "/x/01.N.HIGH.txt"), ("#c", "/x/01.N.HIGH.txt"), ("나", "/x/02.V.ODD.txt")], "value string, path string")
