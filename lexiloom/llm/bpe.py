@@ -27,7 +27,7 @@ from .packing import gather, pack_ints, pack_strings, unpack_ints, unpack_string
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of text that make a block; a longer text is a block by itself.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 6_000_000
 
 
 def vocabulary_path() -> str:
