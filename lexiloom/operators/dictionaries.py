@@ -175,8 +175,8 @@ def mutual_cliques(built: DataFrame) -> DataFrame:
     keys = built.select("key")
     each = built.select("key", F.explode("values").alias("value")).join(keys.select(F.col("key").alias("value")), "value", "left_semi")
     named = each.where("key <> value").groupBy(F.col("value").alias("key")).agg(F.countDistinct("key").alias("times"))
-    others = keys.agg((F.count("*") - 1).alias("others"))
-    kept = named.join(F.broadcast(others)).where("times = others").select("key")  # ``others`` is one row
+    others = keys.agg((F.count("*") - 1).alias("times"))
+    kept = named.join(F.broadcast(others), "times").select("key")  # ``others`` is one row
     values = each.join(kept, "key", "left_semi").join(kept.select(F.col("key").alias("value")), "value", "left_semi")
     return values.groupBy("key").agg(F.array_sort(F.collect_set("value")).alias("values"))
 

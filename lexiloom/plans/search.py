@@ -58,10 +58,10 @@ def matches(postings_: DataFrame, asked: list[Clause], boosts: dict[str, float]
 def bm25(postings_: DataFrame, words: list[str], n_docs: int | None = None) -> DataFrame:
     """(doc, score): Okapi BM25 of all documents with one of the words, over all their fields together."""
     length = postings_.groupBy("doc").agg(F.count("*").alias("dl"))
-    whole = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    whole = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("one", F.lit(1))
     tf = postings_.where(F.col("term").isin(words)).groupBy("doc", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    joined = tf.join(F.broadcast(df), "term").join(length, "doc").join(F.broadcast(whole))  # at most a row for each word, and one row
+    joined = tf.join(F.broadcast(df), "term").join(length, "doc").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # at most a row for each word, and one row
     n = F.lit(n_docs) if n_docs is not None else F.col("n")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
