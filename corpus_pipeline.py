@@ -16,6 +16,9 @@ from lexiloom.llm.lines import dedup_lines
 from lexiloom.llm.quality import keep_good
 from lexiloom.llm.simhash import near_dedup
 
+#: Words of a shingle and least percent of similarity in the near-dedup stage.
+NEAR = (5, 80)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or leave their language's perplexity band go."""
@@ -31,8 +34,8 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return near_dedup(docs)
+    """One document of each near-duplicate group stays: within three bits, or with 80 % of all five-word shingles in common."""
+    return near_dedup(docs, similar=NEAR)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

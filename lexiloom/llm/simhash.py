@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import plain_columns, read_table, stage
 from .components import connected_components
+from .similar import similar_links, with_nodes
 
 SEED = 42
 MAX_BITS = 3
@@ -54,15 +55,15 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs``."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 3, keep_text: bool = False) -> DataFrame:
+    """(doc_id, fp) for each row of ``docs``, and its text if wanted."""
 
     @F.pandas_udf("long")
     def simhash(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([fingerprint(t, words_per_shingle) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", simhash("text").alias("fp"))
+    return docs.select("doc_id", simhash("text").alias("fp"), *(["text"] if keep_text else []))
 
 
 def _keys() -> F.Column:
@@ -90,17 +91,23 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     return a.join(b, near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = MAX_BITS, similar: tuple[int, int] | None = None) -> DataFrame:
     """One row (doc_id, fp, component_id) for each row of ``docs(doc_id, text)``.
 
+    With ``similar``, (words, percent), texts whose sets of shingles of so many
+    words have that Jaccard similarity or more are linked too, however far their fingerprints are.
+
     Equal fingerprints are one node, so copies are never paired. Rows without
     words share fingerprint 0 and are linked like any other. ``component_id``
     is the least id that can be reached; null ids count only where a component
     has no other. Repeated rows each get their row; an empty table gives none.
     """
-    prints = stage(fingerprints(plain_columns(docs, "doc_id", "text"), words_per_shingle))
+    plain = plain_columns(docs, "doc_id", "text")
+    prints = fingerprints(plain, words_per_shingle, keep_text=similar is not None)
+    prints = stage(with_nodes(prints) if similar else prints)
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(fingerprint_links(distinct, max_bits))
+    links = fingerprint_links(distinct, max_bits)
+    roots = connected_components(similar_links(prints, links, *similar) if similar else links)
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stage(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -109,12 +116,12 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 3, max_bits:
     return salted.join(answer, ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+def near_dedup(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = MAX_BITS, similar: tuple[int, int] | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its near-duplicate group; every column stays.
 
     Rows with a null id, and rows that repeat the id that stays, stay as well.
     """
-    groups = near_duplicate_groups(docs, words_per_shingle, max_bits)
+    groups = near_duplicate_groups(docs, words_per_shingle, max_bits, similar)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 

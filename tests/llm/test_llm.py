@@ -110,6 +110,46 @@ def test_simhash_edges(odd_docs, no_docs):
     assert simhash.fingerprint("É x y") != simhash.fingerprint("é x y")
 
 
+def similar_by_brute_force(texts, words=5, percent=80):
+    """Pairs of different texts by the sets of their words' shingles."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+    both = lambda a, b: len(a & b)
+    return {(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and 100 * both(sets[i], sets[j]) >= percent * (len(sets[i]) + len(sets[j]) - both(sets[i], sets[j]))}
+
+
+@pytest.mark.parametrize("often", [4, 1])
+def test_near_dedup_reaches_similarity(spark, monkeypatch, often):
+    from lexiloom.llm import similar
+
+    monkeypatch.setattr(similar, "OFTEN", often)
+    monkeypatch.setattr(similar, "SAMPLED", 2)
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(400))
+    made = ["", "a", "a b c d", "A  b c d"]
+    for size in (8, 20, 60, 200):
+        for _ in range(3):
+            base = [word() for _ in range(size)]
+            for edits in (0, 1, 1, 2, 3, 4, 4):
+                own = base[:]
+                for _ in range(edits * size // 60 + (edits > 2)):
+                    own[rng.randrange(size)] = word()
+                made.append(" ".join(own))
+    prints = [simhash.fingerprint(t) & (2**64 - 1) for t in made]
+    near = {(i, j) for i in range(len(made)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    want = similar_by_brute_force(made)
+    assert len(want - near) > 5
+    root = list(range(len(made)))
+    for _ in root:
+        for i, j in want | near:
+            root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    groups = by_id(simhash.near_duplicate_groups(df, similar=(5, 80)))
+    assert [groups[k].component_id for k in range(len(made))] == root
+
+
 # -- 2 -----------------------------------------------------------------------
 
 
