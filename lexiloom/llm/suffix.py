@@ -260,30 +260,30 @@ def _group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(out)
 
 
-_WINDOWS = "k1 long, k2 long, pos int, lag int, a long, b long"
+_WINDOWS = "g long, k1 long, k2 long, pos int, lag int, a long, b long"
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each context, the hashes of all its windows of ``LENGTH`` bytes; ``lag`` is the gram's place in the window."""
     for batch in batches:
-        for _, k1, k2, pos, _, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+        for g, k1, k2, pos, _, left, right in zip(*(c.to_pylist() for c in batch.columns)):
             whole = left[::-1] + right
             rows = []
             for lag in range(max(0, SIDE - len(right)), len(left) + 1):
                 own = whole[len(left) - lag : len(left) - lag + SIDE]
                 both = xxhash.xxh3_128_intdigest(lag.to_bytes(2, "little") + own)
-                rows.append((k1, k2, pos, lag, _signed(both >> 64), _signed(both & (1 << 64) - 1)))
+                rows.append((g, k1, k2, pos, lag, _signed(both >> 64), _signed(both & (1 << 64) - 1)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["k1", "k2", "pos", "lag", "a", "b"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["g", "k1", "k2", "pos", "lag", "a", "b"])
 
 
 def _large_group_spans(contexts: DataFrame) -> DataFrame:
     """The same spans for grams with very many contexts: windows are counted by hash, linear in the contexts."""
-    windows = contexts.mapInArrow(_window_hashes, _WINDOWS).withColumn("g", F.lit(0))
-    repeated = windows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    windows = contexts.mapInArrow(_window_hashes, _WINDOWS)
+    repeated = windows.groupBy("g", "a", "b").agg(F.count("*").alias("n")).where("n > 1").select("g", "a", "b")
     spread = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    hit = windows.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.lit(16)).cast("int")).join(spread, ["a", "b", "salt"])
+    hit = windows.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.lit(16)).cast("int")).join(spread, ["g", "a", "b", "salt"])
     return hit.groupBy("k1", "k2", "pos").agg(F.min("lag").alias("near"), F.max("lag").alias("far")).selectExpr("k1", "k2", "CAST(pos - far AS INT) AS start", f"CAST(pos - near + {LENGTH} AS INT) AS stop")
 
 

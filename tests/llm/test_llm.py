@@ -303,6 +303,18 @@ def test_repeats_like_brute_force(spark, large_group):
     assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].sha) for k in range(len(rows))] == want
 
 
+def test_large_grams_are_not_taken_for_each_other(spark):
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    near, other = word(suffix.SIDE), [word(suffix.SIDE) for _ in range(8)]
+    # Two grams of equal surroundings on the right, each in several contexts, none of them a repeat.
+    rows = [(g, k, 0, 500, False, other[g * 4 + k] if k else b"", near if not k else word(suffix.SIDE)) for g in (0, 1) for k in range(4)]
+    contexts = spark.createDataFrame(rows, suffix._CONTEXTS)
+    assert suffix._large_group_spans(contexts).count() == 0
+    again = spark.createDataFrame([*rows, (1, 9, 0, 500, False, b"", near)], suffix._CONTEXTS)
+    assert sorted((r.k1, r.start, r.stop) for r in suffix._large_group_spans(again).collect()) == [(0, 500, 900), (9, 500, 900)]
+
+
 def test_repeats_edges(odd_docs, no_docs):
     assert suffix.remove_repeats(odd_docs).count() == odd_docs.count()
     assert suffix.remove_repeats(no_docs).count() == 0
