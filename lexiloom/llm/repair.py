@@ -72,7 +72,8 @@ class ChunkEncoder:
 
     The pre-tokeniser always cuts before a single space between two
     non-spaces, so texts that have no other kind of space are cut there, and
-    each chunk is encoded once. Other texts are given to the library whole.
+    each chunk is encoded once. Other texts, and those with one of the file's
+    added tokens, are given to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -80,7 +81,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens are found before the pre-tokeniser runs, so a text that may hold one is never cut.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # In the byte-level alphabet a token has a character for each of its bytes.
         self.sizes = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.base)], np.int64)
@@ -130,7 +132,7 @@ class ChunkEncoder:
     def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > REMEMBERED:
             self._forget()
-        even = [k for k, t in enumerate(texts) if _even(t)]
+        even = [k for k, t in enumerate(texts) if _even(t) and not any(mark in t for mark in self.added)]
         whole = sorted(set(range(len(texts))) - set(even))
         cut = [texts[k].split(" ") for k in even]
         rest = [c for chunks in cut for c in chunks[1:]]

@@ -357,6 +357,17 @@ def test_token_files(spark, small, texts, odd_docs, no_docs):
     assert repair.read_token_files(spark, path, no_docs.schema["doc_id"].dataType).count() == 0
 
 
+def test_added_tokens_like_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(repair.vocabulary_path())
+    made = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a b c", " <|endoftext|>  b", "the <|endoftext|", "|> the cat"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in made]
+    assert 50256 in want[0]
+    values, counts = repair.ChunkEncoder(repair.vocabulary_path()).encode(made)
+    assert counts.tolist() == [len(w) for w in want] and values.tolist() == [x for w in want for x in w]
+
+
 def test_chunks_and_random_access():
     import pyarrow as pa
 
