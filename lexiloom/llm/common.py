@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder that driver and executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``; only where it
-    is unset (tests, a local session) is a temporary one made.
+    is unset and the session is a local one (tests) is a temporary one made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = option.get() if option.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -42,9 +47,26 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """A key that tells repeated ids with different texts apart."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def row_key(*columns: str) -> F.Column:
+    """128 bits that tell rows apart by ``columns``; nulls differ from all values."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+
+
+#: Up to so many rows of a few numbers are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, broadcast where it is joined if it has no more than ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def release_memory() -> None:
+    """Give what this worker no longer uses back to the system; idle workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def plain_columns(df: DataFrame, *names: str) -> DataFrame:

@@ -19,16 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_columns, read_table, stage
+from .common import few, plain_columns, read_table, row_key, stage
 from .components import connected_components
-from .similar import similar_links, with_nodes
+from .similar import similar_links, with_prefixes
 
 SEED = 42
 MAX_BITS = 3
 #: Shingles hashed and counted at once, which bounds the memory for a very long text.
 SHINGLES_AT_ONCE = 1 << 16
-#: Copies of each fingerprint's answer, so that one text in a third of all rows is spread out.
-SALTS = 16
+#: Copies of the answer for a fingerprint of more than so many rows, so that one text in a third of all rows is spread out.
+HOT, SALTS = 1000, 16
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -55,15 +55,15 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 3, keep_text: bool = False) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs``, and its text if wanted."""
+def fingerprint_of(text: str, words_per_shingle: int = 3) -> F.Column:
+    """The fingerprint of a column of texts."""
 
     @F.pandas_udf("long")
     def simhash(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([fingerprint(t, words_per_shingle) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", simhash("text").alias("fp"), *(["text"] if keep_text else []))
+    return simhash(text)
 
 
 def _keys() -> F.Column:
@@ -102,28 +102,45 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 3, max_bits:
     is the least id that can be reached; null ids count only where a component
     has no other. Repeated rows each get their row; an empty table gives none.
     """
+    return _groups(docs, words_per_shingle, max_bits, similar).select("doc_id", "fp", "component_id")
+
+
+def _groups(docs: DataFrame, words_per_shingle: int, max_bits: int, similar: tuple[int, int] | None) -> DataFrame:
+    """The groups, with ``text_key`` for each row."""
     plain = plain_columns(docs, "doc_id", "text")
-    prints = fingerprints(plain, words_per_shingle, keep_text=similar is not None)
-    prints = stage(with_nodes(prints) if similar else prints)
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    own = [fingerprint_of("text", words_per_shingle).alias("fp"), row_key("text").alias("text_key")]
+    prints = with_prefixes(plain, *similar, *own) if similar else plain.select("doc_id", *own)
+    prints = stage(prints)
+    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     links = fingerprint_links(distinct, max_bits)
-    roots = connected_components(similar_links(prints, links, *similar) if similar else links)
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = connected_components(similar_links(plain, prints, links, *similar) if similar else links)
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     named = stage(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = named.join(least, "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(answer, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    # A fingerprint with many rows has its answer in several copies, which the rows are dealt to.
+    salts = F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    answer = named.join(least, "root").select("fp", "component_id", F.explode(salts).alias("salt"))
+    hot = few(named.where(F.col("n") > HOT).select("fp", F.lit(True).alias("hot")))
+    rows = prints.select("doc_id", "fp", "text_key").join(hot, "fp", "left")
+    salted = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    return salted.join(answer, ["fp", "salt"]).select("doc_id", "fp", "component_id", "text_key")
 
 
 def near_dedup(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = MAX_BITS, similar: tuple[int, int] | None = None) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its near-duplicate group; every column stays.
+    """One document of each near-duplicate group of ``docs``, with every column.
 
-    Rows with a null id, and rows that repeat the id that stays, stay as well.
+    It is the one of the least id; of several with that id, the one whose text has the least hash. Null ids
+    come last. Rows equal in id and text are one document, and stay or go together.
     """
-    groups = near_duplicate_groups(docs, words_per_shingle, max_bits, similar)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    document = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    groups = stage(_groups(docs, words_per_shingle, max_bits, similar).select("component_id", "fp", document.alias("own")))
+    # Groups without any id are told apart by fingerprint, as far as one goes.
+    by = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("only")]
+    kept = groups.groupBy(*by).agg(F.min("own").alias("kept"))
+    same = F.expr("g.component_id <=> k.component_id AND IF(g.component_id IS NULL, g.fp, NULL) <=> k.only")
+    gone = groups.alias("g").join(kept.alias("k"), same).where("own <> kept").select("own.doc_id", "own.text_key").distinct()
+    gone = few(stage(gone.withColumnsRenamed({"doc_id": "__gone", "text_key": "__key"})))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (row_key("text") == F.col("__key")), "left_anti")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

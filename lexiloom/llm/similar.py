@@ -4,7 +4,8 @@ If two sets have a Jaccard similarity of at least ``t``, then in any fixed
 order of all shingles the first ``n - ceil(t n) + 1`` of each, its prefix, have one in common.
 The order puts shingles that a sample shows often last, then goes by hash, so what
 the sample shows changes the work and never the result. Texts that
-share a shingle of their prefixes are candidates; their whole sets are compared.
+share a shingle of their prefixes are candidates. What they share in the prefixes bounds what they can
+share in all, and so do parity bitmaps of the sets; the sets of the pairs that are left are compared whole.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chat import _salted_join
-from .common import stage
+from .common import few, stage
 from .components import connected_components
 
 SEED = 43
 #: One text in so many is sampled for frequent shingles; those in so many sampled texts, up to a number of them, come last.
 SAMPLED, OFTEN, MOST_OFTEN = 16, 4, 100_000
-#: Up to so many rows of one or two numbers are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bits of a set's parity bitmap.
+BITMAP = 1024
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -47,58 +48,93 @@ def shingle_set(text: str | None, words_per_shingle: int) -> np.ndarray:
 
 def _ceil(n, percent: int):
     """The least whole number that is ``percent`` of ``n`` or more."""
+    if isinstance(n, F.Column):
+        return F.floor((n * percent + 99) / 100)
     return -(-n * percent // 100)
 
 
-def _prefixes(texts: DataFrame, words: int, percent: int, often: np.ndarray) -> DataFrame:
-    """(fp, node, size, keys): the prefix of each text's set."""
-    shared = texts.sparkSession.sparkContext.broadcast(often)
+def _often(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of the shingles that many texts of a sample hold."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in parts:
+            yield pd.Series([shingle_set(t, words) for t in some], dtype=object)
+
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select(F.explode(shingles("text")).alias("key"))
+    counted = sample.groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {OFTEN}")
+    rows = counted.orderBy(F.desc("n"), "key").limit(MOST_OFTEN).select("key").toPandas()
+    return np.sort(rows["key"].to_numpy(np.int64))
 
-    @F.pandas_udf("struct<size: int, keys: array<long>>")
+
+def _bitmap(own: np.ndarray) -> np.ndarray:
+    """For each bit, whether an odd number of the hashes fall on it. Two bitmaps differ in no more bits than the sets in members."""
+    return np.packbits(np.bincount(own & (BITMAP - 1), minlength=BITMAP).astype(np.uint8) & 1).view(np.int64)
+
+
+def with_prefixes(docs: DataFrame, words: int, percent: int, *others: F.Column) -> DataFrame:
+    """For each row of ``docs(doc_id, text)``: its id, the columns ``others``, and what is needed to find similar ones.
+
+    That is: node (hash of the text's words), row (a number for each row once the result is staged), size of the shingle set,
+    of (size, last key of the prefix, and whether that is an often seen one, which come late), keys (the prefix), bitmap.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_often(docs, words))
+
+    @F.pandas_udf("struct<node: long, of: struct<size: int, late: boolean, last: long>, keys: array<long>, bitmap: array<long>>")
     def prefix(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for some in parts:
-            sizes, keys = [], []
+            out = []
             for text in some:
                 own = shingle_set(text, words)
                 known = np.isin(own, shared.value, assume_unique=True)
                 ordered = np.concatenate((own[~known], own[known]))
-                sizes.append(len(own))
-                keys.append(ordered[: len(own) - _ceil(len(own), percent) + 1])
-            yield pd.DataFrame({"size": sizes, "keys": keys})
-
-    return texts.withColumn("p", prefix("text")).select("fp", "node", "p.size", "p.keys")
-
-
-def _few(df: DataFrame) -> DataFrame:
-    """``df``, broadcast where it is joined if it has no more than ``BROADCAST_ROWS`` rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+                to = len(own) - _ceil(len(own), percent) + 1 if len(own) else 0
+                of = {"size": len(own), "late": to > int((~known).sum()), "last": int(ordered[to - 1]) if to else 0}
+                out.append((_node(text), of, ordered[:to], _bitmap(own)))
+            yield pd.DataFrame(out, columns=["node", "of", "keys", "bitmap"])
 
+    found = docs.select("doc_id", *others, prefix("text").alias("__p"))
+    return found.select("*", "__p.*", F.monotonically_increasing_id().alias("row")).drop("__p")
 
-def _often(texts: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of the shingles that many texts of a sample hold."""
 
-    @F.pandas_udf("array<long>")
-    def shingles(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in parts:
-            yield pd.Series([shingle_set(t, words) for t in some], dtype=object)
+def _node(text: str | None) -> int:
+    number = xxhash.xxh64_intdigest(b" ".join(normal_words(text)), SEED)
+    return number - (1 << 64) if number >> 63 else number
 
-    sample = texts.where(F.pmod("node", F.lit(SAMPLED)) == 0).select(F.explode(shingles("text")).alias("key"))
-    counted = sample.groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {OFTEN}")
-    rows = counted.orderBy(F.desc("n"), "key").limit(MOST_OFTEN).select("key").toPandas()
-    return np.sort(rows["key"].to_numpy(np.int64))
 
+def _possible(met: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of ``met(key, a, b, x, y)`` that may be similar enough by their sizes, the keys they are met with, and their bitmaps.
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    Up to the smaller one of the two prefixes' last keys, all that both sets hold is met; beyond it there is
+    no more than the rest of that set.
+    """
+    sized = met.where(f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size)")
+    pairs = sized.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("x").alias("x"), F.first("y").alias("y"))
+    both = F.col("x.size") + F.col("y.size")
+    ends = F.expr("IF(struct(x.late, x.last) <= struct(y.late, y.last), x.size, y.size)")
+    pairs = pairs.where((100 + percent) * (F.col("n") + _ceil(ends, percent) - 1) >= percent * both).select("a", "b", both.alias("both"))
+    p, q = (bitmaps.select(F.col("node").alias(own), F.col("bitmap").alias(name)) for own, name in (("a", "p"), ("b", "q")))
+    held = _salted_join(_salted_join(stage(pairs), p, "a", "b"), q, "b", "a")
+    differ = F.expr("aggregate(zip_with(p, q, (l, r) -> bit_count(l ^ r)), 0, (s, n) -> s + n)")
+    return stage(held.where((100 + percent) * differ <= (100 - percent) * F.col("both")).select("a", "b"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(u, v): the fingerprints of those ``pairs(a, b)`` of nodes whose sets are similar enough."""
 
-    @F.pandas_udf("array<long>")
-    def shingles(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<node: long, own: array<long>>")
+    def shingles(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for some in parts:
-            yield pd.Series([shingle_set(t, words) for t in some], dtype=object)
-
-    pairs = stage(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stage(texts.join(_few(stage(wanted)), "node", "left_semi").select("node", "fp", shingles("text").alias("own")))
+            yield pd.DataFrame([(_node(t), shingle_set(t, words)) for t in some], columns=["node", "own"])
+
+    either = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stage(nodes.select("node", "fp", "doc_id").join(few(stage(either)), "node", "left_semi"))
+    ids = few(wanted.select(F.col("doc_id").alias("id")).distinct())
+    # Not deterministic, or Spark would test the result for null on all texts, before the join.
+    own = shingles.asNondeterministic()("text").alias("s")
+    found = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select(own).select("s.*")
+    # An id may have other texts, and rows may be repeated.
+    sets = stage(found.groupBy("node").agg(F.first("own").alias("own")).join(wanted.select("node", "fp"), "node"))
     left = sets.select(F.col("node").alias("a"), F.col("fp").alias("u"), F.col("own").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("fp").alias("v"), F.col("own").alias("y"))
     held = _salted_join(_salted_join(pairs, left, "a", "b"), right, "b", "a")
@@ -107,41 +143,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return held.where(similar).select("u", "v")
 
 
-def with_nodes(docs: DataFrame) -> DataFrame:
-    """``docs(text)`` with ``node``, a hash of the text's words, and ``row``, a number for each row once it is staged."""
-
-    @F.pandas_udf("long")
-    def node(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in parts:
-            yield pd.Series([xxhash.xxh64_intdigest(b" ".join(normal_words(t)), SEED) for t in some], dtype="uint64").astype("int64")
+def similar_links(docs: DataFrame, marked: DataFrame, links: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Links (u, v) that join, together with ``links``, all rows whose shingle sets are that similar.
 
-    return docs.select("*", node("text").alias("node"), F.monotonically_increasing_id().alias("row"))
-
-
-def similar_links(numbered: DataFrame, links: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Links (u, v) that join, together with ``links``, all rows of ``numbered(fp, text, node, row)`` whose shingle sets are that similar.
-
-    ``fp`` must depend on the text's words only. First the texts of each key are compared with one of them; then,
-    of the texts that this leaves in different components, every pair. So a large group of near copies is not paired throughout.
+    ``marked(doc_id, fp, ...)`` has the columns of ``with_prefixes`` and ``docs(doc_id, text)`` the texts.
+    ``fp`` must depend on the text's words only. First the texts of each key are compared with one of them, where
+    the keys that led to it show that they may be similar; then, of the texts that this leaves in different
+    components, every pair that may be. So a large group of near copies is not paired throughout.
     """
-
-    # One row of each text; the rows that go are told by number, so that texts are not moved.
-    copied = stage(numbered.groupBy("node").agg(F.min("row").alias("kept"), F.count("*").alias("n")).where("n > 1").select("node", "kept"))
-    texts = numbered.join(_few(copied), "node", "left").where("kept IS NULL OR kept = row").select("node", "fp", "text")
-    prefixes = stage(_prefixes(texts, words, percent, _often(texts, words)))
-    exploded = prefixes.select("fp", "node", "size", F.explode("keys").alias("key"))
+    # One row of each text.
+    copied = stage(marked.groupBy("node").agg(F.min("row").alias("kept"), F.count("*").alias("n")).where("n > 1").select("node", "kept"))
+    nodes = marked.join(few(copied), "node", "left").where("kept IS NULL OR kept = row").drop("kept", "row")
+    bitmaps = nodes.select("node", "bitmap")
+    exploded = nodes.select("node", "of", F.explode("keys").alias("key"))
     twice = stage(exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    met = stage(exploded.join(_few(twice), "key"))
-    shared = met.groupBy("key").agg(F.min(F.struct("size", "node")).alias("m"))
-    centred = met.join(shared.select("key", F.col("m.node").alias("centre"), F.col("m.size").alias("least")), "key")
-    near = centred.where(f"node <> centre AND 100 * least >= {percent} * size").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    first = stage(_verified(near, texts, words, percent).unionByName(links.select("u", "v")))
-    roots = connected_components(first)
-    placed = met.join(roots, met.fp == roots.node, "left").select("key", met.node, "size", F.coalesce("root", "fp").alias("root"))
-    placed = stage(placed)
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_rows = stage(placed.join(mixed, "key", "left_semi"))
-    a, b = open_rows.alias("a"), open_rows.alias("b")
-    fits = F.expr(f"a.key = b.key AND a.root < b.root AND 100 * least(a.size, b.size) >= {percent} * greatest(a.size, b.size)")
-    rest = a.join(b, fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    return first.unionByName(_verified(rest, texts, words, percent))
+    met = stage(exploded.join(few(twice), "key"))
+    least = met.groupBy("key").agg(F.min(F.struct("of.size", "node", "of")).alias("m"))
+    centred = met.join(least.select("key", F.col("m.node").alias("a"), F.col("m.of").alias("x")), "key").withColumnsRenamed({"node": "b", "of": "y"})
+    first = _verified(_possible(centred.where("a <> b"), bitmaps, percent), nodes, docs, words, percent)
+    first = stage(first.unionByName(links.select("u", "v")))
+    named = nodes.select("node", "fp").join(connected_components(first).withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    placed = stage(met.join(named, "node"))
+    # Keys whose texts are in more than one component, and for each the pairs of its components.
+    roots = placed.select("key", "root").distinct()
+    mixed = roots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    roots = stage(roots.join(mixed, "key", "left_semi"))
+    across = roots.alias("l").join(roots.alias("h"), F.expr("l.key = h.key AND l.root < h.root")).select("l.key", F.col("l.root").alias("low"), F.col("h.root").alias("high"))
+    left = placed.select("key", F.col("root").alias("low"), F.col("node").alias("a"), F.col("of").alias("x"))
+    right = placed.select("key", F.col("root").alias("high"), F.col("node").alias("b"), F.col("of").alias("y"))
+    rest = _possible(across.join(left, ["key", "low"]).join(right, ["key", "high"]), bitmaps, percent)
+    return first.unionByName(_verified(rest, nodes, docs, words, percent))
