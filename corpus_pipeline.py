@@ -18,6 +18,8 @@ from lexiloom.llm.simhash import near_dedup
 
 #: Words of a shingle and least percent of similarity in the near-dedup stage.
 NEAR = (5, 80)
+#: Characters of a block in the last stage, which shares its executors' memory with what the stages before left.
+BLOCK_CHARS = 2_000_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left, after a round trip through the ids."""
-    return token_digests(docs)
+    return token_digests(docs, block_chars=BLOCK_CHARS)
 
 
 STAGES = [

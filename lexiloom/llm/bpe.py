@@ -22,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import read_table, release_memory
 from .packing import gather, pack_ints, pack_strings, unpack_ints, unpack_strings
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of text that make a block; a longer text is a block by itself.
 BLOCK_CHARS = 6_000_000
+#: Words whose ids a task remembers; it forgets them all when there are more.
+REMEMBERED = 500_000
 
 
 def vocabulary_path() -> str:
@@ -60,6 +62,13 @@ _PACKED_ARROW = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("block",
 _WORDS, _ANSWER, _BLOCK = 0, 1, 2
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The packed rows, one at a time; a batch may hold those of many blocks."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield {name: column[k].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED_ARROW)], schema=_PACKED_ARROW)
 
@@ -91,7 +100,7 @@ def _pack_block(name: str, ids: pa.Array, number: dict[str, int], docs: list[np.
     return _rows([own_row] + [(s, _WORDS, name, s, None, None, pack_strings(own)) for s, own in sorted(by_shard.items())])
 
 
-def _explode(pattern: str, shards: int):
+def _explode(pattern: str, shards: int, block_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -105,11 +114,13 @@ def _explode(pattern: str, shards: int):
                 ids.append(batch.column(0).slice(k, 1))
                 docs.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
                 size += len(text)
-                if size >= BLOCK_CHARS:
+                if size >= block_chars:
                     yield _pack_block(f"{part}-{nth}", pa.concat_arrays(ids), number, docs, shards)
                     ids, docs, number, size, nth = [], [], {}, 0, nth + 1
         if ids:
             yield _pack_block(f"{part}-{nth}", pa.concat_arrays(ids), number, docs, shards)
+        del ids, docs, number
+        release_memory()
 
     return run
 
@@ -117,79 +128,84 @@ def _explode(pattern: str, shards: int):
 def _encode_words(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, known = _encoder(path, pattern), {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] != _WORDS:
-                    yield _rows([tuple(row.values())])
-                    continue
-                words = unpack_strings(row["body"])
-                for word in words:
-                    if word not in known:
-                        known[word] = encoder.encode_ordinary(word.decode())  # a pre-token alone is one match of the pattern
-                ids = [known[w] for w in words]
-                lengths = pack_ints([len(i) for i in ids])
-                body = len(lengths).to_bytes(8, "little") + lengths + pack_ints([x for i in ids for x in i])
-                yield _rows([(row["dest"], _ANSWER, row["block"], row["shard"], None, None, body)])
+        for row in _each(batches):
+            if row["kind"] != _WORDS:
+                yield _rows([tuple(row.values())])
+                continue
+            if len(known) > REMEMBERED:
+                known.clear()
+            words = unpack_strings(row["body"])
+            for word in words:
+                if word not in known:
+                    known[word] = encoder.encode_ordinary(word.decode())  # a pre-token alone is one match of the pattern
+            ids = [known[w] for w in words]
+            lengths = pack_ints([len(i) for i in ids])
+            body = len(lengths).to_bytes(8, "little") + lengths + pack_ints([x for i in ids for x in i])
+            yield _rows([(row["dest"], _ANSWER, row["block"], row["shard"], None, None, body)])
+        known.clear()
+        release_memory()
 
     return run
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, name = {}, None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["block"] != name:
-                held, name = {}, row["block"]
-            if row["kind"] == _ANSWER:
-                cut = 8 + int.from_bytes(row["body"][:8], "little")
-                held[row["shard"]] = (unpack_ints(row["body"][8:cut]), unpack_ints(row["body"][cut:]))
-                continue
-            often, cut = int.from_bytes(row["body"][:8], "little"), 16 + int.from_bytes(row["body"][8:16], "little")
-            # A shard's answers are in the order of its words in the block.
-            shard_of = unpack_ints(row["body"][16:cut])
-            once = len(shard_of) - often
-            answers = [(np.flatnonzero(shard_of == shard), *held[shard]) for shard in sorted(held)]
-            if any(len(spots) != len(own) for spots, own, _ in answers) or sum(len(spots) for spots, _, _ in answers) != len(shard_of):
-                raise RuntimeError(f"block {name} has not got all its words back")
-            lengths = np.zeros(often + once, np.int64)
-            for spots, own, _ in answers:
-                lengths[spots] = own
-            offsets = np.concatenate(([0], np.cumsum(lengths)))
-            values = np.empty(int(offsets[-1]), np.int32)
-            for spots, own, ids in answers:
-                ends = np.cumsum(own, dtype=np.int64)
-                values[np.arange(len(ids)) + np.repeat(offsets[spots] - (ends - own), own)] = ids
-            sequence = unpack_ints(row["body"][cut:]).astype(np.int64) - 1
-            rare = sequence < 0
-            sequence[rare] = often + np.arange(once)
-            per_doc = unpack_ints(row["counts"]).astype(np.int64)
-            doc_ends = np.concatenate(([0], np.cumsum(per_doc)))
-            token_ends = np.concatenate(([0], np.cumsum(lengths[sequence])))[doc_ends]
-            all_ids = pa.array(gather(values, offsets, sequence), pa.int32())
-            ids = pa.ipc.open_stream(row["docs"]).read_all().column(0).combine_chunks()
-            lists = pa.ListArray.from_arrays(pa.array(token_ends, pa.int32()), all_ids)
-            step = 500
-            for at in range(0, len(ids), step):
-                yield pa.RecordBatch.from_arrays([ids.slice(at, step), lists.slice(at, step)], ["doc_id", "ids"])
-            held = {}
-
-
-def _gathered(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    for row in _each(batches):
+        if row["block"] != name:
+            held, name = {}, row["block"]
+        if row["kind"] == _ANSWER:
+            cut = 8 + int.from_bytes(row["body"][:8], "little")
+            held[row["shard"]] = (unpack_ints(row["body"][8:cut]), unpack_ints(row["body"][cut:]))
+            continue
+        often, cut = int.from_bytes(row["body"][:8], "little"), 16 + int.from_bytes(row["body"][8:16], "little")
+        # A shard's answers are in the order of its words in the block.
+        shard_of = unpack_ints(row["body"][16:cut])
+        once = len(shard_of) - often
+        answers = [(np.flatnonzero(shard_of == shard), *held[shard]) for shard in sorted(held)]
+        if any(len(spots) != len(own) for spots, own, _ in answers) or sum(len(spots) for spots, _, _ in answers) != len(shard_of):
+            raise RuntimeError(f"block {name} has not got all its words back")
+        lengths = np.zeros(often + once, np.int64)
+        for spots, own, _ in answers:
+            lengths[spots] = own
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        values = np.empty(int(offsets[-1]), np.int32)
+        for spots, own, ids in answers:
+            ends = np.cumsum(own, dtype=np.int64)
+            values[np.arange(len(ids)) + np.repeat(offsets[spots] - (ends - own), own)] = ids
+        sequence = unpack_ints(row["body"][cut:]).astype(np.int64) - 1
+        rare = sequence < 0
+        sequence[rare] = often + np.arange(once)
+        per_doc = unpack_ints(row["counts"]).astype(np.int64)
+        doc_ends = np.concatenate(([0], np.cumsum(per_doc)))
+        token_ends = np.concatenate(([0], np.cumsum(lengths[sequence])))[doc_ends]
+        all_ids = pa.array(gather(values, offsets, sequence), pa.int32())
+        ids = pa.ipc.open_stream(row["docs"]).read_all().column(0).combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array(token_ends, pa.int32()), all_ids)
+        step = 500
+        for at in range(0, len(ids), step):
+            yield pa.RecordBatch.from_arrays([ids.slice(at, step), lists.slice(at, step)], ["doc_id", "ids"])
+        held = {}
+    held.clear()
+    release_memory()
+
+
+def _gathered(docs: DataFrame, path: str, pattern: str, block_chars: int) -> DataFrame:
     """Packed blocks, each after the answers for all its words."""
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select("doc_id", "text").mapInArrow(_explode(pattern, shards), _PACKED)
+    packed = docs.select("doc_id", "text").mapInArrow(_explode(pattern, shards, block_chars), _PACKED)
     answered = packed.repartition("dest").mapInArrow(_encode_words(path, pattern), _PACKED)
     return answered.repartition("block").sortWithinPartitions("block", "kind", "shard")
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, ids): the token ids of each row's whole ``text``.
 
     Null and empty texts have an empty list; no special token is looked for or
     added. Every row has its own, repeated ids included. ``vocabulary`` is a
-    rank file; ``pattern`` cuts the pre-tokens.
+    rank file; ``pattern`` cuts the pre-tokens. Smaller blocks take less memory and
+    move more.
     """
-    gathered = _gathered(docs, vocabulary or vocabulary_path(), pattern or default_pattern())
+    gathered = _gathered(docs, vocabulary or vocabulary_path(), pattern or default_pattern(), block_chars)
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return gathered.mapInArrow(_reassemble, schema)
@@ -253,13 +269,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def token_digests(docs: DataFrame) -> DataFrame:
+def token_digests(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) after a round trip through the ids.
 
     The same steps as ``bpe_encode`` and ``bpe_decode``, the last of them in one worker.
     """
     path = vocabulary_path()
-    gathered = _gathered(docs, path, default_pattern())
+    gathered = _gathered(docs, path, default_pattern(), block_chars)
     decode = _decoder(path, ["doc_id", "ids"])
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     return gathered.mapInArrow(lambda batches: _digests(decode(_reassemble(batches))), schema)
