@@ -27,6 +27,8 @@ SEED = 43
 SAMPLED, OFTEN, MOST_OFTEN = 16, 4, 100_000
 #: Bits of a set's parity bitmap.
 BITMAP = 1024
+#: From so many texts on, the texts of a key are compared with so many of them before any other pairs are made.
+CROWD, CENTRES = 8, 3
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -102,6 +104,11 @@ def _node(text: str | None) -> int:
     return number - (1 << 64) if number >> 63 else number
 
 
+def _differ(p: str, q: str) -> F.Column:
+    """In how many bits two bitmaps differ."""
+    return F.expr("+".join(f"bit_count({p}[{k}] ^ {q}[{k}])" for k in range(BITMAP // 64)))
+
+
 def _possible(met: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of ``met(key, a, b, x, y)`` that may be similar enough by their sizes, the keys they are met with, and their bitmaps.
 
@@ -115,8 +122,23 @@ def _possible(met: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.where((100 + percent) * (F.col("n") + _ceil(ends, percent) - 1) >= percent * both).select("a", "b", both.alias("both"))
     p, q = (bitmaps.select(F.col("node").alias(own), F.col("bitmap").alias(name)) for own, name in (("a", "p"), ("b", "q")))
     held = _salted_join(_salted_join(stage(pairs), p, "a", "b"), q, "b", "a")
-    differ = F.expr("aggregate(zip_with(p, q, (l, r) -> bit_count(l ^ r)), 0, (s, n) -> s + n)")
-    return stage(held.where((100 + percent) * differ <= (100 - percent) * F.col("both")).select("a", "b"))
+    return stage(held.where((100 + percent) * _differ("p", "q") <= (100 - percent) * F.col("both")).select("a", "b"))
+
+
+def _near_centres(met: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be similar by size and bitmap, of each key's texts with ``CENTRES`` of them, for keys that ``CROWD`` texts or more have.
+
+    Each key draws its own ones, so a text is compared with as many different ones as it has such keys.
+    """
+    crowded = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("key")
+    rows = met.join(few(stage(crowded)), "key", "left_semi").join(bitmaps, "node")
+    rows = stage(rows.select("key", F.struct("node", "of.size", "bitmap").alias("own")))
+    drawn = [F.min_by("own", F.xxhash64(F.lit(k), "own.node", "key")) for k in range(CENTRES)]
+    centres = rows.groupBy("key").agg(F.array(*drawn).alias("centres"))
+    pairs = rows.join(centres, "key").select("own", F.explode("centres").alias("centre")).where("centre.node <> own.node")
+    pairs = pairs.where(f"100 * least(own.size, centre.size) >= {percent} * greatest(own.size, centre.size)")
+    pairs = pairs.where((100 + percent) * _differ("own.bitmap", "centre.bitmap") <= (100 - percent) * F.expr("own.size + centre.size"))
+    return stage(pairs.select(F.least("own.node", "centre.node").alias("a"), F.greatest("own.node", "centre.node").alias("b")).distinct())
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -147,9 +169,9 @@ def similar_links(docs: DataFrame, marked: DataFrame, links: DataFrame, words: i
     """Links (u, v) that join, together with ``links``, all rows whose shingle sets are that similar.
 
     ``marked(doc_id, fp, ...)`` has the columns of ``with_prefixes`` and ``docs(doc_id, text)`` the texts.
-    ``fp`` must depend on the text's words only. First the texts of each key are compared with one of them, where
-    the keys that led to it show that they may be similar; then, of the texts that this leaves in different
-    components, every pair that may be. So a large group of near copies is not paired throughout.
+    ``fp`` must depend on the text's words only. First the texts of each key that many have are compared with a
+    few of them; then, of the texts that this leaves in different components, every pair that may be similar.
+    So a large group of near copies is not paired throughout.
     """
     # One row of each text.
     copied = stage(marked.groupBy("node").agg(F.min("row").alias("kept"), F.count("*").alias("n")).where("n > 1").select("node", "kept"))
@@ -158,9 +180,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, links: DataFrame, words: i
     exploded = nodes.select("node", "of", F.explode("keys").alias("key"))
     twice = stage(exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     met = stage(exploded.join(few(twice), "key"))
-    least = met.groupBy("key").agg(F.min(F.struct("of.size", "node", "of")).alias("m"))
-    centred = met.join(least.select("key", F.col("m.node").alias("a"), F.col("m.of").alias("x")), "key").withColumnsRenamed({"node": "b", "of": "y"})
-    first = _verified(_possible(centred.where("a <> b"), bitmaps, percent), nodes, docs, words, percent)
+    first = _verified(_near_centres(met, bitmaps, percent), nodes, docs, words, percent)
     first = stage(first.unionByName(links.select("u", "v")))
     named = nodes.select("node", "fp").join(connected_components(first).withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
     placed = stage(met.join(named, "node"))
