@@ -11,8 +11,6 @@ full distance is taken.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -59,9 +57,8 @@ def fingerprint_of(text: str, words_per_shingle: int = 3) -> F.Column:
     """The fingerprint of a column of texts."""
 
     @F.pandas_udf("long")
-    def simhash(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series([fingerprint(t, words_per_shingle) for t in texts], dtype="int64")
+    def simhash(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, words_per_shingle) for t in texts], dtype="int64")
 
     return simhash(text)
 

@@ -83,17 +83,16 @@ def with_prefixes(docs: DataFrame, words: int, percent: int, *others: F.Column)
     shared = docs.sparkSession.sparkContext.broadcast(_often(docs, words))
 
     @F.pandas_udf("struct<node: long, of: struct<size: int, late: boolean, last: long>, keys: array<long>, bitmap: array<long>>")
-    def prefix(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for some in parts:
-            out = []
-            for text in some:
-                own = shingle_set(text, words)
-                known = np.isin(own, shared.value, assume_unique=True)
-                ordered = np.concatenate((own[~known], own[known]))
-                to = len(own) - _ceil(len(own), percent) + 1 if len(own) else 0
-                of = {"size": len(own), "late": to > int((~known).sum()), "last": int(ordered[to - 1]) if to else 0}
-                out.append((_node(text), of, ordered[:to], _bitmap(own)))
-            yield pd.DataFrame(out, columns=["node", "of", "keys", "bitmap"])
+    def prefix(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            own = shingle_set(text, words)
+            known = np.isin(own, shared.value, assume_unique=True)
+            ordered = np.concatenate((own[~known], own[known]))
+            to = len(own) - _ceil(len(own), percent) + 1 if len(own) else 0
+            of = {"size": len(own), "late": to > int((~known).sum()), "last": int(ordered[to - 1]) if to else 0}
+            out.append((_node(text), of, ordered[:to], _bitmap(own)))
+        return pd.DataFrame(out, columns=["node", "of", "keys", "bitmap"])
 
     found = docs.select("doc_id", *others, prefix("text").alias("__p"))
     return found.select("*", "__p.*", F.monotonically_increasing_id().alias("row")).drop("__p")
