@@ -1,12 +1,15 @@
 """Repeats of 400 bytes or more, by sampled suffixes and common-prefix interval trees.
 
-Of every 400 consecutive bytes some 100-byte gram has the least hash; equal
+Of every 250 consecutive bytes some 50-byte gram has the least hash; equal
 strings pick the same gram at the same place. So all occurrences of a repeated
-400-byte string meet among the occurrences of that gram, which are suffixes
-with up to 300 bytes on either side. Those whose whole context is repeated are
+string of 250 bytes or more meet among the occurrences of that gram, which are suffixes
+with up to 350 bytes before them. Those whose whole context is repeated are
 settled by its hash. The others of a gram form an enhanced suffix array: a
 scan over common-prefix lengths gives the interval tree, and within each
 interval the common left extensions tell how far its occurrences repeat.
+
+Repeats of 400 bytes are removed. Those of 250 bytes, which a passage of fifty words
+has unless its words are very short, are only reported.
 """
 
 from __future__ import annotations
@@ -17,14 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain_columns, read_table, stage
+from .common import few, plain_columns, read_table, stage
 
-LENGTH, GRAM = 400, 100
-#: Bytes of context on either side of a gram; also one less than the grams in ``LENGTH`` bytes.
+#: Bytes of a repeat that is removed, of one that is reported, and of the grams that sample the suffixes.
+LENGTH, PASSAGE, GRAM = 400, 250, 50
+#: Bytes of context on either side of a gram.
 SIDE = LENGTH - GRAM
 #: Texts are searched for least grams in pieces of so many bytes, which bounds memory.
 PIECE = 1 << 20
@@ -73,11 +77,11 @@ def _least_of_windows(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(text: bytes) -> np.ndarray:
-    """The starts of the grams that have the least hash in some ``LENGTH`` bytes of the text, ties included."""
+    """The starts of the grams that have the least hash in some ``PASSAGE`` bytes of the text, ties included."""
     found = []
-    width = SIDE + 1
-    for at in range(0, max(len(text) - LENGTH + 1, 0), PIECE):
-        data = np.frombuffer(text, np.uint8, min(PIECE + LENGTH - 1, len(text) - at), at)
+    width = PASSAGE - GRAM + 1
+    for at in range(0, max(len(text) - PASSAGE + 1, 0), PIECE):
+        data = np.frombuffer(text, np.uint8, min(PIECE + PASSAGE - 1, len(text) - at), at)
         hashes = _gram_hashes(data)
         least = _least_of_windows(hashes, width)
         # A gram counts if some window that holds it has its hash as the least.
@@ -169,35 +173,55 @@ def prefix_intervals(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((length, start))
 
 
-def extents(lefts: list[bytes], rights: list[bytes], least: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
-    """How far left and right each occurrence of a gram belongs to repeats of ``least`` bytes besides the gram.
+class _RangeMinima:
+    """The least of any range of numbers, from those of all ranges whose length is a power of two."""
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        self.levels = [numbers]
+        while len(self.levels[-1]) > (half := 1 << len(self.levels) - 1):
+            last = self.levels[-1]
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def least(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), np.int64)
+        level = np.frexp(stops - starts)[1] - 1
+        for k in np.unique(level).tolist():
+            at = level == k
+            out[at] = np.minimum(self.levels[k][starts[at]], self.levels[k][stops[at] - (1 << k)])
+        return out
+
+
+def extents(lefts: list[bytes], rights: list[bytes], least: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """How far left and right each occurrence of a gram belongs to repeats, for each length in ``least``, which count without the gram.
 
     ``lefts`` are reversed. An occurrence i has a repeat with j if their
-    common extensions left and right add up to ``least``; the largest left and
+    common extensions left and right add up to the length; the largest left and
     right extension over all such j are returned, -1 where there is none. For
     each interval of the tree (right extension) only neighbours by left
-    extension have to be compared: they have the largest. Intervals that are not
-    left-diverse, where all left contexts are equal, hold one string only, and all of it repeats.
+    extension have to be compared: they have the largest.
     """
     n = len(rights)
-    left, right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    order = sorted(range(n), key=rights.__getitem__)
+    found = [(np.full(n, -1, np.int64), np.full(n, -1, np.int64)) for _ in least]
+    order = np.array(sorted(range(n), key=rights.__getitem__), np.int64)
+    sorted_left = np.array(sorted(range(n), key=lefts.__getitem__), np.int64)
     by_left = np.empty(n, np.int64)
-    sorted_left = sorted(range(n), key=lefts.__getitem__)
     by_left[sorted_left] = np.arange(n)
-    between = _prefix_lengths([lefts[k] for k in sorted_left])
-    order = np.array(order, np.int64)
+    between = _prefix_lengths([lefts[k] for k in sorted_left.tolist()])
+    minima, longest = _RangeMinima(between), int(between.max())
     for length, first, last in prefix_intervals(_prefix_lengths([rights[k] for k in order.tolist()])):
+        if length + longest < min(least):
+            continue
         ranks = np.sort(by_left[order[first : last + 1]])
         # The common left extension of two members is the least of those between them.
-        shared = np.minimum.reduceat(between[: ranks[-1]], ranks[:-1])
+        shared = minima.least(ranks[:-1], ranks[1:])
         best = np.maximum(np.concatenate(([-1], shared)), np.concatenate((shared, [-1])))
-        ok = best + length >= least
-        if ok.any():
-            members = np.array(sorted_left, np.int64)[ranks[ok]]
-            left[members] = np.maximum(left[members], best[ok])
-            right[members] = np.maximum(right[members], length)
-    return left, right
+        for (left, right), enough in zip(found, least):
+            ok = best + length >= enough
+            if ok.any():
+                members = sorted_left[ranks[ok]]
+                left[members] = np.maximum(left[members], best[ok])
+                right[members] = np.maximum(right[members], length)
+    return found
 
 
 def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
@@ -218,7 +242,9 @@ def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[bytes, list[tu
 
 
 _CONTEXTS = "g long, k1 long, k2 long, pos int, cover boolean, left binary, right binary"
-_SPANS = "k1 long, k2 long, start int, stop int"
+#: ``kept`` spans are reported only.
+_SPANS = "k1 long, k2 long, kept boolean, start int, stop int"
+_SHORT = (LENGTH - GRAM, PASSAGE - GRAM)
 
 
 def _take_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +264,17 @@ def _group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def spans(rows: list[tuple]) -> list[tuple]:
         if len(rows) < 2:
             return []
-        left, right = extents([r[5] for r in rows], [r[6] for r in rows])
-        return [(r[1], r[2], r[3] - a, r[3] + GRAM + b) for r, a, b in zip(rows, left.tolist(), right.tolist()) if a >= 0 and not r[4]]
+        found = extents([r[5] for r in rows], [r[6] for r in rows], _SHORT)
+        return [
+            (r[1], r[2], kept, r[3] - a, r[3] + GRAM + b)
+            for kept, (left, right) in zip((False, True), found)
+            for r, a, b in zip(rows, left.tolist(), right.tolist())
+            if a >= 0 and not r[4]
+        ]
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["k1", "k2", "start", "stop"])
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["k1", "k2", "kept", "start", "stop"])
 
     group, out = [], []
     for batch in batches:
@@ -260,22 +291,23 @@ def _group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(out)
 
 
-_WINDOWS = "g long, k1 long, k2 long, pos int, lag int, a long, b long"
+_WINDOWS = "g long, k1 long, k2 long, pos int, kept boolean, lag int, a long, b long"
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each context, the hashes of all its windows of ``LENGTH`` bytes; ``lag`` is the gram's place in the window."""
+    """For each context, the hashes of all its windows of either length; ``lag`` is the gram's place in the window."""
     for batch in batches:
         for g, k1, k2, pos, _, left, right in zip(*(c.to_pylist() for c in batch.columns)):
             whole = left[::-1] + right
             rows = []
-            for lag in range(max(0, SIDE - len(right)), len(left) + 1):
-                own = whole[len(left) - lag : len(left) - lag + SIDE]
-                both = xxhash.xxh3_128_intdigest(lag.to_bytes(2, "little") + own)
-                rows.append((g, k1, k2, pos, lag, _signed(both >> 64), _signed(both & (1 << 64) - 1)))
+            for kept, side in zip((False, True), _SHORT):
+                for lag in range(max(0, side - len(right)), min(side, len(left)) + 1):
+                    own = whole[len(left) - lag : len(left) - lag + side]
+                    both = xxhash.xxh3_128_intdigest(lag.to_bytes(2, "little") + own)
+                    rows.append((g, k1, k2, pos, kept, lag, _signed(both >> 64), _signed(both & (1 << 64) - 1)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["g", "k1", "k2", "pos", "lag", "a", "b"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["g", "k1", "k2", "pos", "kept", "lag", "a", "b"])
 
 
 def _large_group_spans(contexts: DataFrame) -> DataFrame:
@@ -284,7 +316,8 @@ def _large_group_spans(contexts: DataFrame) -> DataFrame:
     repeated = windows.groupBy("g", "a", "b").agg(F.count("*").alias("n")).where("n > 1").select("g", "a", "b")
     spread = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
     hit = windows.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.lit(16)).cast("int")).join(spread, ["g", "a", "b", "salt"])
-    return hit.groupBy("k1", "k2", "pos").agg(F.min("lag").alias("near"), F.max("lag").alias("far")).selectExpr("k1", "k2", "CAST(pos - far AS INT) AS start", f"CAST(pos - near + {LENGTH} AS INT) AS stop")
+    ends = hit.groupBy("k1", "k2", "pos", "kept").agg(F.min("lag").alias("near"), F.max("lag").alias("far"))
+    return ends.selectExpr("k1", "k2", "kept", "CAST(pos - far AS INT) AS start", f"CAST(pos - near + IF(kept, {PASSAGE}, {LENGTH}) AS INT) AS stop")
 
 
 def _merge(spans: str) -> str:
@@ -304,45 +337,38 @@ def _with_texts(texts: DataFrame, results: DataFrame, how: str, listed: str) ->
 
 
 def repeated_spans(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame:
-    """(k1, k2, copies, spans) for each different text of ``docs(k1, k2, text)`` with a repeat.
+    """(k1, k2, copies, spans, passages) for each different text of ``docs(k1, k2, text)`` with a repeat.
 
-    ``spans`` are the united byte ranges that repeats cover, but for the ends
-    of the text: a stop may lie beyond it and a start before it. ``copies`` counts the rows with this text.
+    ``spans`` are the united byte ranges that repeats of ``LENGTH`` bytes cover and ``passages`` those of ``PASSAGE`` bytes,
+    but for the ends of the text: a stop may lie beyond it and a start before it. ``copies`` counts the rows with this text.
     """
-    long_enough = docs.where(F.octet_length("text") >= LENGTH)
+    long_enough = docs.where(F.octet_length("text") >= PASSAGE)
     copies = long_enough.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
-    found = long_enough.select("k1", "k2", "text").mapInArrow(_find_anchors, _ANCHORS)
-    same_gram = Window.partitionBy("g")
-    in_order = same_gram.orderBy("c", "k1", "k2", "pos")
-    beside = found.select(
-        "*",
-        F.lag("c").over(in_order).alias("before"),
-        F.lead("c").over(in_order).alias("after"),
-        F.min("c").over(same_gram).alias("low"),
-        F.max("c").over(same_gram).alias("high"),
-    )
-    cover = (F.col("flag") > 0) | F.coalesce(F.col("before") == F.col("c"), F.lit(False)) | F.coalesce(F.col("after") == F.col("c"), F.lit(False))
+    found = stage(long_enough.select("k1", "k2", "text").mapInArrow(_find_anchors, _ANCHORS))
     # Of the anchors with the same context, one is compared with other contexts of the gram.
-    need = (F.col("low") != F.col("high")) & ~F.coalesce(F.col("before") == F.col("c"), F.lit(False)) & (F.col("flag") < 2)
-    marked = stage(beside.select("k1", "k2", "pos", "g", cover.alias("cover"), need.alias("need")).where("cover OR need"))
-
-    needed = marked.where("need")
-    large = needed.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > large_group).select("g", F.lit(True).alias("large"))
-    spots = needed.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "g", "cover")).alias("spots"))
-    # Copies of a text have the same contexts; one row of each text will do.
-    once = _with_texts(long_enough.select("k1", "k2", "text"), spots, "inner", "spots").select("k1", "k2", "spots", "text")
-    contexts = once.mapInArrow(_take_contexts_once, _CONTEXTS).repartition("g")
-    sized = contexts.join(large, "g", "left")
-    usual = sized.where("large IS NULL").drop("large").sortWithinPartitions("g").mapInArrow(_group_spans, _SPANS)
-    parts = [usual]
-    if large.count():
-        parts.append(_large_group_spans(sized.where("large").drop("large")))
-    settled = marked.where("cover").selectExpr("k1", "k2", f"CAST(pos - {SIDE} AS INT) AS start", f"CAST(pos + {LENGTH} AS INT) AS stop")
-    spans = settled
-    for part in parts:
-        spans = spans.unionByName(part)
-    merged = spans.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("all")).selectExpr("k1", "k2", f"{_merge('all')} AS spans")
-    return stage(merged.join(copies, ["k1", "k2"], "full_outer").select("k1", "k2", F.coalesce("copies", F.lit(1)).alias("copies"), "spans"))
+    contexts = found.where("flag < 2").groupBy("g", "c").agg(F.count("*").alias("n"), F.max("flag").alias("flag"), F.min(F.struct("k1", "k2", "pos")).alias("own"))
+    contexts = stage(contexts)
+    again = contexts.where("n > 1").select("g", "c")
+    settled = found.where("flag > 0").select("k1", "k2", "pos").unionByName(found.where("flag = 0").join(again, ["g", "c"], "left_semi").select("k1", "k2", "pos"))
+    settled = settled.selectExpr("k1", "k2", "explode(array(false, true)) AS kept", f"CAST(pos - {SIDE} AS INT) AS start", f"CAST(pos + {LENGTH} AS INT) AS stop")
+
+    grams = stage(contexts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+    large = few(stage(grams.where(F.col("n") > large_group).select("g")))
+    needed = contexts.join(grams.select("g"), "g", "left_semi").select("own.*", "g", ((F.col("n") > 1) | (F.col("flag") > 0)).alias("cover"))
+
+    def taken(some: DataFrame) -> DataFrame:
+        spots = some.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "g", "cover")).alias("spots"))
+        # Copies of a text have the same contexts; one row of each text will do.
+        once = _with_texts(long_enough.select("k1", "k2", "text"), spots, "inner", "spots").select("k1", "k2", "spots", "text")
+        return once.mapInArrow(_take_contexts_once, _CONTEXTS)
+
+    usual = taken(needed.join(large, "g", "left_anti"))
+    spans = settled.unionByName(usual.repartition("g").sortWithinPartitions("g").mapInArrow(_group_spans, _SPANS))
+    if not large.isEmpty():
+        spans = spans.unionByName(_large_group_spans(taken(needed.join(large, "g", "left_semi"))))
+    listed = [F.array_sort(F.collect_list(F.when(F.col("kept") == kept, F.struct("start", "stop")))).alias(name) for kept, name in ((False, "all"), (True, "told"))]
+    merged = spans.groupBy("k1", "k2").agg(*listed).selectExpr("k1", "k2", f"{_merge('all')} AS spans", f"{_merge('told')} AS passages")
+    return stage(merged.join(copies, ["k1", "k2"], "full_outer").select("k1", "k2", F.coalesce("copies", F.lit(1)).alias("copies"), "spans", "passages"))
 
 
 def _take_contexts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,62 +385,64 @@ def _take_contexts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def remove_repeats(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of ``docs(doc_id, text)``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, n_passage_bytes) for each row of ``docs(doc_id, text)``.
 
     ``kept`` are the text's UTF-8 bytes without those that a string of
     ``LENGTH`` bytes covers which also starts anywhere else, in this row or
-    another. Null texts are empty. Repeated rows count as copies, and lose all their bytes if
+    another. ``n_passage_bytes`` counts the bytes that such a string of ``PASSAGE`` bytes covers, removed or not.
+    Null texts are empty. Repeated rows count as copies, and lose all their bytes if
     they are long enough.
     """
     keyed = plain_columns(docs, "doc_id", "text").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("k2")
     )
     results = repeated_spans(keyed.select("k1", "k2", "text"), large_group)
-    joined = _with_texts(keyed, results, "left", "spans").select("doc_id", "text", "copies", "spans")
+    joined = _with_texts(keyed, results, "left", "spans").select("doc_id", "text", "copies", "spans", "passages")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, runs, kept = [], [], [], []
-            for text, copies, spans in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            rows = []
+            for text, copies, spans, passages in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
                 raw = text.encode("utf-8", "replace")
                 n = len(raw)
-                ranges = [(0, n)] if copies is not None and copies > 1 else [(max(0, x["start"]), min(n, x["stop"])) for x in spans or ()]
+                ranges, told = (
+                    [] if n < length else [(0, n)] if (copies or 1) > 1 else [(max(0, x["start"]), min(n, x["stop"])) for x in some or ()]
+                    for length, some in ((LENGTH, spans), (PASSAGE, passages))
+                )
                 pieces, at = [], 0
                 for a, b in ranges:
                     pieces.append(raw[at:a])
                     at = b
                 rest = b"".join([*pieces, raw[at:]])
-                sizes.append(n)
-                removed.append(n - len(rest))
-                runs.append(len(ranges))
-                kept.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-            )
-
-    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())]
+                rows.append((n, n - len(rest), len(ranges), rest, sum(b - a for a, b in told)))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *names])
+
+    names = ("n_bytes", "n_removed", "n_spans", "kept", "n_passage_bytes")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in names)]
     return joined.mapInArrow(cut, T.StructType(fields))
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(read_table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes")
 
 
-def removed_by_brute_force(texts: list[str | None]) -> list[tuple[int, int, int, str]]:
-    """n_bytes, n_removed, n_spans, kept_sha256 of each text, from all strings of ``LENGTH`` bytes; for tests."""
+def removed_by_brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
+    """n_bytes, n_removed, n_spans, kept_sha256 of each text, from all strings of ``length`` bytes; for tests."""
     raws = [(t or "").encode() for t in texts]
     count: dict[bytes, int] = {}
     for raw in raws:
-        for k in range(len(raw) - LENGTH + 1):
-            own = hashlib.md5(raw[k : k + LENGTH]).digest()
+        for k in range(len(raw) - length + 1):
+            own = hashlib.md5(raw[k : k + length]).digest()
             count[own] = count.get(own, 0) + 1
     out = []
     for raw in raws:
         gone = np.zeros(len(raw) + 2, np.int8)
-        for k in range(len(raw) - LENGTH + 1):
-            if count[hashlib.md5(raw[k : k + LENGTH]).digest()] > 1:
-                gone[k + 1 : k + LENGTH + 1] = 1
+        for k in range(len(raw) - length + 1):
+            if count[hashlib.md5(raw[k : k + length]).digest()] > 1:
+                gone[k + 1 : k + length + 1] = 1
         kept = bytes(b for b, g in zip(raw, gone[1:]) if not g)
         out.append((len(raw), int(gone.sum()), int((np.diff(gone) == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out

@@ -289,9 +289,9 @@ def test_lines_edges(spark, odd_docs, no_docs):
 
 def repeat_rows(rng) -> list[str | None]:
     word = lambda n: "".join(rng.choice("abcdefgh éß") for _ in range(n))
-    shared = [word(n) for n in (390, 400, 410, 700, 1500)]
+    shared = [word(n) for n in (240, 250, 300, 390, 400, 410, 700, 1500)]
     rows = [word(rng.randint(0, 300)) + rng.choice(shared) + word(rng.randint(0, 300)) + (rng.choice(shared) if rng.random() < 0.5 else "") for _ in range(40)]
-    return rows + ["ab" * 600, "x" + "ab" * 500, rows[0], rows[0], None, "", "short", shared[3][:450], shared[4][100:900]]
+    return rows + ["ab" * 600, "x" + "ab" * 500, rows[0], rows[0], None, "", "short", shared[-2][:450], shared[-1][100:900]]
 
 
 @pytest.mark.parametrize("large_group", [suffix.LARGE_GROUP, 2])
@@ -301,6 +301,8 @@ def test_repeats_like_brute_force(spark, large_group):
     got = by_id(suffix.remove_repeats(df, large_group).withColumn("sha", F.sha2("kept", 256)))
     want = suffix.removed_by_brute_force(rows)
     assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].sha) for k in range(len(rows))] == want
+    told = suffix.removed_by_brute_force(rows, suffix.PASSAGE)
+    assert [got[k].n_passage_bytes for k in range(len(rows))] == [x[1] for x in told]
 
 
 def test_large_grams_are_not_taken_for_each_other(spark):
@@ -312,7 +314,26 @@ def test_large_grams_are_not_taken_for_each_other(spark):
     contexts = spark.createDataFrame(rows, suffix._CONTEXTS)
     assert suffix._large_group_spans(contexts).count() == 0
     again = spark.createDataFrame([*rows, (1, 9, 0, 500, False, b"", near)], suffix._CONTEXTS)
-    assert sorted((r.k1, r.start, r.stop) for r in suffix._large_group_spans(again).collect()) == [(0, 500, 900), (9, 500, 900)]
+    assert {(r.k1, r.start, r.stop) for r in suffix._large_group_spans(again).collect() if not r.kept} == {(0, 500, 900), (9, 500, 900)}
+
+
+def test_repeats_query(spark, small, texts):
+    got = by_id(queries.queries()["op7_suffix_repeats"](spark, small))
+    ids = sorted(texts)
+    want = suffix.removed_by_brute_force([texts[k] for k in ids])
+    assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in ids] == want
+
+
+def test_passages_of_fifty_words(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passage = words(55)
+    rows = [words(200) for _ in range(30)]
+    for k in (3, 11, 20):
+        rows[k] = rows[k] + " " + passage + " " + words(100)
+    got = by_id(suffix.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)))
+    assert {k for k, r in got.items() if r.n_passage_bytes} == {3, 11, 20}
+    assert all((r.n_removed >= len(passage)) == (k in (3, 11, 20) and len(passage) >= suffix.LENGTH) for k, r in got.items())
 
 
 def test_repeats_edges(odd_docs, no_docs):
