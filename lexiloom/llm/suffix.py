@@ -344,17 +344,22 @@ def repeated_spans(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame
     """
     long_enough = docs.where(F.octet_length("text") >= PASSAGE)
     copies = long_enough.groupBy("k1", "k2").agg(F.count("*").alias("copies")).where("copies > 1")
-    found = stage(long_enough.select("k1", "k2", "text").mapInArrow(_find_anchors, _ANCHORS))
+    found = long_enough.select("k1", "k2", "text").mapInArrow(_find_anchors, _ANCHORS)
+    found = stage(found)
+    # Most grams occur once; they go before anything else is done.
+    grams = found.groupBy("g").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("several"))
+    kept = stage(found.join(grams, "g").where("n > 1 OR flag > 0").drop("n"))
     # Of the anchors with the same context, one is compared with other contexts of the gram.
-    contexts = found.where("flag < 2").groupBy("g", "c").agg(F.count("*").alias("n"), F.max("flag").alias("flag"), F.min(F.struct("k1", "k2", "pos")).alias("own"))
+    contexts = kept.where("flag < 2").groupBy("g", "c", "several").agg(F.count("*").alias("n"), F.max("flag").alias("flag"), F.min(F.struct("k1", "k2", "pos")).alias("own"))
     contexts = stage(contexts)
     again = contexts.where("n > 1").select("g", "c")
-    settled = found.where("flag > 0").select("k1", "k2", "pos").unionByName(found.where("flag = 0").join(again, ["g", "c"], "left_semi").select("k1", "k2", "pos"))
+    settled = kept.where("flag > 0").select("k1", "k2", "pos").unionByName(kept.where("flag = 0").join(again, ["g", "c"], "left_semi").select("k1", "k2", "pos"))
     settled = settled.selectExpr("k1", "k2", "explode(array(false, true)) AS kept", f"CAST(pos - {SIDE} AS INT) AS start", f"CAST(pos + {LENGTH} AS INT) AS stop")
 
-    grams = stage(contexts.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
-    large = few(stage(grams.where(F.col("n") > large_group).select("g")))
-    needed = contexts.join(grams.select("g"), "g", "left_semi").select("own.*", "g", ((F.col("n") > 1) | (F.col("flag") > 0)).alias("cover"))
+    needed = contexts.where("several")
+    large = needed.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > large_group).select("g")
+    large = few(stage(large))
+    needed = needed.select("own.*", "g", ((F.col("n") > 1) | (F.col("flag") > 0)).alias("cover"))
 
     def taken(some: DataFrame) -> DataFrame:
         spots = some.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "g", "cover")).alias("spots"))
