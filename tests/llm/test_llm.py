@@ -243,6 +243,26 @@ def test_templates_without_telling_names(spark):
     assert html_template.extract_main_text(df.where("false")).count() == 0
 
 
+def test_odd_markup_takes_linear_time():
+    import time
+
+    for made in ("<a " * 300_000, "<!" * 300_000, "<a '" * 200_000, '<p x="' * 200_000, "<div>" * 100_000, "<div>x</div>" * 50_000):
+        start = time.time()
+        html_template.main_text(made, None, frozenset())
+        assert time.time() - start < 20
+    assert html_template.main_text("<div>" * 600 + "a<div>b</div>" + "</div>" * 600 + "<p>c", None, frozenset()) == "a\nb\nc"
+
+
+def test_copied_articles_without_telling_names(spark):
+    article = "<div class=x><p>The article's first words are here.</p><p>And these are its last ones, as long as the first.</p></div>"
+    frame = "<html><body><div class=top>Same top line</div>{}<div class=low>Same low line</div></body></html>"
+    rows = [(k, f"http://h.example.com/{k}", frame.format(article)) for k in range(6)]
+    rows += [(10 + k, f"http://h.example.com/o{k}", frame.format(f"<div class=x><p>Own words {k} of a page that is like no other.</p><p>More of {k * 7}</p></div>")) for k in range(6)]
+    got = {r.page_id: r.text for r in html_template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "The article's first words are here.\nAnd these are its last ones, as long as the first." for k in range(6))
+    assert all(got[10 + k] == f"Own words {k} of a page that is like no other.\nMore of {k * 7}" for k in range(6))
+
+
 def test_pages_query(spark, small):
     import html
     import re
