@@ -110,6 +110,18 @@ def test_simhash_edges(odd_docs, no_docs):
     assert simhash.fingerprint("É x y") != simhash.fingerprint("é x y")
 
 
+@pytest.mark.parametrize("similar", [None, (5, 80)])
+def test_near_dedup_tells_rows_by_id_and_text(spark, odd_docs, no_docs, similar):
+    a, b = "one two three four five six seven", "other words that are not near the first ones"
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, b), (7, None), (8, ""), (9, b), (9, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash"))
+    got = simhash.near_dedup(df, similar=similar)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(3, a), (5, b), (7, None)]
+    assert got.columns == df.columns
+    assert simhash.near_dedup(odd_docs, similar=similar).columns == odd_docs.columns
+    assert simhash.near_dedup(no_docs, similar=similar).count() == 0
+
+
 def similar_by_brute_force(texts, words=5, percent=80):
     """Pairs of different texts by the sets of their words' shingles."""
     sets = []
@@ -514,11 +526,20 @@ def test_pipeline_against_brute_force(spark, small):
     assert cleaned.columns == docs.columns and cleaned.count() == kept.count()
 
     single = stage(corpus_pipeline.simhash_stage(spark, cleaned, small))
-    rows = {r.doc_id: simhash.fingerprint(r.text) & (2**64 - 1) for r in cleaned.collect()}
-    left = {r.doc_id for r in single.collect()}
-    for gone in set(rows) - left:
-        assert any((rows[gone] ^ f).bit_count() <= 3 for k, f in rows.items() if k != gone)
-    assert all((rows[a] ^ rows[b]).bit_count() > 3 for a in left for b in left if a < b)
+    rows = sorted((r.doc_id, r.text) for r in cleaned.collect())
+    prints = [simhash.fingerprint(t) & (2**64 - 1) for _, t in rows]
+    links = {(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3} | similar_by_brute_force([t for _, t in rows])
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, j in links:
+        x, y = sorted((find(i), find(j)))
+        root[y] = x
+    assert sorted(r.doc_id for r in single.collect()) == [rows[k][0] for k in range(len(rows)) if find(k) == k]
 
     clean = stage(corpus_pipeline.decontaminate_stage(spark, single, small))
     import re
