@@ -83,11 +83,16 @@ class Engine:
     ) -> DataFrame:
         """A page of the rows that hold all of ``text``'s terms.
 
-        ``query`` is a user's function_score, whose filters and weights apply.
+        ``query`` is a user's function_score, whose filters and weights apply. If its inner query
+        is no bool, that takes the place of the terms.
         ``highlight`` has fields, and pre_tags and post_tags as lists of one.
         """
-        found = s.matches(postings, self.clauses(text), q.parse_fields(fields))
-        rows = table.where(q.merge_user_query(F.lit(True), query)).join(found, F.col(id_col) == F.col("doc")).drop("doc")
+        rows = table.where(q.merge_user_query(F.lit(True), query))
+        if q.replaces_analysed(query):
+            rows = rows.withColumn("score", q.constant_score(query["function_score"].get("query", {})))
+        else:
+            found = s.matches(postings, self.clauses(text), q.parse_fields(fields))
+            rows = rows.join(found, F.col(id_col) == F.col("doc")).drop("doc")
         if query and "function_score" in query:
             rows = rows.withColumn("score", q.function_score(F.col("score"), query["function_score"]))
         out = s.page(rows, sort or [F.col("score").desc(), F.col(id_col)], start, size)

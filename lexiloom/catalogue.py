@@ -192,9 +192,8 @@ def _record_lines(spark, sf_dir):
 def record_roundtrip(spark, sf_dir):
     """Rows written as ``[%KEY%]value`` lines and parsed back with their types."""
     parsed = r.parse_records(_record_lines(spark, sf_dir).unionByName(spark.sql("SELECT 'no key here' AS value")))
-    typed = r.typed_records(parsed, {"PRODUCTCODE": "bigint", "PRODUCTNAME": "string", "REGISTERDATE": "timestamp", "STATUS": "string"})
-    # The number of fields is the same for all lines that this query writes.
-    return typed.withColumn("fields", F.lit(4))
+    columns = r.typed_columns({"PRODUCTCODE": "bigint", "PRODUCTNAME": "string", "REGISTERDATE": "timestamp", "STATUS": "string"})
+    return parsed.select(*columns, F.size("fields").alias("fields"))
 
 
 @_register("""
@@ -516,5 +515,4 @@ def copied_fields(spark, sf_dir):
 def url_parameters(spark, sf_dir):
     """Addresses and their decoded parameters."""
     url = F.col("url")
-    asked = F.url_decode(F.replace(F.regexp_extract(url, "[?].*", 0), F.lit("+"), F.lit("%2B")))
-    return _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, "^[^?#]*", 0).alias("plain"), asked.alias("asked"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.url_path(url).alias("plain"), text.url_query(url).alias("asked"))

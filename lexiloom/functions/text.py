@@ -127,3 +127,13 @@ def typed_runs(text: Column) -> Column:
     )
     typed = F.transform(placed, lambda t: F.struct(t["term"].alias("term"), char_class(t["term"]).alias("type"), t["start"].alias("start"), t["stop"].alias("stop")))
     return F.filter(typed, lambda t: t["type"] != "WHITESPACE")
+
+
+def url_path(url: Column) -> Column:
+    """An address without its parameters and fragment."""
+    return F.regexp_extract(url, "^[^?#]*", 0)
+
+
+def url_query(url: Column) -> Column:
+    """An address from its question mark on, with percent codes decoded; a plus sign stays, and what can't be decoded is null."""
+    return F.try_url_decode(F.replace(F.regexp_extract(url, "[?].*", 0), F.lit("+"), F.lit("%2B")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +48,12 @@ def load_dictionaries(source: DataFrame, system: DataFrame | None = None) -> Dic
     )
 
 
+def _row(t) -> dict:
+    """A token as a row of ``TOKEN``."""
+    extras = [{"term": e.term, "type": e.type, "synonyms": e.synonyms} for e in t.extras]
+    return {"term": t.term, "type": t.type, "start": t.start, "stop": t.stop, "pos_inc": t.pos_inc, "synonyms": t.synonyms, "extras": extras}
+
+
 def analyzer(spark: SparkSession, dictionaries: Dictionaries, options: Options = INDEX):
     """A function of a text column that gives its tokens, for any number of columns."""
     shared = spark.sparkContext.broadcast(dictionaries)
@@ -57,7 +62,7 @@ def analyzer(spark: SparkSession, dictionaries: Dictionaries, options: Options =
     def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = shared.value
         for texts in parts:
-            yield pd.Series([[asdict(t) for t in analyse(text, known, options)] for text in texts])
+            yield pd.Series([[_row(t) for t in analyse(text, known, options)] for text in texts])
 
     return tokens
 

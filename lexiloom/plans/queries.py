@@ -147,10 +147,27 @@ def function_score(score: Column, query: dict) -> Column:
     return modes[query.get("boost_mode", "multiply")]
 
 
+def replaces_analysed(query: dict | None) -> bool:
+    """Whether a user's query stands for the analysed one: a function_score whose inner query is no bool does."""
+    return "function_score" in (query or {}) and "bool" not in query["function_score"].get("query", {})
+
+
+def constant_score(query: dict) -> Column:
+    """1 for each row, and a boosting query's negative_boost where its negative query holds too."""
+    if not query.get("boosting", {}).get("negative"):
+        return F.lit(1.0)
+    refused = F.coalesce(predicate(query["boosting"]["negative"]), F.lit(False))
+    return F.when(refused, F.lit(float(query["boosting"]["negative_boost"]))).otherwise(F.lit(1.0))
+
+
 def merge_user_query(analysed: Column, query: dict | None) -> Column:
-    """The analysed query's rows with a function_score's own filters; its inner ``must`` gives way to the analysed query."""
+    """The analysed query's rows with a function_score's own filters.
+
+    The inner bool's ``must`` gives way to the analysed query, beside which its
+    ``should`` need not hold. An inner query of another kind takes the analysed one's place.
+    """
+    if replaces_analysed(query):
+        return predicate(query)
     inner = (query or {}).get("function_score", {}).get("query", {})
-    if "bool" not in inner:
-        return analysed
-    rest = {k: v for k, v in inner["bool"].items() if k != "must"}
+    rest = {k: v for k, v in inner.get("bool", {}).items() if k in ("filter", "must_not")}
     return analysed & predicate({"bool": rest}) if rest else analysed

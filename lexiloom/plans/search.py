@@ -27,9 +27,13 @@ def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 
 def postings_of_tokens(tokens: DataFrame, id_col: str, field: str, column: str = "tokens") -> DataFrame:
     """Postings of analysed tokens; those with position increment 0 share the position before."""
-    each = tokens.select(F.col(id_col).alias("doc"), F.posexplode(column).alias("at", "t"))
-    order = Window.partitionBy("doc").orderBy("at")
-    return each.select("doc", F.lit(field).alias("field"), F.col("t.term").alias("term"), (F.sum(F.col("t.pos_inc")).over(order) - 1).cast("int").alias("pos"))
+    start = F.struct(F.array().cast("array<struct<term: string, pos: int>>").alias("out"), F.lit(-1).alias("pos"))
+    step = lambda a, t: F.struct(
+        F.array_append(a["out"], F.struct(t["term"].alias("term"), (a["pos"] + t["pos_inc"]).cast("int").alias("pos"))).alias("out"), (a["pos"] + t["pos_inc"]).cast("int").alias("pos")
+    )
+    placed = F.aggregate(F.col(column), start, step, lambda a: a["out"])
+    each = tokens.select(F.col(id_col).alias("doc"), F.explode(placed).alias("x"))
+    return each.select("doc", F.lit(field).alias("field"), "x.term", "x.pos")
 
 
 def _word_table(postings_: DataFrame, asked: list[Clause]) -> DataFrame:
@@ -48,7 +52,8 @@ def matches(postings_: DataFrame, asked: list[Clause], boosts: dict[str, float]
     if boosts:
         postings_ = postings_.where(F.col("field").isin(list(boosts)))
         boost = F.element_at(F.create_map(*[x for f, b in boosts.items() for x in (F.lit(f), F.lit(b))]), F.col("field"))
-    hits = postings_.join(_word_table(postings_, asked), "term")
+    # Dealt by document once, for which all four steps group.
+    hits = postings_.join(_word_table(postings_, asked), "term").repartition("doc")
     words = hits.groupBy("doc", "clause", "way", "need", "term").agg(F.max(boost).alias("s"))
     ways = words.groupBy("doc", "clause", "way", "need").agg(F.count("*").alias("n"), F.sum("s").alias("s")).where("n = need")
     held = ways.groupBy("doc", "clause").agg(F.max("s").alias("s"))

@@ -14,28 +14,37 @@ def read_lines(spark: SparkSession, paths: list[str], charset: str = "UTF-8") ->
     """(value): the lines of all files below ``paths``. Other charsets than UTF-8 need ``spark.sql.legacy.javaCharsets``."""
     if charset.upper() in ("UTF-8", "UTF8"):
         return spark.read.option("recursiveFileLookup", True).text(paths)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return files.select(F.explode(F.split(F.decode("content", charset), "\r?\n")).alias("value"))
+    if charset.upper().startswith(("UTF-16", "UTF-32")):  # their line ends can't be told from bytes
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+        return files.select(F.explode(F.split(F.decode("content", charset), "\r?\n")).alias("value"))
+    # A file of one column whose separator never occurs: such files are split over tasks. Empty lines are left out.
+    whole = spark.read.schema("value string").option("encoding", charset).option("recursiveFileLookup", True)
+    return whole.options(sep="\x01", quote="", escape="", mode="PERMISSIVE", emptyValue="", nullValue="\x01").csv(paths)
 
 
 def parse_record(line: Column) -> Column:
     """map<string, string> of a line; the last of a repeated key wins. A line without a key gives an empty map."""
     keys = F.regexp_extract_all(line, F.lit(KEY), F.lit(1))
-    values = F.slice(F.split(line, _KEY_ALONE), 2, F.size(keys))
-    # The last of equal keys: the pairs are turned round, and map_from_arrays would refuse a second one.
+    return _last_wins(keys, F.slice(F.split(line, _KEY_ALONE), 2, F.size(keys)))
+
+
+def _last_wins(keys: Column, values: Column) -> Column:
+    """A map of the two arrays. Only where a key is repeated, which map_from_arrays refuses, are the last ones sought."""
     pairs = F.reverse(F.arrays_zip(keys.alias("k"), values.alias("v")))
-    unique = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    unique = F.array_distinct(F.reverse(keys))
     chosen = F.transform(unique, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), 1)["v"])
-    return F.map_from_arrays(unique, chosen)
+    return F.when(F.size(unique) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(F.map_from_arrays(unique, chosen))
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
     """(fields): records of ``lines(value)``; lines that hold no key are no records."""
-    return lines.where(F.col("value").rlike(KEY)).select(parse_record(F.col("value")).alias("fields"))
+    split = lines.where(F.col("value").rlike(KEY)).select("value", F.regexp_extract_all("value", F.lit(KEY), F.lit(1)).alias("keys"))
+    split = split.select("keys", F.slice(F.split("value", _KEY_ALONE), 2, F.size("keys")).alias("values"))
+    return split.select(_last_wins(F.col("keys"), F.col("values")).alias("fields"))
 
 
-def typed_records(records: DataFrame, schema: dict[str, str]) -> DataFrame:
-    """One column for each field of ``schema`` (name: type). The date field is read as yyyyMMdd; what can't be cast is null."""
+def typed_columns(schema: dict[str, str]) -> list[Column]:
+    """The fields of ``schema`` (name: type) from a map ``fields``. The date field is read as yyyyMMdd; what can't be cast is null."""
     columns = []
     for name, kind in schema.items():
         value = F.try_element_at("fields", F.lit(name))
@@ -43,7 +52,12 @@ def typed_records(records: DataFrame, schema: dict[str, str]) -> DataFrame:
             columns.append(F.try_to_timestamp(F.nullif(value, F.lit("")), F.lit(DATE_FORMAT)).alias(name))
         else:
             columns.append((value if kind == "string" else value.try_cast(kind)).alias(name))
-    return records.select(*columns)
+    return columns
+
+
+def typed_records(records: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """One column for each field of ``schema``."""
+    return records.select(*typed_columns(schema))
 
 
 def write_record(columns: list[str]) -> Column:

@@ -61,11 +61,35 @@ def test_search_page(engine, spark):
     rows = engine.search(table, postings, "id", "name^2", "LG 노트북", asked, highlight={"fields": ["name"], "pre_tags": ["<em>"], "post_tags": ["</em>"]}).collect()
     assert [(r.id, r._rownum) for r in rows] == [(2, 0), (1, 1)] and rows[1].name == "<em>LG</em> <em>노트북</em> 15Z960"
     assert engine.search(table, postings, "id", "name", "LG 노트북", start=1, size=1).first()._rownum == 1
+    other = {"boosting": {"positive": {"range": {"rank": {"gte": 3}}}, "negative": {"term": {"shown": "N"}}, "negative_boost": 0.25}}
+    rows = engine.search(table, postings, "id", "name", "no such words", {"function_score": {"query": other}}).collect()
+    assert [(r.id, r.score) for r in rows] == [(1, 1.0), (2, 1.0), (4, 0.25)]
+    beside = {"function_score": {"query": {"bool": {"must": {"match": {"name": "x"}}, "should": {"term": {"rank": 5}}}}}}
+    assert {r.id for r in engine.search(table, postings, "id", "name", "LG 노트북", beside).collect()} == {1, 2, 4}
     built = engine.build_query("name", "LG")["query"]
     assert built["bool"]["must"][0]["bool"]["should"][1]["multi_match"]["query"] == "엘지"
     assert engine.explain("LG 노트북") == {"AND": [{"OR": ["LG", "엘지"]}, "노트북"]} and engine.total(postings, "name", "LG 노트북") == 3
 
 
+def test_records_in_other_charsets(spark, tmp_path):
+    lines = ['[%A%]"가나", [%B%]1', "", "no key", " [%A%]x[%A%]y[%C%]"]
+    (tmp_path / "in").mkdir()
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        for charset in ("EUC-KR", "UTF-8", "UTF-16"):
+            (tmp_path / "in" / "a.txt").write_bytes("\r\n".join(lines).encode(charset))
+            read = records.read_lines(spark, [str(tmp_path / "in")], charset)
+            got = sorted(([*sorted(r.fields.items())] for r in records.parse_records(read).collect()), key=str)
+            assert got == [[("A", '"가나", '), ("B", "1")], [("A", "y"), ("C", "")]]
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+
+
+def test_addresses(spark):
+    df = spark.createDataFrame([("http://a/b?x=1%20+2#f",), ("/p",), ("?%zz",)], "u string")
+    assert [tuple(r) for r in df.select(text.url_path(F.col("u")), text.url_query(F.col("u"))).collect()] == [("http://a/b", "?x=1 +2#f"), ("/p", ""), ("", None)]
+
+
 def test_user_queries(spark):
     df = spark.createDataFrame([(1, "a b c", 5), (2, "b c d", 7), (3, None, 9)], "id long, t string, n int")
     ids = lambda query: [r.id for r in df.where(q.predicate(query)).orderBy("id").collect()]
