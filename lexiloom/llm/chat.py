@@ -126,7 +126,7 @@ def prefix_tree(turns: DataFrame, vocabulary: str | None = None) -> tuple[DataFr
     brings the nodes that none before it has, as one run of the layout. All
     work is in proportion to the number of turns.
     """
-    listed = conversations(turns).repartitionByRange("chain").withColumn("part", F.spark_partition_id())
+    listed = conversations(turns).repartitionByRange("chain", "conv_id").withColumn("part", F.spark_partition_id())
     row = F.row_number().over(Window.partitionBy("part").orderBy("chain", "conv_id"))
     ranked = stage(listed.withColumn("rank", F.shiftleft(F.col("part").cast("long"), 40) + row).drop("part"))
     paths = ranked.select("conv_id", "rank", F.posexplode("chain").alias("depth", "node"))
@@ -150,12 +150,12 @@ def prefix_tree(turns: DataFrame, vocabulary: str | None = None) -> tuple[DataFr
     walked = _salted_join(paths, placed.select("node", "offset", "n"), "node", "conv_id")
     walked = walked.groupBy("conv_id", "rank").agg(F.array_sort(F.collect_list(F.struct("depth", "offset", "n"))).alias("way"))
     walked = stage(walked)
-    merge = (
-        "aggregate(slice(way, 1, shared), CAST(array() AS array<struct<start: bigint, stop: bigint>>), (a, x) -> CASE"
-        " WHEN size(a) > 0 AND a[size(a) - 1].stop = x.offset THEN concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].start AS start, x.offset + x.n AS stop)))"
-        " ELSE concat(a, array(struct(x.offset AS start, x.offset + x.n AS stop))) END)"
-    )
-    above = runs.join(walked, runs.owner == walked.rank).select("owner", F.expr(merge).alias("above"))
+    # Intervals that adjoin are one: it starts where the node before ends elsewhere, and stops where the next one starts elsewhere.
+    starts = "transform(filter(led, (x, i) -> i = 0 OR led[i - 1].offset + led[i - 1].n <> x.offset), x -> x.offset)"
+    stops = "transform(filter(led, (x, i) -> i = size(led) - 1 OR led[i + 1].offset <> x.offset + x.n), x -> x.offset + x.n)"
+    merged = F.expr(f"zip_with({starts}, {stops}, (a, b) -> struct(a AS start, b AS stop))").alias("above")
+    led = runs.join(walked, runs.owner == walked.rank).select("owner", F.expr("slice(way, 1, shared)").alias("led"))
+    above = led.select("owner", merged)
     above = above.withColumn("tokens_above", F.expr("aggregate(above, 0L, (a, x) -> a + x.stop - x.start)"))
     spots = placed.join(above, "owner").select(
         "node",
