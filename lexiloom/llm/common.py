@@ -69,6 +69,14 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def plain_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with ours."""
     return df.select(*[F.col(f"`{n}`") for n in names])

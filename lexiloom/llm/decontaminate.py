@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_columns, read_table, stage
+from .common import fresh, plain_columns, read_table, row_key, stage
 
 #: Words that one shingle has, fewer only in items of fewer words.
 SHINGLE = 3
@@ -112,7 +112,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     ``item_ids`` but their windows count as hits. Repeated rows get a row each.
     """
     docs, items = plain_columns(docs, "doc_id", "text"), plain_columns(items, "item_id", "text")
-    key = F.xxhash64("doc_id", "text").alias("key")
+    key = row_key("doc_id", "text").alias("key")
     worded = docs.select(key, words_of("text").alias("ws"))
     found = window_matches(worded, items, width)
     hits = found.groupBy("key").agg(
@@ -132,10 +132,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs`` that hold no window of ``items``; every column stays."""
-    key = F.xxhash64("doc_id", "text")
+    key = row_key("doc_id", "text")
     worded = plain_columns(docs, "doc_id", "text").select(key.alias("key"), words_of("text").alias("ws"))
     found = window_matches(worded, plain_columns(items, "item_id", "text"), width)
-    return docs.join(found.select(F.col("key").alias("__hit")).distinct(), key == F.col("__hit"), "left_anti")
+    name = fresh(docs, "hit")
+    return docs.join(found.select(F.col("key").alias(name)).distinct(), key == F.col(name), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

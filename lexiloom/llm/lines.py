@@ -11,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stage
+from .common import fresh, read_table, row_key, stage
 
 WIDTH = 3
 SALTS = 16
-_KEY = "xxhash64(doc_id, text)"
 _WORDED = "l rlike '[^ \\\\t-\\\\r]'"
 #: The lines with a word, and the hashes of all windows over them: 128 bits each.
 _LINES = f"filter(split(text, '\\n'), l -> {_WORDED})"
@@ -28,7 +27,7 @@ _SPOTS = (
 
 def _windows(docs: DataFrame) -> DataFrame:
     """(doc_id, key, spot, h, g) for each window; ``spot`` counts the lines with a word."""
-    lined = docs.selectExpr("doc_id", f"{_KEY} AS key", f"{_LINES} AS ls").where(f"size(ls) >= {WIDTH}")
+    lined = docs.select("doc_id", row_key("doc_id", "text").alias("key"), F.expr(_LINES).alias("ls")).where(f"size(ls) >= {WIDTH}")
     return lined.selectExpr("doc_id", "key", f"{_HASHED} AS hs").selectExpr("doc_id", "key", f"inline({_SPOTS})")
 
 
@@ -39,28 +38,29 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     firsts = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     # One window may be in a third of all texts, so the answer for each is there in several copies.
     spread = firsts.select("h", "g", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = windows.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+    salted = windows.withColumn("salt", F.pmod("key.a", F.lit(SALTS)).cast("int"))
     later = salted.join(spread, ["h", "g", "salt"]).where(~place.eqNullSafe(F.col("first")))
     starts = later.groupBy("key").agg(F.collect_set("spot").alias("starts"))
     return starts.selectExpr("key", f"array_distinct(flatten(transform(starts, s -> sequence(s, s + {WIDTH - 1})))) AS spots")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines of later occurrences taken out of ``text``, and ``n_lines`` and ``n_removed``.
+def dedup_lines(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """``docs`` with the lines of later occurrences taken out of ``text``, and, with ``counts``, ``n_lines`` and ``n_removed``.
 
-    Every row and every other column stays. Null and empty texts stay as they
+    Every row and every other column stays, whatever its name; only the two counts replace columns of their names. Null and empty texts stay as they
     are; a text all of whose lines go becomes empty. Rows with equal id and text count as one document;
     null ids come first.
     """
-    marked = docs.withColumn("__key", F.expr(_KEY))
-    found = repeated_lines(docs).select(F.col("key").alias("__key"), F.col("spots").alias("__spots"))
-    joined = marked.join(found, "__key", "left").withColumn("__lines", F.split("text", "\n"))
-    worded = F.expr(f"filter(transform(__lines, (l, i) -> IF({_WORDED}, i, NULL)), i -> i IS NOT NULL)")
-    gone = joined.withColumn("__worded", worded).withColumn("__gone", F.expr("transform(__spots, s -> __worded[s])"))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i]), '\n')")
+    key, spots, parts, worded, gone = (fresh(docs, name) for name in ("line_key", "line_spots", "line_parts", "lines_worded", "lines_gone"))
+    found = repeated_lines(docs).select(F.col("key").alias(key), F.col("spots").alias(spots))
+    joined = docs.withColumn(key, row_key("doc_id", "text")).join(found, key, "left").withColumn(parts, F.split("text", "\n"))
+    joined = joined.withColumn(worded, F.expr(f"filter(transform({parts}, (l, i) -> IF({_WORDED}, i, NULL)), i -> i IS NOT NULL)"))
+    marked = joined.withColumn(gone, F.expr(f"transform({spots}, s -> {worded}[s])"))
+    kept = F.expr(f"array_join(transform(array_except(sequence(0, size({parts}) - 1), {gone}), i -> {parts}[i]), '\n')")
     size = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
-    counted = gone.withColumn("n_lines", size("__lines")).withColumn("n_removed", size("__gone"))
-    return counted.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).drop(*[c for c in counted.columns if c.startswith("__")])
+    if counts:
+        marked = marked.withColumns({"n_lines": size(parts), "n_removed": size(gone)})
+    return marked.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).drop(key, spots, parts, worded, gone)
 
 
 def op6_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

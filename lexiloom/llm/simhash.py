@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, plain_columns, read_table, row_key, stage
+from .common import few, fresh, plain_columns, read_table, row_key, stage
 from .components import connected_components
 from .similar import similar_links, with_prefixes
 
@@ -136,8 +136,9 @@ def near_dedup(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = MAX_
     kept = groups.groupBy(*by).agg(F.min("own").alias("kept"))
     same = F.expr("g.component_id <=> k.component_id AND IF(g.component_id IS NULL, g.fp, NULL) <=> k.only")
     gone = groups.alias("g").join(kept.alias("k"), same).where("own <> kept").select("own.doc_id", "own.text_key").distinct()
-    gone = few(stage(gone.withColumnsRenamed({"doc_id": "__gone", "text_key": "__key"})))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (row_key("text") == F.col("__key")), "left_anti")
+    own, key = fresh(docs, "gone"), fresh(docs, "gone_key")
+    gone = few(stage(gone.withColumnsRenamed({"doc_id": own, "text_key": key})))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(own)) & (row_key("text") == F.col(key)), "left_anti")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
