@@ -28,9 +28,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,9 +44,8 @@ from .packing import gather, pack_ints, unpack_ints
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_CHARS = 4_000_000
-#: Characters of text whose chunks are held at once.
-ENCODED_CHARS = 500_000
-ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 8, 2048, 16
+#: A pair is frequent if it stands at so many places.
+LEAST_COUNT = 16
 #: Chunks whose ids a worker remembers; it forgets them all when there are more.
 REMEMBERED = 1_000_000
 MAGIC = b"RPR1"
@@ -96,53 +97,55 @@ class ChunkEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: pa.Array) -> None:
         """Encode new chunks, many in one text with a space before each; the tokens' lengths in bytes tell them apart."""
-        for at in range(0, len(chunks), 5_000):
-            some = chunks[at : at + 5_000]
-            ids = np.array(self._encode([" " + " ".join(some)])[0], np.uint32)
+        for at in range(0, len(chunks), 20_000):
+            some = chunks.slice(at, 20_000)
+            names = some.to_pylist()
+            ids = np.array(self._encode([" " + " ".join(names)])[0], np.uint32)
             reached = np.cumsum(self.sizes[ids])
-            ends = np.cumsum([len(c.encode()) + 1 for c in some])
+            ends = np.cumsum(pc.binary_length(some).to_numpy().astype(np.int64) + 1)
             cuts = np.searchsorted(reached, ends) + 1
             if not (reached[cuts - 1] == ends).all():
                 raise RuntimeError("a token reaches over a space")
             while self.used + len(ids) > len(self.values):
                 self.values = np.concatenate([self.values, np.empty_like(self.values)])
-            while self.count + len(some) + 1 > len(self.ends):
+            while self.count + len(names) + 1 > len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
             self.values[self.used : self.used + len(ids)] = ids
-            self.ends[self.count + 1 : self.count + 1 + len(some)] = self.used + cuts
-            self.number.update(zip(some, range(self.count, self.count + len(some))))
+            self.ends[self.count + 1 : self.count + 1 + len(names)] = self.used + cuts
+            self.number.update(zip(names, range(self.count, self.count + len(names))))
             self.used += len(ids)
-            self.count += len(some)
+            self.count += len(names)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has."""
-        values, counts, own, size = [], [], [], 0
-        for k, text in enumerate(texts):
-            own.append(text)
-            size += len(text)
-            if size >= ENCODED_CHARS or k == len(texts) - 1:
-                ids, lengths = self._encode_some(own)
-                values.append(ids)
-                counts.append(lengths)
-                own, size = [], 0
-        return (np.concatenate(values), np.concatenate(counts)) if values else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-
-    def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > REMEMBERED:
             self._forget()
         even = [k for k, t in enumerate(texts) if _even(t) and not any(mark in t for mark in self.added)]
         whole = sorted(set(range(len(texts))) - set(even))
-        cut = [texts[k].split(" ") for k in even]
-        rest = [c for chunks in cut for c in chunks[1:]]
-        self._learn([c for c in set(rest) if c not in self.number])
-        take = np.fromiter(map(self.number.__getitem__, rest), np.int64, len(rest))
+        cut = pc.split_pattern(pa.array([texts[k] for k in even], pa.large_string()), " ")
+        starts = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.values.dictionary_encode()
+        # The first chunk of a text has no space before it, and so is encoded by itself.
+        later = np.ones(len(coded), bool)
+        later[starts[:-1]] = False
+        rest = coded.indices.to_numpy()[later]
+        used = np.zeros(len(coded.dictionary), bool)
+        used[rest] = True
+        distinct = coded.dictionary.filter(pa.array(used))
+        names = distinct.to_pylist()
+        known = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        new = known < 0
+        known[new] = self.count + np.arange(np.count_nonzero(new))
+        self._learn(distinct.filter(pa.array(new)))
+        numbers = np.full(len(used), -1, np.int64)
+        numbers[used] = known
+        take = numbers[rest]
         ends = self.ends[: self.count + 1]
         values = gather(self.values[: self.used], ends, take)
-        upto = np.concatenate(([0], np.cumsum(np.diff(ends)[take])))[np.cumsum([0, *(len(chunks) - 1 for chunks in cut)])]
-        # The first chunk of a text has no space before it, and so is encoded by itself.
-        firsts = self._encode([chunks[0] for chunks in cut])
+        upto = np.concatenate(([0], np.cumsum(np.diff(ends)[take])))[starts - np.arange(len(starts))]
+        firsts = self._encode(cut.values.take(pa.array(starts[:-1])).to_pylist())
         parts = {k: (first, values[a:b]) for k, first, a, b in zip(even, firsts, upto.tolist(), upto[1:].tolist())}
         parts |= {k: (ids, values[:0]) for k, ids in zip(whole, self._encode([texts[k] for k in whole]))}
         ordered = [np.asarray(p, np.uint32) for k in range(len(texts)) for p in parts[k]]
@@ -158,76 +161,119 @@ def _bucket(code: np.ndarray) -> np.ndarray:
     return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent pairs as codes, the places at which one of them stands, and which one.
+def _pairs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frequent pairs, their counts, and for each code which of them it is: -1 for none, -2 if that is open.
 
-    A first count in hash buckets leaves few places for the exact count. Of
-    frequent pairs in one bucket, one is taken; the others' turn comes in a later round.
+    Pairs are told apart by a table of hash buckets. Of frequent pairs in one
+    bucket one is taken; the others' turn comes in a later round.
     """
-    code = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-    bucket = _bucket(code)
-    inside = (left != base) & (right != base)
-    heavy = np.bincount(bucket[inside], minlength=1 << 20) >= LEAST_COUNT
-    places = np.flatnonzero(heavy[bucket] & inside)
-    pairs, counts = np.unique(code[places], return_counts=True)
-    best = np.argsort(-counts, kind="stable")[:PAIRS_A_ROUND]
-    chosen = np.sort(pairs[best[counts[best] >= LEAST_COUNT]])
-    _, first = np.unique(_bucket(chosen), return_index=True)
-    chosen = chosen[np.sort(first)]
-    which = np.full(1 << 20, -1, np.int32)
-    which[_bucket(chosen)] = np.arange(len(chosen))
-    which = which[bucket[places]]
-    hit = which >= 0
-    places, which = places[hit], which[hit]
-    same = chosen[which] == code[places]
-    return chosen, places[same], which[same]
+    ordered = np.sort(code)
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    counts = np.diff(starts, append=len(ordered))
+    frequent = counts >= LEAST_COUNT
+    pairs, counts = ordered[starts[frequent]], counts[frequent]
+    _, first = np.unique(_bucket(pairs), return_index=True)
+    first.sort()
+    pairs, counts = pairs[first], counts[first]
+    table = np.full(1 << 20, -1, np.int32)
+    table[_bucket(pairs)] = np.arange(len(pairs))
+    which = table[_bucket(code)]
+    met = np.flatnonzero(which >= 0)
+    which[met[pairs[which[met]] != code[met]]] = -2
+    return pairs, counts, which
 
 
 def compress(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Re-Pair over ids and end marks (``base``): the sequence that is left, and the rules, a row (left, right) each.
 
-    A round takes all frequent pairs together; where occurrences overlap, every other one from the left is replaced.
+    A round takes all frequent pairs together. Where occurrences overlap the
+    more frequent pair has its way, and every other one from the left within a
+    run of one pair; the others wait for a later round. Rounds go on until no
+    pair is frequent. Only places that may have a frequent pair are looked at
+    again: a pair that is not can become so only by a new symbol.
     """
     seq, rules, known = symbols.astype(np.uint32), [], 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
+    active = np.ones(len(seq), bool)
+    while len(seq) > 1:
+        active[-1] = False
+        places = np.flatnonzero(active)
+        left, right = seq[places], seq[places + 1]
+        inside = (left != base) & (right != base)
+        active[places[~inside]] = False
+        places = places[inside]
+        code = left[inside].astype(np.uint64) << np.uint64(32) | right[inside].astype(np.uint64)
+        if not len(code):
             break
-        chosen, places, which = _frequent(seq[:-1], seq[1:], base)
-        if not len(places):
+        pairs, counts, which = _pairs(code)
+        if not len(pairs):
             break
-        run_start = np.concatenate(([True], np.diff(places) > 1))
-        first = places[np.flatnonzero(run_start)[np.cumsum(run_start) - 1]]
-        taken = (places - first) % 2 == 0
-        places = places[taken]
-        seq[places] = base + 1 + known + which[taken]
+        active[places[which == -1]] = False
+        hit = which >= 0
+        places, which = places[hit], which[hit]
+        rank = np.empty(len(pairs), np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(pairs))
+        beside = np.diff(places) == 1
+        run_start = np.concatenate(([True], ~(beside & (which[1:] == which[:-1]))))
+        offset = np.arange(len(places)) - np.flatnonzero(run_start)[np.cumsum(run_start) - 1]
+        key = 2 * rank[which] + (offset % 2 == 0)
+        taken = np.ones(len(places), bool)
+        taken[1:] &= ~beside | (key[1:] > key[:-1])
+        taken[:-1] &= ~beside | (key[:-1] > key[1:])
+        # The most frequent pair always has so many places.
+        good = np.bincount(which[taken], minlength=len(pairs)) >= LEAST_COUNT // 2
+        taken &= good[which]
+        places, which = places[taken], which[taken]
+        seq[places] = base + 1 + known + (np.cumsum(good) - 1)[which]
+        active[places] = True
+        active[np.maximum(places - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
-        seq = seq[keep]
+        seq, active = seq[keep], active[keep]
+        chosen = pairs[good]
         rules.append(np.column_stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
         known += len(chosen)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
+def _levels(rules: np.ndarray, base: int) -> Iterator[np.ndarray]:
+    """The rules in runs that only use symbols from before the run."""
+    newest, at = np.maximum.accumulate(rules.max(axis=1).astype(np.int64) - base) if len(rules) else np.zeros(0, np.int64), 0
+    while at < len(rules):
+        end = max(at + 1, int(np.searchsorted(newest, at, side="right")))
+        yield rules[at:end].astype(np.int64)
+        at = end
+
+
+def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    """How many symbols each id, the end mark and each nonterminal stand for."""
+    lengths = np.ones(base + 1 + len(rules), np.int64)
+    at = base + 1
+    for level in _levels(rules, base):
+        lengths[at : at + len(level)] = lengths[level].sum(axis=1)
+        at += len(level)
+    return lengths
+
+
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """All symbols' expansions as one array and its offsets: ids and the end mark stand for themselves."""
-    parts = []
-    for left, right in rules.tolist():
-        own = [parts[x - base - 1] if x > base else (x,) for x in (left, right)]
-        parts.append(own[0] + own[1])
-    lengths = np.concatenate((np.ones(base + 1, np.int64), np.array([len(p) for p in parts], np.int64)))
-    values = np.concatenate((np.arange(base + 1, dtype=np.uint32), np.array([x for p in parts for x in p], np.uint32)))
-    return values, np.concatenate(([0], np.cumsum(lengths)))
+    offsets = np.concatenate(([0], np.cumsum(expansion_lengths(rules, base))))
+    values = np.empty(offsets[-1], np.uint32)
+    values[: base + 1] = np.arange(base + 1, dtype=np.uint32)
+    at = base + 1
+    for level in _levels(rules, base):
+        values[offsets[at] : offsets[at + len(level)]] = gather(values, offsets, level.ravel())
+        at += len(level)
+    return values, offsets
 
 
 def write_shard(ids: pa.Array, symbols: np.ndarray, counts: np.ndarray, base: int) -> bytes:
     """A shard's payload; ``symbols`` end each document with ``base``, which ``counts`` include."""
     seq, rules = compress(symbols, base)
-    _, offsets = expansions(rules, base)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
         out.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
     ends = np.flatnonzero(seq == base) + 1
-    lengths = np.diff(offsets)[base + 1 :]
+    lengths = expansion_lengths(rules, base)[base + 1 :]
     head = np.array([base], np.uint32)
     sections = [sink.getvalue().to_pybytes(), pack_ints(counts), pack_ints(np.diff(ends, prepend=0)), pack_ints(np.concatenate((head, rules.ravel()))), pack_ints(lengths), pack_ints(seq)]
     return MAGIC + b"".join(len(x).to_bytes(8, "little") for x in sections) + b"".join(sections)

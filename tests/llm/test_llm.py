@@ -455,6 +455,38 @@ def test_chunks_and_random_access():
         assert shard.tokens(k, a, b) == [*want[k], 0][a:b]
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(5)
+    base = 50
+    passage = rng.integers(0, base, 300)
+    runs = np.repeat(rng.integers(0, base, 40), rng.integers(1, 200, 40))
+    made = np.concatenate([rng.integers(0, 6, 3000), [base], np.tile(passage, 40), [base], runs, [base], np.full(5000, 7), [base], np.tile([1, 2], 1000), [base, base]])
+    for symbols in (made, np.array([base]), np.full(64, 3), np.zeros(0, np.int64)):
+        seq, rules = repair.compress(symbols.astype(np.uint32), base)
+        pairs = Counter(p for p in zip(seq.tolist(), seq.tolist()[1:]) if base not in p)
+        assert max(pairs.values(), default=0) < repair.LEAST_COUNT
+        parts = [(k,) for k in range(base + 1)]
+        for left, right in rules.tolist():
+            parts.append(parts[left] + parts[right])
+        assert [x for k in seq.tolist() for x in parts[k]] == symbols.tolist()
+        values, offsets = repair.expansions(rules, base)
+        assert values.tolist() == [x for p in parts for x in p] and np.diff(offsets).tolist() == [len(p) for p in parts]
+        assert repair.expansion_lengths(rules, base).tolist() == [len(p) for p in parts]
+    # One pair at a time, as the textbook has it, leaves a sequence of about the same length.
+    plain, symbol = made.tolist(), base + 1
+    while True:
+        best, n = Counter(p for p in zip(plain, plain[1:]) if base not in p).most_common(1)[0]
+        if n < repair.LEAST_COUNT:
+            break
+        out, k = [], 0
+        while k < len(plain):
+            hit = tuple(plain[k : k + 2]) == best
+            out.append(symbol if hit else plain[k])
+            k += 1 + hit
+        plain, symbol = out, symbol + 1
+    assert len(repair.compress(made.astype(np.uint32), base)[0]) < 1.1 * len(plain)
+
+
 # -- 9 -----------------------------------------------------------------------
 
 
