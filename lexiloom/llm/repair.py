@@ -44,6 +44,8 @@ from .packing import gather, pack_ints, unpack_ints
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_CHARS = 4_000_000
+#: Characters of text whose chunks are held at once.
+ENCODED_CHARS = 1_000_000
 #: A pair is frequent if it stands at so many places.
 LEAST_COUNT = 16
 #: Chunks whose ids a worker remembers; it forgets them all when there are more.
@@ -120,6 +122,12 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has."""
+        block = np.cumsum([len(t) for t in texts], dtype=np.int64) // ENCODED_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+        parts = [self._encode_some(texts[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+
+    def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > REMEMBERED:
             self._forget()
         even = [k for k, t in enumerate(texts) if _even(t) and not any(mark in t for mark in self.added)]
