@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+from collections import Counter
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
@@ -14,6 +15,8 @@ from lexiloom import analysis_queries, api
 from lexiloom.functions import text
 from lexiloom.operators import analyze as a
 from lexiloom.operators import dictionaries as d
+from lexiloom.operators.rules import analyse
+from lexiloom.operators.segment import Dictionaries
 from lexiloom.plans import mapping
 from lexiloom.plans import queries as q
 from lexiloom.plans import search as s
@@ -181,9 +184,25 @@ def test_table_function(spark, engine):
     assert [(r.term, r.type) for r in rows] == [("abc-123", "MODEL_NAME"), ("abc", "ALPHA"), ("123", "NUMBER"), ("10cm", "UNIT"), ("10", "NUMBER")]
 
 
-@pytest.mark.parametrize("name", sorted(analysis_queries.queries()))
-def test_analysis_queries_run(name, spark, small):
-    assert analysis_queries.queries()[name](spark, small).count() > 0
+def test_types_of_all_documents(spark, small):
+    """Against the rules run outside Spark, with dictionaries written down here."""
+    known = Dictionaries(words={"RING": -8.0}, user=frozenset({"RING"}), stop=frozenset({"OLD"}), units=frozenset({"CM", "KG"}), compound={"PLATE": ("disc", "flat")})
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    want = Counter(t.type for text in texts for t in analyse(text, known))
+    got = {r.type: r.times for r in analysis_queries.analyze_documents(spark, small).collect()}
+    assert len(texts) >= 200 and got == want and min(got.values()) > 0
+
+
+def test_segmented_words(spark, small):
+    got = [tuple(r) for r in analysis_queries.segment_words(spark, small).orderBy("id", "start").collect()]
+    cut = ["충전 배터리", "침대 매트리스 는", "가족용 텐트", "알수없는말"]
+    want = []
+    for k, words in enumerate(cut):
+        at = 0
+        for word in words.split():
+            want.append((k, word, "HANGUL", at, at + len(word), 1))
+            at += len(word)
+    assert got == want
 
 
 def test_filters_reach_the_scan(spark, small):
