@@ -501,8 +501,8 @@ def query_json(spark, sf_dir):
 """, lists=('chunks',))
 def model_name_candidates(spark, sf_dir):
     """Chunks of letters and digits joined by single connectors; those with both are model names."""
-    chunks = F.regexp_extract_all("url", F.lit("([A-Za-z0-9]+(?:[-./&][A-Za-z0-9]+)*)"), F.lit(1))
-    both = F.filter(chunks, lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
+    chunks = text.connected_chunks(F.col("url"))
+    both = F.filter(chunks, text.letters_and_digits)
     return _table(spark, sf_dir, "pages").select("page_id", chunks.alias("chunks"), F.size(both).cast("long").alias("models"))
 
 

@@ -137,3 +137,13 @@ def url_path(url: Column) -> Column:
 def url_query(url: Column) -> Column:
     """An address from its question mark on, with percent codes decoded; a plus sign stays, and what can't be decoded is null."""
     return F.try_url_decode(F.replace(F.regexp_extract(url, "[?].*", 0), F.lit("+"), F.lit("%2B")))
+
+
+def connected_chunks(text: Column) -> Column:
+    """Chunks of ASCII letters and digits joined by single connectors, in order."""
+    return F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+(?:[-./&][A-Za-z0-9]+)*)"), F.lit(1))
+
+
+def letters_and_digits(chunk: Column) -> Column:
+    """Whether a chunk may be a model name: it has both."""
+    return chunk.rlike("[0-9]") & chunk.rlike("[A-Za-z]")
