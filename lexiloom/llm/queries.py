@@ -15,6 +15,9 @@ _MODULES = {
     "op8_repair_ids": "repair",
     "op9_decontaminate": "decontaminate",
     "op10_quality": "quality",
+    "op11_resample": "resample",
+    "op12_token_counts": "piece_counts",
+    "op13_source_audit": "divergence",
 }
 
 
