@@ -11,6 +11,7 @@ from lexiloom.operators import analyze as a
 from lexiloom.operators import dictionaries as d
 from lexiloom.operators.rules import HIGHLIGHT, INDEX, SEARCH, Options, analyse
 from lexiloom.operators.segment import Dictionaries
+from lexiloom.plans import index as ix
 from lexiloom.plans import queries as q
 from lexiloom.plans import search as s
 from lexiloom.sources import records
@@ -58,9 +59,13 @@ class Engine:
         """The words that a search for ``text`` asks for, as a tree of AND and OR."""
         return q.explain(self.clauses(text))
 
-    def total(self, postings: DataFrame, fields: str, text: str) -> int:
+    def total(self, postings: DataFrame | ix.StoredIndex, fields: str, text: str) -> int:
         """How many rows hold all of ``text``'s terms."""
-        return s.total(s.matches(postings, self.clauses(text), q.parse_fields(fields))).first()["total"]
+        return s.total(_matches(postings, self.clauses(text), q.parse_fields(fields))).first()["total"]
+
+    def store(self, df: DataFrame, id_col: str, fields: list[str], path: str) -> ix.StoredIndex:
+        """The analysed fields as an index stored under ``path``; searches of it score by relevance."""
+        return ix.write_index(self.index(df, id_col, fields), path, df.count())
 
     def index(self, df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
         """Postings of the analysed fields, with parts at their term's position."""
@@ -71,7 +76,7 @@ class Engine:
     def search(
         self,
         table: DataFrame,
-        postings: DataFrame,
+        postings: DataFrame | ix.StoredIndex,
         id_col: str,
         fields: str,
         text: str,
@@ -83,6 +88,8 @@ class Engine:
     ) -> DataFrame:
         """A page of the rows that hold all of ``text``'s terms.
 
+        Postings of a stored index score by BM25 in each word's best field; a table of postings has no statistics, so
+        there each word scores its field's boost.
         ``query`` is a user's function_score, whose filters and weights apply. If its inner query
         is no bool, that takes the place of the terms.
         ``highlight`` has fields, and pre_tags and post_tags as lists of one.
@@ -91,7 +98,7 @@ class Engine:
         if q.replaces_analysed(query):
             rows = rows.withColumn("score", q.constant_score(query["function_score"].get("query", {})))
         else:
-            found = s.matches(postings, self.clauses(text), q.parse_fields(fields))
+            found = _matches(postings, self.clauses(text), q.parse_fields(fields))
             rows = rows.join(found, F.col(id_col) == F.col("doc")).drop("doc")
         if query and "function_score" in query:
             rows = rows.withColumn("score", q.function_score(F.col("score"), query["function_score"]))
@@ -113,6 +120,10 @@ class Engine:
         return bool(self.dictionaries.words or self.dictionaries.units)
 
 
+def _matches(postings: DataFrame | ix.StoredIndex, asked: list[q.Clause], boosts: dict[str, float]) -> DataFrame:
+    return postings.matches(asked, boosts) if isinstance(postings, ix.StoredIndex) else s.matches(postings, asked, boosts)
+
+
 def _as_dict(t) -> dict:
     return {"term": t.term, "type": t.type, "synonyms": t.synonyms, "extras": [{"term": e.term, "type": e.type, "synonyms": e.synonyms} for e in t.extras]}
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import hangul, text
 from lexiloom.operators import dictionaries as d
+from lexiloom.plans import index as ix
 from lexiloom.plans import mapping
 from lexiloom.plans import queries as q
 from lexiloom.plans import search as s
 from lexiloom.sources import records as r
+from lexiloom.sources.shared import shared_dir
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -156,11 +158,13 @@ def string_functions(spark, sf_dir):
 
 
 @_register("""
-    SELECT n AS code, chr(CAST(n AS INTEGER)) AS syllable, (n - 44032) // 588 AS i, ((n - 44032) % 588) // 28 AS m, (n - 44032) % 28 AS f, chr(CAST(n AS INTEGER)) AS again FROM range(44032, 55204) t(n)
+    SELECT o_orderkey, n AS code, chr(CAST(n AS INTEGER)) AS syllable, (n - 44032) // 588 AS i, ((n - 44032) % 588) // 28 AS m, (n - 44032) % 28 AS f, chr(CAST(n AS INTEGER)) AS again
+    FROM (SELECT o_orderkey, 44032 + (o_orderkey * 7 + o_custkey) % 11172 AS n FROM orders)
 """)
 def hangul_elements(spark, sf_dir):
-    """Every syllable taken apart and put together."""
-    made = spark.range(hangul.FIRST, hangul.LAST + 1).select(F.col("id").alias("code"))
+    """A syllable for each order, put together from its elements, taken apart and put together again."""
+    orders = _table(spark, sf_dir, "orders")
+    made = orders.select("o_orderkey", (F.lit(hangul.FIRST) + (F.col("o_orderkey") * 7 + F.col("o_custkey")) % (hangul.LAST - hangul.FIRST + 1)).alias("code"))
     syllable = hangul.compose(
         F.substr(F.lit(hangul.INITIALS), (F.floor((F.col("code") - hangul.FIRST) / 588) + 1).cast("int"), F.lit(1)),
         F.substr(F.lit(hangul.MEDIALS), (F.floor((F.col("code") - hangul.FIRST) % 588 / 28) + 1).cast("int"), F.lit(1)),
@@ -169,6 +173,7 @@ def hangul_elements(spark, sf_dir):
     c = F.col("syllable")
     split = made.withColumn("syllable", syllable)
     return split.select(
+        "o_orderkey",
         "code",
         "syllable",
         (F.instr(F.lit(hangul.INITIALS), hangul.initial(c)) - 1).cast("long").alias("i"),
@@ -208,26 +213,39 @@ def date_field(spark, sf_dir):
 
 # -- dictionaries --------------------------------------------------------------
 
-_SOURCE = """
-    ('1', NULL, 'red,crimson,scarlet', 'SYNONYM'), ('2', 'widget', 'gizmo,thing', 'SYNONYM'), ('3', 'gizmo', 'widget', 'SYNONYM'), ('4', 'hot', 'warm', 'SYNONYM'),
-    ('5', 'big ring', 'hoop', 'SYNONYM'), ('6', 'red', NULL, 'STOP'), ('7', 'old', NULL, 'STOP'), ('8', 'small ring', NULL, 'SPACE'), ('9', 'ringrod', 'ring,rod', 'COMPOUND'),
-    ('10', 'CM', NULL, 'UNIT'), ('11', ' K G ', NULL, 'UNIT'), ('12', NULL, 'TB,tera,terabyte', 'UNIT_SYNONYM'), ('13', 'widget', 'late', 'MAP'), ('14', 'widget', 'a,b', 'MAP')
-"""
-_SOURCE_SQL = f"src AS (SELECT * FROM (VALUES {_SOURCE}) AS v(id, keyword, value, type))"
+#: Every product is a dictionary row whose kind is told by the product's type; these expressions are the same in both engines.
+_SOURCE = {
+    "id": "CAST(p_partkey AS STRING)",
+    "keyword": """CASE p_type WHEN 'ECONOMY' THEN NULL WHEN 'SMALL' THEN replace(p_name, ' ', '') WHEN 'LARGE' THEN split_part(p_name, ' ', 1)
+        WHEN 'MEDIUM' THEN p_brand ELSE p_name END""",
+    "value": """CASE p_type WHEN 'ECONOMY' THEN replace(p_name, ' ', ',') || ',' || p_brand WHEN 'PROMO' THEN p_brand || ',' || split_part(p_name, ' ', 2)
+        WHEN 'SMALL' THEN replace(p_name, ' ', ',') WHEN 'LARGE' THEN p_brand || ',' || split_part(p_name, ' ', 2) END""",
+    "type": """CASE p_type WHEN 'ECONOMY' THEN 'SYNONYM' WHEN 'PROMO' THEN 'SYNONYM' WHEN 'STANDARD' THEN 'SPACE' WHEN 'SMALL' THEN 'COMPOUND'
+        WHEN 'LARGE' THEN 'MAP' ELSE 'STOP' END""",
+}
+_SOURCE_SQL = f"src AS (SELECT {', '.join(f'{e} AS {name}' for name, e in _SOURCE.items())} FROM part)"
 _PAIRS_SQL = f"""
     {_SOURCE_SQL}, one AS (
         SELECT unnest(list_distinct([trim(keyword), replace(trim(keyword), ' ', '')])) AS word, string_split(value, ',') AS vs FROM src WHERE type = 'SYNONYM' AND keyword IS NOT NULL
     ), two AS (SELECT unnest(string_split(value, ',')) AS word, string_split(value, ',') AS vs FROM src WHERE type = 'SYNONYM' AND keyword IS NULL
     ), pairs AS (SELECT DISTINCT word, synonym FROM (SELECT word, unnest(vs) AS synonym FROM one UNION ALL SELECT word, unnest(vs) FROM two) WHERE word <> synonym)
 """
+#: Sets grown over words that name the first word, and those that hold one way only.
+_CLOSURE_SQL = f"""
+    RECURSIVE {_PAIRS_SQL}, found AS (
+        SELECT p.word, p.synonym AS other FROM pairs p JOIN pairs b ON p.word = b.synonym AND p.synonym = b.word
+        UNION SELECT f.word, p.synonym FROM found f JOIN pairs p ON f.other = p.word JOIN pairs b ON b.word = p.synonym AND b.synonym = f.word WHERE p.synonym <> f.word
+    ), sets AS (SELECT word, list_sort(list_append(list(other), word)) AS words FROM found GROUP BY word
+    ), single AS (SELECT word, string_agg(synonym, ',' ORDER BY synonym) AS vs FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs b WHERE b.word = p.synonym AND b.synonym = p.word) GROUP BY word)
+"""
 
 
-def _source(spark):
-    return spark.sql(f"SELECT * FROM VALUES {_SOURCE} AS v(id, keyword, value, type)")
+def _source(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(*[F.expr(e).alias(name) for name, e in _SOURCE.items()])
 
 
-def _synonyms(spark):
-    return d.of_type(_source(spark), "synonym")
+def _synonyms(spark, sf_dir):
+    return d.of_type(_source(spark, sf_dir), "synonym")
 
 
 @_register("SELECT DISTINCT replace(trim(word), ' ', '') AS key FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE word <> ''")
@@ -238,27 +256,27 @@ def set_dict(spark, sf_dir):
 
 @_register(f"WITH {_SOURCE_SQL} SELECT keyword AS key, string_split(arg_max(value, id), ',') AS values FROM src WHERE type = 'MAP' GROUP BY keyword", lists=('values',))
 def map_dict(spark, sf_dir):
-    return d.build_map(d.of_type(_source(spark), "map"))
+    return d.build_map(d.of_type(_source(spark, sf_dir), "map"))
 
 
 @_register(f"WITH {_PAIRS_SQL} SELECT word AS key, list_sort(list(synonym)) AS values FROM pairs GROUP BY word", lists=('values',))
 def synonym_dict(spark, sf_dir):
-    return d.build_synonyms(_synonyms(spark))
+    return d.build_synonyms(_synonyms(spark, sf_dir))
 
 
 @_register(f"WITH {_PAIRS_SQL} SELECT p.word, p.synonym FROM pairs p JOIN pairs b ON p.word = b.synonym AND p.synonym = b.word")
 def synonym_mutual(spark, sf_dir):
-    return d.mutual_pairs(d.synonym_pairs(_synonyms(spark)))
+    return d.mutual_pairs(d.synonym_pairs(_synonyms(spark, sf_dir)))
 
 
 @_register(f"WITH {_PAIRS_SQL} SELECT DISTINCT word FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs b WHERE b.word = p.synonym AND b.synonym = p.word)")
 def synonym_one_way(spark, sf_dir):
-    return d.one_way_words(d.synonym_pairs(_synonyms(spark)))
+    return d.one_way_words(d.synonym_pairs(_synonyms(spark, sf_dir)))
 
 
-@_register("SELECT * FROM (VALUES ('crimson', ['crimson', 'red', 'scarlet']), ('gizmo', ['gizmo', 'widget']), ('red', ['crimson', 'red', 'scarlet']), ('scarlet', ['crimson', 'red', 'scarlet']), ('widget', ['gizmo', 'widget'])) AS v(word, words)", lists=('words',))
+@_register(f"WITH {_CLOSURE_SQL} SELECT word, words FROM sets", lists=('words',))
 def synonym_two_way_sets(spark, sf_dir):
-    return d.two_way_sets(d.synonym_pairs(_synonyms(spark)))
+    return d.two_way_sets(d.synonym_pairs(_synonyms(spark, sf_dir)))
 
 
 @_register(f"""
@@ -266,23 +284,32 @@ def synonym_two_way_sets(spark, sf_dir):
     SELECT DISTINCT word FROM (SELECT unnest(list_concat([w], string_split(w, ' '))) AS word FROM w) WHERE word <> ''
 """)
 def synonym_words(spark, sf_dir):
-    return d.word_set(_synonyms(spark))
+    return d.word_set(_synonyms(spark, sf_dir))
 
 
-@_register("SELECT * FROM (VALUES ('red', ['blue', 'crimson']), ('blue', ['crimson', 'red']), ('crimson', ['blue', 'red'])) AS v(key, values)", lists=('values',))
+@_register("""
+    WITH built AS (SELECT a.p_type AS key, b.p_type AS value FROM part a JOIN part b ON a.p_name = b.p_name WHERE a.p_type <> b.p_type UNION SELECT p_type, p_brand FROM part),
+    keys AS (SELECT DISTINCT key FROM built), each AS (SELECT DISTINCT key, value FROM built WHERE value IN (SELECT key FROM keys)),
+    kept AS (SELECT value AS key FROM each GROUP BY value HAVING count(DISTINCT key) = (SELECT count(*) - 1 FROM keys))
+    SELECT key, list_sort(list(value)) AS values FROM each WHERE key IN (SELECT key FROM kept) AND value IN (SELECT key FROM kept) GROUP BY key
+""", lists=('values',))
 def synonym_cliques(spark, sf_dir):
-    built = spark.sql("SELECT * FROM VALUES ('red', array('blue', 'crimson', 'x')), ('blue', array('red', 'crimson')), ('crimson', array('red', 'blue')) AS v(key, values)")
-    return d.mutual_cliques(built)
+    """Types of products that all other types share a name with."""
+    part = _table(spark, sf_dir, "part")
+    named = part.select("p_name", F.col("p_type").alias("key")).distinct()
+    shared = named.join(named.withColumnRenamed("key", "value"), "p_name").where("key <> value").select("key", "value")
+    pairs = shared.unionByName(part.select(F.col("p_type").alias("key"), F.col("p_brand").alias("value")))
+    return d.mutual_cliques(pairs.groupBy("key").agg(F.collect_set("value").alias("values")))
 
 
-@_register(f"WITH {_SOURCE_SQL} SELECT regexp_replace(trim(keyword), '\\s', '', 'g') AS key, string_split(trim(keyword), ' ') AS values FROM src WHERE type = 'SPACE'", lists=('values',))
+@_register(f"WITH {_SOURCE_SQL} SELECT DISTINCT regexp_replace(trim(keyword), '\\s', '', 'g') AS key, string_split(trim(keyword), ' ') AS values FROM src WHERE type = 'SPACE'", lists=('values',))
 def space_dict(spark, sf_dir):
-    return d.build_space(d.of_type(_source(spark), "space"))
+    return d.build_space(d.of_type(_source(spark, sf_dir), "space"))
 
 
-@_register(f"WITH {_SOURCE_SQL} SELECT keyword AS key, string_split(value, ',') AS values FROM src WHERE type = 'COMPOUND'", lists=('values',))
+@_register(f"WITH {_SOURCE_SQL} SELECT DISTINCT keyword AS key, string_split(value, ',') AS values FROM src WHERE type = 'COMPOUND'", lists=('values',))
 def compound_dict(spark, sf_dir):
-    return d.build_compound(d.of_type(_source(spark), "compound"))
+    return d.build_compound(d.of_type(_source(spark, sf_dir), "compound"))
 
 
 @_register("SELECT p_name AS key, CAST(p_partkey AS VARCHAR) AS id, string_split(p_brand || ',' || p_type, ',') AS values FROM part", lists=('values',))
@@ -307,26 +334,38 @@ def noun_injection(spark, sf_dir):
 
 
 @_register("""
-    SELECT word, tag, CAST(prob AS DOUBLE) AS prob FROM (VALUES ('ab', 'N', -5.0), ('ab', 'V', -13.0), ('x', 'N', -16.0), ('cd', 'J', -13.0)) AS v(word, tag, prob)
+    WITH lines AS (SELECT unnest(list_append(string_split(p_name, ' '), substr(p_brand, 1, 1))) AS word, p_type, -p_size AS score FROM part),
+    tagged AS (SELECT word, CASE p_type WHEN 'ECONOMY' THEN 'N' WHEN 'LARGE' THEN 'N' WHEN 'MEDIUM' THEN 'V' WHEN 'PROMO' THEN 'J' WHEN 'STANDARD' THEN 'XPN' END AS tag, score FROM lines)
+    SELECT word, tag, CAST(max(CASE WHEN length(word) = 1 AND score > -13 THEN -16 ELSE score END) AS DOUBLE) AS prob FROM tagged WHERE tag IS NOT NULL AND (length(word) > 1 OR tag = 'N') GROUP BY word, tag
 """)
 def scored_words(spark, sf_dir):
-    lines = spark.createDataFrame([("# c",), ("",), ("ab\tNNG\t-9",), ("ab\tNNP\t-5",), ("ab\tVV\t-13",), ("x\tN\t-2",), ("y\tV\t-2",), ("cd\tJKS\t-13",), ("zz\tQ\t-1",), ("bad",)], "value string")
-    return d.scored_words(lines)
+    """Lines of word, tag and score, among comments and blank lines, read into the system dictionary."""
+    tags = F.create_map(*[F.lit(x) for pair in {"ECONOMY": "NNG", "LARGE": "NNP", "MEDIUM": "VV", "PROMO": "JKS", "SMALL": "ZZ", "STANDARD": "XPN"}.items() for x in pair])
+    words = F.explode(F.concat(F.split("p_name", " "), F.array(F.substring("p_brand", 1, 1)))).alias("word")
+    part = _table(spark, sf_dir, "part").select(words, F.element_at(tags, F.col("p_type")).alias("tag"), (-F.col("p_size")).cast("string").alias("score"))
+    told = part.select(F.concat_ws("\t", "word", "tag", "score").alias("value"))
+    noise = part.select(F.concat(F.lit("# "), "word").alias("value")).unionByName(part.select(F.lit("").alias("value"))).unionByName(part.select(F.col("word").alias("value")))
+    return d.scored_words(told.unionByName(noise))
+
+
+_APPLIED = "CASE o_orderstatus WHEN 'F' THEN 'STOP' WHEN 'O' THEN 'SYNONYM' ELSE 'SPACE' END"
 
 
 @_register(f"""
-    WITH {_SOURCE_SQL}, c AS (SELECT type AS name, count(*) AS n FROM src GROUP BY type)
-    SELECT v.name, v.kind, coalesce(n, 0) AS count, CASE WHEN v.name = 'STOP' THEN '2020-01-02 00:00:00' END AS applied_time, CAST(CASE WHEN v.name = 'STOP' THEN 2 ELSE 0 END AS BIGINT) AS applied_count
-    FROM (VALUES {', '.join(f"('{c.name.upper()}', '{c.kind}')" for c in d.CONFIGURED)}) AS v(name, kind) LEFT JOIN c ON c.name = v.name
+    WITH {_SOURCE_SQL}, c AS (SELECT type AS name, count(*) AS n FROM src GROUP BY type),
+    log AS (SELECT {_APPLIED} AS name, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS applied_time, count(*) AS applied_count FROM orders GROUP BY 1)
+    SELECT v.name, v.kind, coalesce(n, 0) AS count, applied_time, coalesce(applied_count, 0) AS applied_count
+    FROM (VALUES {', '.join(f"('{c.name.upper()}', '{c.kind}')" for c in d.CONFIGURED)}) AS v(name, kind) LEFT JOIN c ON c.name = v.name LEFT JOIN log ON log.name = v.name
 """)
 def dict_info(spark, sf_dir):
-    log = spark.sql("SELECT 'STOP' AS id, '2020-01-02 00:00:00' AS applied_time, 2 AS count")
-    return d.dictionary_info(_source(spark), log)
+    """Each dictionary with its rows and with what an apply log says of it."""
+    log = _table(spark, sf_dir, "orders").groupBy(F.expr(_APPLIED).alias("id")).agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd HH:mm:ss").alias("applied_time"), F.count("*").alias("count"))
+    return d.dictionary_info(_source(spark, sf_dir), log)
 
 
 @_register(f"WITH {_SOURCE_SQL} SELECT * FROM src WHERE keyword = 'widget' OR list_contains(string_split(coalesce(value, ''), ','), 'widget')")
 def dict_find(spark, sf_dir):
-    return d.find_word(_source(spark), "widget")
+    return d.find_word(_source(spark, sf_dir), "widget")
 
 
 @_register("SELECT DISTINCT word AS key FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) WHERE length(word) < 8 AND word NOT IN (SELECT DISTINCT lower(p_type) FROM part)")
@@ -353,18 +392,21 @@ def folded_lookup(spark, sf_dir):
 
 
 @_register(f"""
-    WITH {_SOURCE_SQL} SELECT p_partkey, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) WHERE {_FOLD.format('word')} NOT IN (SELECT {_FOLD.format('keyword')} FROM src WHERE type = 'STOP')
+    SELECT p_partkey, word FROM (SELECT p_partkey, unnest(list_append(string_split(p_name, ' '), p_brand)) AS word FROM part)
+    WHERE {_FOLD.format('word')} NOT IN ('RED', 'OLD') AND {_FOLD.format('word')} NOT IN (SELECT {_FOLD.format('p_brand')} FROM part WHERE p_type = 'MEDIUM')
 """)
 def stop_filter(spark, sf_dir):
-    words = _table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
-    stops = d.compile_dictionary(_source(spark), d.DictionaryConfig("stop", "SET")).select(text.fold(F.col("key")).alias("stop"))
+    """Words of names and brands without the stop words: two words, and brands that the table makes stop words."""
+    words = _table(spark, sf_dir, "part").select("p_partkey", F.explode(F.concat(F.split("p_name", " "), F.array("p_brand"))).alias("word"))
+    more = spark.sql("SELECT * FROM VALUES ('a', 'red', NULL, 'STOP'), ('b', 'old', NULL, 'STOP') AS v(id, keyword, value, type)")
+    stops = d.compile_dictionary(_source(spark, sf_dir).unionByName(more), d.DictionaryConfig("stop", "SET")).select(text.fold(F.col("key")).alias("stop"))
     return words.join(stops, text.fold(F.col("word")) == F.col("stop"), "left_anti")
 
 
-@_register("SELECT * FROM (VALUES (NULL, 'crimson,red,scarlet'), (NULL, 'gizmo,widget'), ('widget', 'thing'), ('hot', 'warm'), ('big ring', 'hoop'), ('bigring', 'hoop')) AS v(keyword, value)")
+@_register(f"WITH {_CLOSURE_SQL} SELECT DISTINCT CAST(NULL AS VARCHAR) AS keyword, array_to_string(words, ',') AS value FROM sets UNION ALL SELECT word, vs FROM single")
 def dict_restore(spark, sf_dir):
     config = d.DictionaryConfig("synonym", "SYNONYM")
-    return d.restore_rows(d.compile_dictionary(_source(spark), config), config).select("keyword", "value")
+    return d.restore_rows(d.compile_dictionary(_source(spark, sf_dir), config), config).select("keyword", "value")
 
 
 # -- search --------------------------------------------------------------------
@@ -484,16 +526,113 @@ def bm25(spark, sf_dir):
     return s.bm25(docs, ["the", "thing", "oning"]).withColumn("score", F.round("score", 6))
 
 
+_STORED: dict[tuple[str, str, str], ix.StoredIndex] = {}
+
+
+def _stored(spark, sf_dir, name: str, key: str, fields: list[str]) -> ix.StoredIndex:
+    """The stored index of one table, built once for a session."""
+    known = (spark.sparkContext.applicationId, sf_dir, name)
+    if known not in _STORED:
+        table = _table(spark, sf_dir, name)
+        _STORED[known] = ix.write_index(s.postings(table, key, fields), shared_dir(spark), table.count())
+    return _STORED[known]
+
+
+def _stored_documents(spark, sf_dir):
+    return _stored(spark, sf_dir, "documents", "doc_id", ["text", "source", "lang"])
+
+
+def _stored_parts(spark, sf_dir):
+    return _stored(spark, sf_dir, "part", "p_partkey", ["p_name", "p_brand", "p_type"])
+
+
+def _best_field_sql(table: str, key: str, boosts: dict[str, float], words: list[str]) -> str:
+    """SQL for t(doc, field, term), and for sc(doc, term, field, s): each word's BM25 score in each field."""
+    tokens = " UNION ALL ".join(
+        f"SELECT {key} AS doc, '{f}' AS field, CAST({b} AS DOUBLE) AS boost, unnest(list_filter(regexp_extract_all({f}, '{_RUNS}', 1), lambda x: regexp_matches(x, '{_TERM}'))) AS term FROM {table}" for f, b in boosts.items()
+    )
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"""
+        t AS ({tokens}), dl AS (SELECT doc, field, count(*) AS dl FROM t GROUP BY ALL), w AS (SELECT field, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY field),
+        tf AS (SELECT doc, field, boost, term, count(*) AS tf FROM t WHERE term IN ({listed}) GROUP BY ALL), df AS (SELECT term, field, count(*) AS df FROM tf GROUP BY ALL),
+        sc AS (SELECT doc, term, field, boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM tf JOIN df USING (term, field) JOIN dl USING (doc, field) JOIN w USING (field)),
+        best AS (SELECT doc, max(s) AS score FROM (SELECT doc, field, sum(s) AS s FROM sc GROUP BY ALL) GROUP BY doc)"""
+
+
+_DOC_BOOSTS, _DOC_WORDS = {"text": 1.5, "source": 2.0, "lang": 1.0}, ["the", "thing", "src", "7", "de"]
+_PART_BOOSTS, _PART_WORDS = {"p_name": 1.5, "p_brand": 0.5, "p_type": 2.0}, ["red", "widget", "PROMO", "13"]
+
+
+@_register(f"WITH {_best_field_sql('documents', 'doc_id', {'text': 1.0}, ['the', 'thing', 'oning'])} SELECT doc, round(score, 6) AS score FROM best")
+def bm25_stored(spark, sf_dir):
+    """BM25 of all documents with one of three words, from those words' blocks of the stored index."""
+    return _stored_documents(spark, sf_dir).best_field(["the", "thing", "oning"], {"text": 1.0}).withColumn("score", F.round("score", 6))
+
+
+@_register(f"WITH {_best_field_sql('documents', 'doc_id', _DOC_BOOSTS, _DOC_WORDS)} SELECT doc, round(score, 6) AS score FROM best")
+def best_field_documents(spark, sf_dir):
+    """The best of three boosted fields, each with its own length statistics."""
+    return _stored_documents(spark, sf_dir).best_field(_DOC_WORDS, _DOC_BOOSTS).withColumn("score", F.round("score", 6))
+
+
+@_register(f"WITH {_best_field_sql('part', 'p_partkey', _PART_BOOSTS, _PART_WORDS)} SELECT doc, round(score, 6) AS score FROM best")
+def best_field_parts(spark, sf_dir):
+    return _stored_parts(spark, sf_dir).best_field(_PART_WORDS, _PART_BOOSTS).withColumn("score", F.round("score", 6))
+
+
+@_register(f"WITH {_best_field_sql('documents', 'doc_id', _DOC_BOOSTS, _DOC_WORDS)} SELECT doc, round(score, 6) AS score FROM best ORDER BY round(score, 9) DESC, doc LIMIT 40")
+def top_documents(spark, sf_dir):
+    """The 40 best documents, for which most groups are left out by their bounds."""
+    return _stored_documents(spark, sf_dir).top(_DOC_WORDS, _DOC_BOOSTS, 40).withColumn("score", F.round("score", 6))
+
+
+@_register(f"""
+    WITH {_best_field_sql('part', 'p_partkey', _PART_BOOSTS, ['red', 'widget', 'gizmo', 'hot', 'ring'])},
+    one AS (SELECT doc, term, max(s) AS s FROM sc GROUP BY ALL), wide AS (SELECT doc, max(s) FILTER (term = 'red') AS red, max(s) FILTER (term = 'widget') AS widget, max(s) FILTER (term = 'gizmo') AS gizmo, max(s) FILTER (term = 'hot') + max(s) FILTER (term = 'ring') AS hot_ring FROM one GROUP BY doc)
+    SELECT doc, round(greatest(red, hot_ring) + greatest(widget, gizmo), 6) AS score FROM wide WHERE greatest(red, hot_ring) IS NOT NULL AND greatest(widget, gizmo) IS NOT NULL
+""")
+def search_stored(spark, sf_dir):
+    """Clauses with synonyms of one and two words, scored by relevance, from the stored index."""
+    asked = [q.clause("red", ("hot ring",)), q.clause("widget", ("gizmo",))]
+    return _stored_parts(spark, sf_dir).matches(asked, _PART_BOOSTS).withColumn("score", F.round("score", 6))
+
+
+def _phrase_sql(words: list[str], slop: int) -> str:
+    """All places of each word, moved back by its place in the phrase, within the slop of each other."""
+    tokens = f"SELECT doc_id AS doc, list_filter(regexp_extract_all(text, '{_RUNS}', 1), lambda x: regexp_matches(x, '{_TERM}')) AS ws FROM documents"
+    joins = " ".join(f"JOIN p p{k} ON p{k}.doc = p0.doc AND p{k}.term = '{w}' AND abs(p{k}.pos - {k} - p0.pos) <= {slop}" for k, w in enumerate(words) if k)
+    moved = ", ".join(f"p{k}.pos - {k}" for k in range(len(words)))
+    return f"""
+        WITH t AS ({tokens}), p AS (SELECT doc, unnest(ws) AS term, generate_subscripts(ws, 1) AS pos FROM t)
+        SELECT DISTINCT p0.doc, 'text' AS field FROM p p0 {joins} WHERE p0.term = '{words[0]}' AND greatest({moved}) - least({moved}) <= {slop}"""
+
+
+_PHRASE, _LOOSE = ["thanedble", "the", "anea", "Eriner"], ["and", "the", "thing"]
+
+
+@_register(_phrase_sql(_PHRASE, 0))
+def phrase_exact(spark, sf_dir):
+    """Documents with four words in a row, by the positions in the postings."""
+    return _stored_documents(spark, sf_dir).phrase(_PHRASE, ["text"])
+
+
+@_register(_phrase_sql(_LOOSE, 4))
+def phrase_sloppy(spark, sf_dir):
+    """Documents with three words in order or nearly so."""
+    return _stored_documents(spark, sf_dir).phrase(_LOOSE, ["text"], 4)
+
+
 @_register("""
-    SELECT '{"bool":{"must":[{"multi_match":{"query":"red","fields":["p_name"],"analyzer":"whitespace"}},{"bool":{"should":[{"multi_match":{"query":"widget","fields":["p_name"],"analyzer":"whitespace"}},{"bool":{"must":[{"multi_match":{"query":"round","fields":["p_name"],"analyzer":"whitespace"}},{"multi_match":{"query":"thing","fields":["p_name"],"analyzer":"whitespace"}}]}}]}}]}}' AS query,
-        '{"AND":["red",{"OR":["widget",{"AND":["round","thing"]}]}]}' AS tree
+    WITH w AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b, p_brand AS s FROM part), m AS (SELECT *, '","fields":["p_name"],"analyzer":"whitespace"}}' AS rest, '{"multi_match":{"query":"' AS head FROM w)
+    SELECT p_partkey, '{"bool":{"must":[{"bool":{"should":[' || head || a || rest || ',{"bool":{"must":[' || head || s || rest || ',' || head || 'new' || rest || ']}}]}},' || head || b || rest || ']}}' AS query,
+        '{"AND":[{"OR":["' || a || '",{"AND":["' || s || '","new"]}]},"' || b || '"]}' AS tree FROM m
 """)
 def query_json(spark, sf_dir):
-    import json
-
-    asked = [q.clause("red"), q.clause("widget", ("round thing",))]
-    short = lambda x: json.dumps(x, separators=(",", ":"))
-    return spark.createDataFrame([(short(q.query_json(asked, ["p_name"])), short(q.explain(asked)))], "query string, tree string")
+    """The JSON forms of a search for each product's two words, the first with a synonym of two words."""
+    part = _table(spark, sf_dir, "part")
+    tokens = F.transform(F.split("p_name", " "), lambda w, k: F.struct(w.alias("term"), F.lit("ALPHA").alias("type"), F.when(k == 0, F.array(F.concat(F.col("p_brand"), F.lit(" new")))).otherwise(F.array().cast("array<string>")).alias("synonyms")))
+    both = q.written(tokens, ["p_name"])
+    return part.select("p_partkey", both["query"].alias("query"), both["tree"].alias("tree"))
 
 
 @_register(r"""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import fold, remove_spaces, split_spaces
+from lexiloom.sources.shared import staged
 
 #: Log-probabilities of nouns by the name that a dictionary is configured with; other names add no nouns.
 NOUN_SCORES = {"MAX": -5.0, "HIGH": -8.0, "MID": -13.0, "MIN": -16.0}
@@ -114,9 +115,9 @@ def scored_words(lines: DataFrame) -> DataFrame:
     and tag the best score stays.
     """
     parts = lines.where(~F.col("value").rlike(r"^\s*(#|//|$)")).select(F.split("value", "\t").alias("p")).where("size(p) >= 3")
-    tag = F.element_at("p", 2)
+    tag = F.get("p", F.lit(1))
     group = F.when(tag.startswith("N"), "N").when(tag.startswith("V"), "V").when(tag.startswith("M"), "M").when(tag.startswith("IC"), "IC").when(tag.startswith("J"), "J").when(tag.startswith("E"), "E").when(tag.startswith("XPN"), "XPN")
-    words = parts.select(F.element_at("p", 1).alias("word"), group.alias("tag"), F.element_at("p", 3).cast("double").alias("prob")).where("tag IS NOT NULL AND prob IS NOT NULL AND word <> ''")
+    words = parts.select(F.get("p", F.lit(0)).alias("word"), group.alias("tag"), F.get("p", F.lit(2)).cast("double").alias("prob")).where("tag IS NOT NULL AND prob IS NOT NULL AND word <> ''")
     single = F.length("word") == 1
     words = words.where(~single | (F.col("tag") == "N")).withColumn("prob", F.when(single & (F.col("prob") > -13), F.lit(-16.0)).otherwise(F.col("prob")))
     return best_scores(words)
@@ -157,16 +158,18 @@ def mutual_pairs(pairs: DataFrame) -> DataFrame:
 def two_way_sets(pairs: DataFrame) -> DataFrame:
     """(word, words): each word with those it reaches over its synonyms that name it in turn; words alone have no row.
 
-    Reaching goes on over words that were added, so it takes as many rounds as the longest chain.
+    Reaching goes on over words that were added, so it takes as many rounds as the longest chain. Each round joins
+    only the pairs that the one before found, and writes what it adds.
     """
+    pairs = staged(pairs.select("word", "synonym").distinct())
     naming = pairs.select(F.col("synonym").alias("word"), F.col("word").alias("other"))
-    found = pairs.withColumnRenamed("synonym", "other").join(naming, ["word", "other"], "left_semi").select("word", "other").distinct()
-    size, before = found.count(), -1
-    while size != before:
-        on = found.alias("f").join(pairs.alias("p"), F.col("f.other") == F.col("p.word")).select(F.col("f.word").alias("word"), F.col("p.synonym").alias("other"))
-        grown = on.where("word <> other").join(naming, ["word", "other"], "left_semi")
-        found = found.unionByName(grown).distinct().cache()
-        before, size = size, found.count()
+    new = staged(pairs.withColumnRenamed("synonym", "other").join(naming, ["word", "other"], "left_semi").select("word", "other"))
+    found = new
+    while not new.isEmpty():
+        on = new.alias("f").join(pairs.alias("p"), F.col("f.other") == F.col("p.word")).select(F.col("f.word").alias("word"), F.col("p.synonym").alias("other"))
+        grown = on.where("word <> other").distinct().join(naming, ["word", "other"], "left_semi")
+        new = staged(grown.join(found, ["word", "other"], "left_anti").select("word", "other"))
+        found = found.unionByName(new)
     return found.groupBy("word").agg(F.array_sort(F.concat(F.collect_set("other"), F.array(F.first("word")))).alias("words"))
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,7 +36,9 @@ def clause(term: str, synonyms: tuple[str, ...] = (), extras: tuple[tuple[str, t
 
 def clauses(tokens: list[dict]) -> list[Clause]:
     """One clause for each analysed token; the token of the whole text is passed over."""
-    return [clause(t["term"], tuple(t.get("synonyms") or ()), tuple((e["term"], tuple(e.get("synonyms") or ())) for e in t.get("extras") or ())) for t in tokens if t["type"] != "FULL_STRING"]
+    listed = lambda x: () if x is None else tuple(x)
+    parts = lambda t: tuple((e["term"], listed(e.get("synonyms"))) for e in listed(t.get("extras")))
+    return [clause(t["term"], listed(t.get("synonyms")), parts(t)) for t in tokens if t["type"] != "FULL_STRING"]
 
 
 def parse_fields(fields: str) -> dict[str, float]:
@@ -63,6 +67,19 @@ def explain(asked: list[Clause]) -> dict:
     return {"AND": [way(c.alternatives[0]) if len(c.alternatives) == 1 else {"OR": [way(a) for a in c.alternatives]} for c in asked]}
 
 
+def written(tokens: Column, fields: list[str], analyzer: str = "whitespace") -> Column:
+    """struct<query, tree>: the JSON forms of the queries that a column of analysed tokens asks for."""
+
+    @F.pandas_udf("struct<query: string, tree: string>")
+    def forms(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        short = lambda x: json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+        for rows in parts:
+            asked = [clauses([dict(t) for t in row]) if row is not None else [] for row in rows]
+            yield pd.DataFrame({"query": [short(query_json(a, fields, analyzer)) for a in asked], "tree": [short(explain(a)) for a in asked]})
+
+    return forms(tokens)
+
+
 def _words(field: str) -> Column:
     return split_spaces(F.coalesce(F.col(field).cast("string"), F.lit("")))
 

@@ -52,9 +52,14 @@ def matches(postings_: DataFrame, asked: list[Clause], boosts: dict[str, float]
     if boosts:
         postings_ = postings_.where(F.col("field").isin(list(boosts)))
         boost = F.element_at(F.create_map(*[x for f, b in boosts.items() for x in (F.lit(f), F.lit(b))]), F.col("field"))
+    return held_clauses(postings_.select("doc", "term", boost.alias("s")), asked)
+
+
+def held_clauses(hits: DataFrame, asked: list[Clause]) -> DataFrame:
+    """(doc, score) of the documents whose ``hits(doc, term, s)`` let every clause hold; a word counts its greatest ``s``."""
     # Dealt by document once, for which all four steps group.
-    hits = postings_.join(_word_table(postings_, asked), "term").repartition("doc")
-    words = hits.groupBy("doc", "clause", "way", "need", "term").agg(F.max(boost).alias("s"))
+    dealt = hits.join(_word_table(hits, asked), "term").repartition("doc")
+    words = dealt.groupBy("doc", "clause", "way", "need", "term").agg(F.max("s").alias("s"))
     ways = words.groupBy("doc", "clause", "way", "need").agg(F.count("*").alias("n"), F.sum("s").alias("s")).where("n = need")
     held = ways.groupBy("doc", "clause").agg(F.max("s").alias("s"))
     return held.groupBy("doc").agg(F.count("*").alias("n"), F.sum("s").alias("score")).where(F.col("n") == len(asked)).select("doc", "score")
