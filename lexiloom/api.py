@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import analyze as a
 from lexiloom.operators import dictionaries as d
+from lexiloom.operators.lattice import DictionaryTable
 from lexiloom.operators.rules import HIGHLIGHT, INDEX, SEARCH, Options, analyse
 from lexiloom.operators.segment import Dictionaries
 from lexiloom.plans import index as ix
@@ -22,7 +23,11 @@ class Engine:
     """Dictionaries in use; ``reload`` replaces them."""
 
     spark: SparkSession
-    dictionaries: Dictionaries
+    dictionaries: Dictionaries | DictionaryTable
+
+    def _for(self, text: str) -> Dictionaries:
+        """The dictionaries as one text needs them, in memory."""
+        return self.dictionaries if isinstance(self.dictionaries, Dictionaries) else self.dictionaries.of_text(text)
 
     # -- analysis ---------------------------------------------------------
 
@@ -33,24 +38,26 @@ class Engine:
 
     def multi_analyze(self, df: DataFrame, fields: str = "fields") -> DataFrame:
         """``terms``: for each key of a map column its value's index terms; keys without any go."""
-        tokens = a.analyzer(self.spark, self.dictionaries, Options(drop_stop=False))
-        each = df.withColumn("__row", F.monotonically_increasing_id())
-        split = each.select("__row", F.explode(fields).alias("key", "text")).withColumn("terms", F.transform(tokens("text"), lambda t: t["term"]))
-        maps = split.where("size(terms) > 0").groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("key", "terms"))).alias("terms"))
-        return each.join(maps, "__row", "left").drop("__row")
+        # Rows are told apart by what they hold, so that a task that runs again finds the same.
+        entries = F.array_sort(F.map_entries(fields))
+        key = F.struct(F.xxhash64(F.lit(1), entries).alias("a"), F.xxhash64(F.lit(2), entries).alias("b"))
+        split = df.select(key.alias("row"), F.col(fields).alias("fields")).dropDuplicates(["row"]).select("row", F.explode("fields").alias("key", "text"))
+        told = a.with_tokens(split, "text", self.dictionaries, Options(drop_stop=False)).withColumn("terms", F.transform("tokens", lambda t: t["term"]))
+        maps = told.where("size(terms) > 0").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("key", "terms"))).alias("terms"))
+        return df.join(maps, key == F.col("row"), "left").drop("row")
 
     def expand_keywords(self, text: str, drop_stop: bool = True, synonyms: bool = True) -> list[dict]:
         """What a search for ``text`` asks for: each term with its synonyms and parts."""
-        return [_as_dict(t) for t in analyse(text, self.dictionaries, Options(for_query=True, synonyms=synonyms, drop_stop=drop_stop, full_string=True))]
+        return [_as_dict(t) for t in analyse(text, self._for(text), Options(for_query=True, synonyms=synonyms, drop_stop=drop_stop, full_string=True))]
 
     def synonyms(self, keyword: str) -> list[str]:
         """The synonyms of the token that is the whole keyword."""
-        return next((t.synonyms for t in analyse(keyword, self.dictionaries, replace(SEARCH, drop_stop=False)) if t.term == keyword), [])
+        return next((t.synonyms for t in analyse(keyword, self._for(keyword), replace(SEARCH, drop_stop=False)) if t.term == keyword), [])
 
     # -- search -----------------------------------------------------------
 
     def clauses(self, text: str) -> list[q.Clause]:
-        return q.clauses([_as_dict(t) for t in analyse(text, self.dictionaries, replace(SEARCH, full_string=True))])
+        return q.clauses([_as_dict(t) for t in analyse(text, self._for(text), replace(SEARCH, full_string=True))])
 
     def build_query(self, fields: str, text: str, analyzer: str = "whitespace") -> dict:
         return {"query": q.query_json(self.clauses(text), [f.strip() for f in fields.split(",")], analyzer)}
@@ -69,8 +76,7 @@ class Engine:
 
     def index(self, df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
         """Postings of the analysed fields, with parts at their term's position."""
-        tokens = a.analyzer(self.spark, self.dictionaries, INDEX)
-        parts = [s.postings_of_tokens(df.select(id_col, tokens(F.col(f)).alias("tokens")), id_col, f) for f in fields]
+        parts = [s.postings_of_tokens(a.with_tokens(df.select(id_col, F.col(f).cast("string").alias("text")), "text", self.dictionaries, INDEX), id_col, f) for f in fields]
         return s.many(parts)
 
     def search(
@@ -104,7 +110,7 @@ class Engine:
             rows = rows.withColumn("score", q.function_score(F.col("score"), query["function_score"]))
         out = s.page(rows, sort or [F.col("score").desc(), F.col(id_col)], start, size)
         if highlight:
-            words = sorted({t.term for t in analyse(text, self.dictionaries, replace(HIGHLIGHT, uppercase=True))})
+            words = sorted({t.term for t in analyse(text, self._for(text), replace(HIGHLIGHT, uppercase=True))})
             before, after = highlight.get("pre_tags", ["<b>"])[0], highlight.get("post_tags", ["</b>"])[0]
             for name in highlight["fields"]:
                 if name != "_all":
@@ -117,7 +123,7 @@ class Engine:
         self.dictionaries = a.load_dictionaries(source, system)
 
     def is_loaded(self) -> bool:
-        return bool(self.dictionaries.words or self.dictionaries.units)
+        return isinstance(self.dictionaries, DictionaryTable) or bool(self.dictionaries.words or self.dictionaries.units)
 
 
 def _matches(postings: DataFrame | ix.StoredIndex, asked: list[q.Clause], boosts: dict[str, float]) -> DataFrame:
@@ -128,8 +134,9 @@ def _as_dict(t) -> dict:
     return {"term": t.term, "type": t.type, "synonyms": t.synonyms, "extras": [{"term": e.term, "type": e.type, "synonyms": e.synonyms} for e in t.extras]}
 
 
-def engine(source: DataFrame, system: DataFrame | None = None) -> Engine:
-    return Engine(source.sparkSession, a.load_dictionaries(source, system))
+def engine(source: DataFrame, system: DataFrame | None = None, rows: int = a.DICTIONARY_ROWS) -> Engine:
+    """Up to ``rows`` rows the dictionaries are handed to the tasks, beyond they are joined."""
+    return Engine(source.sparkSession, a.load_dictionaries(source, system, rows))
 
 
 def compile_dictionaries(source: DataFrame, log: DataFrame, types: str | None, applied_time: str) -> tuple[dict[str, DataFrame], DataFrame]:

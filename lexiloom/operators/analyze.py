@@ -8,44 +8,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators import dictionaries as d
+from lexiloom.operators.lattice import DictionaryTable, dictionary_of, from_rows
 from lexiloom.operators.rules import INDEX, Options, analyse
-from lexiloom.operators.segment import Dictionaries, fold
+from lexiloom.operators.segment import Dictionaries
 
-#: A dictionary of more rows than this is not handed to the tasks.
+#: Dictionaries of more rows than this are not handed to the tasks but joined.
 DICTIONARY_ROWS = 2_000_000
 
 _EXTRA = "struct<term: string, type: string, synonyms: array<string>>"
 TOKEN = f"struct<term: string, type: string, start: int, stop: int, pos_inc: int, synonyms: array<string>, extras: array<{_EXTRA}>>"
 
 
-def _collected(df: DataFrame) -> list:
-    rows = df.limit(DICTIONARY_ROWS + 1).collect()
-    if len(rows) > DICTIONARY_ROWS:
-        raise ValueError(f"a dictionary of over {DICTIONARY_ROWS} rows is too large to broadcast; join the tokens to it instead")
-    return rows
-
-
-def load_dictionaries(source: DataFrame, system: DataFrame | None = None) -> Dictionaries:
-    """All configured dictionaries of ``source`` rows, with their words as nouns beside those of ``system(word, tag, prob)``."""
-    spark = source.sparkSession
-    built = {c.name: d.compile_dictionary(source, c) for c in d.CONFIGURED if c.kind not in ("SYSTEM", "CUSTOM")}
-    words = system if system is not None else spark.createDataFrame([], "word string, tag string, prob double")
-    for config in d.CONFIGURED:
-        if config.noun_score and config.name in built:
-            words = d.inject_nouns(words, built[config.name].select("key"), config.noun_score)
-    keys = lambda name: frozenset(fold(r["key"]) for r in _collected(built[name].select("key")))
-    maps = lambda name: {fold(r["key"]): tuple(r["values"]) for r in _collected(built[name])}
-    return Dictionaries(
-        words={fold(r["word"]): r["prob"] for r in _collected(words.where("tag <> 'J'").groupBy("word").agg(F.max("prob").alias("prob")))},
-        user=keys("user"),
-        stop=keys("stop"),
-        units=keys("unit"),
-        space=maps("space"),
-        compound=maps("compound"),
-        synonyms=maps("synonym"),
-        unit_synonyms=maps("unit_synonym"),
-    )
+def load_dictionaries(source: DataFrame, system: DataFrame | None = None, rows: int = DICTIONARY_ROWS) -> Dictionaries | DictionaryTable:
+    """All configured dictionaries of ``source`` rows, with their words as nouns beside those of ``system(word, tag, prob)``.
+
+    Up to ``rows`` rows they are handed to the tasks; beyond, the texts' words are joined to them. Results are the same.
+    """
+    return dictionary_of(source, system, rows)
 
 
 def _row(t) -> dict:
@@ -67,8 +46,21 @@ def analyzer(spark: SparkSession, dictionaries: Dictionaries, options: Options =
     return tokens
 
 
-def with_tokens(df: DataFrame, column: str, dictionaries: Dictionaries, options: Options = INDEX, name: str = "tokens") -> DataFrame:
-    return df.withColumn(name, analyzer(df.sparkSession, dictionaries, options)(F.col(column)))
+def with_tokens(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options = INDEX, name: str = "tokens") -> DataFrame:
+    """``df`` with the tokens of a text column. A null text has none."""
+    if isinstance(dictionaries, Dictionaries):
+        return df.withColumn(name, analyzer(df.sparkSession, dictionaries, options)(F.col(column)))
+    # Texts are told apart by 128 bits; each is analysed once, however many rows have it.
+    key = F.struct(F.xxhash64(F.lit(1), F.col(column)).alias("a"), F.xxhash64(F.lit(2), F.col(column)).alias("b"))
+    texts = df.select(key.alias("id"), F.col(column).alias("text")).where("text IS NOT NULL").distinct()
+
+    @F.pandas_udf(f"array<{TOKEN}>")
+    def tokens(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for rows, found in parts:
+            yield pd.Series([[_row(t) for t in analyse(text, from_rows(f if f is not None else ()), options)] for text, f in zip(rows, found)])
+
+    known = texts.join(dictionaries.lookups(texts), "id", "left").select(F.col("id").alias("__id"), tokens("text", "lookups").alias(name))
+    return df.join(known, key == F.col("__id"), "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{TOKEN}>"))).drop("__id")
 
 
 def register_udtf(spark: SparkSession, dictionaries: Dictionaries, name: str = "analyze_text") -> None:

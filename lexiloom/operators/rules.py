@@ -54,6 +54,11 @@ def _runs(piece: str, at: int) -> list[Entry]:
     return [Entry(m[0], m.lastgroup, at + m.start(), at + m.end()) for m in _RUN.finditer(piece)]
 
 
+def runs_of(piece: str) -> list[Entry]:
+    """The class runs of a piece without white space, with offsets in it."""
+    return _runs(piece, 0)
+
+
 def _joined(entries: list[Entry], kind: str, **more) -> Entry:
     return Entry("".join(e.text for e in entries), kind, entries[0].start, entries[-1].stop, **more)
 
