@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import api
 from lexiloom.operators import analyze as a
+from lexiloom.operators import lattice
 from lexiloom.operators.rules import SEARCH
 
 _SOURCE = """
@@ -63,15 +64,36 @@ def analyzed_search(spark, sf_dir):
     return engine.search(part, postings, "p_partkey", "p_name^2,p_brand", "red widget", query, size=50, highlight={"fields": ["p_name"]})
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: A Hangul syllable for each letter, so that the tables' words are unspaced Hangul text; the rule is plain spacing over the block.
+_SYLLABLES = "".join(chr(0xAC00 + 399 * k) for k in range(len(_LETTERS)))
+
+
+def _hangul(column: str):
+    return F.translate(column, _LETTERS, _SYLLABLES)
+
+
 def segment_words(spark, sf_dir):
-    """Hangul compounds of product words, segmented."""
-    made = spark.createDataFrame([(k, w) for k, w in enumerate(["충전배터리", "침대매트리스는", "가족용텐트", "알수없는말"])], "id long, word string")
-    source = spark.sql("SELECT * FROM VALUES ('1', '충전', NULL, 'USER'), ('2', '배터리', NULL, 'USER'), ('3', '침대', NULL, 'USER'), ('4', '매트리스', NULL, 'USER'), ('5', '가족용', NULL, 'USER'), ('6', '텐트', NULL, 'USER') AS v(id, keyword, value, type)")
-    return _listed(a.with_tokens(made, "word", api.engine(source).dictionaries), "id")
+    """Names without spaces, in Hangul syllables and with a number behind, cut into the words that all names have.
+
+    The words are a table that is joined to the chunks' substrings.
+    """
+    part = _part(spark, sf_dir).select("p_partkey", F.concat(_hangul("p_name"), F.col("p_size").cast("string")).alias("name"))
+    words = _part(spark, sf_dir).select(F.explode(F.split(_hangul("p_name"), " ")).alias("word")).groupBy("word").agg((-5.0 - F.max(F.length("word"))).cast("double").alias("score"))
+    chunks = part.select("p_partkey", F.replace("name", F.lit(" "), F.lit("")).alias("chunk"))
+    cut = lattice.segments(chunks, words)
+    return chunks.join(cut, "chunk").select("p_partkey", F.array_join("words", "|").alias("words"))
+
+
+def analyze_joined(spark, sf_dir):
+    """Index tokens of brands and names, with dictionaries that are joined as a table."""
+    part = _part(spark, sf_dir).withColumn("title", F.concat_ws(" ", "p_brand", "p_name", F.concat("p_size", F.lit("cm"))))
+    source = spark.sql(f"SELECT * FROM VALUES {_SOURCE} AS v(id, keyword, value, type)")
+    return _listed(a.with_tokens(part, "title", a.load_dictionaries(source, rows=0)), "p_partkey")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (analyze_index, analyze_query, analyze_detail, analyze_documents, analyzed_search, segment_words)}
+    return {f.__name__: f for f in (analyze_index, analyze_query, analyze_detail, analyze_documents, analyzed_search, segment_words, analyze_joined)}
 
 
 # What the rules say of a title "Brand#13 cold plate 24cm" under the dictionaries above: letters and digits beside a symbol are two
@@ -120,5 +142,20 @@ _SEARCH_SQL = """
 """
 
 
+#: All ways to cut a chunk into words and runs of digits, no two of which touch; the best sum of scores stays.
+_SEGMENT_SQL = f"""
+    WITH RECURSIVE w AS (SELECT DISTINCT unnest(string_split(translate(p_name, '{_LETTERS}', '{_SYLLABLES}'), ' ')) AS word FROM part),
+    c AS (SELECT DISTINCT replace(translate(p_name, '{_LETTERS}', '{_SYLLABLES}'), ' ', '') || p_size AS chunk FROM part),
+    n AS (SELECT chunk, s, piece, CASE WHEN regexp_full_match(piece, '[0-9]+') THEN -8.0 ELSE -5.0 - length(piece) END AS score FROM (
+            SELECT chunk, s, unnest([substr(chunk, s, l) FOR l IN range(1, 21) IF s + l - 1 <= length(chunk)]) AS piece FROM (SELECT chunk, unnest(range(1, length(chunk) + 1)) AS s FROM c))
+        WHERE regexp_full_match(piece, '[0-9]+') OR piece IN (SELECT word FROM w)),
+    p AS (SELECT chunk, 1 AS spot, '' AS words, '' AS last, 0.0::DOUBLE AS score FROM c
+        UNION ALL SELECT p.chunk, p.spot + length(piece), words || '|' || piece, piece, p.score + n.score FROM p JOIN n ON n.chunk = p.chunk AND n.s = p.spot
+            AND NOT (regexp_full_match(piece, '[0-9]+') AND regexp_full_match(last, '[0-9]+'))),
+    best AS (SELECT chunk, substr(arg_max(words, score), 2) AS words FROM p WHERE spot = length(chunk) + 1 GROUP BY chunk)
+    SELECT p_partkey, words FROM part JOIN best ON chunk = replace(translate(p_name, '{_LETTERS}', '{_SYLLABLES}'), ' ', '') || p_size
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"analyze_index": _INDEX_SQL, "analyze_query": _QUERY_SQL, "analyze_detail": _DETAIL_SQL, "analyzed_search": _SEARCH_SQL}
+    return {"segment_words": _SEGMENT_SQL, "analyze_joined": _INDEX_SQL, "analyze_index": _INDEX_SQL, "analyze_query": _QUERY_SQL, "analyze_detail": _DETAIL_SQL, "analyzed_search": _SEARCH_SQL}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators import analyze as a
 from lexiloom.operators import dictionaries as d
 from lexiloom.operators.lattice import DictionaryTable
-from lexiloom.operators.rules import HIGHLIGHT, INDEX, SEARCH, Options, analyse
+from lexiloom.operators.rules import HIGHLIGHT, SEARCH, Options, analyse
 from lexiloom.operators.segment import Dictionaries
 from lexiloom.plans import index as ix
 from lexiloom.plans import queries as q
@@ -76,7 +76,7 @@ class Engine:
 
     def index(self, df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
         """Postings of the analysed fields, with parts at their term's position."""
-        parts = [s.postings_of_tokens(a.with_tokens(df.select(id_col, F.col(f).cast("string").alias("text")), "text", self.dictionaries, INDEX), id_col, f) for f in fields]
+        parts = [s.postings_of_terms(a.with_placed_terms(df.select(id_col, F.col(f).cast("string").alias("text")), "text", self.dictionaries), id_col, f) for f in fields]
         return s.many(parts)
 
     def search(
@@ -98,7 +98,7 @@ class Engine:
         there each word scores its field's boost.
         ``query`` is a user's function_score, whose filters and weights apply. If its inner query
         is no bool, that takes the place of the terms.
-        ``highlight`` has fields, and pre_tags and post_tags as lists of one.
+        ``highlight`` has fields, and pre_tags and post_tags as lists of one; with fragment_size only the best fragment is shown.
         """
         rows = table.where(q.merge_user_query(F.lit(True), query))
         if q.replaces_analysed(query):
@@ -112,9 +112,11 @@ class Engine:
         if highlight:
             words = sorted({t.term for t in analyse(text, self._for(text), replace(HIGHLIGHT, uppercase=True))})
             before, after = highlight.get("pre_tags", ["<b>"])[0], highlight.get("post_tags", ["</b>"])[0]
+            size = highlight.get("fragment_size")
             for name in highlight["fields"]:
                 if name != "_all":
-                    out = out.withColumn(name, s.highlight(F.col(name), words, before, after))
+                    marked = s.best_fragment(F.col(name), words, size, before, after) if size else s.highlight(F.col(name), words, before, after)
+                    out = out.withColumn(name, marked)
         return out
 
     # -- dictionaries -----------------------------------------------------
@@ -178,8 +180,8 @@ def restore_dictionaries(built: dict[str, DataFrame]) -> DataFrame:
 
 
 def ingest_text(spark: SparkSession, paths: list[str], target: str, schema: dict[str, str], charset: str = "EUC-KR", flush: int = 50_000) -> None:
-    """Record files into a table."""
-    lines = records.read_lines(spark, paths, charset)
+    """Record files into a table; files whose first line has no key are left out whole."""
+    lines = records.accepted_lines(spark, paths, charset)
     records.append_table(records.typed_records(records.parse_records(lines), schema), target, flush)
 
 

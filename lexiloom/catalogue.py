@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import hangul, text
 from lexiloom.operators import dictionaries as d
 from lexiloom.plans import index as ix
-from lexiloom.plans import mapping
+from lexiloom.plans import mapping, pages
 from lexiloom.plans import queries as q
 from lexiloom.plans import search as s
 from lexiloom.sources import records as r
@@ -203,6 +203,20 @@ def record_roundtrip(spark, sf_dir):
     return parsed.select(*columns, F.size("fields").alias("fields"))
 
 
+@_register("SELECT o_orderkey AS PRODUCTCODE, o_orderstatus AS STATUS FROM orders WHERE o_orderstatus <> 'P'")
+def rejected_files(spark, sf_dir):
+    """Orders written to files by status, read back; files that begin with a line without a key are left out whole."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("PRODUCTCODE"), F.col("o_orderstatus").alias("STATUS"))
+    share = F.pmod(F.xxhash64("PRODUCTCODE"), F.lit(8))
+    lines = orders.select(F.col("STATUS").alias("folder"), share.alias("share"), F.lit(1).alias("nth"), r.write_record(orders.columns).alias("value"))
+    headers = lines.where("folder = 'P'").select("folder", "share").distinct().select("folder", "share", F.lit(0).alias("nth"), F.lit("a header").alias("value"))
+    path = shared_dir(spark)
+    # A file for each status and share, in which a header comes first.
+    dealt = lines.unionByName(headers).repartition("folder", "share").sortWithinPartitions("folder", "share", "nth")
+    dealt.select("folder", "share", "value").write.partitionBy("folder", "share").text(path)
+    return r.typed_records(r.parse_records(r.accepted_lines(spark, [path])), {"PRODUCTCODE": "bigint", "STATUS": "string"})
+
+
 @_register("""
     SELECT o_orderkey, strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d') AS day, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS written FROM orders
 """)
@@ -499,6 +513,19 @@ def topk_paging(spark, sf_dir):
     return s.page(part, [F.col("p_retailprice").desc(), F.col("p_partkey")], 10, 15, ["p_partkey"])
 
 
+@_register("""
+    SELECT l_orderkey, l_linenumber, l_extendedprice, n - 1 AS _rownum, concat_ws(',', l_orderkey, l_linenumber) AS _sort FROM (
+        SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem)
+    WHERE n > (SELECT count(*) * 5 // 6 FROM lineitem) AND n <= (SELECT count(*) * 5 // 6 FROM lineitem) + 25
+""")
+def deep_page(spark, sf_dir):
+    """A page far down a sorted table, from the ranges that it lies in."""
+    items = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+    ranked = pages.store_ranked(items, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")], shared_dir(spark))
+    found = ranked.page(ranked.total * 5 // 6, 25, ["l_orderkey", "l_linenumber"])
+    return found.drop("l_partkey").withColumn("_sort", F.array_join("_sort", ","))
+
+
 @_register(f"WITH {_NAMES} SELECT count(DISTINCT doc) AS total FROM names WHERE term = 'red'")
 def total_hits(spark, sf_dir):
     return s.total(_found(spark, sf_dir, [q.clause("red")]))
@@ -509,6 +536,23 @@ def highlight(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", s.highlight(F.col("p_name"), ["RED", "widget"]).alias("marked"))
 
 
+_SHOWN = ("THE", "THING", "ANEA", "THANEDBLE")
+
+
+@_register(f"""
+    WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_RUNS}', 1)) AS run, generate_subscripts(regexp_extract_all(text, '{_RUNS}', 1), 1) AS i FROM documents),
+    o AS (SELECT *, coalesce(sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot, {_FOLD.format('run')} AS folded,
+        replace(replace(replace(run, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe FROM r),
+    f AS (SELECT doc_id, spot // 120 AS k, count(DISTINCT folded) FILTER (folded IN {_SHOWN}) AS score, string_agg(CASE WHEN folded IN {_SHOWN} THEN '<b>' || safe || '</b>' ELSE safe END, '' ORDER BY i) AS piece FROM o GROUP BY ALL),
+    b AS (SELECT doc_id, piece FROM f WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, k) = 1)
+    SELECT doc_id, coalesce(trim(piece, ' '), text) AS shown FROM documents LEFT JOIN b USING (doc_id)
+""")
+def best_fragments(spark, sf_dir):
+    """The piece of each document with the most of four words."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", s.best_fragment(F.col("text"), ["the", "thing", "anea", "thanedble"], 120).alias("shown"))
+
+
 @_register("SELECT p_name AS name, p_brand AS brand FROM part UNION ALL SELECT s_name, NULL FROM supplier")
 def multi_index(spark, sf_dir):
     part = _table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))

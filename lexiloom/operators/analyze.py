@@ -33,34 +33,56 @@ def _row(t) -> dict:
     return {"term": t.term, "type": t.type, "start": t.start, "stop": t.stop, "pos_inc": t.pos_inc, "synonyms": t.synonyms, "extras": extras}
 
 
-def analyzer(spark: SparkSession, dictionaries: Dictionaries, options: Options = INDEX):
-    """A function of a text column that gives its tokens, for any number of columns."""
-    shared = spark.sparkContext.broadcast(dictionaries)
+#: Terms with their positions only, as an index needs them.
+PLACED = "struct<term: string, pos: int>"
 
-    @F.pandas_udf(f"array<{TOKEN}>")
-    def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = shared.value
-        for texts in parts:
-            yield pd.Series([[_row(t) for t in analyse(text, known, options)] for text in texts])
 
-    return tokens
+def _placed(found: list) -> list[dict]:
+    """Terms with positions; one with increment 0 shares the position before."""
+    out, pos = [], -1
+    for t in found:
+        pos += t.pos_inc
+        out.append({"term": t.term, "pos": pos})
+    return out
 
 
-def with_tokens(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options = INDEX, name: str = "tokens") -> DataFrame:
-    """``df`` with the tokens of a text column. A null text has none."""
+def _whole(found: list) -> list[dict]:
+    return [_row(t) for t in found]
+
+
+def _with(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options, name: str, shape, kind: str) -> DataFrame:
+    """``df`` with what ``shape`` makes of the tokens of a text column, an array of ``kind``."""
     if isinstance(dictionaries, Dictionaries):
-        return df.withColumn(name, analyzer(df.sparkSession, dictionaries, options)(F.col(column)))
+        shared = df.sparkSession.sparkContext.broadcast(dictionaries)
+
+        @F.pandas_udf(f"array<{kind}>")
+        def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known = shared.value
+            for texts in parts:
+                yield pd.Series([shape(analyse(text, known, options)) for text in texts])
+
+        return df.withColumn(name, tokens(F.col(column)))
     # Texts are told apart by 128 bits; each is analysed once, however many rows have it.
     key = F.struct(F.xxhash64(F.lit(1), F.col(column)).alias("a"), F.xxhash64(F.lit(2), F.col(column)).alias("b"))
     texts = df.select(key.alias("id"), F.col(column).alias("text")).where("text IS NOT NULL").distinct()
 
-    @F.pandas_udf(f"array<{TOKEN}>")
-    def tokens(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf(f"array<{kind}>")
+    def looked_up(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for rows, found in parts:
-            yield pd.Series([[_row(t) for t in analyse(text, from_rows(f if f is not None else ()), options)] for text, f in zip(rows, found)])
+            yield pd.Series([shape(analyse(text, from_rows(f if f is not None else ()), options)) for text, f in zip(rows, found)])
+
+    known = texts.join(dictionaries.lookups(texts), "id", "left").select(F.col("id").alias("__id"), looked_up("text", "lookups").alias(name))
+    return df.join(known, key == F.col("__id"), "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>"))).drop("__id")
+
+
+def with_tokens(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options = INDEX, name: str = "tokens") -> DataFrame:
+    """``df`` with the tokens of a text column. A null text has none."""
+    return _with(df, column, dictionaries, options, name, _whole, TOKEN)
+
 
-    known = texts.join(dictionaries.lookups(texts), "id", "left").select(F.col("id").alias("__id"), tokens("text", "lookups").alias(name))
-    return df.join(known, key == F.col("__id"), "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{TOKEN}>"))).drop("__id")
+def with_placed_terms(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options = INDEX, name: str = "placed") -> DataFrame:
+    """``df`` with only the terms of a text column and their positions."""
+    return _with(df, column, dictionaries, options, name, _placed, PLACED)
 
 
 def register_udtf(spark: SparkSession, dictionaries: Dictionaries, name: str = "analyze_text") -> None:

@@ -17,9 +17,10 @@ from lexiloom.operators.segment import Dictionaries, fold, segment
 
 # Fixed values.
 CONNECTORS, NUMBER_SYMBOLS = "-./&", ",.:"
-LONGEST_UNIT, LONG_NUMBER, JOINED_RUNS = 10, 5, 10
+LONGEST_UNIT, LONG_NUMBER, JOINED_RUNS, SHORT_WORD = 10, 5, 10, 3
 
 _NUMBER = re.compile(NUMBER_PATTERN)
+_LEADING_NUMBER = re.compile(r"\d[\d,.:]*")
 _RUN = re.compile(r"(?P<HANGUL>[가-힣]+)|(?P<HANGUL_JAMO>[ㄱ-ㆎ]+)|(?P<JAPANESE>[぀-ヿ]+)|(?P<CHINESE>[一-鿿]+)|(?P<NUMBER>\d+)|(?P<ALPHA>[^\W\d_]+?(?=[가-힣ㄱ-ㆎ぀-ヿ一-鿿\W\d_]|$))|(?P<SYMBOL>[^\w\s]+|_+)|(?P<UNCATEGORIZED>\S)")
 
 
@@ -100,6 +101,55 @@ def _known_words(entries: list[Entry], d: Dictionaries) -> list[Entry]:
     return split
 
 
+def _adjoins(entries: list[Entry], k: int) -> bool:
+    """Whether letters, digits or symbols touch entry ``k``."""
+    around = [e for e in (entries[k - 1] if k else None, entries[k + 1] if k + 1 < len(entries) else None) if e is not None]
+    return any(e.kind in ("ALPHA", "NUMBER", "SYMBOL") and (e.stop == entries[k].start or e.start == entries[k].stop) for e in around)
+
+
+def _retyped(entries: list[Entry], d: Dictionaries) -> list[Entry]:
+    """Dictionary words that are no plain words.
+
+    One that begins with a number and ends in a unit is these two. A short one of letters and digits which is no user
+    word falls apart where such characters touch it; any other short one is typed by its characters.
+    """
+    out: list[Entry] = []
+    for k, e in enumerate(entries):
+        if e.kind != "HANGUL" or e.frozen:
+            out.append(e)
+            continue
+        number = _LEADING_NUMBER.match(e.text)
+        if number:
+            unit = e.text[number.end() :]
+            if unit and fold(unit) in d.units:
+                at = e.start + number.end()
+                pieces = _runs(unit, at)
+                out.append(Entry(number[0], "NUMBER" if number[0].isdecimal() else "NUMBER_TRANS", e.start, at))
+                out.append(Entry(unit, pieces[0].kind if len(pieces) == 1 else "UNCATEGORIZED", at, e.stop))
+                continue
+        elif len(e.text) <= SHORT_WORD:
+            kinds = {r.kind for r in _runs(e.text, 0)}
+            if kinds <= {"ALPHA", "NUMBER"} and fold(e.text) not in d.user:
+                out += _runs(e.text, e.start) if _adjoins(entries, k) else [e]
+                continue
+            if kinds <= {"ALPHA", "NUMBER", "SYMBOL"} and "ALPHA" in kinds:
+                e = replace(e, kind="ALPHA" if kinds == {"ALPHA"} else "MODEL_NAME")
+        out.append(e)
+    return out
+
+
+def _far_eastern(entries: list[Entry]) -> list[Entry]:
+    """Chinese characters that touch kana are Japanese, and one word with them."""
+    out: list[Entry] = []
+    for e in entries:
+        both = {out[-1].kind, e.kind} if out and out[-1].stop == e.start else set()
+        if "JAPANESE" in both and both <= {"JAPANESE", "CHINESE"}:
+            out[-1] = _joined([out[-1], e], "JAPANESE")
+        else:
+            out.append(e)
+    return out
+
+
 def _numbers(entries: list[Entry]) -> list[Entry]:
     """Numbers with single ``, . :`` between them are one if the whole reads as a number."""
     out, k = [], 0
@@ -254,7 +304,7 @@ def entries(text: str, d: Dictionaries, for_query: bool) -> list[Entry]:
     """The typed entries of a text, in order, symbols left out."""
     out: list[Entry] = []
     for m in re.finditer(r"\S+", text):
-        found = _known_words(_runs(m[0], m.start()), d)
+        found = _far_eastern(_retyped(_known_words(_runs(m[0], m.start()), d), d))
         found = _models(_crossed(_units(_numbers(found), d)), for_query)
         for e in found:
             if e.kind in ("SYMBOL", "CROSS") and not d.known(e.text):

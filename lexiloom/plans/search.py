@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import fold, runs
+from lexiloom.functions.text import LOWER, UPPER, fold, runs
 from lexiloom.plans.queries import Clause
 
 #: The usual constants of BM25.
@@ -25,14 +28,9 @@ def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     return split.select("doc", "field", "term", "pos")
 
 
-def postings_of_tokens(tokens: DataFrame, id_col: str, field: str, column: str = "tokens") -> DataFrame:
-    """Postings of analysed tokens; those with position increment 0 share the position before."""
-    start = F.struct(F.array().cast("array<struct<term: string, pos: int>>").alias("out"), F.lit(-1).alias("pos"))
-    step = lambda a, t: F.struct(
-        F.array_append(a["out"], F.struct(t["term"].alias("term"), (a["pos"] + t["pos_inc"]).cast("int").alias("pos"))).alias("out"), (a["pos"] + t["pos_inc"]).cast("int").alias("pos")
-    )
-    placed = F.aggregate(F.col(column), start, step, lambda a: a["out"])
-    each = tokens.select(F.col(id_col).alias("doc"), F.explode(placed).alias("x"))
+def postings_of_terms(placed: DataFrame, id_col: str, field: str, column: str = "placed") -> DataFrame:
+    """Postings of an analysed field from its terms with their positions, array<struct<term, pos>>."""
+    each = placed.select(F.col(id_col).alias("doc"), F.explode(column).alias("x"))
     return each.select("doc", F.lit(field).alias("field"), "x.term", "x.pos")
 
 
@@ -102,6 +100,38 @@ def highlight(text: Column, words: list[str], before: str = "<b>", after: str =
     return F.when(F.exists(pieces, lambda t: fold(t).isin(marked)), F.array_join(wrapped, "")).otherwise(text)
 
 
+def best_fragment(text: Column, words: list[str], size: int = 100, before: str = "<b>", after: str = "</b>") -> Column:
+    """The piece of the text with the most different words, marked as ``highlight`` does; without any of them the whole text.
+
+    Piece k has the runs that start from k * ``size`` on; of equal ones the first is taken, and blanks around it go.
+    """
+    marked = frozenset(w.translate(str.maketrans(LOWER, UPPER)) for w in words)
+    folds = str.maketrans(LOWER, UPPER)
+    escapes = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;"})
+
+    def piece(found) -> str | None:
+        held: dict[int, set[str]] = {}
+        starts, at = [], 0
+        for run in found:
+            starts.append(at // size)
+            key = run.translate(folds)
+            if key in marked:
+                held.setdefault(at // size, set()).add(key)
+            at += len(run)
+        if not held:
+            return None
+        best = min(held, key=lambda k: (-len(held[k]), k))
+        chosen = (run for k, run in zip(starts, found) if k == best)
+        return "".join(before + r.translate(escapes) + after if r.translate(folds) in marked else r.translate(escapes) for r in chosen).strip(" ")
+
+    @F.pandas_udf("string")
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in parts:
+            yield pd.Series([None if found is None else piece(found) for found in rows], dtype=object)
+
+    return F.coalesce(cut(runs(text)), text)
+
+
 def many(tables: list[DataFrame]) -> DataFrame:
     """Several tables searched as one; columns that one lacks are null there."""
     out = tables[0]

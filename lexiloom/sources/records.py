@@ -12,14 +12,33 @@ DATE_FIELD, DATE_FORMAT = "REGISTERDATE", "yyyyMMdd"
 
 def read_lines(spark: SparkSession, paths: list[str], charset: str = "UTF-8") -> DataFrame:
     """(value): the lines of all files below ``paths``. Other charsets than UTF-8 need ``spark.sql.legacy.javaCharsets``."""
+    return _lines(spark, paths, charset).select("value")
+
+
+def _lines(spark: SparkSession, paths: list[str], charset: str) -> DataFrame:
+    """(value, file, start, nth): lines with their file, the start of the block that they were read in, and a number that grows within it."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth")]
     if charset.upper() in ("UTF-8", "UTF8"):
-        return spark.read.option("recursiveFileLookup", True).text(paths)
+        return spark.read.option("recursiveFileLookup", True).text(paths).select("value", *place)
     if charset.upper().startswith(("UTF-16", "UTF-32")):  # their line ends can't be told from bytes
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-        return files.select(F.explode(F.split(F.decode("content", charset), "\r?\n")).alias("value"))
+        each = files.select(F.posexplode(F.split(F.decode("content", charset), "\r?\n")).alias("nth", "value"), F.col("path").alias("file"))
+        return each.select("value", "file", F.lit(0).cast("long").alias("start"), F.col("nth").cast("long").alias("nth"))
     # A file of one column whose separator never occurs: such files are split over tasks. Empty lines are left out.
     whole = spark.read.schema("value string").option("encoding", charset).option("recursiveFileLookup", True)
-    return whole.options(sep="\x01", quote="", escape="", mode="PERMISSIVE", emptyValue="", nullValue="\x01").csv(paths)
+    return whole.options(sep="\x01", quote="", escape="", mode="PERMISSIVE", emptyValue="", nullValue="\x01").csv(paths).select("value", *place)
+
+
+def accepted_lines(spark: SparkSession, paths: list[str], charset: str = "UTF-8") -> DataFrame:
+    """(value): the lines of the files whose first line has a key; other files are left out whole.
+
+    A file's first line is the first of the block that starts at 0, so files that are split over tasks are judged
+    alike. In charsets other than Unicode ones empty lines are not seen, so there it is the first line with text.
+    """
+    lines = _lines(spark, paths, charset)
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "nth").alias("first"))
+    refused = first.where(~F.coalesce(F.col("first"), F.lit("")).rlike(KEY)).select("file")
+    return lines.join(refused, "file", "left_anti").select("value")
 
 
 def parse_record(line: Column) -> Column:

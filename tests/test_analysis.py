@@ -186,3 +186,31 @@ def test_segment_particles_and_unknown_words():
     assert words("텐트을")[0] == ("텐트", True) and words("텐트을")[1][1] is False
     assert words("쀍뚫침대") == [("쀍뚫", False), ("침대", True)]
     assert segment("", D) == []
+
+
+RETYPED = Dictionaries(words={fold(w): -8.0 for w in ("2인용", "1.5cm", "a1", "b2", "x-1", "q7z", "한글")}, user=frozenset({"Q7", "C-3"}), units=frozenset({"인용", "CM"}))
+
+# Text, then terms and types.
+RETYPED_ROWS = """
+2인용|2인용 UNIT|2 NUMBER
+1.5cm|1.5cm UNIT|1.5 NUMBER
+a1|a1 HANGUL
+c-3|c-3 MODEL_NAME
+q7|q7 MODEL_NAME
+한글|한글 HANGUL
+漢字かな|漢字かな JAPANESE
+かな漢字カナ|かな漢字カナ JAPANESE
+漢字|漢字 CHINESE
+漢字abc|漢字 CHINESE|abc ALPHA
+"""
+
+
+@pytest.mark.parametrize("row", RETYPED_ROWS.split("\n")[1:-1])
+def test_words_that_are_typed_by_their_characters(row):
+    text, *want = row.split("|")
+    assert [f"{t.term} {t.type}" for t in analyse(text, RETYPED, Options())] == want
+
+
+def test_short_words_fall_apart_beside_letters():
+    for text in ("a1#", "#a1"):
+        assert [(t.term, t.type) for t in analyse(text, RETYPED, Options())] == [("a1", "MODEL_NAME")]

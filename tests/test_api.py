@@ -18,6 +18,7 @@ from lexiloom.operators import dictionaries as d
 from lexiloom.operators.rules import analyse
 from lexiloom.operators.segment import Dictionaries
 from lexiloom.plans import mapping
+from lexiloom.plans import pages
 from lexiloom.plans import queries as q
 from lexiloom.plans import search as s
 from lexiloom.sources import records
@@ -194,7 +195,10 @@ def test_types_of_all_documents(spark, small):
 
 
 def test_segmented_words(spark, small):
-    got = [tuple(r) for r in analysis_queries.segment_words(spark, small).orderBy("id", "start").collect()]
+    made = spark.createDataFrame([(k, w) for k, w in enumerate(["충전배터리", "침대매트리스는", "가족용텐트", "알수없는말"])], "id long, word string")
+    source = spark.createDataFrame([(str(k), w, None, "USER") for k, w in enumerate(["충전", "배터리", "침대", "매트리스", "가족용", "텐트"])], "id string, keyword string, value string, type string")
+    told = a.with_tokens(made, "word", api.engine(source).dictionaries).select("id", F.explode("tokens").alias("t")).select("id", "t.term", "t.type", "t.start", "t.stop", "t.pos_inc")
+    got = [tuple(r) for r in told.orderBy("id", "start").collect()]
     cut = ["충전 배터리", "침대 매트리스 는", "가족용 텐트", "알수없는말"]
     want = []
     for k, words in enumerate(cut):
@@ -222,3 +226,56 @@ def test_mappings(spark):
     raw = spark.createDataFrame([({"PRODUCTCODE": "1", "PRODUCTNAME": "LG TV", "PRODUCTMAKER": "LG", "LOWESTPRICE": "99", "REGISTERDATE": "20200102", "TOTALCAPACITY": "x"},)], "fields map<string,string>")
     row = mapping.with_copies(records.typed_records(raw, mapping.PRODUCT_VM.types()), mapping.PRODUCT_VM.copies).first()
     assert row.TOTALINDEX == "LG TV LG" and row.LOWESTPRICE == 99 and row.REGISTERDATE.day == 2 and row.TOTALCAPACITY is None and row.MAKER_BRANDKEYWORD == ""
+
+
+def test_files_without_a_key_in_front_are_left_out(spark, tmp_path):
+    good, bad = tmp_path / "in" / "good", tmp_path / "in" / "bad"
+    good.mkdir(parents=True)
+    bad.mkdir()
+    for k in range(3):
+        (good / f"{k}.txt").write_text("".join(f"[%A%]{k}-{n}\n" + ("no key in between\n" if n == 5 else "") for n in range(4000)))
+        (bad / f"{k}.txt").write_text("a header\n" + "".join(f"[%A%]bad{k}-{n}\n" for n in range(4000)))
+    (bad / "empty.txt").write_text("")
+    (bad / "blank.txt").write_text("\n[%A%]after a blank line\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")  # so that files are split
+    try:
+        for charset in ("UTF-8", "UTF-16"):
+            lines = records.accepted_lines(spark, [str(tmp_path / "in")], "UTF-8") if charset == "UTF-8" else None
+            if lines is None:
+                other = tmp_path / "wide"
+                other.mkdir()
+                (other / "a.txt").write_bytes("[%A%]1\nx".encode(charset))
+                (other / "b.txt").write_bytes("x\n[%A%]2".encode(charset))
+                assert [r.value for r in records.accepted_lines(spark, [str(other)], charset).collect()] == ["[%A%]1", "x"]
+                continue
+            assert lines.rdd.getNumPartitions() > 6
+            got = sorted(r.fields["A"] for r in records.parse_records(lines).collect())
+            assert got == sorted(f"{k}-{n}" for k in range(3) for n in range(4000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_pages_read_their_ranges_only(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") * 7919 % 1013).alias("score"), "id").repartition(9)
+    ranked = pages.store_ranked(rows, [F.desc("score"), F.asc("id")], f"{tmp_path}/ranked")
+    want = sorted(((k * 7919 % 1013, k) for k in range(3000)), key=lambda r: (-r[0], r[1]))
+    assert ranked.total == 3000
+    for start, size in ((0, 20), (1490, 40), (2990, 50), (3000, 5), (0, 3000), (7, 0)):
+        got = sorted(ranked.page(start, size, ["id"]).collect(), key=lambda r: r._rownum)
+        assert [(r.score, r.id, r._rownum, r._sort) for r in got] == [(*w, start + k, [str(w[1])]) for k, w in enumerate(want[start : start + size])]
+    plan = ranked.page(1490, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [__part" in plan or "PartitionFilters: [isnotnull(__part" in plan
+    assert "Window" not in plan and "Exchange" not in plan
+    none = pages.store_ranked(rows.where("false"), [F.asc("id")], f"{tmp_path}/none")
+    assert none.total == 0 and none.page(0, 5).count() == 0
+
+
+def test_best_fragment(spark):
+    text = "red one & two <b> ring " + "word " * 30 + "ring red hot Ring " + "end " * 30
+    df = spark.createDataFrame([(1, text), (2, "none of them <i>"), (3, None), (4, "")], "id long, t string")
+    got = {r.id: r.x for r in df.select("id", s.best_fragment(F.col("t"), ["RED", "ring", "HOT"], 40, "<em>", "</em>").alias("x")).collect()}
+    at = text.index("ring red hot") // 40 * 40
+    assert "<em>ring</em> <em>red</em> <em>hot</em> <em>Ring</em>" in got[1] or at != text.index("Ring") // 40 * 40
+    assert got[2] == "none of them <i>" and got[3] is None and got[4] == ""
+    short = s.best_fragment(F.col("t"), ["one"], 23, "[", "]")
+    assert df.where("id = 1").select(short.alias("x")).first().x == "red [one] &amp; two &lt;b&gt; ring"
