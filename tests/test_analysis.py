@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 
 from lexiloom.operators.rules import Options, analyse
@@ -124,6 +126,41 @@ A&B|A&B M
 15키|15 N|키 H
 15키키|15 N|키키 H
 침대매트리스s|침대 H|매트리스 H|s A
+air+|air A
+a4|a4 M
+b4|b4 M
+abc123def456|abc123def456 M|abc A|123 N|def A|456 N
+ab1|ab1 M|ab A|1 N
+1+|1 N
+abc123d|abc123d M|abc A|123 N|d A
+23en43v|23en43v M|23 N|en A|43 N|v A
+sd550-pd6ok|sd550-pd6ok M|sd A|550 N|pd A|6 N|ok A
+27ea53vq|27ea53vq M|27 N|ea A|53 N|vq A
+15nd530-px7dk|15nd530-px7dk M|15 N|nd A|530 N|px A|7 N|dk A
+gx1|gx1 M|gx A|1 N
+k5|k5 M
+Air+|Air A
+1111/2222/3333|1111 N|2222 N|3333 N
+a/2/b|a/2/b M|a A|2 N|b A
+S24D390|S24D390 M|S A|24 N|D A|390 N
+SD550-PD65K|SD550-PD65K M|SD A|550 N|PD A|65 N|K A
+FP166DWCW|FP166DWCW M|FP A|166 N|DWCW A
+A12|A12 M|A A|12 N
+1abcdef|1abcdef M|1 N|abcdef A
+P54M|P54M M|P A|54 N|M A
+A 1-3인용|A A|1 N|3인용 U|3 N
+A-3인용|A A|3인용 U|3 N
+1.3인용|1.3인용 U|1.3 N
+B75M-D3H|B75M-D3H M|B A|75 N|MD A|M A|D3H X|D A|3 N|H A
+M4A87TD EVO|M4A87TD M|M A|4 N|A A|87 N|TD A|EVO A
+맥북에어 11인치|맥북 H|에어 H|11인치 U|11 N
+어답터/DC/AC/출력1.5V/2V/3V/4.5V/5V/7.5V/9V/600MA/충전기|어답터 H|DC/AC M|DCAC A|DC A|AC A|출력 H|1.5V/2V/3V/4.5V/5V/7.5V/9V/600MA M|1.5 N|V A|2V X|3V X|4.5 N|V A|5V X|7.5 N|V A|9V X|600 N|MA A|충전기 H
+abc123-a9|abc123-a9 M|abc A|123 N|a9 X
+100mmx120mm|100mm U|100 N|120mm U|120 N
+I&U|I&U M
+G&B|G&B M
+M&A|M&A M
+침대매트리스 s|침대 H|매트리스 H|s A
 """.strip().splitlines()
 
 # The same for a query, where the parts of a term follow it after a colon.
@@ -142,9 +179,32 @@ z4|z4 M
 123abc.b9|123abc.b9 M: 123 N, abc A, b9 X
 10cmx12cm|10cm U|12cm U
 A&B|A&B M
+d9-b|d9-b M: d9 X, b A
+8a/b|8a/b M: 8a X, b A
+7b-3|7b-3 M: 7b X, 3 N
+AKSO-1X|AKSO-1X M: AKSO A, 1X X
+어답터/DC/AC/출력1.5V/2V/3V/4.5V/5V/7.5V/9V/600MA/충전기|어답터 H|DC/AC M: DC A, AC A|출력 H|1.5V/2V/3V/4.5V/5V/7.5V/9V/600MA M: 1.5 N, V A, 2V X, 3V X, 4.5 N, V A, 5V X, 7.5 N, V A, 9V X, 600 N, MA A|충전기 H
+abc123-a9|abc123-a9 M: abc A, 123 N, a9 X
+100mmx120mm|100mm U|120mm U
+100mmx120mmx300mm|100mm U|120mm U|300mm U
+5cmx5cm|5cm U|5cm U
+I&U|I&U M
+G&B|G&B M
+M&A|M&A M
+서랍장(22.6x18.8cm)|서랍장 H|22.6 N|18.8cm U
+""".strip().splitlines()
+
+# Index tokens that need more dictionary words.
+MORE_WORDS = "엑슬 비젼 보온 밥솥 개봉 반품 불 세일 무료 배송 무이자 할부 오랄비 전동 칫솔모 프리 시즌 클린 신형 총 아디다스 세트".split()
+MORE = """
+1세트(4개)  [최대 12개월 무이자할부]브라운 오랄비 전동칫솔모 프리시즌클린 신형 칫솔모 총8개  EB20-4X2  / 정품.브라운.오랄비.|1 N|세트 H|4개 U|4 N|최대 H|12개월 U|12 N|무이자 H|할부 H|브라운 H|오랄비 H|전동 H|칫솔모 H|프리 H|시즌 H|클린 H|신형 H|칫솔모 H|총 H|8개 U|8 N|EB20-4X2 M|EB A|204 N|20 N|4X2 X|4 N|X A|2 N|정품 H|브라운 H|오랄비 H
+엑슬비젼 BYSUO T1 + IN WIN PC 리모컨|엑슬 H|비젼 H|BYSUO A|T1 M|IN A|WIN A|PC A|리모컨 H
+엑슬비젼 BYSUO T1+IN WIN PC 리모컨|엑슬 H|비젼 H|BYSUO A|T1 M|IN A|WIN A|PC A|리모컨 H
+보온밥솥 6인 CR-0613R/0622R/0632FV/0651FR/0661G/O|보온 H|밥솥 H|6인 U|6 N|CR-0613R/0622R/0632FV/0651FR M|CR A|0613R/0622R/0632FV/0651FR M|0613 N|R A|0622 N|R A|0632 N|FV A|0651 N|FR A|0661G U|0661 N|O A
+아디다스테니스화50%세일무료배송|아디다스 H|테니스화 C|테니스 C|신발 C|50% U|50 N|세일 H|무료 H|배송 H
 """.strip().splitlines()
 
-SHORT = {"ALPHA": "A", "NUMBER": "N", "MODEL_NAME": "M", "UNIT": "U", "ALPHANUM": "X", "HANGUL": "H"}
+SHORT = {"ALPHA": "A", "NUMBER": "N", "MODEL_NAME": "M", "UNIT": "U", "ALPHANUM": "X", "HANGUL": "H", "COMPOUND": "C"}
 
 
 @pytest.mark.parametrize("line", INDEX)
@@ -153,6 +213,13 @@ def test_index_tokens(line):
     assert [f"{t.term} {SHORT[t.type]}" for t in analyse(text, D)] == want
 
 
+@pytest.mark.parametrize("line", MORE)
+def test_index_tokens_with_more_words(line):
+    text, *want = line.split("|")
+    wide = replace(D, words=D.words | {fold(w): -8.0 for w in MORE_WORDS})
+    assert [f"{t.term} {SHORT[t.type]}" for t in analyse(text, wide)] == want
+
+
 @pytest.mark.parametrize("line", QUERY)
 def test_query_tokens(line):
     text, *want = line.split("|")
