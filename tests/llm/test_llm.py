@@ -546,14 +546,119 @@ def test_bands_reject_noise_and_keep_prose(spark):
     assert len(good) > 10 and sum(r.kept for r in good) >= 0.95 * len(good)
 
 
-def test_model_is_a_distribution():
-    text = "the cat sat on the mat. " * 20
-    at, n = np.unique(ngram_model.codes(text), return_counts=True)
+def _trained(texts):
+    at, n = np.unique(np.concatenate([ngram_model.codes(t) for t in texts]), return_counts=True)
     grams = {ngram_model.ORDER: (at, n)}
     for k in range(ngram_model.ORDER - 1, 0, -1):
         grams[k] = np.unique(grams[k + 1][0] % ngram_model.SYMBOLS**k, return_counts=True)
-    p = 2.0 ** ngram_model.log_probabilities(grams).astype(float).reshape(-1, ngram_model.SYMBOLS)
-    assert np.allclose(p.sum(1), 1, atol=1e-4) and (p > 0).all()
+    return ngram_model.build(grams)
+
+
+def test_model_is_a_distribution():
+    built = _trained(["the cat sat on the mat. " * 20])
+    rng = random.Random(3)
+    histories = [int(c) // ngram_model.SYMBOLS for c in ngram_model.codes("the cat")] + [rng.randrange(ngram_model.SYMBOLS**3) for _ in range(50)]
+    for h in histories:
+        p = built.probabilities(h * ngram_model.SYMBOLS + np.arange(ngram_model.SYMBOLS))
+        assert (p > 0).all() and abs(p.sum() - 1) < 1e-5
+
+
+def brute_kneser_ney(texts):
+    """p(c | h) from dicts of tuples, by the published formulas, without arrays or codes."""
+    order = ngram_model.ORDER
+    grams = Counter()
+    for t in texts:
+        line = [0] * (order - 1) + [int(x) for x in ngram_model.symbols(t)] + [0]
+        grams.update(tuple(line[k : k + order]) for k in range(len(line) - order + 1))
+    levels = {order: grams}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    off, totals, kinds = {}, {}, {}
+    for k, counts in levels.items():
+        n = [sum(c == x for c in counts.values()) for x in (1, 2, 3, 4)]
+        if 0 in n[:3]:
+            off[k] = [0, 0.5, 0.75, 0.9]
+        else:
+            y = n[0] / (n[0] + 2 * n[1])
+            off[k] = [0.0] + [min(max(x - (x + 1) * y * n[x] / n[x - 1], 0), x) for x in (1, 2, 3)]
+        totals[k], kinds[k] = Counter(), {}
+        for g, c in counts.items():
+            totals[k][g[:-1]] += c
+            kinds[k].setdefault(g[:-1], Counter())[min(c, 3)] += 1
+
+    def p(g, others):
+        """``others``: for each order the n-grams of other texts and their histories."""
+        k = len(g)
+        if k == 0:
+            return 1 / ngram_model.SYMBOLS
+        if g in others[k][0]:
+            total, c = totals[k][g[:-1]], levels[k][g]
+            weight = sum(off[k][x] * m for x, m in kinds[k][g[:-1]].items()) / total
+            return (c - off[k][min(c, 3)]) / total + weight * whole(g[1:])
+        if g[:-1] not in others[k][1]:
+            return p(g[1:], others)
+        return sum(off[k][x] * m for x, m in kinds[k][g[:-1]].items()) / totals[k][g[:-1]] * p(g[1:], others)
+
+    def whole(g):
+        k = len(g)
+        if k == 0:
+            return 1 / ngram_model.SYMBOLS
+        total, c = totals[k][g[:-1]], levels[k][g]
+        return (c - off[k][min(c, 3)]) / total + sum(off[k][x] * m for x, m in kinds[k][g[:-1]].items()) / total * whole(g[1:])
+
+    return p, order
+
+
+def lines_of(text, order):
+    line = [0] * (order - 1) + [int(x) for x in ngram_model.symbols(text)] + [0]
+    return [tuple(line[k : k + order]) for k in range(len(line) - order + 1)]
+
+
+def test_bits_and_verdicts_by_brute_force(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").collect()
+    judged = {r.doc_id: r for r in quality.judge(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    (below, low), (above, high) = quality.LOWER, quality.UPPER
+    for lang in {r.lang for r in rows}:
+        own = {r.doc_id: r.text or "" for r in rows if r.lang == lang}
+        p, order = brute_kneser_ney(list(own.values()))
+        texts_with: dict = {}
+        for d, text in own.items():
+            for g in set(lines_of(text, order)):
+                for k in range(1, order + 1):
+                    texts_with.setdefault((k, 0, g[order - k :]), set()).add(d)
+                    texts_with.setdefault((k, 1, g[order - k : -1]), set()).add(d)
+
+        class Others:
+            def __init__(self, k, part, d):
+                self.at, self.d = (k, part), d
+
+            def __contains__(self, g):
+                return bool(texts_with.get((*self.at, g), set()) - {self.d})
+
+        told = {}
+        for d, text in own.items():
+            others = {k: (Others(k, 0, d), Others(k, 1, d)) for k in range(1, order + 1)}
+            logs = {g: np.log2(p(g, others)) for g in set(lines_of(text, order))}
+            grams = lines_of(text, order)
+            told[d] = (-sum(logs[g] for g in grams) / len(grams), len(grams))
+            assert abs(judged[d].bits - told[d][0]) < 1e-4
+        sound = [d for d in told if not judged[d].base_failed]
+        middle = float(np.quantile([told[d][0] for d in sound], 0.5, method="inverted_cdf"))
+        far = {d: (told[d][0] - middle) * told[d][1] ** 0.5 for d in sound}
+        bounds = [times * float(np.quantile(list(far.values()), q, method="inverted_cdf")) for times, q in ((below, low), (above, high))]
+        for d in told:
+            near = d in far and min(abs(far[d] - b) for b in bounds) < 0.01
+            assert near or judged[d].kept == (d in far and bounds[0] <= far[d] <= bounds[1])
+
+
+def test_both_bounds_reject(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    plain = spark.createDataFrame([(-1, "the of and " * 1 + "in the of " * 1 + " ".join(["attion"] * 3 + [f"the a{chr(97 + k % 26)}" for k in range(400)]), "en")], "doc_id long, text string, lang string")
+    noise = spark.createDataFrame([(-2, " ".join("".join(random.Random(j).choices("qxzjkvw0123456789#", k=7)) for j in range(300)), "en")], "doc_id long, text string, lang string")
+    judged = by_id(quality.judge(docs.unionByName(plain).unionByName(noise)))
+    assert not judged[-2].base_failed and judged[-2].distance > 0 and not judged[-2].kept
+    low = [r for r in judged.values() if not r.base_failed and not r.kept and r.distance < 0]
+    assert low and all(r.bits < 2.3 for r in low)
 
 
 # -- pipeline ----------------------------------------------------------------
