@@ -18,7 +18,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +29,15 @@ from .common import plain_columns, read_table, release_memory, stage
 LEAST_DOCUMENTS, TOP = 3, 200
 SCALE = 1_000_000_000
 #: Terms that a task counts before it hands them on.
-COUNTED_AT_ONCE = 300_000
+COUNTED_AT_ONCE = 600_000
 #: Buckets for each doubling of a count.
 STEPS = 8
 #: How many times as many terms a group without enough results evaluates in the next round.
 WIDER = 4
 #: Bytes between terms become spaces, A-Z lower-case; all bytes of other characters stay.
 _TERM_BYTES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-_COUNTED = "lang string, source string, term string, n long, docs long"
+_COUNTED = "lang string, term string, docs long, sources array<string>, times array<long>"
+_POSTINGS = "lang string, term string, n long, entries array<struct<source: string, n: long>>"
 
 
 def terms(text: str) -> list[bytes]:
@@ -43,23 +46,35 @@ def terms(text: str) -> list[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each (lang, source, term) in this task; a null term marks each group that occurs."""
-    times: dict[tuple, Counter] = {}
-    docs: dict[tuple, Counter] = {}
+    """A row for each (lang, term) of what a task holds at once: the documents that have it, and its counts by source.
+
+    A row with a null term names the sources that occur.
+    """
+    times: dict[str, dict[str, Counter]] = {}
+    docs: dict[str, Counter] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), counted in times.items():
-            found = docs[lang, source]
-            words, n = list(found), len(found)
+        for lang, sources in times.items():
+            found = docs[lang]
+            spot = {w: k for k, w in enumerate(found, 1)}
+            spots = np.concatenate([np.fromiter(map(spot.__getitem__, c), np.int64, len(c)) for c in sources.values()])
+            counts = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in sources.values()])
+            origin = np.repeat(np.arange(len(sources)), [len(c) for c in sources.values()])
+            order = np.argsort(spots, kind="stable")
+            # The row in front, whose term is null, has all sources.
+            origin = np.concatenate([np.arange(len(sources)), origin[order]])
+            counts = np.concatenate([np.zeros(len(sources), np.int64), counts[order]])
+            ends = np.cumsum(np.concatenate([[0, len(sources)], np.bincount(spots, minlength=len(found) + 1)[1:]])).astype(np.int32)
+            rows = len(found) + 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang] * (n + 1), pa.string()),
-                    pa.array([source] * (n + 1), pa.string()),
-                    pa.array([None, *words], pa.binary()).cast(pa.string()),
-                    pa.array([0, *(counted[w] for w in words)], pa.int64()),
+                    pa.array([lang] * rows, pa.string()),
+                    pa.array([None, *found], pa.binary()).cast(pa.string()),
                     pa.array([0, *found.values()], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(list(sources), pa.string()).take(pa.array(origin))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(counts)),
                 ],
-                names=["lang", "source", "term", "n", "docs"],
+                names=["lang", "term", "docs", "sources", "times"],
             )
         times.clear()
         docs.clear()
@@ -68,11 +83,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             words = terms(text)
-            counted, found = times.setdefault((lang, source), Counter()), docs.setdefault((lang, source), Counter())
-            before = len(found)
+            counted, found = times.setdefault(lang, {}).setdefault(source, Counter()), docs.setdefault(lang, Counter())
+            held -= len(counted)
             counted.update(words)
             found.update(set(words))
-            held += len(found) - before + 1
+            held += len(counted) + 1
             if held >= COUNTED_AT_ONCE:
                 yield from flush()
                 held = 0
@@ -80,6 +95,59 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
+def _merge(least: int):
+    """From rows of ``_COUNTED`` sorted by (lang, term): the postings of each term that ``least`` documents have."""
+
+    def merged(table: pa.Table) -> pa.RecordBatch:
+        lang, term = (table.column(k).combine_chunks() for k in ("lang", "term"))
+        new = np.ones(len(lang), bool)
+        if len(lang) > 1:
+            same = pc.and_(pc.equal(lang[1:], lang[:-1]), pc.equal(term[1:], term[:-1]))
+            new[1:] = ~same.to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(new)
+        kept = np.add.reduceat(table.column("docs").to_numpy(), first) >= least
+        lists = table.column("sources").combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy()
+        posting = np.repeat(np.cumsum(new) - 1, sizes)
+        coded = lists.flatten().dictionary_encode()
+        source = coded.indices.to_numpy().astype(np.int64)
+        n = table.column("times").combine_chunks().flatten().to_numpy()
+        chosen = kept[posting]
+        # A source's counts from several tasks come together; a term's sources follow each other.
+        codes, at = np.unique(posting[chosen] * len(coded.dictionary) + source[chosen], return_inverse=True)
+        sums = np.zeros(len(codes), np.int64)
+        np.add.at(sums, at, n[chosen])
+        owner = np.cumsum(kept)[codes // max(len(coded.dictionary), 1)] - 1
+        count = int(kept.sum())
+        totals = np.zeros(count, np.int64)
+        np.add.at(totals, owner, sums)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=count))]).astype(np.int32)
+        names = coded.dictionary.take(pa.array(codes % max(len(coded.dictionary), 1)))
+        entries = pa.StructArray.from_arrays([names, pa.array(sums)], names=["source", "n"])
+        rows = pa.array(first[kept])
+        return pa.RecordBatch.from_arrays([lang.take(rows), term.take(rows), pa.array(totals), pa.ListArray.from_arrays(pa.array(ends), entries)], names=["lang", "term", "n", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            # The last term may go on in the next batch.
+            lang, term = (table.column(k).combine_chunks() for k in ("lang", "term"))
+            last = pc.and_(pc.equal(lang, lang[-1]), pc.equal(term, term[-1])).to_numpy(zero_copy_only=False)
+            whole = int(len(last) - last[::-1].argmin()) if not last.all() else 0
+            if whole:
+                yield merged(table.slice(0, whole))
+            held = table.slice(whole)
+        if held is not None:
+            yield merged(held)
+        release_memory()
+
+    return run
+
+
 def _share(n: F.Column | str, total: F.Column | str, v: F.Column | str) -> F.Column:
     """1 + floor(SCALE * (n + 1) / (total + v)), in decimals, which no count overflows."""
     return F.expr(f"1 + (CAST({SCALE} AS decimal(10, 0)) * CAST({n} + 1 AS decimal(20, 0))) div CAST({total} + {v} AS decimal(20, 0))").cast("long")
@@ -95,14 +163,11 @@ class Counts:
 
     def __init__(self, docs: DataFrame, least: int = LEAST_DOCUMENTS):
         rows = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-        # A task has at most one row for each group and term, so the rows of a common term are as many as tasks and sources.
         partial = stage(rows.mapInArrow(_count, _COUNTED))
-        occurring = partial.where("term IS NULL").select("lang", "source").distinct()
-        # Both aggregations run on this one shuffle.
-        dealt = partial.where("term IS NOT NULL").repartition("lang", "term")
-        counted = dealt.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        posting = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("entries"))
-        self.postings = stage(posting.where(F.col("docs") >= least).select("lang", "term", "n", "entries"))
+        occurring = partial.where("term IS NULL").select("lang", F.explode("sources").alias("source")).distinct()
+        # A task has few rows for a term, so a common term has about as many rows as there are tasks.
+        dealt = partial.where("term IS NOT NULL").repartition("lang", "term").sortWithinPartitions("lang", "term")
+        self.postings = stage(dealt.mapInArrow(_merge(least), _POSTINGS))
         kept = self.postings.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("total"))
         held = self.entries().groupBy("lang", "source").agg(F.sum("n").alias("total"))
         groups = occurring.join(held, ["lang", "source"], "left").join(kept.select("lang", "v"), "lang", "left")
