@@ -141,7 +141,7 @@ class StoredIndex:
 
         A word scores its best field, a way the sum of its words, a clause its best way, a document the sum of its clauses.
         """
-        words = [w for c in asked for way in c.alternatives for w in way]
+        words = [w for c in asked for w in c.words()]
         hits = self.scored(words, boosts).groupBy("doc", "term").agg(F.max("s").alias("s"))
         return held_clauses(hits, asked)
 

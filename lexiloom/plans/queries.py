@@ -17,21 +17,31 @@ from lexiloom.functions.text import split_spaces
 
 @dataclass(frozen=True)
 class Clause:
-    """What one keyword asks for: any of the alternatives, each all of its words. ``literal`` is the keyword as it was typed."""
+    """What one keyword asks for: any of the alternatives, each all of its words, or all of the parts, each in any of its ways.
+
+    ``literal`` is the keyword as it was typed.
+    """
 
     literal: str
     alternatives: tuple[tuple[str, ...], ...]
+    parts: tuple[tuple[tuple[str, ...], ...], ...] = ()
+
+    def ways(self) -> list[tuple[tuple[tuple[str, ...], ...], ...]]:
+        """All ways to hold, each as parts that must all hold in one of their ways; their number is that of the words."""
+        return [((a,),) for a in self.alternatives] + ([self.parts] if self.parts else [])
+
+    def words(self) -> list[str]:
+        return [w for way in self.ways() for part in way for option in part for w in option]
 
 
 def clause(term: str, synonyms: tuple[str, ...] = (), extras: tuple[tuple[str, tuple[str, ...]], ...] = ()) -> Clause:
     """A keyword, or one of its synonyms (each all of its words), or all of its parts (each of them, or one of its synonyms)."""
     ways = [(term,), *(tuple(s.split()) for s in synonyms)]
-    if extras:
-        combined: list[tuple[str, ...]] = [()]
-        for part, others in extras:
-            combined = [(*c, *way) for c in combined for way in ((part,), *(tuple(o.split()) for o in others))]
-        ways += combined
-    return Clause(term, tuple(dict.fromkeys(w for w in ways if w)))
+    parts = tuple(tuple(dict.fromkeys(w for w in ((part,), *(tuple(o.split()) for o in others)) if w)) for part, others in extras)
+    if parts and all(len(p) == 1 for p in parts):
+        ways.append(tuple(w for p in parts for w in p[0]))
+        parts = ()
+    return Clause(term, tuple(dict.fromkeys(w for w in ways if w)), parts)
 
 
 def clauses(tokens: list[dict]) -> list[Clause]:
@@ -57,14 +67,17 @@ def query_json(asked: list[Clause], fields: list[str], analyzer: str = "whitespa
     """The boolean query: all clauses must hold, each of them over any of the fields."""
     match = lambda word: {"multi_match": {"query": word, "fields": fields, "analyzer": analyzer}}
     way = lambda words: match(words[0]) if len(words) == 1 else {"bool": {"must": [match(w) for w in words]}}
-    one = lambda c: way(c.alternatives[0]) if len(c.alternatives) == 1 else {"bool": {"should": [way(a) for a in c.alternatives]}}
-    return {"bool": {"must": [one(c) for c in asked]}}
+    any_of = lambda ways: ways[0] if len(ways) == 1 else {"bool": {"should": ways}}
+    parts = lambda c: [{"bool": {"must": [any_of([way(o) for o in part]) for part in c.parts]}}] if c.parts else []
+    return {"bool": {"must": [any_of([way(a) for a in c.alternatives] + parts(c)) for c in asked]}}
 
 
 def explain(asked: list[Clause]) -> dict:
     """The tree of words in short: lists of AND and OR."""
     way = lambda words: words[0] if len(words) == 1 else {"AND": list(words)}
-    return {"AND": [way(c.alternatives[0]) if len(c.alternatives) == 1 else {"OR": [way(a) for a in c.alternatives]} for c in asked]}
+    any_of = lambda ways: ways[0] if len(ways) == 1 else {"OR": ways}
+    parts = lambda c: [{"AND": [any_of([way(o) for o in part]) for part in c.parts]}] if c.parts else []
+    return {"AND": [any_of([way(a) for a in c.alternatives] + parts(c)) for c in asked]}
 
 
 def written(tokens: Column, fields: list[str], analyzer: str = "whitespace") -> Column:

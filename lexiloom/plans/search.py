@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions.text import LOWER, UPPER, fold, runs
 from lexiloom.plans.queries import Clause
+from lexiloom.sources.shared import staged
 
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
@@ -34,17 +37,25 @@ def postings_of_terms(placed: DataFrame, id_col: str, field: str, column: str =
     return each.select("doc", F.lit(field).alias("field"), "x.term", "x.pos")
 
 
-def _word_table(postings_: DataFrame, asked: list[Clause]) -> DataFrame:
-    rows = [(c, a, len(set(words)), w) for c, q in enumerate(asked) for a, words in enumerate(q.alternatives) for w in dict.fromkeys(words)]
-    words = postings_.sparkSession.createDataFrame(rows, "clause int, way int, need int, term string")
+def _word_table(hits: DataFrame, asked: list[Clause]) -> DataFrame:
+    """A row for each word of each option of each part of each way of each clause, with how many of its kind are needed."""
+    rows = [
+        (c, w, len(way), p, o, len(set(option)), term)
+        for c, asks in enumerate(asked)
+        for w, way in enumerate(asks.ways())
+        for p, part in enumerate(way)
+        for o, option in enumerate(part)
+        for term in dict.fromkeys(option)
+    ]
+    words = hits.sparkSession.createDataFrame(rows, "clause int, way int, parts int, part int, option int, need int, term string")
     return F.broadcast(words) if len(rows) <= QUERY_WORDS else words
 
 
 def matches(postings_: DataFrame, asked: list[Clause], boosts: dict[str, float] | None = None) -> DataFrame:
     """(doc, score): documents for which every clause holds in some way.
 
-    A word scores the greatest boost of the fields that have it; a way scores
-    the sum of its words, a clause its best way, a document the sum of its clauses.
+    A word scores the greatest boost of the fields that have it; a way scores the sum of its words (of its parts' best
+    options), a clause its best way, a document the sum of its clauses.
     """
     boost = F.lit(1.0)
     if boosts:
@@ -55,25 +66,36 @@ def matches(postings_: DataFrame, asked: list[Clause], boosts: dict[str, float]
 
 def held_clauses(hits: DataFrame, asked: list[Clause]) -> DataFrame:
     """(doc, score) of the documents whose ``hits(doc, term, s)`` let every clause hold; a word counts its greatest ``s``."""
-    # Dealt by document once, for which all four steps group.
+    # Dealt by document once, for which all steps group.
     dealt = hits.join(_word_table(hits, asked), "term").repartition("doc")
-    words = dealt.groupBy("doc", "clause", "way", "need", "term").agg(F.max("s").alias("s"))
-    ways = words.groupBy("doc", "clause", "way", "need").agg(F.count("*").alias("n"), F.sum("s").alias("s")).where("n = need")
+    key = ["doc", "clause", "way", "parts"]
+    words = dealt.groupBy(*key, "part", "option", "need", "term").agg(F.max("s").alias("s"))
+    options = words.groupBy(*key, "part", "option", "need").agg(F.count("*").alias("n"), F.sum("s").alias("s")).where("n = need")
+    parts = options.groupBy(*key, "part").agg(F.max("s").alias("s"))
+    ways = parts.groupBy(*key).agg(F.count("*").alias("n"), F.sum("s").alias("s")).where("n = parts")
     held = ways.groupBy("doc", "clause").agg(F.max("s").alias("s"))
     return held.groupBy("doc").agg(F.count("*").alias("n"), F.sum("s").alias("score")).where(F.col("n") == len(asked)).select("doc", "score")
 
 
 def bm25(postings_: DataFrame, words: list[str], n_docs: int | None = None) -> DataFrame:
-    """(doc, score): Okapi BM25 of all documents with one of the words, over all their fields together."""
-    length = postings_.groupBy("doc").agg(F.count("*").alias("dl"))
-    whole = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).withColumn("one", F.lit(1))
-    tf = postings_.where(F.col("term").isin(words)).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    joined = tf.join(F.broadcast(df), "term").join(length, "doc").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # at most a row for each word, and one row
-    n = F.lit(n_docs) if n_docs is not None else F.col("n")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy("doc").agg(F.sum(part).alias("score"))
+    """(doc, score): Okapi BM25 of all documents with one of the words, over all their fields together.
+
+    The postings are read once, for the lengths and the words' counts of each document; a stored index needs not even that.
+    """
+    words = list(dict.fromkeys(words))
+    if not words:
+        return postings_.select("doc", F.lit(0.0).alias("score")).where("false")
+    counts = [F.count_if(F.col("term") == w).alias(f"tf{k}") for k, w in enumerate(words)]
+    of_doc = staged(postings_.groupBy("doc").agg(F.count("*").alias("dl"), *counts))
+    whole = of_doc.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(words))]).first()
+    n = float(n_docs if n_docs is not None else whole["n"])
+    average = whole["avgdl"] or 1.0
+    score = F.lit(0.0)
+    for k in range(len(words)):
+        tf, df = F.col(f"tf{k}"), whole[f"df{k}"]
+        score = score + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / average))
+    some = reduce(lambda a, b: a | b, [F.col(f"tf{k}") > 0 for k in range(len(words))])
+    return of_doc.where(some).select("doc", score.alias("score"))
 
 
 def total(hits: DataFrame) -> DataFrame:

@@ -221,6 +221,19 @@ def test_ties_and_empty_search(spark):
     assert s.bm25(s.postings(empty, "id", ["t"]), ["a"]).count() == 0
 
 
+def test_parts_with_many_synonyms_are_not_multiplied_out(spark):
+    extras = tuple((f"p{k}", tuple(f"p{k}s{j}" for j in range(30)) + ("two words",)) for k in range(12))
+    asked = q.clause("whole", ("other name",), extras)
+    assert len(asked.words()) == 1 + 2 + 12 * 33 and len(asked.ways()) == 3
+    docs = spark.createDataFrame([(1, " ".join(f"p{k}" for k in range(12))), (2, " ".join(f"p{k}" for k in range(11)) + " two x"), (3, " ".join(f"p{k}" for k in range(11)) + " two y words"), (4, "whole"), (5, "name other")], "id long, t string")
+    # Numbers are terms of their own, so that words are taken as they are here.
+    words = docs.select(F.col("id").alias("doc"), F.lit("t").alias("field"), F.posexplode(F.split("t", " ")).alias("pos", "term"))
+    assert {r.doc: r.score for r in s.matches(words, [asked]).collect()} == {1: 12.0, 3: 24.0, 4: 1.0, 5: 2.0}
+    tree = q.explain([asked])["AND"][0]["OR"]
+    assert tree[:2] == ["whole", {"AND": ["other", "name"]}] and len(tree[2]["AND"]) == 12 and tree[2]["AND"][0]["OR"][-1] == {"AND": ["two", "words"]}
+    assert q.query_json([asked], ["t"])["bool"]["must"][0]["bool"]["should"][2]["bool"]["must"][11]["bool"]["should"][0]["multi_match"]["query"] == "p11"
+
+
 def test_mappings(spark):
     assert len(mapping.PRODUCT_VM.types()) + len(mapping.PRODUCT_VM.copies) == 84 and len(mapping.PRODUCT.types()) + len(mapping.PRODUCT.copies) == 58
     raw = spark.createDataFrame([({"PRODUCTCODE": "1", "PRODUCTNAME": "LG TV", "PRODUCTMAKER": "LG", "LOWESTPRICE": "99", "REGISTERDATE": "20200102", "TOTALCAPACITY": "x"},)], "fields map<string,string>")
