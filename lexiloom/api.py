@@ -179,6 +179,24 @@ def restore_dictionaries(built: dict[str, DataFrame]) -> DataFrame:
     return s.many([d.restore_rows(table, configs[name]).withColumn("id", F.lit(None).cast("string")) for name, table in built.items()])
 
 
+def restore_table(built: dict[str, DataFrame], path: str) -> DataFrame:
+    """The source rows of all built tables, written to ``path`` in place of what is there."""
+    restore_dictionaries(built).select("id", "keyword", "value", "type").write.mode("overwrite").parquet(path)
+    return next(iter(built.values())).sparkSession.read.parquet(path)
+
+
+def compile_system(spark: SparkSession, paths: list[str], target: str) -> DataFrame:
+    """The system words (word, tag, prob) of text files, written to ``target``.
+
+    Files named like ``01.N.HIGH.txt`` give tag and score by their name, others in the second and third column.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    named = F.element_at(F.split("path", "/"), -1).rlike(r"^[^.]+\.[^.]+\.[^.]+\.txt$")
+    words = d.best_scores(d.words_by_file(lines.where(named)).unionByName(d.scored_words(lines.where(~named).select("value"))))
+    words.write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
+
+
 def ingest_text(spark: SparkSession, paths: list[str], target: str, schema: dict[str, str], charset: str = "EUC-KR", flush: int = 50_000) -> None:
     """Record files into a table; files whose first line has no key are left out whole."""
     lines = records.accepted_lines(spark, paths, charset)

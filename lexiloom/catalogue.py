@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import hangul, text
 from lexiloom.operators import dictionaries as d
+from lexiloom.operators import versions
 from lexiloom.plans import index as ix
 from lexiloom.plans import mapping, pages
 from lexiloom.plans import queries as q
@@ -423,6 +424,19 @@ def dict_restore(spark, sf_dir):
     return d.restore_rows(d.compile_dictionary(_source(spark, sf_dir), config), config).select("keyword", "value")
 
 
+@_register(f"WITH {_PAIRS_SQL} SELECT word AS key, list_sort(list(synonym)) AS values FROM pairs GROUP BY word", lists=('values',))
+def dictionary_versions(spark, sf_dir):
+    """Synonyms after a second version, for which only the keys of changed rows were compiled anew."""
+    source = _source(spark, sf_dir)
+    # Before, rows of small sizes had other values.
+    earlier = source.join(_table(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").cast("string").alias("id"), "p_brand"), "id", "left")
+    earlier = earlier.withColumn("value", F.when(F.col("p_brand").isNotNull(), F.concat_ws(",", F.lit("other"), "p_brand")).otherwise(F.col("value")))
+    store = versions.DictionaryStore(spark, shared_dir(spark))
+    store.compile(earlier, "2024-01-01 00:00:00", {"synonym"})
+    store.compile(source, "2024-01-02 00:00:00", {"synonym"})
+    return store.tables()["synonym"]
+
+
 # -- search --------------------------------------------------------------------
 
 _NAMES = "names AS (SELECT p_partkey AS doc, unnest(string_split(p_name, ' ')) AS term FROM part)"

@@ -95,6 +95,20 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.explode("result").alias("fields"))
 
 
+def read_dictionary_lines(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
+    """(id, keyword, value, type): the rows of UTF-8 files with a keyword, or a keyword, a tab and values, in each line.
+
+    A line that begins with a tab has values only. Comments after ``#`` or ``//`` and blank lines are left out; the id
+    tells the file and the place of a line in it, so that of lines with one keyword the last can be told.
+    """
+    lines = _lines(spark, paths, "UTF-8").where(~F.col("value").rlike(r"^\s*(#|//|$)"))
+    parts = F.split("value", "\t", 2)
+    name = F.element_at(F.split("file", "/"), -1)
+    place = F.concat(name, F.lit(":"), F.lpad("start", 15, "0"), F.lit(":"), F.lpad(F.col("nth").bitwiseAND(F.lit((1 << 33) - 1)).cast("string"), 10, "0"))
+    keyword = F.nullif(F.trim(F.get(parts, F.lit(0))), F.lit(""))
+    return lines.select(place.alias("id"), keyword.alias("keyword"), F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit("")).alias("value"), F.lit(kind.upper()).alias("type"))
+
+
 def append_table(df: DataFrame, path: str, rows_a_file: int = 50_000) -> None:
     df.write.mode("append").option("maxRecordsPerFile", rows_a_file).parquet(path)
 
