@@ -302,17 +302,21 @@ def _long(e: Entry) -> Entry:
 
 def entries(text: str, d: Dictionaries, for_query: bool) -> list[Entry]:
     """The typed entries of a text, in order, symbols left out."""
+    return [e for m in re.finditer(r"\S+", text) for e in _piece_entries(m[0], m.start(), d, for_query)]
+
+
+def _piece_entries(piece: str, at: int, d: Dictionaries, for_query: bool) -> list[Entry]:
+    """The entries of a piece without white space, which stands at ``at``; other pieces don't matter to it."""
     out: list[Entry] = []
-    for m in re.finditer(r"\S+", text):
-        found = _far_eastern(_retyped(_known_words(_runs(m[0], m.start()), d), d))
-        found = _models(_crossed(_units(_numbers(found), d)), for_query)
-        for e in found:
-            if e.kind in ("SYMBOL", "CROSS") and not d.known(e.text):
-                continue
-            if not for_query and fold(e.text) in d.compound:
-                at = tuple(Entry(p, "COMPOUND", e.start, e.stop) for p in d.compound[fold(e.text)])
-                e = replace(e, kind="COMPOUND", parts=at)
-            out.append(_long(e))
+    found = _far_eastern(_retyped(_known_words(_runs(piece, at), d), d))
+    found = _models(_crossed(_units(_numbers(found), d)), for_query)
+    for e in found:
+        if e.kind in ("SYMBOL", "CROSS") and not d.known(e.text):
+            continue
+        if not for_query and fold(e.text) in d.compound:
+            parts = tuple(Entry(p, "COMPOUND", e.start, e.stop) for p in d.compound[fold(e.text)])
+            e = replace(e, kind="COMPOUND", parts=parts)
+        out.append(_long(e))
     return out
 
 
@@ -356,16 +360,10 @@ def _variants(e: Entry, d: Dictionaries, options: Options) -> tuple[list[Token],
     return extras, list(dict.fromkeys(s for s in synonyms if s != e.text))
 
 
-def analyse(text: str | None, d: Dictionaries, options: Options = INDEX) -> list[Token]:
-    """The tokens of a text. For an index, parts are tokens of their own at the same position; for a query they stand beside their term."""
-    text = text or ""
-    if options.uppercase:
-        text = "".join(c.upper() if len(c.upper()) == 1 else c for c in text)
+def _piece_tokens(piece: str, d: Dictionaries, options: Options) -> tuple[int, str, list[Token]]:
+    """How many entries a piece has, the first one's text, and its tokens with places counted from its start."""
+    found = _piece_entries(piece, 0, d, options.for_query)
     out: list[Token] = []
-    found = entries(text, d, options.for_query)
-    full = text.rstrip(" ")
-    if options.for_query and options.full_string and 0 < len(full) < 64 and not (len(found) == 1 and found[0].text == full):
-        out.append(Token(full, "FULL_STRING", 0, len(full)))
     for e in found:
         stop = fold(e.text) in d.stop
         if stop and options.drop_stop:
@@ -379,4 +377,43 @@ def analyse(text: str | None, d: Dictionaries, options: Options = INDEX) -> list
             token.synonyms, token.extras = synonyms, extras
         else:
             out += extras
+    return len(found), found[0].text if found else "", out
+
+
+#: Pieces of texts come again and again, so the tokens of so many of so many characters are kept beside the dictionaries.
+KEPT_PIECES, KEPT_CHARS = 100_000, 64
+
+
+def _kept_tokens(piece: str, d: Dictionaries, options: Options) -> tuple[int, str, list[Token]]:
+    if len(piece) > KEPT_CHARS:
+        return _piece_tokens(piece, d, options)
+    key = (piece, options.for_query, options.synonyms, options.drop_stop)
+    held = d.pieces.get(key)
+    if held is None:
+        if len(d.pieces) >= KEPT_PIECES:
+            d.pieces.clear()
+        held = d.pieces[key] = _piece_tokens(piece, d, options)
+    return held
+
+
+def _moved(t: Token, by: int) -> Token:
+    return Token(t.term, t.type, t.start + by, t.stop + by, t.pos_inc, t.synonyms, [_moved(x, by) for x in t.extras] if t.extras else [])
+
+
+def analyse(text: str | None, d: Dictionaries, options: Options = INDEX) -> list[Token]:
+    """The tokens of a text. For an index, parts are tokens of their own at the same position; for a query they stand beside their term."""
+    text = text or ""
+    if options.uppercase:
+        text = "".join(c.upper() if len(c.upper()) == 1 else c for c in text)
+    out: list[Token] = []
+    count, only = 0, ""
+    for m in re.finditer(r"\S+", text):
+        n, first, tokens = _kept_tokens(m[0], d, options)
+        count += n
+        only = only or first
+        at = m.start()
+        out += [_moved(t, at) for t in tokens]
+    full = text.rstrip(" ")
+    if options.for_query and options.full_string and 0 < len(full) < 64 and not (count == 1 and only == full):
+        out.insert(0, Token(full, "FULL_STRING", 0, len(full)))
     return out

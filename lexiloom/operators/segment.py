@@ -38,6 +38,11 @@ class Dictionaries:
     compound: dict[str, tuple[str, ...]] = field(default_factory=dict)
     synonyms: dict[str, tuple[str, ...]] = field(default_factory=dict)
     unit_synonyms: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: What analysis keeps of pieces that it has met; no part of the dictionaries' value.
+    pieces: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"pieces": {}}
 
     def known(self, word: str) -> bool:
         return fold(word) in self.words or fold(word) in self.user
