@@ -4,49 +4,22 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.sources.shared import shared_dir
+from lexiloom.sources.shared import staged as stage
+
+__all__ = ["BROADCAST_ROWS", "few", "fresh", "plain_columns", "read_table", "release_memory", "row_key", "shared_dir", "stage"]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables, through Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under the folder that driver and executors share.
-
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it
-    is unset and the session is a local one (tests) is a temporary one made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        option = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = option.get() if option.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage at a table that outlives executors, and keeps a
-    result that is used twice from being computed twice.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(*columns: str) -> F.Column:
     """128 bits that tell rows apart by ``columns``; nulls differ from all values."""
     parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import string
 from collections.abc import Iterator
 from functools import lru_cache
@@ -116,19 +115,3 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("secrets", lambda x: x["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("secrets")).alias("spans"))
-
-
-def base_spans(text: str | None) -> str:
-    """The base kinds by Python's regular expressions; for tests."""
-    import re
-
-    text, found = text or "", []
-    assign = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
-    found += [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
-    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
-    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
-    return ",".join(f"{BASE_KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
-
-
-def base_digest(text: str | None) -> str:
-    return hashlib.sha256(base_spans(text).encode()).hexdigest()

@@ -14,7 +14,6 @@ has unless its words are very short, are only reported.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,23 +223,6 @@ def extents(lefts: list[bytes], rights: list[bytes], least: tuple[int, ...]) ->
     return found
 
 
-def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
-    """All strings of at least ``least`` bytes that occur twice or more and can't be made longer, with all (text, start).
-
-    A plain suffix array over a bounded set of texts: the same scan, with
-    the test that the occurrences' left neighbours differ.
-    """
-    suffixes = sorted(((t[k:], d, k) for d, t in enumerate(texts) for k in range(len(t) - least + 1)), key=lambda x: x[0])
-    out = []
-    for length, first, last in prefix_intervals(_prefix_lengths([s for s, _, _ in suffixes])):
-        if length < least:
-            continue
-        spots = [(d, k) for _, d, k in suffixes[first : last + 1]]
-        if len({texts[d][k - 1] if k else (d,) for d, k in spots}) > 1:
-            out.append((suffixes[first][0][:length], sorted(spots)))
-    return out
-
-
 _CONTEXTS = "g long, k1 long, k2 long, pos int, cover boolean, left binary, right binary"
 #: ``kept`` spans are reported only.
 _SPANS = "k1 long, k2 long, kept boolean, start int, stop int"
@@ -432,22 +414,3 @@ def remove_repeats(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(read_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_bytes")
-
-
-def removed_by_brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
-    """n_bytes, n_removed, n_spans, kept_sha256 of each text, from all strings of ``length`` bytes; for tests."""
-    raws = [(t or "").encode() for t in texts]
-    count: dict[bytes, int] = {}
-    for raw in raws:
-        for k in range(len(raw) - length + 1):
-            own = hashlib.md5(raw[k : k + length]).digest()
-            count[own] = count.get(own, 0) + 1
-    out = []
-    for raw in raws:
-        gone = np.zeros(len(raw) + 2, np.int8)
-        for k in range(len(raw) - length + 1):
-            if count[hashlib.md5(raw[k : k + length]).digest()] > 1:
-                gone[k + 1 : k + length + 1] = 1
-        kept = bytes(b for b, g in zip(raw, gone[1:]) if not g)
-        out.append((len(raw), int(gone.sum()), int((np.diff(gone) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    return out

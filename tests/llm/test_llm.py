@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -213,14 +214,14 @@ def test_secrets_like_regular_expressions():
     made = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
     for text, spans in zip(made, secrets.find_secrets(made)):
         base = ",".join(f"{k}:{s}:{e}" for s, k, e in spans if k in secrets.BASE_KINDS)
-        assert base == secrets.base_spans(text), text
+        assert base == brute.base_spans(text), text
 
 
 def test_secrets_query(spark, small, texts, odd_docs, no_docs):
     got = by_id(queries.queries()["op3_secrets"](spark, small))
     for k, t in texts.items():
-        assert got[k].base_sha256 == secrets.base_digest(t)
-        assert got[k].n_assign + got[k].n_access + got[k].n_hex == len(list(filter(None, secrets.base_spans(t).split(","))))
+        assert got[k].base_sha256 == brute.base_digest(t)
+        assert got[k].n_assign + got[k].n_access + got[k].n_hex == len(list(filter(None, brute.base_spans(t).split(","))))
     assert secrets.scan_secrets(odd_docs).count() == odd_docs.count()
     assert secrets.scan_secrets(no_docs).count() == 0
     assert "token=abcdefgh" not in [r.text for r in secrets.mask_secrets(odd_docs).collect()]
@@ -374,9 +375,9 @@ def test_repeats_like_brute_force(spark, large_group):
     rows = repeat_rows(random.Random(large_group))
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
     got = by_id(suffix.remove_repeats(df, large_group).withColumn("sha", F.sha2("kept", 256)))
-    want = suffix.removed_by_brute_force(rows)
+    want = brute.removed_by_brute_force(rows)
     assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].sha) for k in range(len(rows))] == want
-    told = suffix.removed_by_brute_force(rows, suffix.PASSAGE)
+    told = brute.removed_by_brute_force(rows, suffix.PASSAGE)
     assert [got[k].n_passage_bytes for k in range(len(rows))] == [x[1] for x in told]
 
 
@@ -395,7 +396,7 @@ def test_large_grams_are_not_taken_for_each_other(spark):
 def test_repeats_query(spark, small, texts):
     got = by_id(queries.queries()["op7_suffix_repeats"](spark, small))
     ids = sorted(texts)
-    want = suffix.removed_by_brute_force([texts[k] for k in ids])
+    want = brute.removed_by_brute_force([texts[k] for k in ids])
     assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in ids] == want
 
 
@@ -417,7 +418,7 @@ def test_repeats_edges(odd_docs, no_docs):
 
 
 def test_interval_tree_and_maximal_repeats():
-    found = suffix.maximal_repeats([b"xabcabcy", b"zabcw"], 2)
+    found = brute.maximal_repeats([b"xabcabcy", b"zabcw"], 2)
     assert (b"abc", [(0, 1), (0, 4), (1, 1)]) in found
     assert sorted(suffix.prefix_intervals(np.array([2, 3, 0, 1]))) == [(0, 0, 4), (1, 3, 4), (2, 0, 2), (3, 1, 2)]
 
