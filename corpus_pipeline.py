@@ -23,12 +23,19 @@ BLOCK_CHARS = 2_000_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or leave their language's perplexity band go."""
+    """Documents that fail the base rules or leave their language's perplexity band go.
+
+    Null and empty texts have no words and go; a null language is one of its own. Equal rows stay or go together.
+    """
     return keep_good(docs)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows are taken out of the texts; every document stays."""
+    """Later occurrences of three-line windows are taken out of the texts; every document stays.
+
+    The first occurrence is that of the least id, then place. Null texts stay null; a text that is one copy too many
+    becomes empty. ``n_chars`` follows the text.
+    """
     cleaned = dedup_lines(docs, counts=False)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -36,17 +43,26 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: within three bits, or with 80 % of all five-word shingles in common."""
+    """One document of each near-duplicate group stays: within three bits, or with 80 % of all five-word shingles in common.
+
+    It is the one of the least id, null ids last. Texts without words are one group. Rows equal in id and text stay or go together.
+    """
     return near_dedup(docs, similar=NEAR)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item go."""
+    """Documents that hold ten consecutive words of a benchmark item, or all words of a shorter one, go.
+
+    Null texts and items have no words and match nothing. Equal rows stay or go together.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left, after a round trip through the ids."""
+    """Token counts and digests of what is left, after a round trip through the ids.
+
+    Null texts count as empty. Every row gets one, repeated rows too.
+    """
     return token_digests(docs, block_chars=BLOCK_CHARS)
 
 
