@@ -83,4 +83,5 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE removed) AS BIGINT) AS n_removed,
     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT removed), '') AS text
 FROM marked GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
