@@ -27,6 +27,8 @@ SEED = 43
 SAMPLED, OFTEN, MOST_OFTEN = 16, 4, 100_000
 #: Bits of a set's parity bitmap.
 BITMAP = 1024
+#: Bits of the folded bitmap that goes with each text of a crowded key; pairs that it lets by are held against the whole ones.
+FOLDED = 512
 #: From so many texts on, the texts of a key are compared with so many of them before any other pairs are made.
 CROWD, CENTRES = 8, 3
 
@@ -65,8 +67,8 @@ def _often(docs: DataFrame, words: int) -> np.ndarray:
 
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select(F.explode(shingles("text")).alias("key"))
     counted = sample.groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {OFTEN}")
-    rows = counted.orderBy(F.desc("n"), "key").limit(MOST_OFTEN).select("key").toPandas()
-    return np.sort(rows["key"].to_numpy(np.int64))
+    rows = counted.orderBy(F.desc("n"), "key").limit(MOST_OFTEN).select("key").toArrow()
+    return np.sort(rows.column("key").to_numpy())
 
 
 def _bitmap(own: np.ndarray) -> np.ndarray:
@@ -103,9 +105,15 @@ def _node(text: str | None) -> int:
     return number - (1 << 64) if number >> 63 else number
 
 
-def _differ(p: str, q: str) -> F.Column:
+def _differ(p: str, q: str, bits: int) -> F.Column:
     """In how many bits two bitmaps differ."""
-    return F.expr("+".join(f"bit_count({p}[{k}] ^ {q}[{k}])" for k in range(BITMAP // 64)))
+    return F.expr("+".join(f"bit_count({p}[{k}] ^ {q}[{k}])" for k in range(bits // 64)))
+
+
+def _folded(bitmap: str) -> F.Column:
+    """A parity bitmap of fewer bits for the same set: bits that fall together are added."""
+    words, kept = BITMAP // 64, FOLDED // 64
+    return F.array(*[F.expr(" ^ ".join(f"{bitmap}[{k}]" for k in range(at, words, kept))) for at in range(kept)])
 
 
 def _possible(met: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
@@ -119,25 +127,33 @@ def _possible(met: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     both = F.col("x.size") + F.col("y.size")
     ends = F.expr("IF(struct(x.late, x.last) <= struct(y.late, y.last), x.size, y.size)")
     pairs = pairs.where((100 + percent) * (F.col("n") + _ceil(ends, percent) - 1) >= percent * both).select("a", "b", both.alias("both"))
+    return _by_bitmaps(stage(pairs), bitmaps, percent)
+
+
+def _by_bitmaps(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b, both)`` whose bitmaps differ in no more bits than similar sets may; ``both`` is the sum of their sizes."""
     p, q = (bitmaps.select(F.col("node").alias(own), F.col("bitmap").alias(name)) for own, name in (("a", "p"), ("b", "q")))
-    held = _salted_join(_salted_join(stage(pairs), p, "a", "b"), q, "b", "a")
-    return stage(held.where((100 + percent) * _differ("p", "q") <= (100 - percent) * F.col("both")).select("a", "b"))
+    held = _salted_join(_salted_join(pairs, p, "a", "b"), q, "b", "a")
+    return stage(held.where((100 + percent) * _differ("p", "q", BITMAP) <= (100 - percent) * F.col("both")).select("a", "b"))
 
 
 def _near_centres(met: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that may be similar by size and bitmap, of each key's texts with ``CENTRES`` of them, for keys that ``CROWD`` texts or more have.
 
-    Each key draws its own ones, so a text is compared with as many different ones as it has such keys.
+    Each key draws its own ones, so a text is compared with as many different ones as it has such keys. Only folded
+    bitmaps go with the texts of a key; whole ones are joined to the pairs that are left.
     """
     crowded = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD).select("key")
-    rows = met.join(few(stage(crowded)), "key", "left_semi").join(bitmaps, "node")
-    rows = stage(rows.select("key", F.struct("node", "of.size", "bitmap").alias("own")))
+    folded = bitmaps.select("node", _folded("bitmap").alias("bits"))
+    rows = met.join(few(stage(crowded)), "key", "left_semi").join(folded, "node")
+    rows = stage(rows.select("key", F.struct("node", "of.size", "bits").alias("own")))
     drawn = [F.min_by("own", F.xxhash64(F.lit(k), "own.node", "key")) for k in range(CENTRES)]
     centres = rows.groupBy("key").agg(F.array(*drawn).alias("centres"))
     pairs = rows.join(centres, "key").select("own", F.explode("centres").alias("centre")).where("centre.node <> own.node")
     pairs = pairs.where(f"100 * least(own.size, centre.size) >= {percent} * greatest(own.size, centre.size)")
-    pairs = pairs.where((100 + percent) * _differ("own.bitmap", "centre.bitmap") <= (100 - percent) * F.expr("own.size + centre.size"))
-    return stage(pairs.select(F.least("own.node", "centre.node").alias("a"), F.greatest("own.node", "centre.node").alias("b")).distinct())
+    pairs = pairs.withColumn("both", F.expr("own.size + centre.size")).where((100 + percent) * _differ("own.bits", "centre.bits", FOLDED) <= (100 - percent) * F.col("both"))
+    ends = F.least("own.node", "centre.node").alias("a"), F.greatest("own.node", "centre.node").alias("b")
+    return _by_bitmaps(stage(pairs.select(*ends, "both").distinct()), bitmaps, percent)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
