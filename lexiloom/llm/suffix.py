@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few, plain_columns, read_table, stage
+from .common import cleared, few, plain_columns, read_table, stage
 
 #: Bytes of a repeat that is removed, of one that is reported, and of the grams that sample the suffixes.
 LENGTH, PASSAGE, GRAM = 400, 250, 50
@@ -331,6 +331,7 @@ def repeated_spans(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame
     # Most grams occur once; they go before anything else is done.
     grams = found.groupBy("g").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("several"))
     kept = stage(found.join(grams, "g").where("n > 1 OR flag > 0").drop("n"))
+    cleared(found)
     # Of the anchors with the same context, one is compared with other contexts of the gram.
     contexts = kept.where("flag < 2").groupBy("g", "c", "several").agg(F.count("*").alias("n"), F.max("flag").alias("flag"), F.min(F.struct("k1", "k2", "pos")).alias("own"))
     contexts = stage(contexts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.llm import automaton, bpe, chat, decontaminate, html_template, lines, ngram_model, quality, queries, repair, secrets, simhash, suffix
+from lexiloom.llm.common import cleared, stage
 from lexiloom.llm.components import connected_components
 from lexiloom.llm.packing import gather, pack_ints, pack_strings, unpack_ints, unpack_strings
 
@@ -400,6 +402,19 @@ def test_repeats_query(spark, small, texts):
     assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in ids] == want
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    # The block manager's files, by name; a plain action may leave some.
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", manager.getAllFiles().mkString(" ")))
+    before = held()
+    counted = stage(spark.range(0, 50_000, 1, 8).groupBy((F.col("id") % 1000).alias("k")).count())
+    assert not held() - before
+    assert counted.count() == 1000
+    path = counted.inputFiles()[0].rpartition("/")[0]
+    cleared(counted)
+    assert spark.read.schema(counted.schema).parquet(path).count() == 0
+
+
 def test_passages_of_fifty_words(spark):
     rng = random.Random(12)
     words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
