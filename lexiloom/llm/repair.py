@@ -55,11 +55,14 @@ MAGIC = b"RPR1"
 #: White space other than space and newline.
 _UNUSUAL = re.compile(r"[^\S \n]")
 _UNUSUAL_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: Marks where a text is cut into pieces: before a space, around a newline, and before a mark after a letter or digit.
+CUT = "\0"
+_MARK_AFTER_WORD = r"([\pL\pN])([.,;:!?()\-])"
 
 
 def _even(text: str) -> bool:
-    """Whether each space of the text stands between two other characters than white space, and white space is else newlines only."""
-    if not text or text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text:
+    """Whether each space and newline of the text stands between two other characters than white space, and there is no other white space or NUL."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or CUT in text:
         return False
     return not (any(c in text for c in _UNUSUAL_ASCII) if text.isascii() else _UNUSUAL.search(text))
 
@@ -74,7 +77,8 @@ class ChunkEncoder:
     """The tokenizers library, with a memory of chunks.
 
     The pre-tokeniser always cuts before a single space between two
-    non-spaces, so texts that have no other kind of space are cut there, and
+    non-spaces, on either side of such a newline, and between a letter or digit
+    and a punctuation mark after it, so texts that have no other kind of white space are cut there, and
     each chunk is encoded once. Other texts, and those with one of the file's
     added tokens, are given to the library whole.
     """
@@ -92,24 +96,30 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        #: Chunks after a space, without it, by their number. Piece k of ``values`` has the ids of number k.
-        self.number: dict[str, int] = {}
-        self.values, self.ends, self.used, self.count = np.empty(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0, 0
+        #: Chunks, with the space before them, by their number. Piece k of ``values`` has the ids of number k.
+        self.number: dict[str, int] = {"\n": 0}
+        self.values, self.ends, self.used, self.count = np.empty(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 1, 1
+        (self.values[0],), self.ends[1] = self._encode(["\n"])[0], 1
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: pa.Array) -> None:
-        """Encode new chunks, many in one text with a space before each; the tokens' lengths in bytes tell them apart."""
+        """Encode new chunks, many in one text; a newline goes before those that have no space there. The tokens' lengths in bytes tell them apart."""
         for at in range(0, len(chunks), 20_000):
             some = chunks.slice(at, 20_000)
             names = some.to_pylist()
-            ids = np.array(self._encode([" " + " ".join(names)])[0], np.uint32)
+            bare = np.array([name[0] != " " for name in names])
+            ids = np.array(self._encode(["".join(["\n" + name if x else name for name, x in zip(names, bare.tolist())])])[0], np.uint32)
             reached = np.cumsum(self.sizes[ids])
-            ends = np.cumsum(pc.binary_length(some).to_numpy().astype(np.int64) + 1)
+            ends = np.cumsum(pc.binary_length(some).to_numpy().astype(np.int64) + bare)
             cuts = np.searchsorted(reached, ends) + 1
             if not (reached[cuts - 1] == ends).all():
-                raise RuntimeError("a token reaches over a space")
+                raise RuntimeError("a token reaches over a cut")
+            starts = np.concatenate(([0], cuts[:-1]))[bare]
+            if not (self.sizes[ids[starts]] == 1).all():
+                raise RuntimeError("a token reaches over a cut")
+            ids, cuts = np.delete(ids, starts), cuts - np.cumsum(bare)
             while self.used + len(ids) > len(self.values):
                 self.values = np.concatenate([self.values, np.empty_like(self.values)])
             while self.count + len(names) + 1 > len(self.ends):
@@ -132,32 +142,25 @@ class ChunkEncoder:
             self._forget()
         even = [k for k, t in enumerate(texts) if _even(t) and not any(mark in t for mark in self.added)]
         whole = sorted(set(range(len(texts))) - set(even))
-        cut = pc.split_pattern(pa.array([texts[k] for k in even], pa.large_string()), " ")
+        marked = pa.array([texts[k] for k in even], pa.large_string())
+        marked = pc.replace_substring(pc.replace_substring(marked, " ", f"{CUT} "), "\n", f"{CUT}\n{CUT}")
+        cut = pc.split_pattern(pc.replace_substring_regex(marked, _MARK_AFTER_WORD, rf"\1{CUT}\2"), CUT)
         starts = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.values.dictionary_encode()
-        # The first chunk of a text has no space before it, and so is encoded by itself.
-        later = np.ones(len(coded), bool)
-        later[starts[:-1]] = False
-        rest = coded.indices.to_numpy()[later]
-        used = np.zeros(len(coded.dictionary), bool)
-        used[rest] = True
-        distinct = coded.dictionary.filter(pa.array(used))
-        names = distinct.to_pylist()
+        names = coded.dictionary.to_pylist()
         known = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
         new = known < 0
         known[new] = self.count + np.arange(np.count_nonzero(new))
-        self._learn(distinct.filter(pa.array(new)))
-        numbers = np.full(len(used), -1, np.int64)
-        numbers[used] = known
-        take = numbers[rest]
+        fresh = coded.dictionary.filter(pa.array(new))
+        self._learn(fresh)
+        take = known[coded.indices.to_numpy()]
         ends = self.ends[: self.count + 1]
         values = gather(self.values[: self.used], ends, take)
-        upto = np.concatenate(([0], np.cumsum(np.diff(ends)[take])))[starts - np.arange(len(starts))]
-        firsts = self._encode(cut.values.take(pa.array(starts[:-1])).to_pylist())
-        parts = {k: (first, values[a:b]) for k, first, a, b in zip(even, firsts, upto.tolist(), upto[1:].tolist())}
-        parts |= {k: (ids, values[:0]) for k, ids in zip(whole, self._encode([texts[k] for k in whole]))}
-        ordered = [np.asarray(p, np.uint32) for k in range(len(texts)) for p in parts[k]]
-        return np.concatenate(ordered) if ordered else values, np.array([len(parts[k][0]) + len(parts[k][1]) for k in range(len(texts))], np.int64)
+        upto = np.concatenate(([0], np.cumsum(np.diff(ends)[take])))[starts]
+        parts = {k: values[a:b] for k, a, b in zip(even, upto.tolist(), upto[1:].tolist())}
+        parts |= {k: np.array(ids, np.uint32) for k, ids in zip(whole, self._encode([texts[k] for k in whole]))}
+        ordered = [parts[k] for k in range(len(texts))]
+        return np.concatenate(ordered) if ordered else values, np.array([len(p) for p in ordered], np.int64)
 
 
 @lru_cache(maxsize=2)

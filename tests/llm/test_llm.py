@@ -480,6 +480,19 @@ def test_added_tokens_like_the_library():
     assert counts.tolist() == [len(w) for w in want] and values.tolist() == [x for w in want for x in w]
 
 
+def test_words_before_marks_and_newlines_are_encoded_once():
+    encoder = repair.ChunkEncoder(repair.vocabulary_path())
+    encoder.encode(["Some words, once.\nSome more"])
+    known = len(encoder.number)
+    made = ["Some words.\nSome more, words", "Some, more.\nSome once, once"]
+    values, counts = encoder.encode(made)
+    assert len(encoder.number) == known
+    assert values.tolist() == [k for t in made for k in encoder.tokenizer.encode(t, add_special_tokens=False).ids]
+    odd = ["it's,'s\n's it.'ll", "a\n\nb", "\na", "a,\n", "nul\0here a", "x\u0301, y.\u200bz", "1,2.3)4(5", "a-b - c"]
+    values, counts = encoder.encode(odd)
+    assert values.tolist() == [k for t in odd for k in encoder.tokenizer.encode(t, add_special_tokens=False).ids]
+
+
 def test_chunks_and_random_access():
     import pyarrow as pa
 
