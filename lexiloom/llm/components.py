@@ -16,13 +16,13 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``root`` is the least node of the component; a root has its own row. Each
     round is written to the shared folder, so a lost executor costs one round
-    at most. Rounds grow with the logarithm of the longest chain. Self links
+    at most. Rounds grow with the logarithm of the longest chain, and broadcast
+    nothing, as their many small tables would all pass through the driver. Self links
     and repeated links change nothing; null ends are dropped. An empty table
     gives no rows.
     """
