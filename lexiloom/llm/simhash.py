@@ -76,7 +76,10 @@ def _keys() -> F.Column:
 
 
 def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """All pairs (u, v), u < v, of different fingerprints at ``max_bits`` (at most 3) or fewer differing bits."""
+    """All pairs (u, v), u < v, of different fingerprints at ``max_bits`` (at most 3) or fewer differing bits.
+
+    The keys are shuffled: by the size of the fingerprints, which Spark goes by, it would broadcast 24 times as many rows.
+    """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the chain budgets hold for 0 to {MAX_BITS} bits")
     keyed = distinct.select("fp", F.explode(_keys()).alias("k")).select("fp", "k.start", "k.key")
@@ -85,7 +88,7 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
     ring = f"(shiftrightunsigned({differ}, 8 * a.start) | shiftleft({differ}, 64 - 8 * a.start))"
     viable = f"bit_count({ring} & 1099511627775L) <= 1 AND bit_count({ring} & 72057594037927935L) <= 2"
     near = F.expr(f"a.key = b.key AND a.fp < b.fp AND {viable} AND bit_count({differ}) <= {max_bits}")
-    return a.join(b, near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    return a.join(b.hint("merge"), near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = MAX_BITS, similar: tuple[int, int] | None = None) -> DataFrame:

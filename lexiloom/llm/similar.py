@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chat import _salted_join
-from .common import few, stage
+from .chat import SALTS, _spread
+from .common import BROADCAST_ROWS, few, stage
 from .components import connected_components
 
 SEED = 43
@@ -100,6 +100,28 @@ def with_prefixes(docs: DataFrame, words: int, percent: int, *others: F.Column)
     return found.select("*", "__p.*", F.monotonically_increasing_id().alias("row")).drop("__p")
 
 
+def _met(nodes: DataFrame, twice: DataFrame) -> DataFrame:
+    """(node, of, key) for each of the keys of ``nodes(node, of, keys)`` that is in ``twice(key)``.
+
+    Up to ``BROADCAST_ROWS`` keys are handed to the tasks as a sorted array: Spark's own table of them takes
+    the driver eight times as much and more.
+    """
+    exploded = lambda keys: nodes.select("node", "of", F.explode(keys).alias("key"))
+    if twice.count() > BROADCAST_ROWS:
+        return exploded("keys").join(twice, "key").select("node", "of", "key")
+    shared = nodes.sparkSession.sparkContext.broadcast(np.sort(twice.toArrow().column("key").to_numpy()))
+
+    @F.pandas_udf("array<long>")
+    def kept(keys: pd.Series) -> pd.Series:
+        known, flat = shared.value, np.concatenate([np.zeros(0, np.int64), *keys])
+        held = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
+        ends = np.cumsum([len(own) for own in keys])
+        upto = np.concatenate(([0], np.cumsum(held)))[ends]
+        return pd.Series(np.split(flat[held], upto[:-1]) if len(keys) else [], dtype=object)
+
+    return exploded(kept("keys"))
+
+
 def _node(text: str | None) -> int:
     number = xxhash.xxh64_intdigest(b" ".join(normal_words(text)), SEED)
     return number - (1 << 64) if number >> 63 else number
@@ -130,10 +152,32 @@ def _possible(met: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     return _by_bitmaps(stage(pairs), bitmaps, percent)
 
 
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``pairs(a, b, ...)`` with salts, ``for_a`` and ``for_b``, and for each end the salts that its nodes have: (a, for_a) and (b, for_b)."""
+    drawn, salts = pairs, []
+    for key, by, salt in (("a", "b", "for_a"), ("b", "a", "for_b")):
+        spread, hot = _spread(pairs, key)
+        salts.append(spread.withColumnRenamed("salt", salt))
+        hot = hot.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("hot", F.lit(True))
+        drawn = drawn.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(hot, [key, salt], "left")
+        drawn = drawn.withColumn(salt, F.when(F.col("hot"), F.col(salt)).otherwise(F.lit(0))).drop("hot")
+    return stage(drawn), *salts
+
+
+def _with_ends(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``pairs(a, b, ...)`` joined to ``left`` by a and to ``right`` by b, a row for each node; one that many pairs have is dealt to many tasks.
+
+    The pairs are dealt and staged before anything wide is joined to them, so that sets are shuffled once.
+    """
+    drawn, for_a, for_b = _dealt(pairs)
+    held = drawn.join(left.join(for_a, "a"), ["a", "for_a"])
+    return held.join(right.join(for_b, "b"), ["b", "for_b"]).drop("for_a", "for_b")
+
+
 def _by_bitmaps(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b, both)`` whose bitmaps differ in no more bits than similar sets may; ``both`` is the sum of their sizes."""
     p, q = (bitmaps.select(F.col("node").alias(own), F.col("bitmap").alias(name)) for own, name in (("a", "p"), ("b", "q")))
-    held = _salted_join(_salted_join(pairs, p, "a", "b"), q, "b", "a")
+    held = _with_ends(pairs, p, q)
     return stage(held.where((100 + percent) * _differ("p", "q", BITMAP) <= (100 - percent) * F.col("both")).select("a", "b"))
 
 
@@ -174,7 +218,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     sets = stage(found.groupBy("node").agg(F.first("own").alias("own")).join(wanted.select("node", "fp"), "node"))
     left = sets.select(F.col("node").alias("a"), F.col("fp").alias("u"), F.col("own").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("fp").alias("v"), F.col("own").alias("y"))
-    held = _salted_join(_salted_join(pairs, left, "a", "b"), right, "b", "a")
+    held = _with_ends(pairs, left, right)
     common = F.size(F.array_intersect("x", "y"))
     similar = 100 * common >= percent * (F.size("x") + F.size("y") - common)
     return held.where(similar).select("u", "v")
@@ -194,7 +238,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, links: DataFrame, words: i
     bitmaps = nodes.select("node", "bitmap")
     exploded = nodes.select("node", "of", F.explode("keys").alias("key"))
     twice = stage(exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    met = stage(exploded.join(few(twice), "key"))
+    met = stage(_met(nodes, twice))
     first = _verified(_near_centres(met, bitmaps, percent), nodes, docs, words, percent)
     first = stage(first.unionByName(links.select("u", "v")))
     named = nodes.select("node", "fp").join(connected_components(first).withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
