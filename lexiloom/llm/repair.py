@@ -28,6 +28,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress as compress_by
 from itertools import repeat
 
 import numpy as np
@@ -48,8 +49,8 @@ SHARD_CHARS = 4_000_000
 ENCODED_CHARS = 1_000_000
 #: A pair is frequent if it stands at so many places.
 LEAST_COUNT = 16
-#: Chunks whose ids a worker remembers; it forgets them all when there are more.
-REMEMBERED = 1_000_000
+#: Chunks whose ids a worker remembers; when there are more it keeps those that came again, unless they are over half of this number.
+REMEMBERED = 1_500_000
 MAGIC = b"RPR1"
 
 #: White space other than space and newline.
@@ -57,7 +58,7 @@ _UNUSUAL = re.compile(r"[^\S \n]")
 _UNUSUAL_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 #: Marks where a text is cut into pieces: before a space, around a newline, and before a mark after a letter or digit.
 CUT = "\0"
-_MARK_AFTER_WORD = r"([\pL\pN])([.,;:!?()\-])"
+_MARK_AFTER_WORD = r"([\pL\pN])([!-/:-@\[-`{-~])"
 
 
 def _even(text: str) -> bool:
@@ -78,7 +79,7 @@ class ChunkEncoder:
 
     The pre-tokeniser always cuts before a single space between two
     non-spaces, on either side of such a newline, and between a letter or digit
-    and a punctuation mark after it, so texts that have no other kind of white space are cut there, and
+    and an ASCII mark after it, so texts that have no other kind of white space are cut there, and
     each chunk is encoded once. Other texts, and those with one of the file's
     added tokens, are given to the library whole.
     """
@@ -100,6 +101,23 @@ class ChunkEncoder:
         self.number: dict[str, int] = {"\n": 0}
         self.values, self.ends, self.used, self.count = np.empty(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 1, 1
         (self.values[0],), self.ends[1] = self._encode(["\n"])[0], 1
+        #: Whether the chunk of a number came again since it was learnt or last kept.
+        self.again = np.zeros(1 << 18, bool)
+
+    def _thin_out(self) -> None:
+        """Keep the chunks that came again, under new numbers in their old order."""
+        self.again[0] = True
+        kept = np.flatnonzero(self.again[: self.count])
+        if len(kept) > REMEMBERED // 2:
+            self._forget()
+            return
+        names = list(compress_by(self.number, self.again[: self.count].tolist()))
+        ends, values = self.ends[: self.count + 1], gather(self.values[: self.used], self.ends[: self.count + 1], kept)
+        upto = np.cumsum(np.diff(ends)[kept])
+        self.number = dict(zip(names, range(len(names))))
+        self.used, self.count = len(values), len(names)
+        self.values[: self.used], self.ends[1 : self.count + 1] = values, upto
+        self.again[:] = False
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -124,6 +142,7 @@ class ChunkEncoder:
                 self.values = np.concatenate([self.values, np.empty_like(self.values)])
             while self.count + len(names) + 1 > len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+                self.again = np.concatenate([self.again, np.zeros_like(self.again)])
             self.values[self.used : self.used + len(ids)] = ids
             self.ends[self.count + 1 : self.count + 1 + len(names)] = self.used + cuts
             self.number.update(zip(names, range(self.count, self.count + len(names))))
@@ -139,7 +158,7 @@ class ChunkEncoder:
 
     def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > REMEMBERED:
-            self._forget()
+            self._thin_out()
         even = [k for k, t in enumerate(texts) if _even(t) and not any(mark in t for mark in self.added)]
         whole = sorted(set(range(len(texts))) - set(even))
         marked = pa.array([texts[k] for k in even], pa.large_string())
@@ -150,6 +169,7 @@ class ChunkEncoder:
         names = coded.dictionary.to_pylist()
         known = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
         new = known < 0
+        self.again[known[~new]] = True
         known[new] = self.count + np.arange(np.count_nonzero(new))
         fresh = coded.dictionary.filter(pa.array(new))
         self._learn(fresh)
