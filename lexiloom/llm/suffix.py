@@ -14,6 +14,7 @@ has unless its words are very short, are only reported.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cleared, few, plain_columns, read_table, stage
+from .common import by_size, cleared, few, plain_columns, read_table, release_memory, stage
 
 #: Bytes of a repeat that is removed, of one that is reported, and of the grams that sample the suffixes.
 LENGTH, PASSAGE, GRAM = 400, 250, 50
@@ -31,6 +32,8 @@ LENGTH, PASSAGE, GRAM = 400, 250, 50
 SIDE = LENGTH - GRAM
 #: Texts are searched for least grams in pieces of so many bytes, which bounds memory.
 PIECE = 1 << 20
+#: Bytes of text that a task turns into Python objects at once.
+HELD = 1 << 21
 #: Anchors that a task holds to combine equal ones before the shuffle.
 COMBINED = 100_000
 #: Beyond so many different contexts of one gram, windows are compared by hash over many tasks instead.
@@ -106,35 +109,38 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """
     seen_texts: set[tuple[int, int]] = set()
     digest = xxhash.xxh3_64_intdigest
-    rows: list[tuple] = []
+    kinds = {"k1": "q", "k2": "q", "pos": "i", "g": "q", "c": "q", "flag": "i"}
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["k1", "k2", "pos", "g", "c", "flag"])
+    def batch_of(columns: list[array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c, c.typecode)) for c in columns], list(kinds))
 
-    first: dict[tuple[int, int], tuple] = {}
+    #: The row of the first anchor of each gram and context.
+    first: dict[tuple[int, int], int] = {}
+    columns = [array(x) for x in kinds.values()]
     for batch in batches:
         for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if (k1, k2) in seen_texts:
                 continue
             seen_texts.add((k1, k2))
             raw = text.as_py().encode("utf-8", "replace")
+            flags = columns[5]
             for pos in anchors(raw).tolist():
                 left = raw[max(0, pos - SIDE) : pos]
                 g = _signed(digest(raw[pos : pos + GRAM]))
                 c = _signed(digest(len(left).to_bytes(2, "little") + left + raw[pos : pos + LENGTH]))
-                if (g, c) in first:
-                    if first[g, c][5] == 0:
-                        first[g, c] = (*first[g, c][:5], 1)
-                    rows.append((k1, k2, pos, _signed(digest(b"%d %d %d" % (k1, k2, pos))), 0, 2))
-                else:
-                    first[g, c] = (k1, k2, pos, g, c, 0)
-            if len(first) >= COMBINED or len(rows) >= COMBINED:
-                yield batch_of([*rows, *first.values()])
-                rows = []
-                first.clear()
-    if rows or first:
-        yield batch_of([*rows, *first.values()])
+                flag, at = 0, first.setdefault((g, c), len(flags))
+                if at < len(flags):
+                    flags[at] = 1
+                    g, c, flag = _signed(digest(b"%d %d %d" % (k1, k2, pos))), 0, 2
+                for column, value in zip(columns, (k1, k2, pos, g, c, flag)):
+                    column.append(value)
+            if len(first) >= COMBINED or len(flags) - len(first) >= COMBINED:
+                yield batch_of(columns)
+                first, columns = {}, [array(x) for x in kinds.values()]
+    if first:
+        yield batch_of(columns)
+    first, columns = {}, []
+    release_memory()
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -230,7 +236,7 @@ _SHORT = (LENGTH - GRAM, PASSAGE - GRAM)
 
 
 def _take_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_size(batches, "text", HELD):
         for k1, k2, spots, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
             raw, rows = text.encode("utf-8", "replace"), []
             for x in spots:
@@ -271,6 +277,8 @@ def _group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out += spans(group)
     if out:
         yield batch_of(out)
+    group, out = [], []
+    release_memory()
 
 
 _WINDOWS = "g long, k1 long, k2 long, pos int, kept boolean, lag int, a long, b long"
@@ -369,7 +377,33 @@ def _take_contexts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 seen.add(key)
                 keep.append(k)
         if keep:
-            yield from _take_contexts([batch.take(pa.array(keep, pa.int64()))])
+            yield from _take_contexts([batch if len(keep) == len(batch) else batch.take(pa.array(keep, pa.int64()))])
+    release_memory()
+
+
+_CUT = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "n_passage_bytes": pa.int64()}
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the spans, in batches of bounded size."""
+    for batch in by_size(batches, "text", HELD):
+        rows = []
+        for text, copies, spans, passages in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
+            raw = text.encode("utf-8", "replace")
+            n = len(raw)
+            ranges, told = (
+                [] if n < length else [(0, n)] if (copies or 1) > 1 else [(max(0, x["start"]), min(n, x["stop"])) for x in some or ()]
+                for length, some in ((LENGTH, spans), (PASSAGE, passages))
+            )
+            pieces, at = [], 0
+            for a, b in ranges:
+                pieces.append(raw[at:a])
+                at = b
+            rest = b"".join([*pieces, raw[at:]])
+            rows.append((n, n - len(rest), len(ranges), rest, sum(b - a for a, b in told)))
+        columns = list(zip(*rows)) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, _CUT.values()))], ["doc_id", *_CUT])
+    release_memory()
 
 
 def remove_repeats(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame:
@@ -387,29 +421,8 @@ def remove_repeats(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame
     results = repeated_spans(keyed.select("k1", "k2", "text"), large_group)
     joined = _with_texts(keyed, results, "left", "spans").select("doc_id", "text", "copies", "spans", "passages")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, copies, spans, passages in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
-                raw = text.encode("utf-8", "replace")
-                n = len(raw)
-                ranges, told = (
-                    [] if n < length else [(0, n)] if (copies or 1) > 1 else [(max(0, x["start"]), min(n, x["stop"])) for x in some or ()]
-                    for length, some in ((LENGTH, spans), (PASSAGE, passages))
-                )
-                pieces, at = [], 0
-                for a, b in ranges:
-                    pieces.append(raw[at:a])
-                    at = b
-                rest = b"".join([*pieces, raw[at:]])
-                rows.append((n, n - len(rest), len(ranges), rest, sum(b - a for a, b in told)))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *names])
-
-    names = ("n_bytes", "n_removed", "n_spans", "kept", "n_passage_bytes")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in names)]
-    return joined.mapInArrow(cut, T.StructType(fields))
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, T.BinaryType() if n == "kept" else T.LongType()) for n in _CUT)]
+    return joined.mapInArrow(_cut, T.StructType(fields))
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
