@@ -45,8 +45,6 @@ from .packing import gather, pack_ints, unpack_ints
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_CHARS = 4_000_000
-#: Characters of text whose chunks are held at once.
-ENCODED_CHARS = 1_000_000
 #: A pair is frequent if it stands at so many places.
 LEAST_COUNT = 16
 #: Chunks whose ids a worker remembers; when there are more it keeps those that came again, unless they are over half of this number.
@@ -56,18 +54,44 @@ MAGIC = b"RPR1"
 #: White space other than space and newline.
 _UNUSUAL = re.compile(r"[^\S \n]")
 _UNUSUAL_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
-#: Marks where a text is cut into pieces: before a space, around a newline, and before a mark after a letter or digit.
-CUT = "\0"
-_MARK_AFTER_WORD = r"([\pL\pN])([!-/:-@\[-`{-~])"
+#: Chunks that the library gets in one text.
+LEARNT = 1000
+#: Kinds of a text's bytes. Texts are cut before a space, around a newline, and before an ASCII mark after a letter or digit.
+_OTHER, _SPACE, _NEWLINE, _WORD, _MARK, _BEYOND = range(6)
+_KINDS = np.array([_BEYOND if c > 127 else _WORD if chr(c).isalnum() else _SPACE if c == 32 else _NEWLINE if c == 10 else _MARK if 32 < c < 127 else _OTHER for c in range(256)], np.uint8)
 
 
 def _even(text: str) -> bool:
-    """Whether each space and newline of the text stands between two other characters than white space, and there is no other white space or NUL."""
-    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or CUT in text:
+    """Whether each space and newline of the text stands between two other characters than white space, and there is no other white space."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
         return False
     return not (any(c in text for c in _UNUSUAL_ASCII) if text.isascii() else _UNUSUAL.search(text))
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each character up to U+FFFF is a letter or digit."""
+    codes = [k for k in range(0x10000) if not 0xD800 <= k < 0xE000]
+    out = np.zeros(0x10000, bool)
+    out[codes] = pc.match_substring_regex(pa.array(map(chr, codes)), r"^[\pL\pN]$").to_numpy(zero_copy_only=False)
+    return out
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 whether a chunk starts there; after characters past U+FFFF no mark does."""
+    kinds = _KINDS.take(data)
+    cut = (kinds == _SPACE) | (kinds == _NEWLINE)
+    cut[1:] |= kinds[:-1] == _NEWLINE
+    mark = kinds[1:] == _MARK
+    cut[1:] |= mark & (kinds[:-1] == _WORD)
+    at = np.flatnonzero(mark & (kinds[:-1] == _BEYOND)) + 1
+    # The character before is of two or three bytes if one of them is a first byte.
+    third, second, last = (data.take(at - k, mode="clip").astype(np.int32) for k in (3, 2, 1))
+    code = np.where(second >= 0xC0, (second & 0x1F) << 6, (third & 0x0F) << 12 | (second & 0x3F) << 6) | last & 0x3F
+    cut[at] |= ((second >= 0xC0) | (third >= 0xE0)) & _letters().take(code)
+    return cut
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -122,15 +146,16 @@ class ChunkEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: pa.Array) -> None:
-        """Encode new chunks, many in one text; a newline goes before those that have no space there. The tokens' lengths in bytes tell them apart."""
+    def _learn(self, chunks: list[str], lengths: np.ndarray) -> None:
+        """Encode new chunks of so many bytes, many in one text; a newline goes before those that have no space there. The tokens' lengths in bytes tell them apart."""
         for at in range(0, len(chunks), 20_000):
-            some = chunks.slice(at, 20_000)
-            names = some.to_pylist()
+            names = chunks[at : at + 20_000]
             bare = np.array([name[0] != " " for name in names])
-            ids = np.array(self._encode(["".join(["\n" + name if x else name for name, x in zip(names, bare.tolist())])])[0], np.uint32)
+            parts = ["\n" + name if x else name for name, x in zip(names, bare.tolist())]
+            texts = ["".join(parts[k : k + LEARNT]) for k in range(0, len(parts), LEARNT)]
+            ids = np.concatenate([np.array(x, np.uint32) for x in self._encode(texts)])
             reached = np.cumsum(self.sizes[ids])
-            ends = np.cumsum(pc.binary_length(some).to_numpy().astype(np.int64) + bare)
+            ends = np.cumsum(lengths[at : at + 20_000] + bare)
             cuts = np.searchsorted(reached, ends) + 1
             if not (reached[cuts - 1] == ends).all():
                 raise RuntimeError("a token reaches over a cut")
@@ -151,28 +176,24 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each text has."""
-        block = np.cumsum([len(t) for t in texts], dtype=np.int64) // ENCODED_CHARS
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
-        parts = [self._encode_some(texts[a:b]) for a, b in zip(cuts, cuts[1:])]
-        return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
-
-    def _encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > REMEMBERED:
             self._thin_out()
         even = [k for k, t in enumerate(texts) if _even(t) and not any(mark in t for mark in self.added)]
         whole = sorted(set(range(len(texts))) - set(even))
-        marked = pa.array([texts[k] for k in even], pa.large_string())
-        marked = pc.replace_substring(pc.replace_substring(marked, " ", f"{CUT} "), "\n", f"{CUT}\n{CUT}")
-        cut = pc.split_pattern(pc.replace_substring_regex(marked, _MARK_AFTER_WORD, rf"\1{CUT}\2"), CUT)
-        starts = cut.offsets.to_numpy().astype(np.int64)
-        coded = cut.values.dictionary_encode()
+        joined = pa.array([texts[k] for k in even], pa.large_string())
+        bounds, data = np.frombuffer(joined.buffers()[1], np.int64, len(even) + 1), joined.buffers()[2] or pa.py_buffer(b"")
+        cut = _cuts(np.frombuffer(data, np.uint8, bounds[-1]))
+        cut[bounds[:-1]] = True
+        at = np.append(np.flatnonzero(cut), bounds[-1])
+        starts = np.searchsorted(at, bounds)
+        coded = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
         names = coded.dictionary.to_pylist()
         known = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
         new = known < 0
         self.again[known[~new]] = True
         known[new] = self.count + np.arange(np.count_nonzero(new))
-        fresh = coded.dictionary.filter(pa.array(new))
-        self._learn(fresh)
+        sizes = np.diff(np.frombuffer(coded.dictionary.buffers()[1], np.int64, len(names) + 1))
+        self._learn(list(compress_by(names, new.tolist())), sizes[new])
         take = known[coded.indices.to_numpy()]
         ends = self.ends[: self.count + 1]
         values = gather(self.values[: self.used], ends, take)
@@ -189,7 +210,7 @@ def _encoder(path: str) -> ChunkEncoder:
 
 
 def _bucket(code: np.ndarray) -> np.ndarray:
-    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
 
 
 def _pairs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,18 +220,19 @@ def _pairs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bucket one is taken; the others' turn comes in a later round.
     """
     ordered = np.sort(code)
-    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    counts = np.diff(starts, append=len(ordered))
-    frequent = counts >= LEAST_COUNT
-    pairs, counts = ordered[starts[frequent]], counts[frequent]
+    # A pair at n places equals the one LEAST_COUNT - 1 further on at n - LEAST_COUNT + 1 of them.
+    further = LEAST_COUNT - 1
+    runs = ordered.take(np.flatnonzero(ordered[further:] == ordered[: max(len(ordered) - further, 0)]))
+    starts = np.flatnonzero(np.concatenate((np.ones(min(len(runs), 1), bool), runs[1:] != runs[:-1])))
+    pairs, counts = runs[starts], np.diff(starts, append=len(runs)) + further
     _, first = np.unique(_bucket(pairs), return_index=True)
     first.sort()
     pairs, counts = pairs[first], counts[first]
     table = np.full(1 << 20, -1, np.int32)
     table[_bucket(pairs)] = np.arange(len(pairs))
-    which = table[_bucket(code)]
-    met = np.flatnonzero(which >= 0)
-    which[met[pairs[which[met]] != code[met]]] = -2
+    which = table.take(_bucket(code))
+    if len(pairs):
+        which[np.flatnonzero((pairs.take(which, mode="clip") != code) & (which >= 0))] = -2
     return pairs, counts, which
 
 
@@ -223,43 +245,54 @@ def compress(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     pair is frequent. Only places that may have a frequent pair are looked at
     again: a pair that is not can become so only by a new symbol.
     """
+    # Places are taken by number: a mask that is true here and there costs several times as much.
     seq, rules, known = symbols.astype(np.uint32), [], 0
     active = np.ones(len(seq), bool)
     while len(seq) > 1:
         active[-1] = False
         places = np.flatnonzero(active)
-        left, right = seq[places], seq[places + 1]
+        left, right = seq.take(places), seq.take(places + 1)
         inside = (left != base) & (right != base)
-        active[places[~inside]] = False
-        places = places[inside]
-        code = left[inside].astype(np.uint64) << np.uint64(32) | right[inside].astype(np.uint64)
+        active[places] = inside
+        inside = np.flatnonzero(inside)
+        places = places.take(inside)
+        code = left.take(inside).astype(np.uint64)
+        code <<= np.uint64(32)
+        code |= right.take(inside)
         if not len(code):
             break
         pairs, counts, which = _pairs(code)
         if not len(pairs):
             break
-        active[places[which == -1]] = False
-        hit = which >= 0
-        places, which = places[hit], which[hit]
+        active[places] = which != -1
+        hit = np.flatnonzero(which >= 0)
+        places, which = places.take(hit), which.take(hit)
         rank = np.empty(len(pairs), np.int64)
         rank[np.argsort(counts, kind="stable")] = np.arange(len(pairs))
         beside = np.diff(places) == 1
-        run_start = np.concatenate(([True], ~(beside & (which[1:] == which[:-1]))))
-        offset = np.arange(len(places)) - np.flatnonzero(run_start)[np.cumsum(run_start) - 1]
-        key = 2 * rank[which] + (offset % 2 == 0)
+        key = (2 * rank + 1).take(which)
+        # Within a run of one pair the second, fourth and so on come after the others.
+        again = np.flatnonzero(beside & (which[1:] == which[:-1])) + 1
+        run_start = np.flatnonzero(np.diff(again, prepend=-1) != 1)
+        nth = np.arange(len(again)) - np.repeat(run_start, np.diff(run_start, append=len(again)))
+        key[again[nth % 2 == 0]] -= 1
+        more = key[1:] > key[:-1]
         taken = np.ones(len(places), bool)
-        taken[1:] &= ~beside | (key[1:] > key[:-1])
-        taken[:-1] &= ~beside | (key[:-1] > key[1:])
+        taken[1:] = ~beside | more
+        taken[:-1] &= ~(beside & more)
+        taken = np.flatnonzero(taken)
+        places, which = places.take(taken), which.take(taken)
         # The most frequent pair always has so many places.
-        good = np.bincount(which[taken], minlength=len(pairs)) >= LEAST_COUNT // 2
-        taken &= good[which]
-        places, which = places[taken], which[taken]
-        seq[places] = base + 1 + known + (np.cumsum(good) - 1)[which]
+        good = np.bincount(which, minlength=len(pairs)) >= LEAST_COUNT // 2
+        taken = np.flatnonzero(good.take(which))
+        places, which = places.take(taken), which.take(taken)
+        seq[places] = (base + known + np.cumsum(good)).astype(np.uint32).take(which)
         active[places] = True
         active[np.maximum(places - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
-        seq, active = seq[keep], active[keep]
+        keep = np.flatnonzero(keep)
+        seq, active = seq.take(keep), active.take(keep)
         chosen = pairs[good]
         rules.append(np.column_stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)]).astype(np.uint32))
         known += len(chosen)
