@@ -24,7 +24,7 @@ Symbols below ``base`` are ids, ``base`` is the end of a document.
 from __future__ import annotations
 
 import os
-import re
+import sys
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -52,8 +52,7 @@ REMEMBERED = 1_500_000
 MAGIC = b"RPR1"
 
 #: White space other than space and newline.
-_UNUSUAL = re.compile(r"[^\S \n]")
-_UNUSUAL_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_UNUSUAL = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
 #: Chunks that the library gets in one text.
 LEARNT = 1000
 #: Kinds of a text's bytes. Texts are cut before a space, around a newline, and before an ASCII mark after a letter or digit.
@@ -65,7 +64,7 @@ def _even(text: str) -> bool:
     """Whether each space and newline of the text stands between two other characters than white space, and there is no other white space."""
     if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
         return False
-    return not (any(c in text for c in _UNUSUAL_ASCII) if text.isascii() else _UNUSUAL.search(text))
+    return not any(c in text for c in _UNUSUAL)
 
 
 @lru_cache(maxsize=1)
@@ -198,10 +197,12 @@ class ChunkEncoder:
         ends = self.ends[: self.count + 1]
         values = gather(self.values[: self.used], ends, take)
         upto = np.concatenate(([0], np.cumsum(np.diff(ends)[take])))[starts]
+        if not whole:
+            return values, np.diff(upto)
         parts = {k: values[a:b] for k, a, b in zip(even, upto.tolist(), upto[1:].tolist())}
         parts |= {k: np.array(ids, np.uint32) for k, ids in zip(whole, self._encode([texts[k] for k in whole]))}
         ordered = [parts[k] for k in range(len(texts))]
-        return np.concatenate(ordered) if ordered else values, np.array([len(p) for p in ordered], np.int64)
+        return np.concatenate(ordered), np.array([len(p) for p in ordered], np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -259,6 +260,7 @@ def compress(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         code = left.take(inside).astype(np.uint64)
         code <<= np.uint64(32)
         code |= right.take(inside)
+        del left, right, inside
         if not len(code):
             break
         pairs, counts, which = _pairs(code)
