@@ -591,8 +591,7 @@ def _stored(spark, sf_dir, name: str, key: str, fields: list[str]) -> ix.StoredI
     """The stored index of one table, built once for a session."""
     known = (spark.sparkContext.applicationId, sf_dir, name)
     if known not in _STORED:
-        table = _table(spark, sf_dir, name)
-        _STORED[known] = ix.write_index(s.postings(table, key, fields), shared_dir(spark), table.count())
+        _STORED[known] = ix.write_texts(_table(spark, sf_dir, name), key, fields, shared_dir(spark))
     return _STORED[known]
 
 

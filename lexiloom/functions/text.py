@@ -114,6 +114,20 @@ def runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({RUN_PATTERN})"), F.lit(1))
 
 
+#: Classes that may share characters with symbols, and come first.
+_RANGES = "".join(CLASSES[c] for c in ("HANGUL", "HANGUL_JAMO", "JAPANESE", "CHINESE"))
+#: Runs of symbols and of white space are passed over; letters, which no class before has, are tried first.
+_WORD_PATTERN = (
+    f"(?:(?![{_RANGES}])[{CLASSES['SYMBOL']}]+|[{CLASSES['WHITESPACE']}]+)*+"
+    + "(" + "|".join([*(f"[{CLASSES[c]}]+" for c in ("ALPHA", *(c for c in CLASSES if c not in ("ALPHA", "SYMBOL", "WHITESPACE")))), f"{_REST}+"]) + ")"
+)
+
+
+def word_runs(text: Column) -> Column:
+    """The runs other than those of the classes SYMBOL and WHITESPACE, and maybe runs of symbols of other classes that are none of ``runs``."""
+    return F.regexp_extract_all(text, F.lit(_WORD_PATTERN), F.lit(1))
+
+
 def typed_runs(text: Column) -> Column:
     """array<struct<term, type, start, stop>> of the runs other than white space, for product-style texts of moderate length."""
     placed = F.aggregate(

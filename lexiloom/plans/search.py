@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import LOWER, UPPER, fold, runs
+from lexiloom.functions.text import LOWER, UPPER, fold, runs, word_runs
 from lexiloom.plans.queries import Clause
 from lexiloom.sources.shared import staged
 
@@ -21,13 +21,18 @@ QUERY_WORDS = 10_000
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(runs(text), lambda t: t.rlike(r"[^\p{javaWhitespace}\p{P}\p{S}]"))
+    return F.filter(word_runs(text), lambda t: t.rlike(r"[^\p{javaWhitespace}\p{P}\p{S}]"))
+
+
+def terms_of(field: Column) -> Column:
+    """The terms of a field in order, none of a null one; symbols and white space are no terms."""
+    return _terms(F.coalesce(field.cast("string"), F.lit("")))
 
 
 def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(doc, field, term, pos): one row for each term of each field; symbols and white space are no terms. Nothing is shuffled."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("text")) for f in fields])).alias("x")
-    split = docs.select(F.col(id_col).alias("doc"), each).select("doc", "x.field", F.posexplode(_terms(F.col("x.text"))).alias("pos", "term"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])).alias("x")
+    split = docs.select(F.col(id_col).alias("doc"), each).select("doc", "x.field", F.posexplode(terms_of(F.col("x.text"))).alias("pos", "term"))
     return split.select("doc", "field", "term", "pos")
 
 

@@ -10,6 +10,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.functions.text import runs
 from lexiloom.plans import index as ix
 from lexiloom.plans import queries as q
 from lexiloom.plans import search as s
@@ -143,3 +144,49 @@ def test_index_of_nothing(spark, tmp_path):
     assert empty.best_field(["red"], {"name": 1.0}).count() == 0
     assert empty.top(["red"], {"name": 1.0}, 5).count() == 0
     assert empty.phrase(["red", "ring"], ["name"]).count() == 0
+
+
+def test_texts_are_stored_without_moving_their_words(spark, rows, stored, tmp_path, monkeypatch):
+    """The same index as that of the postings; the only shuffles are those that count ids, terms and fields."""
+    df = spark.createDataFrame(rows, "id long, name string, note string").repartition(5)
+    plans = []
+    run = ix._stored
+    monkeypatch.setattr(ix, "_stored", lambda told, *more: plans.append(told._jdf.queryExecution().executedPlan().toString()) or run(told, *more))
+    monkeypatch.setattr(ix, "HELD_POSTINGS", 500)
+    monkeypatch.setattr(ix, "TEXT_ROWS", 7)
+    texts = ix.write_texts(df.persist(), "id", ["name", "note"], f"file://{tmp_path}/texts", shards=8, block_docs=40)
+    assert plans and "hashpartitioning" not in plans[0] and "rangepartitioning" not in plans[0]
+    docs = lambda index: sorted(map(str, index.table("blocks").select("term", "field", F.explode("docs").alias("d")).select("term", "field", "d.*").collect()))
+    assert docs(texts) == docs(stored)
+    for name in ("terms", "fields"):
+        assert sorted(map(str, texts.table(name).collect())) == sorted(map(str, stored.table(name).collect()))
+    assert texts.table("blocks").groupBy("term", "field", "grp").count().where("count > 1").isEmpty()
+    assert texts.table("blocks").agg(F.max("n")).first()[0] <= 40
+
+
+def test_rows_of_one_id_are_one_document(spark, tmp_path):
+    df = spark.createDataFrame([("a", "red ring"), ("b", "red"), ("a", "rod red"), (None, "red")], "id string, name string")
+    index = ix.write_texts(df, "id", ["name"], f"file://{tmp_path}/same")
+    got = {r.doc: (r.tf, r.dl) for r in index.blocks(["red"]).select(F.explode("docs").alias("d")).select("d.*").collect()}
+    assert got == {"a": (2, 4), "b": (1, 1)} and index.table("fields").first()["n_docs"] == 2
+
+
+def test_equal_scores_are_ordered_by_document(spark, tmp_path):
+    """Differences in the digits past the ninth, which depend on the order of sums, are no order."""
+    heads = "term string, field string, grp long, n long, heads long, tokens long, max_tf int, min_dl long, docs array<struct<doc: long, tf: int, dl: long, positions: array<int>>>, shard int"
+    # Of two documents the later one's text is longer by a hair.
+    rows = [("red", "name", k, 1, 1, 10**12 + 9 - k, 1, 10**12 + 9 - k, [(k, 1, 10**12 + 9 - k, [0])], 0) for k in range(10)]
+    spark.createDataFrame(rows, heads).write.partitionBy("shard").parquet(f"file://{tmp_path}/tie/blocks")
+    spark.createDataFrame([("red", "name", 10, 0)], "term string, field string, df long, shard int").write.partitionBy("shard").parquet(f"file://{tmp_path}/tie/terms")
+    spark.createDataFrame([("name", 1000, 10**15)], "field string, n_docs long, tokens long").write.parquet(f"file://{tmp_path}/tie/fields")
+    index = ix.StoredIndex(spark, f"file://{tmp_path}/tie", "bigint", 1)
+    assert [r.doc for r in index.top(["red"], {"name": 1.0}, 3).collect()] == [0, 1, 2]
+
+
+def test_terms_are_the_runs_of_words(spark):
+    """Against all runs, of which those with a character that is no symbol or white space are terms."""
+    rng = random.Random(3)
+    pool = "ab Z9,.!-#$ \n\t ・゠ーアあ漢한ㄱ゛゜ªºǅʰ̈É½²٣\U0001f600\U00010400\U00020000　 ​\u001f"
+    df = spark.createDataFrame([("".join(rng.choices(pool, k=rng.randint(0, 30))),) for _ in range(4000)] + [("",)], "text string")
+    plain = F.filter(runs(F.col("text")), lambda t: t.rlike(r"[^\p{javaWhitespace}\p{P}\p{S}]"))
+    assert df.where(~plain.eqNullSafe(s.terms_of(F.col("text")))).isEmpty()
