@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.operators.lattice import DictionaryTable, dictionary_of, from_rows
-from lexiloom.operators.rules import INDEX, Options, analyse
+from lexiloom.operators.rules import INDEX, Options, analyse, token_types
 from lexiloom.operators.segment import Dictionaries
 
 #: Dictionaries of more rows than this are not handed to the tasks but joined.
 DICTIONARY_ROWS = 2_000_000
+#: Tokens of so many characters of text are handed on at once, as they take some hundred times the memory.
+HELD_CHARS = 200_000
 
 _EXTRA = "struct<term: string, type: string, synonyms: array<string>>"
 TOKEN = f"struct<term: string, type: string, start: int, stop: int, pos_inc: int, synonyms: array<string>, extras: array<{_EXTRA}>>"
@@ -50,16 +54,29 @@ def _whole(found: list) -> list[dict]:
     return [_row(t) for t in found]
 
 
-def _with(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options, name: str, shape, kind: str) -> DataFrame:
-    """``df`` with what ``shape`` makes of the tokens of a text column, an array of ``kind``."""
+def _counted(types: list[str]) -> list[dict]:
+    return [{"type": kind, "times": n} for kind, n in Counter(types).items()]
+
+
+def _in_slices(texts: pd.Series) -> Iterator[pd.Series]:
+    """The texts in slices of some ``HELD_CHARS`` characters, one text at least."""
+    sizes = texts.str.len().fillna(0).to_numpy()
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // HELD_CHARS)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(texts)]):
+        yield texts.iloc[a:b]
+
+
+def _with(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options, name: str, shape, kind: str, analyse=analyse) -> DataFrame:
+    """``df`` with what ``shape`` makes of the tokens of a text column, which ``analyse`` finds, an array of ``kind``."""
     if isinstance(dictionaries, Dictionaries):
         shared = df.sparkSession.sparkContext.broadcast(dictionaries)
 
         @F.pandas_udf(f"array<{kind}>")
         def tokens(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             known = shared.value
-            for texts in parts:
-                yield pd.Series([shape(analyse(text, known, options)) for text in texts])
+            for batch in parts:
+                for texts in _in_slices(batch):
+                    yield pd.Series([shape(analyse(text, known, options)) for text in texts], dtype=object)
 
         return df.withColumn(name, tokens(F.col(column)))
     # Texts are told apart by 128 bits; each is analysed once, however many rows have it.
@@ -85,6 +102,11 @@ def with_placed_terms(df: DataFrame, column: str, dictionaries: Dictionaries | D
     return _with(df, column, dictionaries, options, name, _placed, PLACED)
 
 
+def with_type_counts(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options = INDEX, name: str = "types") -> DataFrame:
+    """``df`` with how many tokens of each type a text column has, as array<struct<type, times>>."""
+    return _with(df, column, dictionaries, options, name, _counted, "struct<type: string, times: long>", token_types)
+
+
 def register_udtf(spark: SparkSession, dictionaries: Dictionaries, name: str = "analyze_text") -> None:
     """A table function for SQL: ``SELECT * FROM analyze_text('text', true)`` with a row for each token."""
     shared = dictionaries

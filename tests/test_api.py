@@ -15,7 +15,7 @@ from lexiloom import analysis_queries, api
 from lexiloom.functions import text
 from lexiloom.operators import analyze as a
 from lexiloom.operators import dictionaries as d
-from lexiloom.operators.rules import analyse
+from lexiloom.operators.rules import Options, analyse
 from lexiloom.operators.segment import Dictionaries
 from lexiloom.plans import mapping
 from lexiloom.plans import pages
@@ -292,3 +292,37 @@ def test_best_fragment(spark):
     assert got[2] == "none of them <i>" and got[3] is None and got[4] == ""
     short = s.best_fragment(F.col("t"), ["one"], 23, "[", "]")
     assert df.where("id = 1").select(short.alias("x")).first().x == "red [one] &amp; two &lt;b&gt; ring"
+
+
+def test_tokens_are_handed_on_in_slices(spark, engine, monkeypatch):
+    """A batch of long texts is no longer turned into tokens as a whole, in any shape."""
+    import pandas as pd
+
+    made = pd.Series(["a b" * 50, None, "c", "d" * 400, "", "e f"])
+    monkeypatch.setattr(a, "HELD_CHARS", 100)
+    slices = list(a._in_slices(made))
+    assert len(slices) > 1 and [x for s in slices for x in s] == list(made)
+    assert all(sum(len(x or "") for x in list(s)[1:]) < 100 for s in slices)
+    texts = [("red 10cm, old (ring) " * (k % 7) if k % 5 else None, k) for k in range(200)]
+    df = spark.createDataFrame(texts, "text string, k int").coalesce(1)
+    got = {r.k: ({t.type: t.times for t in r.types}, [t.type for t in r.tokens]) for r in a.with_type_counts(a.with_tokens(df, "text", engine.dictionaries), "text", engine.dictionaries).collect()}
+    want = {k: [t.type for t in analyse(text, engine.dictionaries)] for text, k in texts}
+    assert got == {k: (Counter(v), v) for k, v in want.items()}
+
+
+def test_one_word_pieces_follow_the_rules(monkeypatch):
+    """Words with symbols around them skip the rules, which would not change them; pieces that a dictionary has together do not."""
+    import random
+
+    from lexiloom.operators import rules
+
+    known = lambda: Dictionaries(words={"RING": -8.0}, user=frozenset({"C#", '"X'}), stop=frozenset({"OLD", "OLD."}), units=frozenset({"CM"}), compound={"PLATE": ("disc", "flat"), "!": ("a", "b")}, space={"AB.": ("a", "b")})
+    rng = random.Random(2)
+    pool = ["ring", "old", "plate", "!", ".", "#", "c", "-", '"', "x", "10", "cm", "ab", ",", " ", "가", "の", "漢", "é", "_"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(1, 7))) for _ in range(3000)]
+    options = [Options(), Options(for_query=True), Options(for_query=True, full_string=True)]
+    got = [analyse(x, known(), o) for x in texts for o in options]
+    types = [rules.token_types(x, known(), o) for x in texts for o in options]
+    monkeypatch.setattr(rules, "_one_word", lambda found, d: False)
+    monkeypatch.setattr(rules, "_stands_alone", lambda word, piece, d: False)
+    assert got == [analyse(x, known(), o) for x in texts for o in options] and types == [[t.type for t in x] for x in got]
