@@ -15,7 +15,8 @@ has unless its words are very short, are only reported.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -281,32 +282,94 @@ def _group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release_memory()
 
 
+def _shared(side: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Contexts with ``most``, which no common extension on one side with another context of the gram is longer than; rows come sorted by gram and that side.
+
+    The longest is that with a neighbour. The first and last row of a partition don't know theirs, so all of their side may be common.
+    """
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(rows: pa.RecordBatch, before: list[tuple], after: list[tuple]) -> pa.RecordBatch:
+            own = list(zip(rows.column("g").to_pylist(), rows.column(side).to_pylist()))
+            line = [*before, *own, *after]
+            common = [_common(x, y) if g == h else 0 for (g, x), (h, y) in zip(line, line[1:])]
+            if not before:
+                common.insert(0, len(own[0][1]))
+            if not after:
+                common.append(len(own[-1][1]))
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(map(max, common, common[1:]), pa.int32())], [*rows.schema.names, "most"])
+
+        held, before = None, []
+        for batch in batches:
+            if not len(batch):
+                continue
+            if held is not None:
+                yield told(held, before, [(batch.column("g")[0].as_py(), batch.column(side)[0].as_py())])
+                before = [(held.column("g")[-1].as_py(), held.column(side)[-1].as_py())]
+            held = batch
+        if held is not None:
+            yield told(held, before, [])
+
+    return bounds
+
+
+#: Windows that are hashed and compared at once (about 60 bytes each); more go in several passes.
+WINDOWS_AT_ONCE = 50_000_000
 _WINDOWS = "g long, k1 long, k2 long, pos int, kept boolean, lag int, a long, b long"
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each context, the hashes of all its windows of either length; ``lag`` is the gram's place in the window."""
-    for batch in batches:
-        for g, k1, k2, pos, _, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-            whole = left[::-1] + right
-            rows = []
-            for kept, side in zip((False, True), _SHORT):
-                for lag in range(max(0, side - len(right)), min(side, len(left)) + 1):
-                    own = whole[len(left) - lag : len(left) - lag + side]
-                    both = xxhash.xxh3_128_intdigest(lag.to_bytes(2, "little") + own)
-                    rows.append((g, k1, k2, pos, kept, lag, _signed(both >> 64), _signed(both & (1 << 64) - 1)))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["g", "k1", "k2", "pos", "kept", "lag", "a", "b"])
+def _lags(side: F.Column) -> tuple[F.Column, F.Column]:
+    """The least and the greatest place of the gram in a window that may be repeated."""
+    return F.greatest(F.lit(0), side - F.col("ahead")), F.least(side, F.col("behind"))
+
+
+def _window_hashes(turn: int, turns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each context, the hashes of its windows of either length that may be repeated; ``lag`` is the gram's place in the window."""
+        for batch in batches:
+            for g, k1, k2, pos, left, right, ahead, behind in zip(*(batch.column(c).to_pylist() for c in ("g", "k1", "k2", "pos", "left", "right", "ahead", "behind"))):
+                whole = left[::-1] + right
+                rows = []
+                for kept, side in zip((False, True), _SHORT):
+                    first = max(0, side - ahead)
+                    for lag in range(first + (turn - first) % turns, min(side, behind) + 1, turns):
+                        own = whole[len(left) - lag : len(left) - lag + side]
+                        both = xxhash.xxh3_128_intdigest(lag.to_bytes(2, "little") + own)
+                        rows.append((g, k1, k2, pos, kept, lag, _signed(both >> 64), _signed(both & (1 << 64) - 1)))
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["g", "k1", "k2", "pos", "kept", "lag", "a", "b"])
+
+    return hashes
+
+
+def _bounded(contexts: DataFrame) -> DataFrame:
+    """The contexts that may have a repeat, with what they have in common with any other one at most: ``ahead`` on the right and ``behind`` on the left."""
+    for side, name, other in (("right", "ahead", F.octet_length("left")), ("left", "behind", F.col("ahead"))):
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in contexts.schema)
+        told = contexts.repartitionByRange("g", side).sortWithinPartitions("g", side).mapInArrow(_shared(side), f"{kinds}, most int")
+        before, contexts = contexts, stage(told.where(F.col("most") + other >= min(_SHORT)).withColumnRenamed("most", name))
+        cleared(before)
+    return contexts
 
 
 def _large_group_spans(contexts: DataFrame) -> DataFrame:
-    """The same spans for grams with very many contexts: windows are counted by hash, linear in the contexts."""
-    windows = contexts.mapInArrow(_window_hashes, _WINDOWS)
-    repeated = windows.groupBy("g", "a", "b").agg(F.count("*").alias("n")).where("n > 1").select("g", "a", "b")
-    spread = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    hit = windows.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.lit(16)).cast("int")).join(spread, ["g", "a", "b", "salt"])
-    ends = hit.groupBy("k1", "k2", "pos", "kept").agg(F.min("lag").alias("near"), F.max("lag").alias("far"))
+    """The same spans for grams with very many contexts: windows are counted by hash, linear in the contexts.
+
+    A window goes no further than what its context has in common with its neighbours in order, and where there are many, passes take
+    every so many places of the gram, so that shuffles stay small.
+    """
+    bounded = _bounded(stage(contexts))
+    sizes = [F.greatest(F.lit(0), last - first + 1) for first, last in (_lags(F.lit(side)) for side in _SHORT)]
+    turns = -(-(bounded.agg(F.sum(sizes[0] + sizes[1])).first()[0] or 0) // WINDOWS_AT_ONCE) or 1
+    found = []
+    for turn in range(turns):
+        windows = bounded.mapInArrow(_window_hashes(turn, turns), _WINDOWS)
+        repeated = windows.groupBy("g", "a", "b").agg(F.count("*").alias("n")).where("n > 1").select("g", "a", "b")
+        spread = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        hit = windows.withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.lit(16)).cast("int")).join(spread, ["g", "a", "b", "salt"])
+        found.append(stage(hit.groupBy("k1", "k2", "pos", "kept").agg(F.min("lag").alias("near"), F.max("lag").alias("far"))))
+    ends = reduce(DataFrame.unionByName, found).groupBy("k1", "k2", "pos", "kept").agg(F.min("near").alias("near"), F.max("far").alias("far"))
     return ends.selectExpr("k1", "k2", "kept", "CAST(pos - far AS INT) AS start", f"CAST(pos - near + IF(kept, {PASSAGE}, {LENGTH}) AS INT) AS stop")
 
 

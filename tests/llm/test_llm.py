@@ -407,6 +407,30 @@ def repeat_rows(rng) -> list[str | None]:
     return rows + ["ab" * 600, "x" + "ab" * 500, rows[0], rows[0], None, "", "short", shared[-2][:450], shared[-1][100:900]]
 
 
+def test_windows_of_hot_grams_are_bounded_and_taken_in_passes(spark, monkeypatch):
+    """Contexts that share less than a repeat are not hashed at all; windows that are too many for one pass give the same spans in several."""
+    rng = random.Random(8)
+    noise = lambda n: bytes(rng.choices(b"abcdefgh ", k=n))
+    shared, text = noise(260), noise(900)
+    rows = [(1, k, k, 350, False, noise(350), noise(350)) for k in range(40)]
+    rows += [(2, k, k, 350, False, (noise(300) + shared[:50])[::-1], shared[100:] + noise(190)) for k in range(6)]
+    rows += [(3, k, k, 350 + k, False, text[k : 350 + k][::-1], text[400 + k : 750 + k]) for k in (0, 0, 30)] + [(3, 9, 9, 350, False, noise(350), text[400:750])]
+    contexts = spark.createDataFrame(rows, suffix._CONTEXTS).repartition(3)
+    told = suffix._bounded(suffix.stage(contexts))
+    # At most the rows at the ends of partitions, for which nothing is known, stay without a repeat.
+    assert told.where("g = 1").count() <= 12 and {r.k1 for r in told.where("g = 2").collect()} == set(range(6))
+    whole = sorted(map(str, suffix._large_group_spans(contexts).collect()))
+    monkeypatch.setattr(suffix, "WINDOWS_AT_ONCE", 300)
+    assert whole == sorted(map(str, suffix._large_group_spans(contexts).collect())) and len(whole) > 6
+    want = set()
+    for g in (1, 2, 3):
+        own = [r for r in rows if r[0] == g]
+        for kept, (left, right) in zip((False, True), suffix.extents([r[5] for r in own], [r[6] for r in own], suffix._SHORT)):
+            want |= {(r[1], kept, r[3] - a, r[3] + suffix.GRAM + b) for r, a, b in zip(own, left.tolist(), right.tolist()) if a >= 0}
+    # An occurrence's span is as long as a context reaches, so ends are compared within the sides.
+    assert {(r.k1, r.kept) for r in suffix._large_group_spans(contexts).collect()} == {x[:2] for x in want}
+
+
 @pytest.mark.parametrize("large_group", [suffix.LARGE_GROUP, 2])
 def test_repeats_like_brute_force(spark, large_group):
     rows = repeat_rows(random.Random(large_group))
