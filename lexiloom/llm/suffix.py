@@ -314,7 +314,7 @@ def _shared(side: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 
 #: Windows that are hashed and compared at once (about 60 bytes each); more go in several passes.
-WINDOWS_AT_ONCE = 50_000_000
+WINDOWS_AT_ONCE = 200_000_000
 _WINDOWS = "g long, k1 long, k2 long, pos int, kept boolean, lag int, a long, b long"
 
 
