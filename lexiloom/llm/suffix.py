@@ -20,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,11 @@ PIECE = 1 << 20
 #: Bytes of text that a task turns into Python objects at once.
 HELD = 1 << 21
 #: Anchors that a task holds to combine equal ones before the shuffle.
-COMBINED = 100_000
+COMBINED = 200_000
+#: Contexts that a task hands on, or compares with the next ones, at once.
+TAKEN = 1_000
+#: Occurrences in intervals of the tree that are compared at once.
+COMPARED = 1 << 15
 #: Beyond so many different contexts of one gram, windows are compared by hash over many tasks instead.
 LARGE_GROUP = 50_000
 #: Up to so many results in all (about 25 bytes each), they are broadcast to the texts; beyond, both are shuffled.
@@ -92,6 +97,8 @@ def anchors(text: bytes) -> np.ndarray:
         inverse = np.iinfo(np.uint64).max - most
         reached = np.iinfo(np.uint64).max - _least_of_windows(inverse, width)
         found.append(np.flatnonzero(reached == hashes) + at)
+    if len(found) == 1:
+        return found[0]
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
@@ -102,6 +109,19 @@ def _signed(number: int) -> int:
 _ANCHORS = "k1 long, k2 long, pos int, g long, c long, flag int"
 
 
+def _combined(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray, g: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """Anchors, of which those with the gram and context of an earlier one are settled."""
+    order = np.lexsort((c, g))
+    again = (g[order[1:]] == g[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+    flag = np.zeros(len(g), np.int32)
+    flag[order[:-1][again]] = 1
+    later = order[1:][again]
+    flag[later], c[later] = 2, 0
+    g[later] = [xxhash.xxh3_64_intdigest(b"%d %d %d" % key) for key in zip(k1[later].tolist(), k2[later].tolist(), pos[later].tolist())]
+    columns = {"k1": k1, "k2": k2, "pos": pos, "g": g.view(np.int64), "c": c.view(np.int64), "flag": flag}
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
+
+
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors with the hashes of gram and context. Copies within a partition are combined before the shuffle.
 
@@ -110,37 +130,33 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """
     seen_texts: set[tuple[int, int]] = set()
     digest = xxhash.xxh3_64_intdigest
-    kinds = {"k1": "q", "k2": "q", "pos": "i", "g": "q", "c": "q", "flag": "i"}
+    #: What a context's hash begins with: how much of it stands before the gram.
+    before = [n.to_bytes(2, "little") for n in range(SIDE + 1)]
+    keys, counts, columns = [], [], [array(x) for x in "iQQ"]
 
-    def batch_of(columns: list[array]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c, c.typecode)) for c in columns], list(kinds))
+    def held() -> pa.RecordBatch:
+        k1, k2 = np.repeat(np.array(keys, np.int64), counts, axis=0).T
+        return _combined(k1, k2, *(np.array(x) for x in columns))
 
-    #: The row of the first anchor of each gram and context.
-    first: dict[tuple[int, int], int] = {}
-    columns = [array(x) for x in kinds.values()]
     for batch in batches:
-        for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
             if (k1, k2) in seen_texts:
                 continue
             seen_texts.add((k1, k2))
-            raw = text.as_py().encode("utf-8", "replace")
-            flags = columns[5]
-            for pos in anchors(raw).tolist():
-                left = raw[max(0, pos - SIDE) : pos]
-                g = _signed(digest(raw[pos : pos + GRAM]))
-                c = _signed(digest(len(left).to_bytes(2, "little") + left + raw[pos : pos + LENGTH]))
-                flag, at = 0, first.setdefault((g, c), len(flags))
-                if at < len(flags):
-                    flags[at] = 1
-                    g, c, flag = _signed(digest(b"%d %d %d" % (k1, k2, pos))), 0, 2
-                for column, value in zip(columns, (k1, k2, pos, g, c, flag)):
-                    column.append(value)
-            if len(first) >= COMBINED or len(flags) - len(first) >= COMBINED:
-                yield batch_of(columns)
-                first, columns = {}, [array(x) for x in kinds.values()]
-    if first:
-        yield batch_of(columns)
-    first, columns = {}, []
+            raw = text.as_py()
+            spots = anchors(raw).tolist()
+            keys.append((k1, k2))
+            counts.append(len(spots))
+            pos, g, c = columns
+            pos.extend(spots)
+            g.extend([digest(raw[x : x + GRAM]) for x in spots])
+            c.extend([digest(before[min(x, SIDE)] + raw[max(0, x - SIDE) : x + LENGTH]) for x in spots])
+            if len(pos) >= COMBINED:
+                yield held()
+                keys, counts, columns = [], [], [array(x) for x in "iQQ"]
+    if columns[0]:
+        yield held()
+    keys, counts, columns = [], [], []
     release_memory()
 
 
@@ -161,7 +177,16 @@ def _common(a: bytes, b: bytes) -> int:
 
 def _prefix_lengths(strings: list[bytes]) -> np.ndarray:
     """Common prefix length of each string with the next one."""
-    return np.array([_common(a, b) for a, b in zip(strings, strings[1:])], np.int64)
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(strings) - 1, TAKEN):
+        some = strings[at : at + TAKEN + 1]
+        sizes = np.array([len(x) for x in some])
+        width = max(int(sizes.max()), 1)
+        table = np.array(some, f"S{width}").view(np.uint8).reshape(len(some), width)
+        differ = table[1:] != table[:-1]
+        shorter = np.minimum(sizes[1:], sizes[:-1])
+        out.append(np.where(differ.any(axis=1), np.minimum(differ.argmax(axis=1), shorter), shorter))
+    return np.concatenate(out)
 
 
 def prefix_intervals(lengths: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -183,21 +208,19 @@ class _RangeMinima:
     """The least of any range of numbers, from those of all ranges whose length is a power of two."""
 
     def __init__(self, numbers: np.ndarray) -> None:
-        self.levels = [numbers]
-        while len(self.levels[-1]) > (half := 1 << len(self.levels) - 1):
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-half], last[half:]))
+        levels = [numbers]
+        while len(levels[-1]) > (half := 1 << len(levels) - 1):
+            levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+        self.levels = np.concatenate(levels)
+        self.begins = np.cumsum([0, *map(len, levels[:-1])])
 
     def least(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        out = np.empty(len(starts), np.int64)
         level = np.frexp(stops - starts)[1] - 1
-        for k in np.unique(level).tolist():
-            at = level == k
-            out[at] = np.minimum(self.levels[k][starts[at]], self.levels[k][stops[at] - (1 << k)])
-        return out
+        begins = self.begins[level]
+        return np.minimum(self.levels[begins + starts], self.levels[begins + stops - (1 << level.astype(np.int64))])
 
 
-def extents(lefts: list[bytes], rights: list[bytes], least: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+def extents(lefts: list[bytes], rights: list[bytes], least: tuple[int, ...], sizes: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """How far left and right each occurrence of a gram belongs to repeats, for each length in ``least``, which count without the gram.
 
     ``lefts`` are reversed. An occurrence i has a repeat with j if their
@@ -205,28 +228,48 @@ def extents(lefts: list[bytes], rights: list[bytes], least: tuple[int, ...]) ->
     right extension over all such j are returned, -1 where there is none. For
     each interval of the tree (right extension) only neighbours by left
     extension have to be compared: they have the largest.
+    ``sizes``: how many occurrences each of several grams has, which stand one gram after the other.
+    Few grams have many occurrences, so the intervals of all are compared together.
     """
     n = len(rights)
     found = [(np.full(n, -1, np.int64), np.full(n, -1, np.int64)) for _ in least]
-    order = np.array(sorted(range(n), key=rights.__getitem__), np.int64)
-    sorted_left = np.array(sorted(range(n), key=lefts.__getitem__), np.int64)
+    sizes = np.array(sizes or [n])
+    stops = np.cumsum(sizes)
+    starts = stops - sizes
+
+    def sorted_by(side: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences of each gram in order, and what each has in common with the next one, -1 for the last one."""
+        order = [k for a, b in zip(starts.tolist(), stops.tolist()) for k in sorted(range(a, b), key=side.__getitem__)]
+        common = np.append(_prefix_lengths([side[k] for k in order]), -1)
+        common[stops - 1] = -1
+        return np.array(order, np.int64), common
+
+    order, after = sorted_by(rights)
+    sorted_left, between = sorted_by(lefts)
     by_left = np.empty(n, np.int64)
     by_left[sorted_left] = np.arange(n)
-    between = _prefix_lengths([lefts[k] for k in sorted_left.tolist()])
-    minima, longest = _RangeMinima(between), int(between.max())
-    for length, first, last in prefix_intervals(_prefix_lengths([rights[k] for k in order.tolist()])):
-        if length + longest < min(least):
-            continue
-        ranks = np.sort(by_left[order[first : last + 1]])
+    minima = _RangeMinima(between)
+    longest = np.repeat(np.maximum.reduceat(between, starts), sizes)
+    nodes = np.fromiter(prefix_intervals(after[:-1]), np.dtype((np.int64, 3)))
+    nodes = nodes[nodes[:, 0] + longest[nodes[:, 1]] >= min(least)]
+    upto = np.cumsum(nodes[:, 2] - nodes[:, 1] + 1)
+    for some in np.split(nodes, np.flatnonzero(np.diff(upto // COMPARED)) + 1):
+        members = some[:, 2] - some[:, 1] + 1
+        node = np.repeat(np.arange(len(some)), members)
+        place = np.arange(len(node)) + np.repeat(some[:, 1] - np.cumsum(members) + members, members)
+        # The members of each interval by left extension.
+        ranks = np.sort(node * n + by_left[order[place]]) - node * n
         # The common left extension of two members is the least of those between them.
-        shared = minima.least(ranks[:-1], ranks[1:])
-        best = np.maximum(np.concatenate(([-1], shared)), np.concatenate((shared, [-1])))
+        shared = np.full(max(len(node) - 1, 0), -1)
+        same = np.flatnonzero(node[1:] == node[:-1])
+        shared[same] = minima.least(ranks[same], ranks[same + 1])
+        best = np.maximum(np.append(-1, shared), np.append(shared, -1))[: len(node)]
+        length = some[node, 0]
         for (left, right), enough in zip(found, least):
             ok = best + length >= enough
-            if ok.any():
-                members = sorted_left[ranks[ok]]
-                left[members] = np.maximum(left[members], best[ok])
-                right[members] = np.maximum(right[members], length)
+            who = sorted_left[ranks[ok]]
+            np.maximum.at(left, who, best[ok])
+            np.maximum.at(right, who, length[ok])
     return found
 
 
@@ -238,47 +281,50 @@ _SHORT = (LENGTH - GRAM, PASSAGE - GRAM)
 
 def _take_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_size(batches, "text", HELD):
-        for k1, k2, spots, text in zip(*(batch.column(c).to_pylist() for c in range(4))):
-            raw, rows = text.encode("utf-8", "replace"), []
-            for x in spots:
-                pos = x["pos"]
-                rows.append((x["g"], k1, k2, pos, x["cover"], raw[max(0, pos - SIDE) : pos][::-1], raw[pos + GRAM : pos + LENGTH]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["g", "k1", "k2", "pos", "cover", "left", "right"])
+        spots = batch.column("spots").flatten()
+        pos, rows = spots.field("pos").to_numpy(), pc.list_parent_indices(batch.column("spots"))
+        raws = batch.column("text").cast(pa.binary()).to_pylist()
+        for at in range(0, len(spots), TAKEN):
+            some, row = spots.slice(at, TAKEN), rows.slice(at, TAKEN)
+            where = [(raws[k], x) for k, x in zip(row.to_pylist(), pos[at : at + TAKEN].tolist())]
+            left = pa.array([raw[max(0, x - SIDE) : x][::-1] for raw, x in where], pa.binary())
+            right = pa.array([raw[x + GRAM : x + LENGTH] for raw, x in where], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.field("g"), batch.column("k1").take(row), batch.column("k2").take(row), some.field("pos"), some.field("cover"), left, right], ["g", "k1", "k2", "pos", "cover", "left", "right"])
 
 
 def _group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans from the interval tree of each gram's contexts; rows come sorted by gram."""
 
-    def spans(rows: list[tuple]) -> list[tuple]:
-        if len(rows) < 2:
-            return []
-        found = extents([r[5] for r in rows], [r[6] for r in rows], _SHORT)
-        return [
-            (r[1], r[2], kept, r[3] - a, r[3] + GRAM + b)
-            for kept, (left, right) in zip((False, True), found)
-            for r, a, b in zip(rows, left.tolist(), right.tolist())
-            if a >= 0 and not r[4]
-        ]
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+    def spans(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        g, k1, k2, pos, cover = (rows.column(c).to_numpy() for c in ("g", "k1", "k2", "pos", "cover"))
+        sizes = np.diff([0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)])
+        out = []
+        for kept, (left, right) in zip((False, True), extents(rows.column("left").to_pylist(), rows.column("right").to_pylist(), _SHORT, sizes.tolist())):
+            hit = np.flatnonzero((left >= 0) & ~cover)
+            out.append([k1[hit], k2[hit], np.full(len(hit), kept), pos[hit] - left[hit], pos[hit] + GRAM + right[hit]])
         kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["k1", "k2", "kept", "start", "stop"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(zip(*out), kinds)], ["k1", "k2", "kept", "start", "stop"])
 
-    group, out = [], []
+    #: Rows whose grams are not whole yet.
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if group and row[0] != group[0][0]:
-                out += spans(group)
-                group = []
-                if len(out) >= 20_000:
-                    yield batch_of(out)
-                    out = []
-            group.append(row)
-    out += spans(group)
-    if out:
-        yield batch_of(out)
-    group, out = [], []
+        if not len(batch):
+            continue
+        g = batch.column("g").to_numpy()
+        starts = np.flatnonzero(np.diff(g)) + 1
+        if held and g[0] != held[-1].column("g")[-1].as_py():
+            starts = np.append(0, starts)
+        # Rows up to the start of the last gram are whole.
+        if len(starts):
+            if whole := [x for x in (*held, batch.slice(0, starts[-1])) if len(x)]:
+                yield spans(whole)
+            held = []
+            batch = batch.slice(starts[-1])
+        held.append(batch)
+    if held:
+        yield spans(held)
+    held = []
     release_memory()
 
 

@@ -510,6 +510,76 @@ def test_interval_tree_and_maximal_repeats():
     assert sorted(suffix.prefix_intervals(np.array([2, 3, 0, 1]))) == [(0, 0, 4), (1, 3, 4), (2, 0, 2), (3, 1, 2)]
 
 
+def test_occurrences_of_many_grams_are_compared_together(monkeypatch):
+    """The extents of several grams at once are those of each alone, by comparing all pairs; however few are compared at a time."""
+    rng = random.Random(5)
+    side = lambda: bytes(rng.choices(b"ab\0", k=rng.randint(0, 6)))
+    for compared in (3, 1 << 15):
+        monkeypatch.setattr(suffix, "COMPARED", compared)
+        grams = [[(side(), side()) for _ in range(n)] for n in (1, 2, 9, 1, 30, 2)]
+        rows = [x for own in grams for x in own]
+        got = suffix.extents([x for x, _ in rows], [y for _, y in rows], (5, 3), [len(own) for own in grams])
+        for (left, right), enough in zip(got, (5, 3)):
+            want = []
+            for own in grams:
+                for k, (x, y) in enumerate(own):
+                    pairs = [(suffix._common(x, a), suffix._common(y, b)) for j, (a, b) in enumerate(own) if j != k]
+                    pairs = [p for p in pairs if sum(p) >= enough]
+                    want.append((max((a for a, _ in pairs), default=-1), max((b for _, b in pairs), default=-1)))
+            assert list(zip(left.tolist(), right.tolist())) == want
+
+
+def test_grams_that_reach_over_batches_are_whole(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    word = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    near = word(suffix.SIDE)
+    rows = [(g, g * 1000 + k, 7, 400, k == 2, b"", near if k % 2 == 0 else word(suffix.SIDE)) for g, n in enumerate((1, 5, 2, 300, 1, 4)) for k in range(n)]
+    table = pa.table([list(c) for c in zip(*rows)], ["g", "k1", "k2", "pos", "cover", "left", "right"])
+    table = table.set_column(3, "pos", table["pos"].cast(pa.int32()))
+    calls, extents = [], suffix.extents
+    monkeypatch.setattr(suffix, "extents", lambda *a: calls.append(len(a[0])) or extents(*a))
+    found = lambda batches: sorted(r for b in suffix._group_spans(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns)))
+    whole = found(table.to_batches())
+    assert calls == [309, 4] and whole == [(k1, 7, kept, 400, 400 + suffix.LENGTH) for g, k1, _, _, cover, _, right in rows for kept in (False, True) if right is near and not cover and g in (1, 3, 5)]
+    for size in (1, 2, 7, 100):
+        batches = table.to_batches(size)
+        assert found([batches[0].slice(0, 0), *batches, batches[0].slice(0, 0)]) == whole
+    assert found([]) == []
+
+
+def test_contexts_of_short_texts_share_a_batch():
+    import pyarrow as pa
+
+    texts = ["é" * 30 + "x" * 300, "", "y" * 400]
+    spots = [[{"pos": 60, "g": 5, "cover": False}, {"pos": 61, "g": 6, "cover": True}], [], [{"pos": 0, "g": 5, "cover": False}]]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("g", pa.int64()), ("cover", pa.bool_())]))
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([4, 5, 6]), pa.array(spots, kind), pa.array(texts)], ["k1", "k2", "spots", "text"])
+    out = list(suffix._take_contexts_once([batch, batch]))
+    raw = texts[0].encode()
+    assert [r for b in out for r in zip(*(c.to_pylist() for c in b.columns))] == [
+        (5, 1, 4, 60, False, raw[:60][::-1], raw[110:]), (6, 1, 4, 61, True, raw[:61][::-1], raw[111:]), (5, 3, 6, 0, False, b"", b"y" * 350)
+    ]
+    assert len(out) == 1
+
+
+def test_anchors_of_copies_are_settled_in_their_task():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    shared, texts = word(2000), [word(900), "", "short"]
+    texts += [shared, shared, word(500) + shared]
+    batch = pa.record_batch([pa.array([1, 2, 3, 4, 4, 5]), pa.array([0] * 6), pa.array(texts)], ["k1", "k2", "text"])
+    rows = [r for b in suffix._find_anchors([batch]) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert [len([r for r in rows if r[0] == k]) for k in (1, 2, 3, 4, 5)] == [len(suffix.anchors(t.encode())) for t in (*texts[:3], shared, texts[5])]
+    # Where both stand in the same surroundings the later one goes, and its gram is nobody else's.
+    flags = {k: {r[2]: r[5] for r in rows if r[0] == k} for k in (1, 4, 5)}
+    assert set(flags[1].values()) == {0} and all(flags[4][x] == (1 if flags[5].get(x + 500) == 2 else 0) for x in flags[4])
+    assert len(list(flags[5].values())) > sum(f == 2 for f in flags[5].values()) > 2
+
+
 def test_anchors_depend_on_their_window_only():
     rng = np.random.default_rng(5)
     passage = bytes(rng.integers(97, 123, 400, dtype=np.uint8))
