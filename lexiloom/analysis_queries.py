analyze_index analyses each title once, not twice

Symptom: the task that writes the tokens takes far longer than the rest: 6.32 s against a median of 0.19 s on the tool's hot table (from its event log, not divided by slowness).
Evidence: the plan had two ArrowEvalPython. The plain explode of the tokens lets the optimizer put a filter on the size of the array below it, and this filter runs the analyser a second time over all titles.
Fix: tokens are listed by explode_outer, with the null rows of empty arrays dropped behind it, so that no such filter is made.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 439 -> 378 s, shuffle 0.00 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.01 -> 0.01 GB, longest task 111 -> 24 s, most memory of a task 102 -> 102 MB; at 6 GB of input CPU 1502 -> 1032 s, shuffle 0.00 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.05 -> 0.05 GB, longest task 153 -> 79 s, most memory of a task 102 -> 102 MB; with hot keys, at 1 GB of input CPU 386 -> 348 s, shuffle 0.00 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.01 -> 0.01 GB, longest task 106 -> 16 s, most memory of a task 102 -> 102 MB.

@@ -29,7 +29,9 @@ def _part(spark, sf_dir):
 
 
 def _listed(df, *keys):
-    return df.select(*keys, F.explode("tokens").alias("t")).select(*keys, "t.term", "t.type", "t.start", "t.stop", "t.pos_inc")
+    # A plain explode brings a filter on the arrays' size below it, for which all texts would be analysed once more.
+    tokens = df.select(*keys, F.explode_outer("tokens").alias("t")).where("t IS NOT NULL")
+    return tokens.select(*keys, "t.term", "t.type", "t.start", "t.stop", "t.pos_inc")
 
 
 def analyze_index(spark, sf_dir):

@@ -10,3 +10,18 @@ from lexiloom import catalogue
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_matches_sql(name, same_as_sql, small):
     assert same_as_sql(catalogue.queries()[name], catalogue.oracle_sql()[name], small) > 0
+
+
+def test_texts_are_analysed_once_for_listed_tokens(spark, small):
+    """The listed tokens of a text, none for a null text or one without tokens, come from one evaluation of the analyser."""
+    from lexiloom import analysis_queries as q
+    from lexiloom.operators import analyze as a
+    from lexiloom.operators.segment import Dictionaries
+
+    rows = spark.createDataFrame([(1, "red 5cm"), (1, "red 5cm"), (None, "old"), (2, None), (3, ""), (4, "...")], "k long, text string")
+    listed = q._listed(a.with_tokens(rows, "text", Dictionaries(units=frozenset({"CM"}), stop=frozenset({"OLD"}))), "k")
+    red = [(1, "red", "ALPHA", 0, 3, 1), (1, "5cm", "UNIT", 4, 7, 1), (1, "5", "NUMBER", 4, 5, 0)]
+    assert sorted(map(tuple, listed.collect())) == sorted(red * 2)
+    assert listed.columns == ["k", "term", "type", "start", "stop", "pos_inc"]
+    for df in (listed, catalogue.queries()["analyze_index"](spark, small)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
