@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -66,9 +66,12 @@ def _in_slices(texts: pd.Series) -> Iterator[pd.Series]:
         yield texts.iloc[a:b]
 
 
-def _with(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options, name: str, shape, kind: str, analyse=analyse) -> DataFrame:
+def _with(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options, name: str, shape, kind: str, analyse=analyse, by: Sequence[str] = ()) -> DataFrame:
     """``df`` with what ``shape`` makes of the tokens of a text column, which ``analyse`` finds, an array of ``kind``."""
     if isinstance(dictionaries, Dictionaries):
+        if by:
+            # Analysis takes far longer than reading, and a file's row group is read by one task.
+            df = df.hint("rebalance", *by, column)
         shared = df.sparkSession.sparkContext.broadcast(dictionaries)
 
         @F.pandas_udf(f"array<{kind}>")
@@ -92,9 +95,12 @@ def _with(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTab
     return df.join(known, key == F.col("__id"), "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{kind}>"))).drop("__id")
 
 
-def with_tokens(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options = INDEX, name: str = "tokens") -> DataFrame:
-    """``df`` with the tokens of a text column. A null text has none."""
-    return _with(df, column, dictionaries, options, name, _whole, TOKEN)
+def with_tokens(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options = INDEX, name: str = "tokens", by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the tokens of a text column. A null text has none.
+
+    With columns ``by``, rows are first dealt out to tasks of even size by these and the text; they should tell rows apart, or nearly so.
+    """
+    return _with(df, column, dictionaries, options, name, _whole, TOKEN, by=by)
 
 
 def with_placed_terms(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTable, options: Options = INDEX, name: str = "placed") -> DataFrame:

@@ -25,3 +25,33 @@ def test_texts_are_analysed_once_for_listed_tokens(spark, small):
     assert listed.columns == ["k", "term", "type", "start", "stop", "pos_inc"]
     for df in (listed, catalogue.queries()["analyze_index"](spark, small)):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_rows_are_dealt_out_before_they_are_analysed(spark, small):
+    """One file's rows go to many tasks, also where many have the same text or the same key, and all of them stay."""
+    from pyspark.sql import functions as F
+
+    from lexiloom.operators import analyze as a
+    from lexiloom.operators.segment import Dictionaries
+
+    text = F.when(F.col("id") % 5 == 0, "red widget").when(F.col("id") % 50 != 1, F.concat(F.lit("blue x"), F.col("id")))
+    key = F.when(F.col("id") % 5 == 2, 7).when(F.col("id") % 50 != 3, F.col("id"))
+    rows = spark.range(0, 2000, 1, 1).select(key.alias("k"), text.alias("text"))
+    rows = rows.unionByName(rows).coalesce(1)
+    with_conf = [("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "8")]
+    before = {name: spark.conf.get(name) for name, _ in with_conf}
+    for name, value in with_conf:
+        spark.conf.set(name, value)
+    try:
+        got = a.with_tokens(rows, "text", Dictionaries(), by=["k"]).withColumn("task", F.spark_partition_id()).select("task", "k", "text", F.transform("tokens", lambda t: t["term"]).alias("terms")).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    tasks = [sum(r.task == n for r in got) for n in range(8)]
+    assert max(tasks) < 1.5 * len(got) / 8 and min(tasks) > 0.5 * len(got) / 8
+    order = lambda found: sorted(found, key=str)
+    assert order((r.k, r.text) for r in got) == order((r.k, r.text) for r in rows.collect())
+    alone = {t: a.analyse(t, Dictionaries()) for t in {r.text for r in got}}
+    assert all(r.terms == [t.term for t in alone[r.text]] for r in got)
+    plan = catalogue.queries()["analyze_index"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("RebalancePartitions")
