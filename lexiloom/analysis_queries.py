@@ -48,7 +48,7 @@ def analyze_query(spark, sf_dir):
 
 def analyze_detail(spark, sf_dir):
     """The named sets of each name's tokens."""
-    told = _engine(spark).analyze(_part(spark, sf_dir).select("p_partkey", "p_name"), "p_name")
+    told = _engine(spark).analyze(_part(spark, sf_dir).select("p_partkey", "p_name"), "p_name", by=["p_partkey"])
     return told.select("p_partkey", F.to_json("detail").alias("detail"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +32,10 @@ class Engine:
 
     # -- analysis ---------------------------------------------------------
 
-    def analyze(self, df: DataFrame, column: str, for_query: bool = True, synonyms: bool = True, drop_stop: bool = False, full_string: bool = True) -> DataFrame:
-        """``df`` with ``tokens`` and, in ``detail``, the named sets of them."""
+    def analyze(self, df: DataFrame, column: str, for_query: bool = True, synonyms: bool = True, drop_stop: bool = False, full_string: bool = True, by: Sequence[str] = ()) -> DataFrame:
+        """``df`` with ``tokens`` and, in ``detail``, the named sets of them. Rows are first dealt out to tasks by columns ``by``, if there are any."""
         options = Options(for_query=for_query, synonyms=synonyms, drop_stop=drop_stop, full_string=full_string)
-        return a.with_tokens(df, column, self.dictionaries, options).withColumn("detail", a.detail_sets(F.col("tokens")))
+        return a.with_tokens(df, column, self.dictionaries, options, by=by).withColumn("detail", a.detail_sets(F.col("tokens")))
 
     def multi_analyze(self, df: DataFrame, fields: str = "fields") -> DataFrame:
         """``terms``: for each key of a map column its value's index terms; keys without any go."""

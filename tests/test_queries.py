@@ -55,3 +55,15 @@ def test_rows_are_dealt_out_before_they_are_analysed(spark, small):
     assert all(r.terms == [t.term for t in alone[r.text]] for r in got)
     plan = catalogue.queries()["analyze_index"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("RebalancePartitions")
+
+
+def test_details_of_dealt_rows(spark, small):
+    """Sets of names are the same with and without dealing the rows out, null and repeated ones too; the query does so before analysis."""
+    from lexiloom import api
+
+    engine = api.engine(spark.createDataFrame([("1", None, "red,crimson", "SYNONYM"), ("2", "CM", None, "UNIT")], "id string, keyword string, value string, type string"))
+    rows = spark.createDataFrame([(1, "red 5cm"), (1, "red 5cm"), (None, "red"), (None, None), (3, ""), (4, None), (5, "..."), (6, "abc-12")], "k long, text string").coalesce(1)
+    plain, dealt = (sorted(engine.analyze(rows, "text", by=by).collect(), key=str) for by in ([], ["k"]))
+    assert plain == dealt and len(dealt) == 8
+    plan = catalogue.queries()["analyze_detail"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("RebalancePartitions")
