@@ -18,6 +18,8 @@ from lexiloom.operators.segment import Dictionaries
 DICTIONARY_ROWS = 2_000_000
 #: Tokens of so many characters of text are handed on at once, as they take some hundred times the memory.
 HELD_CHARS = 200_000
+#: Where rows are dealt out, a task gets some so many at least, as starting to analyse takes about as long as a few thousand.
+DEALT_ROWS = 10_000
 
 _EXTRA = "struct<term: string, type: string, synonyms: array<string>>"
 TOKEN = f"struct<term: string, type: string, start: int, stop: int, pos_inc: int, synonyms: array<string>, extras: array<{_EXTRA}>>"
@@ -71,7 +73,8 @@ def _with(df: DataFrame, column: str, dictionaries: Dictionaries | DictionaryTab
     if isinstance(dictionaries, Dictionaries):
         if by:
             # Analysis takes far longer than reading, and a file's row group is read by one task.
-            df = df.hint("rebalance", *by, column)
+            most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            df = df.hint("rebalance", max(1, min(most, df.count() // DEALT_ROWS)), *by, column)
         shared = df.sparkSession.sparkContext.broadcast(dictionaries)
 
         @F.pandas_udf(f"array<{kind}>")

@@ -27,7 +27,7 @@ def test_texts_are_analysed_once_for_listed_tokens(spark, small):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
 
 
-def test_rows_are_dealt_out_before_they_are_analysed(spark, small):
+def test_rows_are_dealt_out_before_they_are_analysed(spark, small, monkeypatch):
     """One file's rows go to many tasks, also where many have the same text or the same key, and all of them stay."""
     from pyspark.sql import functions as F
 
@@ -38,7 +38,9 @@ def test_rows_are_dealt_out_before_they_are_analysed(spark, small):
     key = F.when(F.col("id") % 5 == 2, 7).when(F.col("id") % 50 != 3, F.col("id"))
     rows = spark.range(0, 2000, 1, 1).select(key.alias("k"), text.alias("text"))
     rows = rows.unionByName(rows).coalesce(1)
-    with_conf = [("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "8")]
+    # The number of tasks follows that of the rows, whatever the session has for shuffles.
+    monkeypatch.setattr(a, "DEALT_ROWS", 500)
+    with_conf = [("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", "50")]
     before = {name: spark.conf.get(name) for name, _ in with_conf}
     for name, value in with_conf:
         spark.conf.set(name, value)
